@@ -16,6 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from xxhash import xxh3_64_intdigest
 
 #: Rows per Arrow batch sent to Python: bounds a worker's memory when texts are long.
 ARROW_ROWS = 1000
@@ -86,27 +87,17 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> _S31)
 
 
-class WordHashes(dict):
-    """word -> 64-bit hash, filled on demand; emptied when large so that memory stays bounded."""
-
-    limit = 200_000
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= self.limit:
-            self.clear()
-        h = self[word] = int.from_bytes(hashlib.blake2b(word, digest_size=8).digest(), "little")
-        return h
-
-    def of(self, words: list[bytes]) -> np.ndarray:
-        return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
+def hash_words(words: list[bytes]) -> np.ndarray:
+    """64-bit hashes of words; xxh3 costs less than a look-up in a large dictionary."""
+    return np.fromiter(map(xxh3_64_intdigest, words), np.uint64, len(words))
 
 
 def words_of(text: bytes | None) -> list[bytes]:
     return text.lower().split() if text else []
 
 
-def shingles(word_hashes: np.ndarray, k: int) -> np.ndarray:
-    """Sorted distinct hashes of the k-word shingles; fewer words make one shingle of all of them."""
+def raw_shingles(word_hashes: np.ndarray, k: int) -> np.ndarray:
+    """Hashes of the k-word shingles in order of place; fewer words make one shingle of all of them."""
     n = len(word_hashes)
     if n == 0:
         return word_hashes
@@ -114,7 +105,12 @@ def shingles(word_hashes: np.ndarray, k: int) -> np.ndarray:
     h = np.full(n - width + 1, width, np.uint64)
     for i in range(width):
         h = mix(h * np.uint64(31) + word_hashes[i : n - width + 1 + i])
-    return np.unique(h)
+    return h
+
+
+def shingles(word_hashes: np.ndarray, k: int) -> np.ndarray:
+    """Sorted distinct hashes of the shingles."""
+    return np.unique(raw_shingles(word_hashes, k))
 
 
 def set_key(tokens: np.ndarray) -> int:

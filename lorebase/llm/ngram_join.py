@@ -6,10 +6,12 @@ How it stays exact and bounded:
 
 * Equal sets collapse to one set first (a set is named by a 64-bit hash of its tokens).
 * Two linked sets share a token among the first (1-t)n+1 of any fixed global order, so sets meet in the
-  postings of those tokens only. The order is by token hash, with tokens known to be common placed last; the
-  list of common tokens (at most HEAVY_MAX, counted over all documents) only changes the cost, not the result.
-* In each posting every set is verified against the posting's smallest set. Verified links are contracted to
-  components, so that a group of m near copies costs m checks and not m * m.
+  postings of those tokens only. The order puts shingles of rare words first: a shingle's level is the sum of
+  the logarithms of its words' counts over all documents. Only the COMMON_MAX most frequent words are told
+  apart, all others count as rare; that list changes the cost, not the result.
+* In each posting every set is compared with the posting's smallest set: token bitmaps and sizes first, what
+  they can't exclude is verified exactly. Verified links are contracted to components, so that a group of m near
+  copies costs about m checks and not m * m.
 * Postings that still hold several components go to the signature trees: nodes carry the OR of their members'
   token bitmaps, size ranges and component ranges; a dual traversal drops node pairs whose largest possible
   overlap is too small, and node pairs of a single component. Large postings are cut into blocks; each pair of
@@ -28,12 +30,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHashes, batch, components, map_arrow, save, set_key, shingles, text_bytes, words_of
+from .common import batch, components, hash_words, map_arrow, raw_shingles, save, set_key, shingles, text_bytes, words_of
 
-#: Shingles that are counted together to find common ones, and how often one must occur there to be reported.
-CHUNK, LOCAL_MIN = 2_000_000, 8
-#: A token is placed last if it was seen this often over all reports; bound of that list.
-HEAVY_MIN, HEAVY_MAX = 200, 1 << 17
+#: Words counted together before their counts are reported, and the least count that is.
+CHUNK, LOCAL_MIN = 1_000_000, 4
+#: Bound of the list of common words (12 bytes each).
+COMMON_MAX = 1 << 17
 #: Sets in a block of a large posting.
 BLOCK = 1024
 LEAF, FANOUT = 8, 8
@@ -45,57 +47,61 @@ def prefix_length(n: int, num: int, den: int) -> int:
 
 
 def _sets(k: int):
-    """doc_id, key, n of each row; and, with doc_id null and n = -count, tokens that are common in a chunk."""
-    schema = pa.schema([("doc_id", pa.int64()), ("key", pa.int64()), ("n", pa.int64())])
+    """doc_id, key, n, bitmap of each row; and, with n = -count, the hashes of words that are common in a chunk."""
+    schema = pa.schema([("doc_id", pa.int64()), ("key", pa.int64()), ("n", pa.int64()), ("bitmap", pa.binary())])
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, held, size = WordHashes(), [], 0
+        held, size = [], 0
 
         def report() -> pa.RecordBatch:
-            tokens, counts = np.unique(np.concatenate(held), return_counts=True)
+            words, counts = np.unique(np.concatenate(held), return_counts=True)
             often = counts >= LOCAL_MIN
-            return batch(schema, pa.nulls(int(often.sum()), pa.int64()), tokens[often].view(np.int64), -counts[often].astype(np.int64))
+            none = int(often.sum())
+            return batch(schema, pa.nulls(none, pa.int64()), words[often].view(np.int64), -counts[often].astype(np.int64), pa.nulls(none, pa.binary()))
 
         for b in it:
-            keys, sizes = [], []
+            keys, sizes, maps = [], [], []
             for text in b.column(1).to_pylist():
-                tokens = shingles(hashes.of(words_of(text)), k)
+                words = hash_words(words_of(text))
+                tokens = shingles(words, k)
                 keys.append(set_key(tokens) if len(tokens) else None)
                 sizes.append(len(tokens))
-                if len(tokens):
-                    held.append(tokens)
-                    size += len(tokens)
+                maps.append(_bitmap(tokens) if len(tokens) else None)
+                held.append(words)
+                size += len(words)
                 if size >= CHUNK:
                     yield report()
                     held, size = [], 0
-            yield batch(schema, b.column(0), keys, sizes)
-        if held:
+            yield batch(schema, b.column(0), keys, sizes, maps)
+        if size:
             yield report()
 
     return run
 
 
-def _prefixes(k: int, num: int, den: int, heavy):
-    """(token, key) for the prefix of each set."""
+def _prefixes(k: int, num: int, den: int, common):
+    """(token, key) for the prefix of each set; common: (sorted word hashes, their levels)."""
     schema = pa.schema([("token", pa.int64()), ("key", pa.int64())])
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, common = WordHashes(), heavy.value
+        names, levels = common.value
         for b in it:
             out_t, out_k = [], []
             for text in b.column(0).to_pylist():
-                tokens = shingles(hashes.of(words_of(text)), k)
-                if not len(tokens):
+                words = hash_words(words_of(text))
+                if not len(words):
                     continue
+                tokens, at = np.unique(raw_shingles(words, k), return_index=True)
                 p = prefix_length(len(tokens), num, den)
-                if len(common):
-                    at = np.minimum(np.searchsorted(common, tokens), len(common) - 1)
-                    late = common[at] == tokens
-                    first = np.concatenate([tokens[~late], tokens[late]])[:p] if late.any() else tokens[:p]
-                else:
-                    first = tokens[:p]
+                level = np.zeros(len(tokens), np.int32)
+                if len(names):
+                    found = np.minimum(np.searchsorted(names, words), len(names) - 1)
+                    of_word = np.where(names[found] == words, levels[found], 0).astype(np.int32)
+                    for i in range(min(k, len(words))):
+                        level += of_word[at + i]
+                first = tokens[np.lexsort((tokens, level))[:p]]
                 out_t.append(first.view(np.int64))
-                out_k.append(np.full(len(first), set_key(tokens), np.int64))
+                out_k.append(np.full(p, set_key(tokens), np.int64))
             if out_t:
                 yield batch(schema, np.concatenate(out_t), np.concatenate(out_k))
 
@@ -115,23 +121,11 @@ def _fold(bits: int, width: int, to: int) -> int:
     return bits
 
 
-def _bitmaps(k: int):
-    schema = pa.schema([("key", pa.int64()), ("n", pa.int64()), ("bitmap", pa.binary())])
-
-    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHashes()
-        for b in it:
-            ns, maps = [], []
-            for text in b.column(1).to_pylist():
-                tokens = shingles(hashes.of(words_of(text)), k)
-                width = _bitmap_bits(len(tokens))
-                flags = np.zeros(width, np.uint8)
-                flags[(tokens & np.uint64(width - 1)).astype(np.int64)] = 1
-                ns.append(len(tokens))
-                maps.append(np.packbits(flags, bitorder="little").tobytes())
-            yield batch(schema, b.column(0), ns, maps)
-
-    return run
+def _bitmap(tokens: np.ndarray) -> bytes:
+    width = _bitmap_bits(len(tokens))
+    flags = np.zeros(width, np.uint8)
+    flags[(tokens & np.uint64(width - 1)).astype(np.int64)] = 1
+    return np.packbits(flags, bitorder="little").tobytes()
 
 
 class Node:
@@ -208,26 +202,34 @@ def _tree_pairs(num: int, den: int):
     return run
 
 
-def _verify(k: int, num: int, den: int):
+def _possible(num: int, den: int):
+    """The pairs whose sizes and bitmaps allow the threshold: the bound of two leaves."""
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, kept = WordHashes(), {}
+        for b_in in it:
+            out = []
+            for a, b, na, nb, ma, mb in zip(*(b_in.column(i).to_pylist() for i in range(6)), strict=True):
+                width = 8 * min(len(ma), len(mb))
+                x, y = (Node(member=(key, 0, n, _fold(int.from_bytes(m, "little"), 8 * len(m), width))) for key, n, m in ((a, na, ma), (b, nb, mb)))
+                if may_link(x, y, num, den):
+                    out.append((a, b))
+            yield batch(schema, [p[0] for p in out], [p[1] for p in out])
+
+    return run
 
-        def tokens(key: int, text: bytes) -> np.ndarray:
-            t = kept.get(key)
-            if t is None:
-                if sum(map(len, kept.values())) > 1_000_000 if len(kept) % 64 == 63 else len(kept) > 4096:
-                    kept.clear()
-                t = kept[key] = shingles(hashes.of(words_of(text)), k)
-            return t
 
-        for batch_in in it:
+def _verify(k: int, num: int, den: int):
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, x = None, None
+        for b_in in it:
             a_out, b_out = [], []
-            for a, b, ta, tb in zip(*(batch_in.column(i).to_pylist() for i in range(4)), strict=True):
-                x, y = tokens(a, ta), tokens(b, tb)
-                if den * min(len(x), len(y)) < num * max(len(x), len(y)):
-                    continue
+            for a, b, ta, tb in zip(*(b_in.column(i).to_pylist() for i in range(4)), strict=True):
+                if a != last:  # rows come sorted by a
+                    last, x = a, shingles(hash_words(words_of(ta)), k)
+                y = shingles(hash_words(words_of(tb)), k)
                 both = len(np.intersect1d(x, y, assume_unique=True))
                 if den * both >= num * (len(x) + len(y) - both):
                     a_out.append(a)
@@ -242,37 +244,36 @@ def ngram_jaccard_groups(docs: DataFrame, k: int = 5, num: int = 80, den: int =
 
     n_links counts verified links of the document's class that were needed to form its group.
     """
-    spark, sc = docs.sparkSession, docs.sparkSession.sparkContext
+    sc = docs.sparkSession.sparkContext
     narrow = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_bytes(text_col).alias("text"))
-    found = save(map_arrow(narrow, _sets(k), "doc_id long, key long, n long"), "sets")
-    sets = found.where("n >= 0")
-    heavy_rows = (
-        found.where("n < 0").groupBy("key").agg(F.sum(-F.col("n")).alias("c")).where(F.col("c") >= HEAVY_MIN).orderBy(F.desc("c"), "key").limit(HEAVY_MAX).select("key").toArrow()
-    )
-    heavy = sc.broadcast(np.sort(heavy_rows.column(0).to_numpy().view(np.uint64)))
+    found = save(map_arrow(narrow, _sets(k), "doc_id long, key long, n long, bitmap binary"), "sets")
+    sets = found.where("n >= 0").select("doc_id", "key", "n")
+    counted = found.where("n < 0").groupBy("key").agg(F.sum(-F.col("n")).alias("c")).orderBy(F.desc("c"), "key").limit(COMMON_MAX).orderBy("key").toArrow()
+    names, counts = (counted.column(i).to_numpy() for i in (0, 1))
+    order = np.argsort(names.view(np.uint64))
+    common = sc.broadcast((names.view(np.uint64)[order], np.round(4 * np.log2(np.maximum(counts[order], 1))).astype(np.uint8)))
     classes = sets.where("key is not null and doc_id is not null").groupBy("key").agg(F.min("doc_id").alias("rep"))
 
     # postings that hold two different sets, and the smallest set of each
-    posting = map_arrow(narrow.where("doc_id is not null").select("text"), _prefixes(k, num, den, heavy), "token long, key long")
+    posting = map_arrow(narrow.where("doc_id is not null").select("text"), _prefixes(k, num, den, common), "token long, key long")
     shared = posting.groupBy("token").agg(F.min("key").alias("pivot"), F.max("key").alias("last")).where("pivot < last").select("token", "pivot")
     met = save(posting.join(shared, "token").distinct(), "postings")
-    texts = save(_texts_of(met, classes, narrow, k), "texts")
-    links = save(_verified(met.where("key <> pivot").select(F.col("pivot").alias("a"), F.col("key").alias("b")).distinct(), texts, k, num, den), "links-1")
+    bitmaps = save(found.where("n > 0").join(met.select("key").distinct(), "key", "left_semi").select("key", "n", "bitmap").dropDuplicates(["key"]), "bitmaps")
+    pairs = met.where("key <> pivot").select(F.col("pivot").alias("a"), F.col("key").alias("b")).distinct()
+    links = save(_verified(save(_allowed(pairs, bitmaps, num, den), "pairs-1"), classes, narrow, k, num, den), "links-1")
     comp = components(links, name="groups-1")
 
     # postings that still hold several components
     placed = met.select("token", "key").join(comp.withColumnRenamed("node", "key"), "key", "left").withColumn("comp", F.coalesce("comp", "key"))
     several = placed.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("size")).where("lo < hi").select("token", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks"))
     left = placed.join(several, "token")
-    bitmaps = map_arrow(texts, _bitmaps(k), "key long, n long, bitmap binary")
     block = F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int")
     # the row of block i takes part in the tasks (i, j) for all j: (lower, higher) and on which side it stands
     tasks = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: F.struct(F.least(block, j).alias("i"), F.greatest(block, j).alias("j"), (block > j).cast("int").alias("part")))
     members = left.join(bitmaps, "key").withColumn("task", F.explode(tasks)).select("token", "task.i", "task.j", "task.part", "key", "comp", "n", "bitmap")
-    more = members.groupBy("token", "i", "j").applyInArrow(_tree_pairs(num, den), "a long, b long").distinct()
-    links2 = save(_verified(more, texts, k, num, den), "links-2")
-    if not links2.isEmpty():
-        links = links.union(links2)
+    more = save(members.groupBy("token", "i", "j").applyInArrow(_tree_pairs(num, den), "a long, b long").distinct(), "pairs-2")
+    if not more.isEmpty():
+        links = links.union(save(_verified(more, classes, narrow, k, num, den), "links-2"))
         comp = components(links, name="groups-2")
 
     degree = links.select(F.explode(F.array("a", "b")).alias("key")).groupBy("key").agg(F.count("*").alias("n_links"))
@@ -289,19 +290,25 @@ def ngram_jaccard_groups(docs: DataFrame, k: int = 5, num: int = 80, den: int =
     )
 
 
-def _texts_of(met: DataFrame, classes: DataFrame, narrow: DataFrame, k: int) -> DataFrame:
-    """(key, text) of one document of each set that met another."""
-    wanted = met.select("key").distinct().join(classes, "key").select(F.col("rep").alias("doc_id"), F.col("key").alias("want"))
+def _allowed(pairs: DataFrame, bitmaps: DataFrame, num: int, den: int) -> DataFrame:
+    side = lambda x: bitmaps.select(F.col("key").alias(x), F.col("n").alias(f"n{x}"), F.col("bitmap").alias(f"m{x}"))
+    fits = f"{den} * least(na, nb) >= {num} * greatest(na, nb)"
+    both = pairs.join(side("b"), "b").join(side("a"), "a").where(fits).select("a", "b", "na", "nb", "ma", "mb")
+    return map_arrow(both, _possible(num, den), "a long, b long")
+
+
+def _texts_of(keys: DataFrame, classes: DataFrame, narrow: DataFrame, k: int) -> DataFrame:
+    """(key, text) of one document of each set."""
+    wanted = keys.join(classes, "key").select(F.col("rep").alias("doc_id"), F.col("key").alias("want"))
     schema = pa.schema([("key", pa.int64()), ("text", pa.binary())])
 
     def keep(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, last = WordHashes(), None
+        last = None
         for b in it:
             keys, texts = [], []
             for want, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                tokens = shingles(hashes.of(words_of(text)), k)
                 # a doc_id may repeat with other texts, and with the same one
-                if len(tokens) and set_key(tokens) == want and want != last:
+                if want != last and set_key(shingles(hash_words(words_of(text)), k)) == want:
                     keys.append(want)
                     texts.append(text)
                     last = want
@@ -310,7 +317,9 @@ def _texts_of(met: DataFrame, classes: DataFrame, narrow: DataFrame, k: int) ->
     return map_arrow(narrow.join(wanted, "doc_id").select("want", "text"), keep, "key long, text binary").dropDuplicates(["key"])
 
 
-def _verified(pairs: DataFrame, texts: DataFrame, k: int, num: int, den: int) -> DataFrame:
+def _verified(pairs: DataFrame, classes: DataFrame, narrow: DataFrame, k: int, num: int, den: int) -> DataFrame:
+    keys = pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct()
+    texts = save(_texts_of(keys, classes, narrow, k), "texts")
     ta = texts.select(F.col("key").alias("a"), F.col("text").alias("ta"))
     tb = texts.select(F.col("key").alias("b"), F.col("text").alias("tb"))
     both = pairs.join(tb, "b").join(ta, "a").select("a", "b", "ta", "tb")
