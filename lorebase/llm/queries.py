@@ -2,12 +2,27 @@
 
 from __future__ import annotations
 
-from . import ngram_join
+import corpus_pipeline
+
+from . import decontaminate, langid, line_dedup, ngram_join, pii, quality, secrets, sentencepiece_codec, sharding, warc
 
 QUERIES = {
     "op1_ngram_jaccard_join": ngram_join.query,
+    "op2_secret_scan": secrets.query,
+    "op3_sentencepiece": sentencepiece_codec.query,
+    "op4_pii": pii.query,
+    "op5_warc": warc.query,
+    "op6_sharding": sharding.query,
+    "op7_language_id": langid.query,
+    "op8_line_dedup": line_dedup.query,
+    "op9_quality_rules": quality.query,
+    "op10_decontamination": decontaminate.query,
+    "pipeline": corpus_pipeline.run,
 }
 
 SQL = {
     "op1_ngram_jaccard_join": ngram_join.ORACLE,
+    "op2_secret_scan": secrets.ORACLE,
+    "op5_warc": warc.ORACLE,
+    "op9_quality_rules": quality.ORACLE,
 }
