@@ -9,9 +9,9 @@ How it stays exact and bounded:
   postings of those tokens only. The order puts shingles of rare words first: a shingle's level is the sum of
   the logarithms of its words' counts over all documents. Only the COMMON_MAX most frequent words are told
   apart, all others count as rare; that list changes the cost, not the result.
-* In each posting every set is compared with the posting's smallest set: token bitmaps and sizes first, what
-  they can't exclude is verified exactly. Verified links are contracted to components, so that a group of m near
-  copies costs about m checks and not m * m.
+* In each posting every set is compared with one of its sets, chosen as a likely original: token bitmaps and sizes
+  first, what they can't exclude is verified exactly. Verified links are contracted to components, so that a group
+  of m near copies costs about m checks and not m * m. STARS such rounds are made.
 * Postings that still hold several components go to the signature trees: nodes carry the OR of their members'
   token bitmaps, size ranges and component ranges; a dual traversal drops node pairs whose largest possible
   overlap is too small, and node pairs of a single component. Large postings are cut into blocks; each pair of
@@ -39,6 +39,8 @@ COMMON_MAX = 1 << 17
 #: Sets in a block of a large posting.
 BLOCK = 1024
 LEAF, FANOUT = 8, 8
+#: Rounds in which postings are compared with one of their sets before the trees take over.
+STARS = 2
 
 
 def prefix_length(n: int, num: int, den: int) -> int:
@@ -109,8 +111,8 @@ def _prefixes(k: int, num: int, den: int, common):
 
 
 def _bitmap_bits(n: int) -> int:
-    """Bits of a set's bitmap: the power of two from n to 2n; sizes that may link differ by a factor of two at most."""
-    return 1 << max(6, int(n).bit_length())
+    """Bits of a set's bitmap: the power of two from 4n to 8n, so that few tokens share a bit."""
+    return 1 << max(6, int(n).bit_length() + 2)
 
 
 def _fold(bits: int, width: int, to: int) -> int:
@@ -129,23 +131,25 @@ def _bitmap(tokens: np.ndarray) -> bytes:
 
 
 class Node:
-    """low/high size, OR of bitmaps, most tokens that share a bit (excess), range of components, members below."""
+    """Members' sizes low to high, OR and AND of bitmaps, most tokens that share a bit (excess), range of components."""
 
-    __slots__ = ("bits", "c_high", "c_low", "excess", "high", "kids", "low", "member")
+    __slots__ = ("all", "bits", "c_high", "c_low", "excess", "high", "kids", "low", "member")
 
     def __init__(self, kids: list[Node] | None = None, member=None):
         self.kids, self.member = kids, member
         if member is not None:
-            key, comp, n, bits = member
+            _, comp, n, bits = member
             self.low = self.high = n
-            self.bits, self.excess, self.c_low, self.c_high = bits, n - bits.bit_count(), comp, comp
+            self.bits = self.all = bits
+            self.excess, self.c_low, self.c_high = n - bits.bit_count(), comp, comp
             return
         self.low, self.high = min(x.low for x in kids), max(x.high for x in kids)
         self.excess = max(x.excess for x in kids)
         self.c_low, self.c_high = min(x.c_low for x in kids), max(x.c_high for x in kids)
-        self.bits = 0
+        self.bits, self.all = 0, -1
         for x in kids:
             self.bits |= x.bits
+            self.all &= x.all
 
 
 def build_tree(members: list[tuple]) -> Node | None:
@@ -159,9 +163,16 @@ def build_tree(members: list[tuple]) -> Node | None:
 
 
 def may_link(x: Node, y: Node, num: int, den: int) -> bool:
-    """Whether some member of x and some member of y could reach the threshold, by the largest possible overlap."""
-    most = min((x.bits & y.bits).bit_count() + min(x.excess, y.excess), x.high, y.high)
-    return most * (num + den) >= num * (x.low + y.low) and den * x.high >= num * y.low and den * y.high >= num * x.low
+    """Whether some member of x and some member of y could reach the threshold, by the largest possible overlap.
+
+    Shared tokens lie in shared bits, and at most `excess` more of them than bits; a bit that all of x have and none of
+    y stands for a token of the difference.
+    """
+    if den * x.high < num * y.low or den * y.high < num * x.low:
+        return False
+    apart = (x.all & ~y.bits).bit_count() + (y.all & ~x.bits).bit_count()
+    most = min((x.high + y.high - apart) // 2, (x.bits & y.bits).bit_count() + min(x.excess, y.excess), x.high, y.high)
+    return most * (num + den) >= num * (x.low + y.low)
 
 
 def dual(x: Node, y: Node, num: int, den: int) -> Iterator[tuple[int, int]]:
@@ -255,29 +266,39 @@ def ngram_jaccard_groups(docs: DataFrame, k: int = 5, num: int = 80, den: int =
     classes = sets.where("key is not null and doc_id is not null").groupBy("key").agg(F.min("doc_id").alias("rep"))
 
     # postings that hold two different sets, and the smallest set of each
-    posting = map_arrow(narrow.where("doc_id is not null").select("text"), _prefixes(k, num, den, common), "token long, key long")
-    shared = posting.groupBy("token").agg(F.min("key").alias("pivot"), F.max("key").alias("last")).where("pivot < last").select("token", "pivot")
-    met = save(posting.join(shared, "token").distinct(), "postings")
+    posting = save(map_arrow(narrow.where("doc_id is not null").select("text"), _prefixes(k, num, den, common), "token long, key long"), "prefixes")
+    shared = posting.groupBy("token").agg(F.min("key").alias("lo"), F.max("key").alias("hi")).where("lo < hi").select("token")
+    met = posting.join(shared, "token").distinct()
+    # a set that shares many of its rare tokens is likely what its neighbours are copies of
+    met = save(met.join(met.groupBy("key").agg(F.count("*").alias("weight")), "key"), "postings")
     bitmaps = save(found.where("n > 0").join(met.select("key").distinct(), "key", "left_semi").select("key", "n", "bitmap").dropDuplicates(["key"]), "bitmaps")
-    pairs = met.where("key <> pivot").select(F.col("pivot").alias("a"), F.col("key").alias("b")).distinct()
-    links = save(_verified(save(_allowed(pairs, bitmaps, num, den), "pairs-1"), classes, narrow, k, num, den), "links-1")
-    comp = components(links, name="groups-1")
 
-    # postings that still hold several components
-    placed = met.select("token", "key").join(comp.withColumnRenamed("node", "key"), "key", "left").withColumn("comp", F.coalesce("comp", "key"))
-    several = placed.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("size")).where("lo < hi").select("token", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks"))
+    links = comp = None
+    placed = met.withColumn("comp", F.col("key"))
+    for step in range(STARS):
+        pivot = placed.groupBy("token").agg(F.max(F.struct("weight", "key", "comp")).alias("p"))
+        if step:  # from the second star on: the likeliest hub outside the component of the first
+            pivot = placed.join(pivot.select("token", F.col("p.comp").alias("c")), "token").where("comp <> c").groupBy("token").agg(F.max(F.struct("weight", "key", "comp")).alias("p"))
+        pairs = placed.join(pivot, "token").where("comp <> p.comp").select(F.col("p.key").alias("a"), F.col("key").alias("b")).distinct()
+        new = save(_verified(save(_allowed(pairs, bitmaps, num, den), f"pairs-{step}"), classes, narrow, k, num, den), f"links-{step}")
+        links = new if links is None else links.union(new)
+        comp = components(links, name=f"groups-{step}").withColumnRenamed("node", "key")
+        placed = met.join(comp, "key", "left").withColumn("comp", F.coalesce("comp", "key"))
+
+    # postings that still hold several components; of up to STARS + 1 sets each pair has been compared by now
+    several = placed.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("size")).where(f"lo < hi and size > {STARS + 1}").select("token", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks"))
     left = placed.join(several, "token")
     block = F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int")
     # the row of block i takes part in the tasks (i, j) for all j: (lower, higher) and on which side it stands
     tasks = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: F.struct(F.least(block, j).alias("i"), F.greatest(block, j).alias("j"), (block > j).cast("int").alias("part")))
     members = left.join(bitmaps, "key").withColumn("task", F.explode(tasks)).select("token", "task.i", "task.j", "task.part", "key", "comp", "n", "bitmap")
-    more = save(members.groupBy("token", "i", "j").applyInArrow(_tree_pairs(num, den), "a long, b long").distinct(), "pairs-2")
+    more = save(members.groupBy("token", "i", "j").applyInArrow(_tree_pairs(num, den), "a long, b long").distinct(), "pairs-tree")
     if not more.isEmpty():
-        links = links.union(save(_verified(more, classes, narrow, k, num, den), "links-2"))
-        comp = components(links, name="groups-2")
+        links = links.union(save(_verified(more, classes, narrow, k, num, den), "links-tree"))
+        comp = components(links, name="groups-tree").withColumnRenamed("node", "key")
 
     degree = links.select(F.explode(F.array("a", "b")).alias("key")).groupBy("key").agg(F.count("*").alias("n_links"))
-    named = classes.join(comp.withColumnRenamed("node", "key"), "key", "left").withColumn("comp", F.coalesce("comp", "key"))
+    named = classes.join(comp, "key", "left").withColumn("comp", F.coalesce("comp", "key"))
     smallest = named.groupBy("comp").agg(F.min("rep").alias("component_id"))
     by_key = named.join(smallest, "comp").join(degree, "key", "left").select("key", "component_id", F.coalesce("n_links", F.lit(0)).alias("n_links"))
     out = sets.join(by_key, "key", "left")
