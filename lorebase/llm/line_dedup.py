@@ -3,13 +3,13 @@
 A line's tokens are its distinct words (A-Z folded). Lines of fewer than MIN_TOKENS tokens are never removed. A line
 is removed if an earlier line, by (doc_id, line number), has Jaccard similarity of at least num / den with it.
 
-Equal token sets collapse first; only a set's first line can stay. Sets then meet in the postings of their prefix:
-the n - ceil(t * n) + 1 first tokens in an order by rarity over all documents, where the COMMON_MAX most frequent
-words are told apart and all others count as rare. Length and positional filters act on every pair of a
-posting, token bitmaps on what they leave, and the rest is verified. In each posting all sets are held against its
-earliest one first. A set that has an earlier partner is settled, and only sets still unsettled are compared with the
-posting's other earlier sets, block against block, so that a large family of similar lines costs its size and
-not its square.
+Equal token sets are settled first: of these only the first line can stay, and copies within a task go no further.
+The others meet in the postings of their prefix, the n - ceil(t * n) + 1 first tokens in an order by rarity over all
+documents (the COMMON_MAX most frequent words are told apart, all others count as rare). Postings travel packed
+into one row per task and bucket, and a token of many lines is dealt to the pairs of its blocks, so a bucket stays
+bounded. Within a bucket length, positional and bitmap filters act on all pairs of a posting at once; a line gives
+out its FIRST_FEW earliest candidates, which are verified on whole token sets. Only lines that none of these removed
+and that had more candidates go through a second round, which gives out all of theirs.
 
 Words are compared by 32-bit hashes. Rows that share a doc_id share positions and so are no copies of each other;
 rows with a null doc_id take no part and come back unchanged, as do null and empty texts. Lines end at \\n and keep
@@ -22,21 +22,53 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batch, hash_words, map_arrow, save, set_key, text_bytes
+from .common import batch, hash_words, map_arrow, mix, save, text_bytes
 
 MIN_TOKENS = 5
-COMMON_MAX = 1 << 17
-CHUNK, LOCAL_MIN = 1_000_000, 4
-BLOCK = 1024
-BITS = 256
+COMMON_MAX = 1 << 18
+CHUNK, LOCAL_MIN = 2_000_000, 3
+#: Lines of a posting that are compared in one task; postings per bucket; least number of buckets.
+BLOCK, BUCKET, MIN_BUCKETS = 4096, 250_000, 256
+#: Postings a task gathers before it sends them.
+SEND = 1 << 19
+FIRST_FEW = 8
+#: The second round filters postings by its tokens if they are at most so many (4 bytes each).
+PROBES_MAX = 1 << 20
+
+LINE = pa.schema([("doc_id", pa.int64()), ("line", pa.int32()), ("key", pa.int64()), ("n", pa.int32()), ("tokens", pa.binary())])
+POSTING = np.dtype([("token", "<u4"), ("doc", "<i8"), ("line", "<i4"), ("pos", "<u2"), ("n", "<u2"), ("probe", "u1"), ("bits", "<u8", 2)])
+#: Larger sizes are held as this, and such lines pass the filters that need them.
+LARGE = 65535
+
+
+def _ragged(values: np.ndarray, lengths: np.ndarray) -> pa.Array:
+    """A binary array of rows of uint32, without copying."""
+    offsets = np.concatenate([[0], np.cumsum(4 * lengths)]).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(lengths), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(values))])
 
 
 def _lines():
     """doc_id, line, key, n and tokens (uint32, ascending) of each line; with n = -count, words common in a chunk."""
-    schema = pa.schema([("doc_id", pa.int64()), ("line", pa.int32()), ("key", pa.int64()), ("n", pa.int32()), ("tokens", pa.binary())])
+
+    def tokens_of(docs: list[int], texts: list[bytes]) -> tuple[np.ndarray, ...]:
+        words: list[bytes] = []
+        doc, line, size = [], [], []
+        for d, text in zip(docs, texts, strict=True):
+            for i, x in enumerate(text.lower().split(b"\n")):
+                ws = x.split()
+                if len(ws) >= MIN_TOKENS:
+                    words += ws
+                    doc.append(d), line.append(i), size.append(len(ws))
+        hashes = hash_words(words) >> np.uint64(32)
+        at = np.repeat(np.arange(len(size), dtype=np.uint64), size) << np.uint64(32)
+        distinct = np.unique(at | hashes)
+        n = np.bincount((distinct >> np.uint64(32)).astype(np.int64), minlength=len(size))
+        long = n >= MIN_TOKENS
+        distinct = distinct[np.repeat(long, n)]
+        return np.array(doc, np.int64)[long], np.array(line, np.int32)[long], n[long], (distinct & np.uint64(0xFFFFFFFF)).astype(np.uint32)
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
@@ -45,113 +77,161 @@ def _lines():
             words, counts = np.unique(np.concatenate(held), return_counts=True)
             often = counts >= LOCAL_MIN
             none = int(often.sum())
-            return batch(schema, pa.nulls(none, pa.int64()), pa.nulls(none, pa.int32()), words[often].astype(np.int64), -counts[often].astype(np.int32), pa.nulls(none, pa.binary()))
+            return batch(LINE, pa.nulls(none, pa.int64()), pa.nulls(none, pa.int32()), words[often].astype(np.int64), -counts[often].astype(np.int32), pa.nulls(none, pa.binary()))
 
         for b in it:
-            out = []
-            for doc, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                lines = [(i, w) for i, x in enumerate(text.lower().split(b"\n")) if len(w := x.split()) >= MIN_TOKENS]
-                if not lines:
-                    continue
-                hashes = (hash_words([w for _, ws in lines for w in ws]) >> np.uint64(32)).astype(np.uint32)
-                at = 0
-                for i, ws in lines:
-                    tokens = np.unique(hashes[at : at + len(ws)])
-                    at += len(ws)
-                    if len(tokens) >= MIN_TOKENS:
-                        out.append((doc, i, set_key(tokens), len(tokens), tokens.tobytes()))
-                        held.append(tokens)
-                        size += len(tokens)
-                if size >= CHUNK:
-                    yield report()
-                    held, size = [], 0
-                if len(out) >= 5000:
-                    yield batch(schema, *map(list, zip(*out, strict=True)))
-                    out = []
-            if out:
-                yield batch(schema, *map(list, zip(*out, strict=True)))
+            doc, line, n, tokens = tokens_of(b.column(0).to_pylist(), b.column(1).to_pylist())
+            if not len(n):
+                continue
+            starts = np.cumsum(n) - n
+            key = mix(np.add.reduceat(mix(tokens.astype(np.uint64) + np.uint64(1)), starts) + n.astype(np.uint64)).view(np.int64)
+            yield batch(LINE, doc, line, key, n.astype(np.int32), _ragged(tokens, n))
+            held.append(tokens)
+            size += len(tokens)
+            if size >= CHUNK:
+                yield report()
+                held, size = [], 0
         if size:
             yield report()
 
     return run
 
 
-def _postings(num: int, den: int, common):
-    """(token, key, pos, n): the prefix of each line's tokens, rarest first, and their places."""
-    schema = pa.schema([("token", pa.int32()), ("key", pa.int64()), ("pos", pa.int32()), ("n", pa.int32())])
+def _postings(num: int, den: int, common, buckets: int, probes=None):
+    """(bucket, packed postings) of the prefixes of lines(doc_id, line, key, n, tokens, probe).
+
+    common: sorted word hashes and counts. probes: the only tokens wanted, or None for all.
+    """
+    schema = pa.schema([("bucket", pa.int32()), ("postings", pa.binary())])
+
+    def packed(b: pa.RecordBatch, seen: dict[int, tuple[int, int]]) -> tuple[np.ndarray, np.ndarray]:
+        names, counts = common.value
+        doc, line, key, n, probe = (b.column(c).to_numpy(zero_copy_only=False) for c in ("doc_id", "line", "key", "n", "probe"))
+        fresh = np.zeros(len(n), bool)
+        for i, (k, at) in enumerate(zip(key.tolist(), zip(doc.tolist(), line.tolist(), strict=True), strict=True)):
+            if (old := seen.get(k)) is None or at < old:
+                seen[k], fresh[i] = at, True
+        rows = np.flatnonzero(fresh)
+        if not len(rows):
+            return np.zeros(0, POSTING), np.zeros(0, np.int64)
+        doc, line, n, probe = doc[rows], line[rows], n[rows].astype(np.int64), probe[rows]
+        tokens = np.frombuffer(b"".join(b.column("tokens").take(pa.array(rows)).to_pylist()), np.uint32)
+        count = np.zeros(len(tokens), np.int64)
+        if len(names):
+            found = np.minimum(np.searchsorted(names, tokens), len(names) - 1)
+            count = np.where(names[found] == tokens, counts[found], 0)
+        starts, of = np.cumsum(n) - n, np.repeat(np.arange(len(n)), n)
+        # lines keep their place under a stable sort by (line, level); tokens ascend already
+        level = np.where(count, 1 + 4 * np.log2(np.maximum(count, 1)), 0).astype(np.int64)
+        order = np.argsort((of << 8) | np.minimum(level, 255), kind="stable")
+        pos = np.arange(len(tokens)) - starts[of]
+        inside = pos < (n + (-n * num // den) + 1)[of]  # n - ceil(n * num / den) + 1
+        chosen, owner = order[inside], of[inside]
+        bits = np.zeros((len(n), 2), np.uint64)
+        one = np.uint64(1) << (tokens & np.uint32(63)).astype(np.uint64)
+        half = (tokens >> np.uint32(6)) & np.uint32(1)
+        for h in (0, 1):
+            bits[:, h] = np.bitwise_or.reduceat(np.where(half == h, one, np.uint64(0)), starts)
+        out = np.zeros(len(chosen), POSTING)
+        out["token"], out["doc"], out["line"], out["pos"] = tokens[chosen], doc[owner], line[owner], np.minimum(pos[inside], LARGE)
+        out["n"], out["probe"], out["bits"] = np.minimum(n, LARGE)[owner], probe[owner], bits[owner]
+        times = count[chosen]
+        if probes is not None:
+            wanted = probes.value
+            at = np.minimum(np.searchsorted(wanted, out["token"]), len(wanted) - 1)
+            keep = wanted[at] == out["token"] if len(wanted) else np.zeros(len(out), bool)
+            out, times = out[keep], times[keep]
+        # a token of many lines: the line of block i goes to the tasks of the block pairs (i, j)
+        blocks = np.maximum(1, -(-times // BLOCK))
+        mine = (mix(out["doc"].view(np.uint64) * np.uint64(1 << 20) + out["line"].astype(np.uint64)) % blocks.astype(np.uint64)).astype(np.int64)
+        copies = np.repeat(np.arange(len(out)), blocks)
+        other = np.arange(len(copies)) - np.repeat(np.cumsum(blocks) - blocks, blocks)
+        low, high = np.minimum(mine[copies], other), np.maximum(mine[copies], other)
+        place = mix(mix(out["token"].astype(np.uint64)[copies]) + low.astype(np.uint64) * np.uint64(1 << 32) + high.astype(np.uint64))
+        return out[copies], (place % np.uint64(buckets)).astype(np.int64)
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names, levels = common.value
+        held, size, seen = [], 0, {}
+
+        def send() -> pa.RecordBatch:
+            rows, place = (np.concatenate([h[i] for h in held]) for i in (0, 1))
+            order = np.argsort(place, kind="stable")
+            rows, place = rows[order], place[order]
+            used, first = np.unique(place, return_index=True)
+            parts = np.split(rows, first[1:])
+            return batch(schema, used.astype(np.int32), [p.tobytes() for p in parts])
+
         for b in it:
-            n = b.column(1).to_numpy()
-            if not len(n):
-                continue
-            tokens = np.frombuffer(b"".join(b.column(2).to_pylist()), np.uint32)
-            level = np.zeros(len(tokens), np.uint8)
-            if len(names):
-                found = np.minimum(np.searchsorted(names, tokens), len(names) - 1)
-                level = np.where(names[found] == tokens, levels[found], 0)
-            line = np.repeat(np.arange(len(n)), n)
-            order = np.lexsort((tokens, level, line))
-            pos = np.arange(len(tokens)) - np.repeat(np.cumsum(n) - n, n)
-            inside = pos < (n + (-n * num // den) + 1)[line]  # n - ceil(n * num / den) + 1
-            yield batch(schema, tokens[order][inside].view(np.int32), b.column(0).to_numpy()[line[inside]], pos[inside].astype(np.int32), n[line[inside]].astype(np.int32))
+            if b.num_rows:
+                held.append(packed(b, seen))
+                size += len(held[-1][0])
+            if size >= SEND:
+                yield send()
+                held, size = [], 0
+        if size:
+            yield send()
 
     return run
 
 
-def _fits(nx: Column, ny: Column, px: Column, py: Column, num: int, den: int) -> Column:
-    """Length filter, and positional filter: a common token at places px and py leaves so many others at most."""
-    most = F.least(px, py) + 1 + F.least(nx - px - 1, ny - py - 1)
-    return (den * F.least(nx, ny) >= num * F.greatest(nx, ny)) & ((num + den) * most >= num * (nx + ny))
+PAIR = pa.schema([("xd", pa.int64()), ("xl", pa.int32()), ("yd", pa.int64()), ("yl", pa.int32()), ("more", pa.bool_())])
 
 
-def _bitmap(tokens: np.ndarray) -> np.ndarray:
-    flags = np.zeros(BITS, np.uint8)
-    flags[tokens % BITS] = 1
-    return np.packbits(flags).view(np.uint64)
+def _pairs(num: int, den: int, few: int | None):
+    """Per bucket: (later line, earlier line) that all filters let pass; with few, the earliest so many a posting."""
+
+    def run(table: pa.Table) -> pa.Table:
+        p = np.frombuffer(b"".join(table.column("postings").to_pylist()), POSTING)
+        p = p[np.lexsort((p["line"], p["doc"], p["token"]))]
+        token, doc, line, probe = p["token"], p["doc"], p["line"], p["probe"] > 0
+        n, pos, bits = p["n"].astype(np.int64), p["pos"].astype(np.int64), p["bits"]
+        excess = n - np.bitwise_count(bits).sum(axis=1)
+        start = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]])) if len(p) else np.zeros(0, np.int64)
+        length = np.diff(np.append(start, len(p)))
+        # places in order of how far the end of their posting is: those that have a partner at distance s come first
+        after = np.repeat(start + length, length) - np.arange(len(p)) - 1
+        by_reach = np.argsort(-after, kind="stable")
+        reach = after[by_reach]
+        given, out = np.zeros(len(p), np.int64), []
+        for s in range(int(reach[0]) if len(reach) else 0, 0, -1):  # far first: the earliest partners of a line
+            y = by_reach[: np.searchsorted(-reach, -s, side="right")]
+            x = y + s
+            a, b = n[x], n[y]
+            ok = probe[x] & ((doc[x] != doc[y]) | (line[x] != line[y]))
+            most = np.minimum(pos[x], pos[y]) + np.minimum(a - pos[x], b - pos[y])
+            large = np.maximum(a, b) == LARGE
+            ok &= large | ((den * np.minimum(a, b) >= num * np.maximum(a, b)) & ((num + den) * most >= num * (a + b)))
+            x, y = x[ok], y[ok]
+            if not len(x):
+                continue
+            both = np.bitwise_count(bits[x] & bits[y]).sum(axis=1) + np.minimum(excess[x], excess[y])
+            apart = np.bitwise_count(bits[x] ^ bits[y]).sum(axis=1)
+            most = np.minimum(both, (n[x] + n[y] - apart) // 2)
+            ok = (np.maximum(n[x], n[y]) == LARGE) | ((num + den) * most >= num * (n[x] + n[y]))
+            x, y = x[ok], y[ok]
+            given[x] += 1
+            if few is not None:
+                first = given[x] <= few
+                x, y = x[first], y[first]
+            out.append((x, y))
+        x, y = (np.concatenate([o[i] for o in out]) if out else np.zeros(0, np.int64) for i in (0, 1))
+        more = given[x] > few if few is not None else np.zeros(len(x), bool)
+        return pa.table([pa.array(c) for c in (doc[x], line[x], doc[y], line[y], more)], schema=PAIR)
+
+    return run
 
 
 def _verify(num: int, den: int):
-    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+    schema = pa.schema([("xd", pa.int64()), ("xl", pa.int32()), ("ok", pa.bool_()), ("more", pa.bool_())])
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b_in in it:
-            out = []
-            for a, b, ta, tb in zip(*(b_in.column(i).to_pylist() for i in range(4)), strict=True):
+        for b in it:
+            ok = []
+            for ta, tb in zip(b.column(3).to_pylist(), b.column(4).to_pylist(), strict=True):
                 x, y = np.frombuffer(ta, np.uint32), np.frombuffer(tb, np.uint32)
                 both = len(np.intersect1d(x, y, assume_unique=True))
-                if den * both >= num * (len(x) + len(y) - both):
-                    out.append((a, b))
-            yield batch(schema, [p[0] for p in out], [p[1] for p in out])
-
-    return run
-
-
-def _block_pairs(num: int, den: int):
-    """Pairs (unsettled set, earlier set) of two blocks of a posting that all filters let pass."""
-    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
-
-    def run(table: pa.Table) -> pa.Table:
-        key, n, pos, doc, line = (table.column(c).to_numpy() for c in ("key", "n", "pos", "doc", "line"))
-        open_, part = (table.column(c).to_numpy(zero_copy_only=False) for c in ("open", "part"))
-        bits = np.array([_bitmap(np.frombuffer(t, np.uint32)) for t in table.column("tokens").to_pylist()]).reshape(len(key), -1)
-        excess = n - np.bitwise_count(bits).sum(axis=1)
-        two, out_a, out_b = bool((part != part[0]).any()) if len(part) else False, [], []
-        for i in np.flatnonzero(open_):
-            earlier = (doc < doc[i]) | ((doc == doc[i]) & (line < line[i]))
-            if two:
-                earlier &= part != part[i]
-            most = np.minimum(pos[i], pos) + 1 + np.minimum(n[i] - pos[i], n - pos) - 1
-            ok = earlier & (den * np.minimum(n[i], n) >= num * np.maximum(n[i], n)) & ((num + den) * most >= num * (n[i] + n))
-            at = np.flatnonzero(ok)
-            if len(at):
-                shared = np.bitwise_count(bits[at] & bits[i]).sum(axis=1) + np.minimum(excess[at], excess[i])
-                at = at[(num + den) * shared >= num * (n[i] + n[at])]
-                out_a.append(np.full(len(at), key[i]))
-                out_b.append(key[at])
-        none = np.zeros(0, np.int64)
-        return pa.table([np.concatenate([none, *out_a]), np.concatenate([none, *out_b])], schema=schema)
+                ok.append(den * both >= num * (len(x) + len(y) - both))
+            yield batch(schema, b.column(0), b.column(1), ok, b.column(2))
 
     return run
 
@@ -162,40 +242,40 @@ def repeated_lines(docs: DataFrame, num: int = 80, den: int = 100) -> DataFrame:
     rows = docs.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), text_bytes("text").alias("text"))
     found = save(map_arrow(rows, _lines(), "doc_id long, line int, key long, n int, tokens binary"), "lines")
     counted = found.where("n < 0").groupBy("key").agg(F.sum(-F.col("n")).alias("c")).orderBy(F.desc("c"), "key").limit(COMMON_MAX).orderBy("key").toArrow()
-    names, counts = (counted.column(i).to_numpy() for i in (0, 1))
-    common = sc.broadcast((names.astype(np.uint32), np.round(4 * np.log2(np.maximum(counts, 1))).astype(np.uint8)))
+    common = sc.broadcast((counted.column("key").to_numpy().astype(np.uint32), counted.column("c").to_numpy()))
     lines = found.where("n > 0")
-    firsts = lines.groupBy("key").agg(F.min(F.struct("doc_id", "line")).alias("first"))
+    prefix = F.col("n") - F.ceil(F.col("n") * num / den) + 1
+    total = lines.agg(F.sum(prefix)).first()[0] or 0
+    buckets = max(MIN_BUCKETS, -(-int(total) // BUCKET))
 
-    posting = map_arrow(lines.select("key", "n", "tokens"), _postings(num, den, common), "token int, key long, pos int, n int")
-    shared = posting.groupBy("token").agg(F.min("key").alias("lo"), F.max("key").alias("hi")).where("lo < hi").select("token")
-    met = save(posting.join(shared, "token").distinct(), "postings")
-    keys = met.select("key").distinct()
-    sets = save(lines.join(keys, "key", "left_semi").select("key", "tokens", F.struct("doc_id", "line").alias("at")).groupBy("key").agg(F.min("at").alias("at"), F.min("tokens").alias("tokens")), "sets")
+    def candidates(probing: DataFrame, few: int | None, tokens=None) -> DataFrame:
+        packed = map_arrow(probing, _postings(num, den, common, buckets, tokens), "bucket int, postings binary")
+        return packed.groupBy("bucket").applyInArrow(_pairs(num, den, few), "xd long, xl int, yd long, yl int, more boolean")
 
     def verified(pairs: DataFrame, name: str) -> DataFrame:
-        ta, tb = (sets.select(F.col("key").alias(x), F.col("tokens").alias(f"t{x}")) for x in "ab")
-        return save(map_arrow(pairs.join(tb, "b").join(ta, "a").select("a", "b", "ta", "tb"), _verify(num, den), "a long, b long"), name).select("a").distinct()
-
-    placed = save(met.join(sets.select("key", "at"), "key"), "placed")
-    pivots = placed.groupBy("token").agg(F.min(F.struct("at", "key", "pos", "n")).alias("p"))
-    pairs = placed.join(pivots, "token").where((F.col("key") != F.col("p.key")) & _fits(F.col("n"), F.col("p.n"), F.col("pos"), F.col("p.pos"), num, den)).select(F.col("key").alias("a"), F.col("p.key").alias("b")).distinct()
-    settled = verified(pairs, "links-1")
-
-    # sets without an earlier partner yet, against the other earlier sets of their postings
-    marked = placed.join(settled.select(F.col("a").alias("key"), F.lit(False).alias("open")), "key", "left").withColumn("open", F.coalesce("open", F.lit(True)))
-    # a posting needs an unsettled set other than its two earliest, or its second is compared already
-    several = marked.groupBy("token").agg(F.count("*").alias("size"), F.max(F.when(F.col("open"), F.struct("at", "key"))).alias("last"), F.min(F.struct("at", "key")).alias("first"))
-    several = several.where("size > 2 and last > first").select("token", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks"))
-    block = F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int")
-    tasks = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: F.struct(F.least(block, j).alias("i"), F.greatest(block, j).alias("j"), (block > j).cast("int").alias("part")))
-    members = marked.join(several, "token").join(sets.select("key", "tokens"), "key").withColumn("task", F.explode(tasks))
-    members = members.select("token", "task.i", "task.j", "task.part", "key", "n", "pos", F.col("at.doc_id").alias("doc"), "at.line", "open", "tokens")
-    more = members.groupBy("token", "i", "j").applyInArrow(_block_pairs(num, den), "a long, b long").distinct()
-    later = settled.union(verified(more, "links-2")).distinct().select(F.col("a").alias("key"), F.lit(True).alias("gone"))
-
-    marks = firsts.join(later, "key", "left")
-    gone = lines.select("key", "doc_id", "line").join(marks, "key").where(F.coalesce("gone", F.lit(False)) | (F.struct("doc_id", "line") != F.col("first")))
+        """(xd, xl, settled, more) of each line with candidates."""
+        pairs = save(pairs.groupBy("xd", "xl", "yd", "yl").agg(F.max("more").alias("more")), f"pairs-{name}")
+        ends = pairs.select(F.explode(F.array(F.struct(F.col("xd").alias("doc_id"), F.col("xl").alias("line")), F.struct(F.col("yd").alias("doc_id"), F.col("yl").alias("line")))).alias("e")).select("e.*").distinct()
+        sets = save(lines.select("doc_id", "line", "tokens").join(ends, ["doc_id", "line"], "left_semi"), f"sets-{name}")
+        tx, ty = (sets.select(F.col("doc_id").alias(f"{c}d"), F.col("line").alias(f"{c}l"), F.col("tokens").alias(f"t{c}")) for c in "xy")
+        both = pairs.join(ty, ["yd", "yl"]).join(tx, ["xd", "xl"]).select("xd", "xl", "more", "tx", "ty")
+        held = map_arrow(both, _verify(num, den), "xd long, xl int, ok boolean, more boolean")
+        return save(held.groupBy("xd", "xl").agg(F.max("ok").alias("settled"), F.max("more").alias("more")), f"settled-{name}")
+
+    columns = ["doc_id", "line", "key", "n", "tokens", "probe"]
+    first = verified(candidates(lines.withColumn("probe", F.lit(True)).select(*columns), FIRST_FEW), "first")
+    settled = first.where("settled").select("xd", "xl")
+    open_ = first.where("not settled and more").select(F.col("xd").alias("doc_id"), F.col("xl").alias("line"), F.lit(True).alias("probe"))
+    if not open_.isEmpty():
+        marked = lines.join(open_, ["doc_id", "line"], "left").withColumn("probe", F.coalesce("probe", F.lit(False))).select(*columns)
+        few_tokens = marked.where("probe").select("tokens").limit(PROBES_MAX // 16 + 1).toArrow()
+        wanted = np.unique(np.frombuffer(b"".join(few_tokens.column(0).to_pylist()), np.uint32)) if few_tokens.num_rows <= PROBES_MAX // 16 else None
+        tokens = sc.broadcast(wanted) if wanted is not None and len(wanted) <= PROBES_MAX else None
+        settled = settled.union(verified(candidates(marked, None, tokens), "rest").where("settled").select("xd", "xl"))
+
+    firsts = lines.groupBy("key").agg(F.min(F.struct("doc_id", "line")).alias("first"))
+    copies = lines.select("key", "doc_id", "line").join(firsts, "key").where(F.struct("doc_id", "line") != F.col("first")).select("doc_id", "line")
+    gone = copies.union(settled.select(F.col("xd").alias("doc_id"), F.col("xl").alias("line")))
     return gone.groupBy("doc_id").agg(F.collect_set("line").alias("lines"))
 
 
