@@ -8,9 +8,11 @@ from __future__ import annotations
 
 import atexit
 import hashlib
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -96,13 +98,97 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> _S31)
 
 
-def hash_words(words: list[bytes]) -> np.ndarray:
-    """64-bit hashes of words; xxh3 costs less than a look-up in a large dictionary."""
-    return np.fromiter(map(xxh3_64_intdigest, words), np.uint64, len(words))
+_LOWER = np.array([c + 32 if 65 <= c <= 90 else c for c in range(256)], np.uint8)
+_IS_SPACE = np.array([c == 32 or 9 <= c <= 13 for c in range(256)])
+#: Bytes hashed at a time: bounds memory whatever the texts' lengths.
+STRETCH = 1 << 17
+_BASE = 0x9E3779B97F4A7C15
 
 
-def words_of(text: bytes | None) -> list[bytes]:
-    return text.lower().split() if text else []
+@cache
+def _powers() -> tuple[np.ndarray, np.ndarray]:
+    """Powers of the odd base and of its inverse, modulo 2^64."""
+    up, down = (np.full(STRETCH, b, np.uint64) for b in (_BASE, pow(_BASE, -1, 1 << 64)))
+    up[0] = down[0] = 1
+    return np.multiply.accumulate(up), np.multiply.accumulate(down)
+
+
+def _stretches(texts: list[bytes | None]) -> Iterator[tuple[bytes, int, list[int]]]:
+    """Texts joined by spaces into pieces of at most STRETCH bytes: (piece, first text, where each text ends in it).
+
+    Long texts are cut behind white space; a longer word than a piece makes a piece of its own size.
+    """
+    held, size, first, ends = [], 0, 0, []
+    for i, t in enumerate(texts):
+        t = t or b""
+        at = 0
+        while len(t) - at + 1 + size > STRETCH:
+            if held:
+                yield b"".join(held), first, ends
+                held, size, first, ends = [], 0, i, []
+            if len(t) - at + 1 <= STRETCH:
+                break
+            cut = max(t.rfind(c, at, at + STRETCH - 1) for c in (b" ", b"\n", b"\t", b"\r", b"\x0b", b"\x0c")) + 1
+            if cut <= at:
+                found = _SPACE_AFTER.search(t, at)
+                cut = found.end() if found else len(t)
+            yield t[at:cut], i, []
+            at, first = cut, i
+        if not held:
+            first = i
+        held += [t[at:], b" "]
+        size += len(t) - at + 1
+        ends.append(size)
+    if held:
+        yield b"".join(held), first, ends
+
+
+_SPACE_AFTER = re.compile(rb"[\x20\x09-\x0d]")
+
+
+def hash_texts(texts: list[bytes | None], lower: bool = True, lines: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray | None]:
+    """(hashes of all words, text of each word, line in its text of each word if asked for).
+
+    A word's hash is a polynomial of its bytes, from prefix sums over a whole stretch, and then mixed: a few vector
+    operations a byte and no Python object a word.
+    """
+    hashes, owners, places, base = [], [], [], np.zeros(len(texts) + 1, np.int64)
+    up, down = _powers()
+    for piece, first, ends in _stretches(texts):
+        a = np.frombuffer(piece, np.uint8)
+        a = _LOWER[a] if lower else a
+        edge = np.diff(np.concatenate([[True], _IS_SPACE[a], [True]]).astype(np.int8))
+        start, end = np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
+        if len(a) > STRETCH:  # one word and perhaps the space behind it
+            h = np.array([xxh3_64_intdigest(a[s:e].tobytes()) for s, e in zip(start, end, strict=True)], np.uint64)
+        else:
+            total = np.concatenate([[np.uint64(0)], np.cumsum((a.astype(np.uint64) + np.uint64(1)) * up[: len(a)])])
+            h = mix((total[end] - total[start]) * down[start % STRETCH] + (end - start).astype(np.uint64))
+        which = np.searchsorted(np.array(ends, np.int64), start, side="right") + first
+        hashes.append(h), owners.append(which)
+        if lines:
+            breaks = np.flatnonzero(a == 10)
+            seen = np.searchsorted(breaks, start)
+            # breaks before the text's own start in this piece don't count; those of its earlier pieces do
+            from_ = np.searchsorted(breaks, np.array([0, *ends], np.int64))
+            places.append(seen - from_[which - first] + base[which])
+            for k in range(len(from_)):
+                till = from_[k + 1] if k + 1 < len(from_) else len(breaks)
+                if first + k < len(base):
+                    base[first + k] += till - from_[k]
+    none = np.zeros(0, np.int64)
+    return np.concatenate([np.zeros(0, np.uint64), *hashes]), np.concatenate([none, *owners]), np.concatenate([none, *places]) if lines else None
+
+
+def split_by(values: np.ndarray, owner: np.ndarray, n: int) -> list[np.ndarray]:
+    """values of owners 0 to n - 1, in order."""
+    return np.split(values, np.searchsorted(owner, np.arange(1, n))) if n else []
+
+
+def hash_each(texts: list[bytes | None], lower: bool = True) -> list[np.ndarray]:
+    """The word hashes of each text."""
+    hashes, owner, _ = hash_texts(texts, lower)
+    return split_by(hashes, owner, len(texts))
 
 
 def raw_shingles(word_hashes: np.ndarray, k: int) -> np.ndarray:

@@ -133,23 +133,23 @@ def learn(docs: DataFrame) -> Model | None:
 def predict(docs: DataFrame, model: Model | None) -> DataFrame:
     """docs with lang_pred, score and rejected; columns so named are replaced."""
     keep = [c for c in docs.columns if c not in ("lang_pred", "score", "rejected")]
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared = docs.sparkSession.sparkContext.broadcast(None if model is None else (model.langs, model.idf, model.centroids, model.limit))
     rows = docs.select(F.struct(*keep).alias("row"), text_bytes("text").alias("bytes"), F.coalesce(F.regexp("text", F.lit(r"\p{L}")), F.lit(False)).alias("letters"))
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = shared.value
+        langs_of, idf, centroids, limit = shared.value or ((), None, None, 0.0)
         for b in it:
             langs, scores, rejected = [], [], []
             for text, letters in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
-                if not letters or m is None:
+                if not letters or not langs_of:
                     langs.append("und"), scores.append(0.0), rejected.append(not letters)
                     continue
                 counts, size = ngram_counts(text)
-                at, w = vector(counts, m.idf)
-                cosines = w.astype(np.float32) @ m.centroids[at]
+                at, w = vector(counts, idf)
+                cosines = w.astype(np.float32) @ centroids[at]
                 best = int(np.argmax(cosines))
                 score = min(1.0, max(0.0, float(cosines[best])))
-                langs.append(m.langs[best // CENTROIDS]), scores.append(score), rejected.append(size >= MIN_BYTES and score < m.limit)
+                langs.append(langs_of[best // CENTROIDS]), scores.append(score), rejected.append(size >= MIN_BYTES and score < limit)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(langs, pa.string()), pa.array(scores, pa.float64()), pa.array(rejected, pa.bool_())], names=["row", "lang_pred", "score", "rejected"])
 
     kind = rows.schema["row"].dataType.simpleString()

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batch, hash_words, map_arrow, mix, save, text_bytes
+from .common import batch, hash_texts, map_arrow, mix, save, text_bytes
 
 MIN_TOKENS = 5
 COMMON_MAX = 1 << 18
@@ -39,7 +39,7 @@ FIRST_FEW = 8
 PROBES_MAX = 1 << 20
 
 LINE = pa.schema([("doc_id", pa.int64()), ("line", pa.int32()), ("key", pa.int64()), ("n", pa.int32()), ("tokens", pa.binary())])
-POSTING = np.dtype([("token", "<u4"), ("doc", "<i8"), ("line", "<i4"), ("pos", "<u2"), ("n", "<u2"), ("probe", "u1"), ("bits", "<u8", 2)])
+POSTING = np.dtype([("token", "<u4"), ("same", "<u4"), ("doc", "<i8"), ("line", "<i4"), ("pos", "<u2"), ("n", "<u2"), ("probe", "u1"), ("bits", "<u8", 2)])
 #: Larger sizes are held as this, and such lines pass the filters that need them.
 LARGE = 65535
 
@@ -53,22 +53,17 @@ def _ragged(values: np.ndarray, lengths: np.ndarray) -> pa.Array:
 def _lines():
     """doc_id, line, key, n and tokens (uint32, ascending) of each line; with n = -count, words common in a chunk."""
 
-    def tokens_of(docs: list[int], texts: list[bytes]) -> tuple[np.ndarray, ...]:
-        words: list[bytes] = []
-        doc, line, size = [], [], []
-        for d, text in zip(docs, texts, strict=True):
-            for i, x in enumerate(text.lower().split(b"\n")):
-                ws = x.split()
-                if len(ws) >= MIN_TOKENS:
-                    words += ws
-                    doc.append(d), line.append(i), size.append(len(ws))
-        hashes = hash_words(words) >> np.uint64(32)
-        at = np.repeat(np.arange(len(size), dtype=np.uint64), size) << np.uint64(32)
-        distinct = np.unique(at | hashes)
-        n = np.bincount((distinct >> np.uint64(32)).astype(np.int64), minlength=len(size))
-        long = n >= MIN_TOKENS
-        distinct = distinct[np.repeat(long, n)]
-        return np.array(doc, np.int64)[long], np.array(line, np.int32)[long], n[long], (distinct & np.uint64(0xFFFFFFFF)).astype(np.uint32)
+    def tokens_of(docs: np.ndarray, texts: list[bytes]) -> tuple[np.ndarray, ...]:
+        hashes, owner, line = hash_texts(texts, lines=True)
+        fresh = np.flatnonzero(np.concatenate([[True], (owner[1:] != owner[:-1]) | (line[1:] != line[:-1])])) if len(owner) else owner
+        size = np.diff(np.append(fresh, len(owner)))
+        at = np.repeat(np.arange(len(fresh), dtype=np.uint64), size)
+        long = np.repeat(size >= MIN_TOKENS, size)
+        distinct = np.unique(at[long] << np.uint64(32) | hashes[long] >> np.uint64(32))
+        n = np.bincount((distinct >> np.uint64(32)).astype(np.int64), minlength=len(fresh))
+        keep = n >= MIN_TOKENS
+        distinct = distinct[np.repeat(keep, n)]
+        return docs[owner[fresh[keep]]], line[fresh[keep]].astype(np.int32), n[keep], (distinct & np.uint64(0xFFFFFFFF)).astype(np.uint32)
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
@@ -80,7 +75,7 @@ def _lines():
             return batch(LINE, pa.nulls(none, pa.int64()), pa.nulls(none, pa.int32()), words[often].astype(np.int64), -counts[often].astype(np.int32), pa.nulls(none, pa.binary()))
 
         for b in it:
-            doc, line, n, tokens = tokens_of(b.column(0).to_pylist(), b.column(1).to_pylist())
+            doc, line, n, tokens = tokens_of(b.column(0).to_numpy(), b.column(1).to_pylist())
             if not len(n):
                 continue
             starts = np.cumsum(n) - n
@@ -114,7 +109,7 @@ def _postings(num: int, den: int, common, buckets: int, probes=None):
         rows = np.flatnonzero(fresh)
         if not len(rows):
             return np.zeros(0, POSTING), np.zeros(0, np.int64)
-        doc, line, n, probe = doc[rows], line[rows], n[rows].astype(np.int64), probe[rows]
+        doc, line, key, n, probe = doc[rows], line[rows], key[rows], n[rows].astype(np.int64), probe[rows]
         tokens = np.frombuffer(b"".join(b.column("tokens").take(pa.array(rows)).to_pylist()), np.uint32)
         count = np.zeros(len(tokens), np.int64)
         if len(names):
@@ -134,6 +129,7 @@ def _postings(num: int, den: int, common, buckets: int, probes=None):
             bits[:, h] = np.bitwise_or.reduceat(np.where(half == h, one, np.uint64(0)), starts)
         out = np.zeros(len(chosen), POSTING)
         out["token"], out["doc"], out["line"], out["pos"] = tokens[chosen], doc[owner], line[owner], np.minimum(pos[inside], LARGE)
+        out["same"] = (key & 0xFFFFFFFF).astype(np.uint32)[owner]
         out["n"], out["probe"], out["bits"] = np.minimum(n, LARGE)[owner], probe[owner], bits[owner]
         times = count[chosen]
         if probes is not None:
@@ -182,6 +178,9 @@ def _pairs(num: int, den: int, few: int | None):
 
     def run(table: pa.Table) -> pa.Table:
         p = np.frombuffer(b"".join(table.column("postings").to_pylist()), POSTING)
+        # of equal sets the first line of a posting stands for all; copies are settled elsewhere
+        p = p[np.lexsort((p["line"], p["doc"], p["same"], p["token"]))]
+        p = p[np.concatenate([[True], (p["token"][1:] != p["token"][:-1]) | (p["same"][1:] != p["same"][:-1])])] if len(p) else p
         p = p[np.lexsort((p["line"], p["doc"], p["token"]))]
         token, doc, line, probe = p["token"], p["doc"], p["line"], p["probe"] > 0
         n, pos, bits = p["n"].astype(np.int64), p["pos"].astype(np.int64), p["bits"]
@@ -283,9 +282,10 @@ def dedup_lines(docs: DataFrame, num: int = 80, den: int = 100) -> DataFrame:
     """docs with repeated lines taken out of text, and n_lines, n_removed (long); columns so named are replaced."""
     keep = [c for c in docs.columns if c not in ("n_lines", "n_removed")]
     gone = repeated_lines(docs, num, den).withColumnRenamed("doc_id", "_doc").withColumnRenamed("lines", "_lines")
-    out = docs.select(*keep).join(gone, F.col("doc_id") == F.col("_doc"), "left")
+    # the narrow side is hashed, so that whole texts need no sort
+    out = docs.select(*keep).join(gone.hint("shuffle_hash"), F.col("doc_id") == F.col("_doc"), "left")
     lines = F.split("text", "\n", -1)
-    total = F.when(F.length("text") > 0, F.size(lines)).otherwise(0)
+    total = F.when(F.length("text") > 0, F.length("text") - F.length(F.replace("text", F.lit("\n"), F.lit(""))) + 1).otherwise(0)
     stay = F.transform(F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), "_lines"), lambda i: lines[i])
     text = F.when(F.col("_lines").isNull(), F.col("text")).otherwise(F.array_join(stay, "\n"))
     return out.select(*[text.alias(c) if c == "text" else F.col(c) for c in keep], F.coalesce(total, F.lit(0)).cast("long").alias("n_lines"), F.coalesce(F.size("_lines"), F.lit(0)).cast("long").alias("n_removed"))

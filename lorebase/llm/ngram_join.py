@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batch, components, hash_words, map_arrow, raw_shingles, save, set_key, shingles, text_bytes, words_of
+from .common import batch, components, hash_each, map_arrow, raw_shingles, save, set_key, shingles, text_bytes
 
 #: Words counted together before their counts are reported, and the least count that is.
 CHUNK, LOCAL_MIN = 1_000_000, 4
@@ -63,8 +63,7 @@ def _sets(k: int):
 
         for b in it:
             keys, sizes, maps = [], [], []
-            for text in b.column(1).to_pylist():
-                words = hash_words(words_of(text))
+            for words in hash_each(b.column(1).to_pylist()):
                 tokens = shingles(words, k)
                 keys.append(set_key(tokens) if len(tokens) else None)
                 sizes.append(len(tokens))
@@ -89,8 +88,7 @@ def _prefixes(k: int, num: int, den: int, common):
         names, levels = common.value
         for b in it:
             out_t, out_k = [], []
-            for text in b.column(0).to_pylist():
-                words = hash_words(words_of(text))
+            for words in hash_each(b.column(0).to_pylist()):
                 if not len(words):
                     continue
                 tokens, at = np.unique(raw_shingles(words, k), return_index=True)
@@ -237,10 +235,11 @@ def _verify(k: int, num: int, den: int):
         last, x = None, None
         for b_in in it:
             a_out, b_out = [], []
-            for a, b, ta, tb in zip(*(b_in.column(i).to_pylist() for i in range(4)), strict=True):
-                if a != last:  # rows come sorted by a
-                    last, x = a, shingles(hash_words(words_of(ta)), k)
-                y = shingles(hash_words(words_of(tb)), k)
+            ids, left = (b_in.column(i).to_pylist() for i in (0, 2))
+            for a, b, ta, wb in zip(ids, b_in.column(1).to_pylist(), left, hash_each(b_in.column(3).to_pylist()), strict=True):
+                if a != last:  # rows mostly come sorted by a
+                    last, x = a, shingles(hash_each([ta])[0], k)
+                y = shingles(wb, k)
                 both = len(np.intersect1d(x, y, assume_unique=True))
                 if den * both >= num * (len(x) + len(y) - both):
                     a_out.append(a)
@@ -327,9 +326,10 @@ def _texts_of(keys: DataFrame, classes: DataFrame, narrow: DataFrame, k: int) ->
         last = None
         for b in it:
             keys, texts = [], []
-            for want, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+            all_texts = b.column(1).to_pylist()
+            for want, text, words in zip(b.column(0).to_pylist(), all_texts, hash_each(all_texts), strict=True):
                 # a doc_id may repeat with other texts, and with the same one
-                if want != last and set_key(shingles(hash_words(words_of(text)), k)) == want:
+                if want != last and set_key(shingles(words, k)) == want:
                     keys.append(want)
                     texts.append(text)
                     last = want

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batch, hash_words, map_arrow, raw_shingles, save, text_bytes
+from .common import batch, hash_each, map_arrow, raw_shingles, save, text_bytes
 
 HOST_LIMIT = 0.5
 MIN_WORDS, REPEAT_PERCENT, SYMBOL_PERCENT, DUP_LINES_PERCENT = 50, 50, 10, 30
@@ -37,16 +37,15 @@ _SPACE = b"\x20\x09\x0a\x0b\x0c\x0d"
 FEATURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines")
 
 
-def features(text: bytes | None) -> tuple[int, int, int, int, int, int]:
+def features(text: bytes | None, words: np.ndarray) -> tuple[int, int, int, int, int, int]:
     if not text:
         return (0,) * 6
-    words = text.split()
     chars = len(text.translate(None, _CONTINUATION + _SPACE))
     symbols = len(text) - len(text.translate(None, b"#*$%&|<>"))
     lines = [x for x in text.split(b"\n") if x.strip(_SPACE)]
     repeated = 0
     if len(words) >= 3:
-        windows = raw_shingles(hash_words(words), 3)
+        windows = raw_shingles(words, 3)
         _, of, counts = np.unique(windows, return_inverse=True, return_counts=True)
         twice = counts[of] >= 2
         covered = np.zeros(len(words), bool)
@@ -61,7 +60,8 @@ def document_features(docs: DataFrame, host_col: str = "source") -> DataFrame:
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in it:
-            found = np.array([features(t) for t in b.column(2).to_pylist()], np.int64).reshape(-1, len(FEATURES))
+            texts = b.column(2).to_pylist()
+            found = np.array([features(t, w) for t, w in zip(texts, hash_each(texts, lower=False), strict=True)], np.int64).reshape(-1, len(FEATURES))
             yield batch(schema, b.column(0), b.column(1), *found.T)
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(host_col).cast("string").alias("host"), text_bytes("text").alias("text"))
