@@ -100,7 +100,7 @@ def result_line(rank: Column, source: Column, title: Column, author: Column, sta
 def _scaled(value: Column, units: tuple[str, ...], first: int, rest: int, grouped: bool) -> Column:
     value, out = value.cast("double"), None
     for i, unit in reversed(list(enumerate(units))):
-        shown = F.format_string(f"%{',' if grouped else ''}.{rest if i else first}f {unit}", value / 1024.0**i)
+        shown = F.format_string(f"%{',' if grouped else ''}.{rest if i else first}f {unit}", F.bround(value / 1024.0**i, rest if i else first))
         out = shown if out is None else F.when(value < 1024.0 ** (i + 1), shown).otherwise(out)
     return out
 
