@@ -38,6 +38,8 @@ CHUNK, LOCAL_MIN = 1_000_000, 4
 COMMON_MAX = 1 << 17
 #: Sets in a block of a large posting.
 BLOCK = 1024
+#: Sets in a block of texts that are verified together.
+TEXT_BLOCK = 128
 LEAF, FANOUT = 8, 8
 #: Rounds in which postings are compared with one of their sets before the trees take over.
 STARS = 2
@@ -229,22 +231,29 @@ def _possible(num: int, den: int):
 
 
 def _verify(k: int, num: int, den: int):
+    """Links among the pairs of one task; texts come once each. A pair that the task has connected already is left out."""
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
-    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, x = None, None
-        for b_in in it:
-            a_out, b_out = [], []
-            ids, left = (b_in.column(i).to_pylist() for i in (0, 2))
-            for a, b, ta, wb in zip(ids, b_in.column(1).to_pylist(), left, hash_each(b_in.column(3).to_pylist()), strict=True):
-                if a != last:  # rows mostly come sorted by a
-                    last, x = a, shingles(hash_each([ta])[0], k)
-                y = shingles(wb, k)
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                if den * both >= num * (len(x) + len(y) - both):
-                    a_out.append(a)
-                    b_out.append(b)
-            yield batch(schema, a_out, b_out)
+    def run(pairs: pa.Table, texts: pa.Table) -> pa.Table:
+        raw = texts.column("text").to_pylist()
+        sets = dict(zip(texts.column("key").to_pylist(), (shingles(w, k) for w in hash_each(raw)), strict=True))
+        root: dict[int, int] = {}
+
+        def find(x: int) -> int:
+            while (up := root.get(x, x)) != x:
+                root[x] = x = root.get(up, up)
+            return x
+
+        out = []
+        for a, b in sorted(zip(pairs.column("a").to_pylist(), pairs.column("b").to_pylist(), strict=True)):
+            if find(a) == find(b) or a not in sets or b not in sets:
+                continue
+            x, y = sets[a], sets[b]
+            both = len(np.intersect1d(x, y, assume_unique=True))
+            if den * both >= num * (len(x) + len(y) - both):
+                out.append((a, b))
+                root[find(a)] = find(b)
+        return pa.table([pa.array([p[0] for p in out], pa.int64()), pa.array([p[1] for p in out], pa.int64())], schema=schema)
 
     return run
 
@@ -279,7 +288,7 @@ def ngram_jaccard_groups(docs: DataFrame, k: int = 5, num: int = 80, den: int =
         if step:  # from the second star on: the likeliest hub outside the component of the first
             pivot = placed.join(pivot.select("token", F.col("p.comp").alias("c")), "token").where("comp <> c").groupBy("token").agg(F.max(F.struct("weight", "key", "comp")).alias("p"))
         pairs = placed.join(pivot, "token").where("comp <> p.comp").select(F.col("p.key").alias("a"), F.col("key").alias("b")).distinct()
-        new = save(_verified(save(_allowed(pairs, bitmaps, num, den), f"pairs-{step}"), classes, narrow, k, num, den), f"links-{step}")
+        new = save(_verified(save(_allowed(pairs, bitmaps, num, den), f"pairs-{step}"), classes, narrow, k, num, den, False), f"links-{step}")
         links = new if links is None else links.union(new)
         comp = components(links, name=f"groups-{step}").withColumnRenamed("node", "key")
         placed = met.join(comp, "key", "left").withColumn("comp", F.coalesce("comp", "key"))
@@ -293,7 +302,7 @@ def ngram_jaccard_groups(docs: DataFrame, k: int = 5, num: int = 80, den: int =
     members = left.join(bitmaps, "key").withColumn("task", F.explode(tasks)).select("token", "task.i", "task.j", "task.part", "key", "comp", "n", "bitmap")
     more = save(members.groupBy("token", "i", "j").applyInArrow(_tree_pairs(num, den), "a long, b long").distinct(), "pairs-tree")
     if not more.isEmpty():
-        links = links.union(save(_verified(more, classes, narrow, k, num, den), "links-tree"))
+        links = links.union(save(_verified(more, classes, narrow, k, num, den, True), "links-tree"))
         comp = components(links, name="groups-tree").withColumnRenamed("node", "key")
 
     degree = links.select(F.explode(F.array("a", "b")).alias("key")).groupBy("key").agg(F.count("*").alias("n_links"))
@@ -338,13 +347,28 @@ def _texts_of(keys: DataFrame, classes: DataFrame, narrow: DataFrame, k: int) ->
     return map_arrow(narrow.join(wanted, "doc_id").select("want", "text"), keep, "key long, text binary").dropDuplicates(["key"])
 
 
-def _verified(pairs: DataFrame, classes: DataFrame, narrow: DataFrame, k: int, num: int, den: int) -> DataFrame:
+def _verified(pairs: DataFrame, classes: DataFrame, narrow: DataFrame, k: int, num: int, den: int, clustered: bool) -> DataFrame:
+    """Links among pairs. A task holds the pairs of two blocks of sets, and each of their texts once.
+
+    Pairs of a star share their first set; clustered pairs share sets in many ways, so those of a connected cluster
+    are put together before it is cut into blocks.
+    """
     keys = pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct()
     texts = save(_texts_of(keys, classes, narrow, k), "texts")
-    ta = texts.select(F.col("key").alias("a"), F.col("text").alias("ta"))
-    tb = texts.select(F.col("key").alias("b"), F.col("text").alias("tb"))
-    both = pairs.join(tb, "b").join(ta, "a").select("a", "b", "ta", "tb")
-    return map_arrow(both, _verify(k, num, den), "a long, b long")
+    if clustered:
+        cluster = components(pairs, name="clusters")
+        cluster = cluster.union(cluster.select(F.col("comp").alias("node"), "comp").distinct())
+        sizes = cluster.groupBy("comp").agg(F.ceil(F.count("*") / TEXT_BLOCK).cast("int").alias("blocks"))
+        placed = cluster.join(sizes, "comp").select(F.col("node").alias("key"), "comp", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("block"))
+        a, b = (placed.select(F.col("key").alias(x), F.col("comp").alias("g"), F.col("block").alias(f"k{x}")) for x in "ab")
+        dealt = pairs.join(a, "a").join(b.drop("g"), "b").select("g", F.least("ka", "kb").alias("i"), F.greatest("ka", "kb").alias("j"), "a", "b")
+    else:
+        sizes = pairs.groupBy("a").agg(F.ceil(F.count("*") / TEXT_BLOCK).cast("int").alias("blocks"))
+        dealt = pairs.join(sizes, "a").select(F.col("a").alias("g"), F.lit(0).alias("i"), F.pmod(F.xxhash64("b"), F.col("blocks")).cast("int").alias("j"), "a", "b")
+    dealt = save(dealt, "dealt")
+    ends = dealt.select(F.col("g").alias("tg"), F.col("i").alias("ti"), F.col("j").alias("tj"), F.explode(F.array("a", "b")).alias("key")).distinct()
+    sent = ends.join(texts, "key")
+    return dealt.groupBy("g", "i", "j").cogroup(sent.groupBy("tg", "ti", "tj")).applyInArrow(_verify(k, num, den), "a long, b long")
 
 
 ORACLE = """
