@@ -6,6 +6,7 @@ import re
 
 import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import constants as K
 
@@ -50,6 +51,9 @@ def extract(raw: str, title: str = "", author: str = "") -> dict:
     return {"tags": list(kept), "one_liner": fields[K.ONE_LINER_NAME], "intent": fields[K.INTENT_NAME], "synopsis": text}
 
 
-@F.pandas_udf("tags array<string>, one_liner string, intent string, synopsis string")
+_TYPE = T.StructType([T.StructField("tags", T.ArrayType(T.StringType())), *[T.StructField(c, T.StringType()) for c in ("one_liner", "intent", "synopsis")]])
+
+
+@F.pandas_udf(_TYPE)
 def extract_tags(raw: pd.Series, title: pd.Series, author: pd.Series) -> pd.DataFrame:
     return pd.DataFrame([extract(r, t or "", a or "") for r, t, a in zip(raw, title, author, strict=True)], columns=["tags", "one_liner", "intent", "synopsis"])

@@ -7,6 +7,7 @@ from urllib.parse import urljoin
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .constants import BASE62
 
@@ -119,7 +120,7 @@ def page_urls(landing: Column, n: Column) -> Column:
     return F.when(n >= 1, F.transform(F.sequence(F.lit(2), (n + 1).cast("int")), lambda i: F.concat(stem, F.lit("_"), i.cast("string"), F.lit(".html")))).otherwise(F.array().cast("array<string>"))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def absolute_url(href: pd.Series, base: pd.Series) -> pd.Series:
     """RFC 3986 reference resolution; Spark has no function for it."""
     return pd.Series([None if h is None or b is None else h if h.startswith("http") else urljoin(b, h) for h, b in zip(href, base, strict=True)], dtype=object)

@@ -469,7 +469,7 @@ def log_page_counts(spark: SparkSession, sf: str) -> DataFrame:
 # --- streams, projections ---
 
 
-@query("WITH m AS (SELECT max(ts) - INTERVAL 1 HOUR AS mark FROM events) SELECT CAST(date_trunc('day', ts) AS TIMESTAMP) AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events, m GROUP BY 1, 2, mark HAVING date_trunc('day', ts) + INTERVAL 1 DAY <= mark")
+@query("WITH m AS (SELECT max(ts) - INTERVAL 1 HOUR AS mark FROM events), d AS (SELECT date_trunc('day', ts) AS start, event_type, value, mark FROM events, m) SELECT CAST(start AS TIMESTAMP) AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM d WHERE start + INTERVAL 1 DAY <= mark GROUP BY start, event_type")
 def stream_daily_counts(spark: SparkSession, sf: str) -> DataFrame:
     out = streams.run_to_files(streams.windowed_counts(streams.event_stream(spark, f"{sf}/events.parquet")), "append")
     return out.select(F.col("start").cast("timestamp_ntz").alias("start"), "event_type", "n", F.round("total", 4).alias("total"))

@@ -18,6 +18,7 @@ from xml.etree import ElementTree
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.utils import AnalysisException
 
 from lorebase.functions import constants as K
@@ -188,7 +189,7 @@ def navigation(text: Column) -> Column:
 # --- bytes ---
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def decode_text(raw: pd.Series) -> pd.Series:
     """UTF-8 with or without BOM, else GB18030, else UTF-8 with replacements."""
 

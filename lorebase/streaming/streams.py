@@ -13,6 +13,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 
@@ -31,8 +32,10 @@ def run_to_files(stream: DataFrame, mode: str) -> DataFrame:
 
     q = stream.writeStream.outputMode(mode).option("checkpointLocation", state).trigger(availableNow=True).foreachBatch(write).start()
     q.awaitTermination()
-    schema = stream.schema.simpleString()[7:-1]
-    return spark.read.schema(f"{schema}, batch: int" if schema else "batch int").option("basePath", out).parquet(f"{out}/batch=*") if q.lastProgress or q.recentProgress else spark.createDataFrame([], f"{schema}, batch: int")
+    schema = T.StructType([*stream.schema.fields, T.StructField("batch", T.IntegerType())])
+    if not q.recentProgress or not any(p.numInputRows for p in q.recentProgress):
+        return spark.createDataFrame([], schema)
+    return spark.read.schema(schema).option("basePath", out).parquet(f"{out}/batch=*")
 
 
 def event_stream(spark: SparkSession, path: str, files_per_batch: int = 1000) -> DataFrame:
@@ -121,9 +124,9 @@ def stable_files_batch(scans: DataFrame) -> DataFrame:
 
 
 def progress_lines(lines: DataFrame, minutes: int = 15) -> DataFrame:
-    """Latest (done, total) of jobs from a stream of lines(job, ts, line) like '[ 3/12]'; finished jobs expire."""
+    """Latest (done, total) of jobs from a stream of lines(job, ts, line) like '[ 3/12]'; finished jobs expire in event time."""
     schema = "job string, done int, total int, expired boolean"
-    parsed = lines.select("job", F.regexp_extract("line", r"\[\s*(\d+)/(\d+)\]", 1).try_cast("int").alias("done"), F.regexp_extract("line", r"\[\s*(\d+)/(\d+)\]", 2).try_cast("int").alias("total"), "ts").where("done is not null")
+    parsed = lines.select("job", F.regexp_extract("line", r"\[\s*(\d+)/(\d+)\]", 1).try_cast("int").alias("done"), F.regexp_extract("line", r"\[\s*(\d+)/(\d+)\]", 2).try_cast("int").alias("total"), F.col("ts").cast("timestamp").alias("ts")).where("done is not null").withWatermark("ts", "1 minute")
 
     def step(key: tuple, rows: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
@@ -134,7 +137,7 @@ def progress_lines(lines: DataFrame, minutes: int = 15) -> DataFrame:
         last = pd.concat(list(rows)).sort_values("ts").iloc[-1]
         state.update((int(last.done), int(last.total)))
         if last.done >= last.total:
-            state.setTimeoutDuration(minutes * 60_000)
+            state.setTimeoutTimestamp(max(int(last.ts.timestamp() * 1000), state.getCurrentWatermarkMs()) + minutes * 60_000)
         yield pd.DataFrame([(key[0], int(last.done), int(last.total), False)], columns=["job", "done", "total", "expired"])
 
-    return parsed.groupBy("job").applyInPandasWithState(step, schema, "done int, total int", "update", GroupStateTimeout.ProcessingTimeTimeout)
+    return parsed.groupBy("job").applyInPandasWithState(step, schema, "done int, total int", "update", GroupStateTimeout.EventTimeTimeout)
