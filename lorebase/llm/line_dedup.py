@@ -34,7 +34,7 @@ CHUNK, LOCAL_MIN = 2_000_000, 3
 BLOCK, BUCKET, MIN_BUCKETS = 4096, 250_000, 256
 #: Postings a task gathers before it sends them.
 SEND = 1 << 19
-FIRST_FEW = 8
+FIRST_FEW = 2
 #: The second round filters postings by its tokens if they are at most so many (4 bytes each).
 PROBES_MAX = 1 << 20
 
@@ -179,9 +179,12 @@ def _pairs(num: int, den: int, few: int | None):
     def run(table: pa.Table) -> pa.Table:
         p = np.frombuffer(b"".join(table.column("postings").to_pylist()), POSTING)
         # of equal sets the first line of a posting stands for all; copies are settled elsewhere
-        p = p[np.lexsort((p["line"], p["doc"], p["same"], p["token"]))]
-        p = p[np.concatenate([[True], (p["token"][1:] != p["token"][:-1]) | (p["same"][1:] != p["same"][:-1])])] if len(p) else p
-        p = p[np.lexsort((p["line"], p["doc"], p["token"]))]
+        p = p[np.lexsort((p["line"], p["doc"]))]
+        name = p["token"].astype(np.uint64) << np.uint64(32) | p["same"]
+        order = np.argsort(name, kind="stable")
+        fresh = np.concatenate([[True], name[order[1:]] != name[order[:-1]]]) if len(p) else np.zeros(0, bool)
+        kept = np.sort(order[fresh])
+        p = p[kept[np.argsort(p["token"][kept], kind="stable")]]
         token, doc, line, probe = p["token"], p["doc"], p["line"], p["probe"] > 0
         n, pos, bits = p["n"].astype(np.int64), p["pos"].astype(np.int64), p["bits"]
         excess = n - np.bitwise_count(bits).sum(axis=1)
