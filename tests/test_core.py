@@ -535,3 +535,16 @@ def test_entry_survives_without_llm(spark):
 
     assert set(e.oracle_sql()) <= set(e.queries()) and "like_topk" in e.queries()
     assert e.entry(spark).count() == 10
+
+
+def test_uploads_and_annotation(spark):
+    from lorebase.operators import uploads
+
+    files = spark.createDataFrame([(1, "《测试书》 - 某作者 (完结).txt", bytearray("序\n第1章 a\nx\n第2章 b\ny".encode("gb18030"))), (2, "Dup.txt", bytearray(b"One two\n\nthree")), (3, "Dup.md", bytearray(b""))], "upload int, filename string, content binary")
+    d = uploads.detect(files)
+    got = {r.upload: (r.title, r.author, r.status, r.language, r.chapter_count, r.synopsis) for r in d.collect()}
+    assert got == {1: ("测试书", "某作者", "完结", "zh", 3, "序"), 2: ("Dup", "", "", "en", 1, "One two three"), 3: ("Dup", "", "", "zh", 0, "")}
+    saved = uploads.to_records(d, spark.createDataFrame([], "stem string"))
+    assert sorted(r.file for r in saved.collect())[:2] == ["uploads/Dup.txt", "uploads/Dup_2.txt"]
+    f = text.annotate(lambda line: line.split(" "), lambda w: w.upper() + "!")
+    assert [(x.text, x.reading) for x in one(spark, f(F.lit("语 a\nb")))] == [("语", "语!"), ("a", None), ("\n", None), ("b", None)]
