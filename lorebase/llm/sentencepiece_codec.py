@@ -35,7 +35,7 @@ from .common import map_arrow, text_bytes
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
-CACHE = 150_000
+CACHE = 300_000
 #: Kinds of models and pieces in the file format.
 UNIGRAM, BPE = 1, 2
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
@@ -227,20 +227,27 @@ class Codec:
         return text[1:] if text.startswith(" ") else text
 
 
-def load(spark, path: str) -> tuple[list[tuple[str, float, int]], int]:
+def load(path: str) -> dict:
     """The model as a value to broadcast; the file is on the driver and far below its memory."""
     with open(path, "rb") as f:
-        return parse_model(f.read())
+        return {"model": parse_model(f.read())}
+
+
+def codec_of(held: dict) -> Codec:
+    """The worker's codec: a reused worker keeps the broadcast value, and with it what the codec has learnt."""
+    if "codec" not in held:
+        held["codec"] = Codec(*held["model"])
+    return held["codec"]
 
 
 def encode(docs: DataFrame, model: str = MODEL, text_col: str = "text") -> DataFrame:
     """docs with ids array<int>, and round_trip: whether decoding gives the text back; columns so named are replaced."""
     keep = [c for c in docs.columns if c not in ("ids", "round_trip")]
-    shared = docs.sparkSession.sparkContext.broadcast(load(docs.sparkSession, model))
+    shared = docs.sparkSession.sparkContext.broadcast(load(model))
     rows = docs.select(F.struct(*keep).alias("row"), text_bytes(text_col).alias("bytes"))
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = Codec(*shared.value)
+        codec = codec_of(shared.value)
         for b in it:
             texts = [None if t is None else t.decode("utf-8", "replace") for t in b.column(1).to_pylist()]
             ids = codec.encode(texts)
@@ -254,11 +261,11 @@ def encode(docs: DataFrame, model: str = MODEL, text_col: str = "text") -> DataF
 def decode(tokens: DataFrame, model: str = MODEL, ids_col: str = "ids") -> DataFrame:
     """tokens with decoded string; a column so named is replaced."""
     keep = [c for c in tokens.columns if c != "decoded"]
-    shared = tokens.sparkSession.sparkContext.broadcast(load(tokens.sparkSession, model))
+    shared = tokens.sparkSession.sparkContext.broadcast(load(model))
     rows = tokens.select(F.struct(*keep).alias("row"), F.col(ids_col).cast("array<int>").alias("codes"))
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = Codec(*shared.value)
+        codec = codec_of(shared.value)
         for b in it:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([codec.decode(i) for i in b.column(1).to_pylist()], pa.string())], names=["row", "decoded"])
 
