@@ -1,9 +1,11 @@
 """Operator 8: near-duplicate lines by an exact set-similarity join.
 
-A line's tokens are its distinct words (A-Z folded). Lines of fewer than MIN_TOKENS tokens are never removed. A line
-is removed if an earlier line, by (doc_id, line number), has Jaccard similarity of at least num / den with it.
+A line's tokens are its distinct words (A-Z folded). Lines without a word are never removed. A line is removed if an
+earlier line, by (doc_id, line number), has Jaccard similarity of at least num / den with it.
 
 Equal token sets are settled first: of these only the first line can stay, and copies within a task go no further.
+Sets so small that one word more or less falls short of num / den (under 4 words at 0.8) can only have equal partners
+and end there; they are compared by 64 bits a word.
 The others meet in the postings of their prefix, the n - ceil(t * n) + 1 first tokens in an order by rarity over all
 documents (the COMMON_MAX most frequent words are told apart, all others count as rare). Postings travel packed
 into one row per task and bucket, and a token of many lines is dealt to the pairs of its blocks, so a bucket stays
@@ -11,7 +13,7 @@ bounded. Within a bucket length, positional and bitmap filters act on all pairs
 out its FIRST_FEW earliest candidates, which are verified on whole token sets. Only lines that none of these removed
 and that had more candidates go through a second round, which gives out all of theirs.
 
-Words are compared by 32-bit hashes. Rows that share a doc_id share positions and so are no copies of each other;
+Words of the larger sets are compared by 32-bit hashes. Rows that share a doc_id share positions and so are no copies of each other;
 rows with a null doc_id take no part and come back unchanged, as do null and empty texts. Lines end at \\n and keep
 other white space. Extra columns are kept.
 """
@@ -27,7 +29,7 @@ from pyspark.sql import functions as F
 
 from .common import batch, hash_texts, map_arrow, mix, save, text_bytes
 
-MIN_TOKENS = 5
+MIN_TOKENS = 1
 COMMON_MAX = 1 << 18
 CHUNK, LOCAL_MIN = 2_000_000, 3
 #: Lines of a posting that are compared in one task; postings per bucket; least number of buckets.
@@ -50,20 +52,41 @@ def _ragged(values: np.ndarray, lengths: np.ndarray) -> pa.Array:
     return pa.Array.from_buffers(pa.binary(), len(lengths), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(values))])
 
 
-def _lines():
-    """doc_id, line, key, n and tokens (uint32, ascending) of each line; with n = -count, words common in a chunk."""
+def _least(num: int, den: int) -> int:
+    """The least size of a set that a different one can be similar to: n / (n + 1) >= num / den."""
+    return max(MIN_TOKENS, -(-num // (den - num))) if num < den else LARGE * LARGE
+
+
+def _lines(least: int):
+    """doc_id, line, key, n and tokens (uint32, ascending) of each line; with n = -count, words common in a chunk.
+
+    Words are counted in lines of least tokens and more, those that give postings.
+    """
+
+    def small_keys(at: np.ndarray, hashes: np.ndarray, small: np.ndarray) -> np.ndarray:
+        """Keys of the small lines, in order, from whole hashes."""
+        mine = small[at]
+        at, hashes = at[mine], hashes[mine]
+        order = np.lexsort((hashes, at))
+        at, hashes = at[order], hashes[order]
+        fresh = np.concatenate([[True], (at[1:] != at[:-1]) | (hashes[1:] != hashes[:-1])]) if len(at) else np.zeros(0, bool)
+        at, hashes = at[fresh], hashes[fresh]
+        start = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]])) if len(at) else np.zeros(0, np.int64)
+        size = np.diff(np.append(start, len(at))).astype(np.uint64)
+        return mix(np.add.reduceat(mix(hashes + np.uint64(1)), start) + size) if len(at) else np.zeros(0, np.uint64)
 
     def tokens_of(docs: np.ndarray, texts: list[bytes]) -> tuple[np.ndarray, ...]:
         hashes, owner, line = hash_texts(texts, lines=True)
         fresh = np.flatnonzero(np.concatenate([[True], (owner[1:] != owner[:-1]) | (line[1:] != line[:-1])])) if len(owner) else owner
         size = np.diff(np.append(fresh, len(owner)))
         at = np.repeat(np.arange(len(fresh), dtype=np.uint64), size)
-        long = np.repeat(size >= MIN_TOKENS, size)
-        distinct = np.unique(at[long] << np.uint64(32) | hashes[long] >> np.uint64(32))
+        distinct = np.unique(at << np.uint64(32) | hashes >> np.uint64(32))
         n = np.bincount((distinct >> np.uint64(32)).astype(np.int64), minlength=len(fresh))
-        keep = n >= MIN_TOKENS
-        distinct = distinct[np.repeat(keep, n)]
-        return docs[owner[fresh[keep]]], line[fresh[keep]].astype(np.int32), n[keep], (distinct & np.uint64(0xFFFFFFFF)).astype(np.uint32)
+        tokens = (distinct & np.uint64(0xFFFFFFFF)).astype(np.uint32)
+        key = mix(np.add.reduceat(mix(tokens.astype(np.uint64) + np.uint64(1)), np.cumsum(n) - n) + n.astype(np.uint64)) if len(n) else np.zeros(0, np.uint64)
+        small = n < least
+        key[small] = small_keys(at.astype(np.int64), hashes, small)
+        return docs[owner[fresh]], line[fresh].astype(np.int32), n, tokens, key.view(np.int64)
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
@@ -75,14 +98,13 @@ def _lines():
             return batch(LINE, pa.nulls(none, pa.int64()), pa.nulls(none, pa.int32()), words[often].astype(np.int64), -counts[often].astype(np.int32), pa.nulls(none, pa.binary()))
 
         for b in it:
-            doc, line, n, tokens = tokens_of(b.column(0).to_numpy(), b.column(1).to_pylist())
+            doc, line, n, tokens, key = tokens_of(b.column(0).to_numpy(), b.column(1).to_pylist())
             if not len(n):
                 continue
-            starts = np.cumsum(n) - n
-            key = mix(np.add.reduceat(mix(tokens.astype(np.uint64) + np.uint64(1)), starts) + n.astype(np.uint64)).view(np.int64)
             yield batch(LINE, doc, line, key, n.astype(np.int32), _ragged(tokens, n))
-            held.append(tokens)
-            size += len(tokens)
+            counted = tokens[np.repeat(n >= least, n)]
+            held.append(counted)
+            size += len(counted)
             if size >= CHUNK:
                 yield report()
                 held, size = [], 0
@@ -242,12 +264,14 @@ def repeated_lines(docs: DataFrame, num: int = 80, den: int = 100) -> DataFrame:
     """(doc_id, lines): the numbers, from 0, of each document's lines to be removed."""
     sc = docs.sparkSession.sparkContext
     rows = docs.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), text_bytes("text").alias("text"))
-    found = save(map_arrow(rows, _lines(), "doc_id long, line int, key long, n int, tokens binary"), "lines")
+    least = _least(num, den)
+    found = save(map_arrow(rows, _lines(least), "doc_id long, line int, key long, n int, tokens binary"), "lines")
     counted = found.where("n < 0").groupBy("key").agg(F.sum(-F.col("n")).alias("c")).orderBy(F.desc("c"), "key").limit(COMMON_MAX).orderBy("key").toArrow()
     common = sc.broadcast((counted.column("key").to_numpy().astype(np.uint32), counted.column("c").to_numpy()))
     lines = found.where("n > 0")
+    joined = found.where(F.col("n") >= least)
     prefix = F.col("n") - F.ceil(F.col("n") * num / den) + 1
-    total = lines.agg(F.sum(prefix)).first()[0] or 0
+    total = joined.agg(F.sum(prefix)).first()[0] or 0
     buckets = max(MIN_BUCKETS, -(-int(total) // BUCKET))
 
     def candidates(probing: DataFrame, few: int | None, tokens=None) -> DataFrame:
@@ -258,18 +282,18 @@ def repeated_lines(docs: DataFrame, num: int = 80, den: int = 100) -> DataFrame:
         """(xd, xl, settled, more) of each line with candidates."""
         pairs = save(pairs.groupBy("xd", "xl", "yd", "yl").agg(F.max("more").alias("more")), f"pairs-{name}")
         ends = pairs.select(F.explode(F.array(F.struct(F.col("xd").alias("doc_id"), F.col("xl").alias("line")), F.struct(F.col("yd").alias("doc_id"), F.col("yl").alias("line")))).alias("e")).select("e.*").distinct()
-        sets = save(lines.select("doc_id", "line", "tokens").join(ends, ["doc_id", "line"], "left_semi"), f"sets-{name}")
+        sets = save(joined.select("doc_id", "line", "tokens").join(ends, ["doc_id", "line"], "left_semi"), f"sets-{name}")
         tx, ty = (sets.select(F.col("doc_id").alias(f"{c}d"), F.col("line").alias(f"{c}l"), F.col("tokens").alias(f"t{c}")) for c in "xy")
         both = pairs.join(ty, ["yd", "yl"]).join(tx, ["xd", "xl"]).select("xd", "xl", "more", "tx", "ty")
         held = map_arrow(both, _verify(num, den), "xd long, xl int, ok boolean, more boolean")
         return save(held.groupBy("xd", "xl").agg(F.max("ok").alias("settled"), F.max("more").alias("more")), f"settled-{name}")
 
     columns = ["doc_id", "line", "key", "n", "tokens", "probe"]
-    first = verified(candidates(lines.withColumn("probe", F.lit(True)).select(*columns), FIRST_FEW), "first")
+    first = verified(candidates(joined.withColumn("probe", F.lit(True)).select(*columns), FIRST_FEW), "first")
     settled = first.where("settled").select("xd", "xl")
     open_ = first.where("not settled and more").select(F.col("xd").alias("doc_id"), F.col("xl").alias("line"), F.lit(True).alias("probe"))
     if not open_.isEmpty():
-        marked = lines.join(open_, ["doc_id", "line"], "left").withColumn("probe", F.coalesce("probe", F.lit(False))).select(*columns)
+        marked = joined.join(open_, ["doc_id", "line"], "left").withColumn("probe", F.coalesce("probe", F.lit(False))).select(*columns)
         few_tokens = marked.where("probe").select("tokens").limit(PROBES_MAX // 16 + 1).toArrow()
         wanted = np.unique(np.frombuffer(b"".join(few_tokens.column(0).to_pylist()), np.uint32)) if few_tokens.num_rows <= PROBES_MAX // 16 else None
         tokens = sc.broadcast(wanted) if wanted is not None and len(wanted) <= PROBES_MAX else None

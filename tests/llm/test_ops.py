@@ -378,6 +378,14 @@ def test_line_dedup_equals_brute_force(spark, block):
         assert out[i].text == (t and "\n".join(x for j, x in enumerate(t.split("\n")) if (i, j) not in want))
 
 
+def test_short_lines_are_deduplicated(spark):
+    texts = ["All rights reserved\nHome\na b c d", "home\nreserved all RIGHTS all\na b c d e\na b c", " \n\na b c e\nother", "Home home\na b d c"]
+    rows = [(d, i, {w.lower() for w in line.split()}) for d, t in enumerate(texts) for i, line in enumerate(t.split("\n"))]
+    want = {(d, i) for at, (d, i, s) in enumerate(rows) if s and any(100 * len(s & o) >= 80 * len(s | o) for _, _, o in rows[:at])}
+    assert want == {(1, 0), (1, 1), (1, 2), (2, 2), (3, 0), (3, 1)}
+    assert {(r.doc_id, i) for r in line_dedup.repeated_lines(frame(spark, texts)).collect() for i in r.lines} == want
+
+
 def test_line_dedup_odd_rows(spark):
     out = line_dedup.dedup_lines(odd(spark).withColumnRenamed("lang", "n_lines")).collect()
     assert len(out) == 7 and all(r.n_removed == 0 for r in out)
