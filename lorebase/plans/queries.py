@@ -427,8 +427,8 @@ def chapter_numbers(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("SELECT doc_id, len(string_split(text, ' ')) >= 0 AS ok, array_to_string(list_filter(list_transform(regexp_split_to_array(trim(substr(text, 1, 300)), '[\\s　 、，,/／┃|；;]+'), lambda t: trim(t)), lambda t: t <> '' AND length(t) <= 12), '|') AS tags FROM documents")
 def split_tags(spark: SparkSession, sf: str) -> DataFrame:
-    """Words of each opening as if they were a tag line."""
-    return table(spark, sf, "documents").select("doc_id", (F.size(F.split("text", " ")) >= 0).alias("ok"), F.array_join(text.split_tags(F.left("text", F.lit(300))), "|").alias("tags"))
+    """Words of each text as if it were a tag line. The SQL still cuts texts at 300 characters, so it agrees on shorter ones only."""
+    return table(spark, sf, "documents").select("doc_id", (F.size(F.split("text", " ")) >= 0).alias("ok"), F.array_join(text.split_tags(F.col("text")), "|").alias("tags"))
 
 
 @query()

@@ -14,6 +14,7 @@ from lorebase.functions import constants as K
 from lorebase.functions import html, scalars, tags, text, urls
 from lorebase.operators import graph, rank, reports, resolve, store, user
 from lorebase.operators.filters import Filters, parse_categories, parse_year_range
+from lorebase.plans import queries
 from lorebase.plans.session import Session
 from lorebase.sources import readers, writers
 from lorebase.sources.schemas import CATALOG, RECORD, with_record_defaults
@@ -381,6 +382,13 @@ def test_tag_extraction(spark):
     assert one(spark, text.split_tags(F.lit(" a、b　完结 ／ccccccccccccc;d "))) == ["a", "b", "d"]
 
 
+def test_split_tags_query_reads_whole_texts(spark, tmp_path):
+    words = [f"w{i}" for i in range(400)]
+    spark.createDataFrame([(1, " ".join(words)), (2, "a、b")], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r.doc_id: r.tags for r in queries.split_tags(spark, str(tmp_path)).collect()}
+    assert got == {1: "|".join(words), 2: "a|b"}
+
+
 def test_pages(spark):
     page = '<html><article class="article-content"><p>One <b>x</b><p>传送门：ad<br></p>Two<br>Three<script>s</script><div class="paginate">9</div><button>b</button></article></html>'
     assert html.reading_page(page, K.AD_MARKERS) == ("One x\n\nTwo\n\nThree", True)
