@@ -15,6 +15,11 @@ The permutation is a Feistel network over Z_a x Z_b with modular addition, a * b
 so no value needs a second walk. Its round function is SHA-256 of key, kind, round and half. An e-mail address
 has no fixed format: its local part and host become a keyed digest under a reserved domain.
 
+Digits in groups, with single spaces or dashes between, are read as one run, which ends where another kind starts. Any
+neighbouring groups of a run with 13 to 19 digits together may be a card. From left to right, valid ones of a usual
+layout are taken first (one group, 4-4-4-4, 4-6-5, 4-6-4, 4-4-4-4-3), then the longest valid ones of any layout that
+overlap none of them.
+
 A null text stays null, an empty one empty; rows are kept one to one. Work is linear in the text.
 """
 
@@ -29,12 +34,21 @@ KINDS = ("email", "phone", "card", "ipv4", "ssn", "date")
 PATTERNS = {
     "email": r"(?<![A-Za-z0-9._+-])[A-Za-z0-9._+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)+",
     "phone": r"(?<![0-9+])\+[0-9]{1,3}[ .-]?(?:\([0-9]{3}\)|[0-9]{3})[ .-]?[0-9]{3}[ .-]?[0-9]{4}(?![0-9])",
-    "card": r"(?<![0-9A-Za-z])[0-9](?:[ -]?[0-9]){12,18}(?![0-9A-Za-z])",
     "ipv4": r"(?<![0-9.])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?![0-9])(?!\.[0-9])",
     "ssn": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
     "date": r"(?<![0-9-])(?:1[89]|2[01])[0-9]{2}-[0-9]{2}-[0-9]{2}(?![0-9-])",
 }
-ANY = "|".join(PATTERNS[k] for k in KINDS)
+#: No other kind starts here.
+_APART = f"(?!{'|'.join(PATTERNS[k] for k in ('email', 'ipv4', 'ssn', 'date'))})"
+#: Maximal runs of groups of digits, of which the first ones have 13 to 19 digits together. The possessive repeats keep
+#: the matcher from recursing over long runs.
+RUN = rf"(?<![0-9A-Za-z]){_APART}(?=[0-9](?:(?:[ -]{_APART})?[0-9]){{12,18}}(?![0-9A-Za-z]))[0-9]++(?:[ -]{_APART}[0-9]++(?![0-9A-Za-z]))*+"
+#: What only a run looks like, whatever stood beside it.
+IS_RUN = "^[0-9](?:[ -]?[0-9]){12}[0-9 -]*+$"
+ANY = "|".join([PATTERNS["email"], PATTERNS["phone"], RUN, PATTERNS["ipv4"], PATTERNS["ssn"], PATTERNS["date"]])
+CARD_MIN, CARD_MAX = 13, 19
+LAYOUTS = ("4-4-4-4", "4-6-5", "4-6-4", "4-4-4-4-3")
+PART = "struct<kind:string,value:string>"
 ROUNDS = 8
 
 
@@ -139,9 +153,62 @@ def _email(m: Column, key: str) -> Column:
     return F.concat(F.lit("u"), F.substring(F.sha2(F.concat_ws(":", F.lit(key), F.lit("email"), F.lower(m)), 256), 1, 16), F.lit("@mail.example"))
 
 
+def _groupings(groups: Column) -> Column:
+    """For each group: the numbers of groups from it on that form a card, and that of a usual layout (0 for none)."""
+
+    def valid(part: Column) -> Column:
+        return let(F.array_join(part, ""), lambda d: F.length(d).between(CARD_MIN, CARD_MAX) & (_luhn_sum(d, 0) % 10 == 0) & F.regexp(d, F.lit("[1-9]")))
+
+    def usual(part: Column) -> Column:
+        return (F.size(part) == 1) | F.array_join(F.transform(part, lambda g: F.length(g).cast("string")), "-").isin(*LAYOUTS)
+
+    def of(i: Column) -> Column:
+        sizes = F.sequence(F.lit(1), F.least(F.lit(CARD_MAX), F.size(groups) - i + 1))
+        ns = F.filter(sizes, lambda n: valid(F.slice(groups, i, n)))
+        return let(ns, lambda v: F.struct(v.alias("ns"), F.coalesce(F.array_max(F.filter(v, lambda n: usual(F.slice(groups, i, n)))), F.lit(0)).alias("usual")))
+
+    return F.transform(F.sequence(F.lit(1), F.size(groups)), of)
+
+
+def _run_parts(run: Column) -> Column:
+    """array<struct<kind, value>>: cards of a run, and what is between them with a null kind."""
+    spans = "array<struct<start:int,end:int>>"
+
+    def cards(groups: Column, found: Column) -> Column:
+        zero = F.struct(F.lit(1).alias("at"), F.lit(1).alias("free"), F.array().cast(spans).alias("out"))
+
+        def step(s: Column, i: Column) -> Column:
+            here = F.element_at(found, i)
+            other = F.array_max(F.filter(here["ns"], lambda n: ~F.exists(F.slice(found, i + 1, n - 1), lambda x: x["usual"] > 0)))
+            n = F.when(i < s["free"], 0).when(here["usual"] > 0, here["usual"]).otherwise(F.coalesce(other, F.lit(0)))
+            return let(n, lambda n: F.struct(
+                (s["at"] + F.length(F.element_at(groups, i)) + 1).alias("at"),
+                F.when(n > 0, i + n).otherwise(s["free"]).alias("free"),
+                F.when(n > 0, F.concat(s["out"], F.array(F.struct(s["at"].alias("start"), (s["at"] + F.length(F.array_join(F.slice(groups, i, n), " "))).alias("end"))))).otherwise(s["out"]).alias("out"),
+            ))
+
+        return F.aggregate(F.sequence(F.lit(1), F.size(groups)), zero, step, lambda s: s["out"])
+
+    def part(kind: Column, start: Column, end: Column) -> Column:
+        return F.struct(kind.alias("kind"), F.substring(run, start, end - start).alias("value"))
+
+    def cut(out: Column) -> Column:
+        none, last = F.lit(None).cast("string"), F.coalesce(F.try_element_at(out, F.lit(-1))["end"], F.lit(1))
+        ends = F.concat(F.array(F.lit(1)), F.transform(out, lambda x: x["end"]))
+        pieces = F.transform(out, lambda x, i: F.array(part(none, ends[i], x["start"]), part(F.lit("card"), x["start"], x["end"])))
+        return F.concat(F.flatten(pieces), F.array(part(none, last, F.length(run) + 1)))
+
+    return let(F.split(run, "[ -]"), lambda g: let(let(_groupings(g), lambda found: cards(g, found)), cut))
+
+
+def _parts(m: Column) -> Column:
+    """array<struct<kind, value>> of a match of ANY."""
+    whole = F.array(F.struct(_kind(m).alias("kind"), m.alias("value"))).cast(f"array<{PART}>")
+    return F.when(F.regexp(m, F.lit(IS_RUN)), _run_parts(m).cast(f"array<{PART}>")).otherwise(whole)
+
+
 def _kind(m: Column) -> Column:
-    """The kind that a match of ANY passes validation as, or null."""
-    digits = _digits(m)
+    """The kind that a match of ANY other than a run passes validation as, or null."""
     is_ = lambda k: F.regexp(m, F.lit(f"^(?:{PATTERNS[k]})$"))
     octets = F.forall(F.split(m, r"\."), lambda x: F.length(x).between(1, 3) & (x.cast("int") < 256))
     ssn = ~F.substring(m, 1, 3).isin("000", "666") & (F.substring(m, 1, 1) != "9") & (F.substring(m, 5, 2) != "00") & (F.substring(m, 8, 4) != "0000")
@@ -151,7 +218,6 @@ def _kind(m: Column) -> Column:
         .when(is_("ipv4"), F.when(octets, "ipv4"))
         .when(is_("ssn"), F.when(ssn, "ssn"))
         .when(is_("date"), F.when(F.try_to_date(m, "yyyy-MM-dd").isNotNull(), "date"))
-        .when(is_("card"), F.when((_luhn_sum(digits, 0) % 10 == 0) & (digits.cast("decimal(20)") > 0), "card"))
     )
 
 
@@ -162,13 +228,13 @@ def pseudonym(kind: Column, m: Column, key: str) -> Column:
 def pseudonymise(docs: DataFrame, key: str, text_col: str = "text") -> DataFrame:
     """docs with the text replaced and pii: array<struct<kind, value, pseudonym>> in order; a column so named is replaced."""
     text = F.col(text_col)
-    found = F.transform(F.transform(matches_of(text, ANY), lambda m: F.struct(m.alias("value"), _kind(m).alias("kind"))), lambda x: F.struct(x["kind"].alias("kind"), x["value"].alias("value"), pseudonym(x["kind"], x["value"], key).alias("pseudonym")))
+    read = lambda m: F.transform(_parts(m), lambda x: F.struct(x["kind"].alias("kind"), x["value"].alias("value"), pseudonym(x["kind"], x["value"], key).alias("pseudonym")))
     held = F.regexp(text, F.lit("[0-9@]"))
-    none = F.array().cast("array<struct<kind:string,value:string,pseudonym:string>>")
-    out = docs.withColumn("pii", F.when(held, found).otherwise(none))
-    after = F.concat(F.transform("pii", lambda x: x["pseudonym"]), F.array(F.lit("")))
+    none = F.array().cast("array<array<struct<kind:string,value:string,pseudonym:string>>>")
+    out = docs.withColumn("pii", F.when(held, F.transform(matches_of(text, ANY), read)).otherwise(none))
+    after = F.concat(F.transform("pii", lambda m: F.array_join(F.transform(m, lambda x: x["pseudonym"]), "")), F.array(F.lit("")))
     rebuilt = F.array_join(F.zip_with(gaps_of(text, ANY), after, lambda g, p: F.concat(g, p)), "")
-    return out.withColumn(text_col, F.when(F.size("pii") > 0, rebuilt).otherwise(text)).withColumn("pii", F.filter("pii", lambda x: x["kind"].isNotNull()))
+    return out.withColumn(text_col, F.when(F.size("pii") > 0, rebuilt).otherwise(text)).withColumn("pii", F.filter(F.flatten("pii"), lambda x: x["kind"].isNotNull()))
 
 
 def _is(kind: str):

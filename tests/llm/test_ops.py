@@ -230,6 +230,42 @@ def test_pseudonyms_keep_format_and_links(spark):
     assert pii.pseudonymise(odd(spark).withColumnRenamed("lang", "pii"), "k").count() == 7
 
 
+def test_cards_and_dates_beside_other_digits(spark):
+    card = "4111 1111 1111 1111"
+    cases = {
+        f"{card} 12/27": ["card"],
+        f"12 {card} 123 x": ["card"],
+        "4111111111111111 123": ["card"],
+        "4111 1111 1111 1111 5500-0000-0000-0004": ["card", "card"],
+        "41 11 11 11 11 11 11 11 99999": ["card"],
+        "3782 822463 10005 7": ["card"],
+        "2024-01-05 2024-02-06": ["date", "date"],
+        "2024-01-05 10001": ["date"],
+        "10001 2024-01-05 123-45-6789": ["date", "ssn"],
+        "123-45-6789 234-56-7891": ["ssn", "ssn"],
+        f"{card} 10.0.0.1 {card} 7.x@c.example": ["card", "ipv4", "card", "email"],
+        f"{card} 12ab": ["card"],
+        f"{card} 2024-01-05-x": ["card"],
+        f"1234567890123456789012 {card}": ["card"],
+        "123-45-6789-0123ab": [],
+        "2023-02-30 10002": [],
+        "1234567890123456789012": [],
+    }
+    texts = list(cases) + ["9999999999999 " + "99999999999999999999 " * 20_000]
+    rows = {r.doc_id: r for r in pii.pseudonymise(frame(spark, texts), "k").collect()}
+    for i, (t, kinds) in enumerate(cases.items()):
+        assert [x.kind for x in rows[i].pii] == kinds, t
+        rest, want = t, ""
+        for x in rows[i].pii:
+            before, rest = rest.split(x.value, 1)
+            want += before + x.pseudonym
+        assert rows[i].text == want + rest
+        assert kinds or rows[i].text == t
+    digits = {re.sub(r"\D", "", x.pseudonym) for r in rows.values() for x in r.pii if re.sub(r"\D", "", x.value) == re.sub(r"\D", "", card)}
+    assert len(digits) == 1
+    assert rows[len(cases)].text == texts[-1]
+
+
 # --- op5 ---
 
 
