@@ -5,7 +5,8 @@ or more characters, access keys of 20 or more, hex runs of 24 or more. The metho
 Shannon entropy in some window of 20 characters reaches the threshold of their character class. The entropy is
 kept incrementally: a character that enters or leaves the window changes one count c, hence the sum of
 c * log2(c), held in integers of 1e-9 bit so that results don't depend on the order of additions. Candidates
-that match the allow-list, lack a digit or a letter, or lie inside a base finding are suppressed.
+that match the allow-list, lack a digit or a letter, or lie inside a base finding are suppressed. A candidate starts
+behind leading =, which no key has; leading - and _ stay, but don't change its class.
 
 A null or empty text has no findings: counts 0 and the digest of the empty string. Rows are kept one to one,
 so ties and repeated rows need no rule. The work per text is linear but for the list of its findings.
@@ -34,12 +35,17 @@ WINDOW = 20
 #: Bits for each character class of a candidate; a window of 20 has at most 4 (hex) or 4.32 bits.
 THRESHOLDS = {"entropy_hex": 3.0, "entropy_alnum": 3.9, "entropy_base64": 3.9}
 #: Candidates in which one of these is found are no secrets: UUIDs, documentation keys, counting or repeated runs, paths.
+#: The last one also meets keys (+ and / are base64 characters). The SQL still has it; the operator has PATH in its place.
 ALLOW = (
     r"[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}",
     r"(?i:example|sample|placeholder|dummy|changeme|lorem)",
     r"0123456789|abcdefghij|ABCDEFGHIJ",
     r"^[-_=+/]|//",
 )
+_WORD = r"(?:[A-Z]++(?![a-z])|[A-Z]?[a-z]*+)[0-9]*+"
+_PART = rf"{_WORD}(?:[-_]{_WORD})*+"
+#: Absolute paths and URLs without their scheme, of plain words (letters, then digits) only.
+PATH = rf"^(?=/|.*//){_PART}(?:/{_PART})*+$"
 UNIT = 10**9
 
 
@@ -89,14 +95,19 @@ def _spans(text: Column, pattern: str, kind: str, keep=None, group: int = 0) ->
 
 def _entropy_spans(text: Column) -> Column:
     """Candidates with class and windowed entropy over the threshold."""
+    bare = F.transform(_spans(text, CANDIDATE, "entropy_base64"), lambda x: x.withField("value", F.regexp_replace(x["value"], "^=+", "")))
+    bare = F.transform(bare, lambda x: x.withField("start", x["end"] - F.length(x["value"])))
     found = F.filter(
-        _spans(text, CANDIDATE, "entropy_base64"),
-        lambda x: F.regexp(x["value"], F.lit("[0-9]")) & F.regexp(x["value"], F.lit("[A-Za-z]")) & ~F.regexp(x["value"], F.lit("|".join(f"(?:{a})" for a in ALLOW))),
+        bare,
+        lambda x: (F.length(x["value"]) >= WINDOW)
+        & F.regexp(x["value"], F.lit("[0-9]"))
+        & F.regexp(x["value"], F.lit("[A-Za-z]"))
+        & ~F.regexp(x["value"], F.lit("|".join(f"(?:{a})" for a in (*ALLOW[:-1], PATH)))),
     )
     named = F.transform(
         found,
         lambda x: x.withField(
-            "kind", F.when(F.regexp(x["value"], F.lit("^(?:[0-9a-f]+|[0-9A-F]+)$")), "entropy_hex").when(F.regexp(x["value"], F.lit("^[A-Za-z0-9]+$")), "entropy_alnum").otherwise("entropy_base64")
+            "kind", F.when(F.regexp(x["value"], F.lit("^[-_]*(?:[0-9a-f]+|[0-9A-F]+)$")), "entropy_hex").when(F.regexp(x["value"], F.lit("^[-_]*[A-Za-z0-9]+$")), "entropy_alnum").otherwise("entropy_base64")
         ),
     )
     ranked = F.transform(named, lambda x: x.withField("rank", F.array_position(F.array(*map(F.lit, KINDS)), x["kind"]).cast("int") - 1))

@@ -152,6 +152,24 @@ def test_secrets_equal_brute_force(spark):
     assert secrets.secret_digests(odd(spark)).count() == 7
 
 
+def test_secrets_with_leading_signs_and_slashes(spark):
+    key = "MIIEvQIBADANBgkqhkiG9w0BAQEFAASC"
+    cases = {
+        f"private_key ={key}": [(13, 45, "entropy_alnum")],
+        f"x +{key}": [(2, 35, "entropy_base64")],
+        f"x /{key} ": [(2, 35, "entropy_base64")],
+        f"x {key}//{key}": [(2, 68, "entropy_base64")],
+        f"x -{key}": [(2, 35, "entropy_alnum")],
+        "x _ABCDEF0123AB98CD76EF54": [(2, 25, "entropy_hex")],
+        "https://averylonghostname42/with/some-long/path_to/Page7": [],
+        "see /usr/local/lib/python3/site-packages/numpy2 ok": [],
+        "a ====================1a": [],
+    }
+    got = {r.doc_id: r.spans for r in secrets.secret_digests(frame(spark, list(cases))).collect()}
+    for i, (t, want) in enumerate(cases.items()):
+        assert got[i] == ",".join(f"{k}:{s}:{e}" for s, e, k in want), t
+
+
 # --- op3 ---
 
 
