@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lorebase.llm import decontaminate, langid, line_dedup, ngram_join, sentencepiece_codec
-from lorebase.llm.common import new_path
+from lorebase.llm.common import new_path, save
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -36,8 +36,12 @@ def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The row of smallest doc_id of each group stays; of rows that repeat its doc_id, all with its set."""
     groups = ngram_join.ngram_jaccard_groups(docs, k=5, num=80, den=100)
-    go = groups.where("doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(go, "doc_id", "left_anti").select(*docs.columns)
+    by_id = groups.groupBy("doc_id").agg(F.collect_set(F.when(F.col("doc_id") != F.col("component_id"), F.col("class_id"))).alias("sets"), F.bool_or(F.col("doc_id") == F.col("component_id")).alias("stays"))
+    go = save(by_id.where(F.size("sets") > 0), "go")
+    left = docs.join(go.where("not stays").select("doc_id"), "doc_id", "left_anti").select(*docs.columns)
+    # a doc_id of which some sets go and others stay: only then do rows need their set
+    some = go.where("stays").select("doc_id", "sets")
+    return left if some.isEmpty() else ngram_join.without_sets(left, some, 5).select(*docs.columns)
 
 
 def benchmark_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

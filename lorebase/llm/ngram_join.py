@@ -310,6 +310,22 @@ def ngram_jaccard_groups(docs: DataFrame, k: int = 5, num: int = 80, den: int =
     )
 
 
+def without_sets(docs: DataFrame, gone: DataFrame, k: int) -> DataFrame:
+    """docs without the rows whose set is listed for their doc_id in gone(doc_id, sets: array<long> of class_id)."""
+    listed = gone.select(F.col("doc_id").alias("_doc"), "sets")
+    rows = docs.join(listed, F.col("doc_id") == F.col("_doc")).select(F.struct(*docs.columns).alias("row"), text_bytes("text").alias("bytes"), F.col("sets").alias("sets"))
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in it:
+            stay = []
+            for words, sets in zip(hash_each(b.column(1).to_pylist()), b.column(2).to_pylist(), strict=True):
+                stay.append(not len(words) or set_key(shingles(words, k)) not in sets)
+            yield b.select(["row"]).filter(pa.array(stay, pa.bool_()))
+
+    rest = map_arrow(rows, run, f"row {rows.schema['row'].dataType.simpleString()}").select("row.*")
+    return docs.join(listed, F.col("doc_id") == F.col("_doc"), "left_anti").unionByName(rest)
+
+
 def _allowed(pairs: DataFrame, bitmaps: DataFrame, num: int, den: int) -> DataFrame:
     side = lambda x: bitmaps.select(F.col("key").alias(x), F.col("n").alias(f"n{x}"), F.col("bitmap").alias(f"m{x}"))
     fits = f"{den} * least(na, nb) >= {num} * greatest(na, nb)"

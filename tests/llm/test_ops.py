@@ -542,3 +542,14 @@ def test_pipeline_stages(spark, tmp_path):
     assert docs.where("not round_trip").count() == 0
     for name, stage in corpus_pipeline.STAGES[:-1]:
         assert stage(spark, odd(spark), "/root/testdata/sf0.001").columns == SCHEMA.replace(" long", "").replace(" string", "").split(", ")
+
+
+def test_near_duplicates_of_repeated_doc_ids(spark):
+    import corpus_pipeline
+
+    y, x = ("a b c d e f g h i j k l m n o p", "other words that nothing else here has in any order")
+    rows = [(3, y), (7, y), (7, x), (7, ""), (8, x), (9, y), (None, y)]
+    docs = spark.createDataFrame([(d, t, "en", "s", i) for i, (d, t) in enumerate(rows)], SCHEMA)
+    out = corpus_pipeline.near_duplicate_stage(spark, docs, "")
+    assert out.columns == docs.columns
+    assert sorted(r.n_chars for r in out.collect()) == [0, 2, 3, 6]
