@@ -6,18 +6,17 @@ checkpointed, so lineage and plans don't grow. Only flags are read on the driver
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lorebase.functions.constants import PROBE_STOP, REC_DEPTH
+from lorebase.scratch import scratch_dir
 
 
 def _cut(df: DataFrame) -> DataFrame:
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="lorebase-"))
+        sc.setCheckpointDir(scratch_dir(df.sparkSession))
     return df.checkpoint()
 
 

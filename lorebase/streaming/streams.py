@@ -6,7 +6,6 @@ batch that is repeated after a failure replaces its own rows. Watermarked window
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Iterator
 
@@ -16,10 +15,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from lorebase.scratch import scratch_dir
+
 
 def _folder(spark: SparkSession, name: str) -> str:
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="lorebase-")
-    return f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}/{name}"
+    return f"{scratch_dir(spark)}/stream-{uuid.uuid4().hex}/{name}"
 
 
 def run_to_files(stream: DataFrame, mode: str) -> DataFrame:
