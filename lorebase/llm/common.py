@@ -9,10 +9,8 @@ from __future__ import annotations
 import atexit
 import hashlib
 import re
-import tempfile
 import uuid
 from collections.abc import Callable, Iterator
-from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -20,6 +18,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from xxhash import xxh3_64_intdigest
 
+from lorebase.scratch import scratch_dir
+
 #: Rows per Arrow batch sent to Python: bounds a worker's memory when texts are long.
 ARROW_ROWS = 1000
 
@@ -30,18 +30,6 @@ def configure(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
 
 
-def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder named in spark.checkpoint.dir; a local one only where that is unset."""
-    sc = spark.sparkContext
-    base = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
-    if not base:
-        base = sc.getCheckpointDir()
-    if not base:
-        base = tempfile.mkdtemp(prefix="lorebase-")
-        sc.setCheckpointDir(base)
-    return base.rstrip("/")
-
-
 def new_path(spark: SparkSession, name: str) -> str:
     path = f"{scratch_dir(spark)}/lorebase-{uuid.uuid4().hex}/{name}"
     if not _made:
@@ -105,14 +93,19 @@ STRETCH = 1 << 17
 _BASE = 0x9E3779B97F4A7C15
 
 
-@cache
-def _powers() -> tuple[np.ndarray, np.ndarray]:
-    """Powers of the odd base and of its inverse, modulo 2^64."""
-    up, down = (np.full(STRETCH, b, np.uint64) for b in (_BASE, pow(_BASE, -1, 1 << 64)))
-    up[0] = down[0] = 1
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first n powers of the odd base and of its inverse, modulo 2^64."""
+    up, down = (np.full(n, b, np.uint64) for b in (_BASE, pow(_BASE, -1, 1 << 64)))
+    up[:1] = down[:1] = 1
     return np.multiply.accumulate(up), np.multiply.accumulate(down)
 
 
+def distinct(x: np.ndarray) -> np.ndarray:
+    """Sorted distinct values, by a sort (np.unique hashes, which is several times slower here)."""
+    x = np.sort(x)
+    return x[np.concatenate([[True], x[1:] != x[:-1]])] if len(x) else x
+
+
 def _stretches(texts: list[bytes | None]) -> Iterator[tuple[bytes, int, list[int]]]:
     """Texts joined by spaces into pieces of at most STRETCH bytes: (piece, first text, where each text ends in it).
 
@@ -153,13 +146,13 @@ def hash_texts(texts: list[bytes | None], lower: bool = True, lines: bool = Fals
     operations a byte and no Python object a word.
     """
     hashes, owners, places, base = [], [], [], np.zeros(len(texts) + 1, np.int64)
-    up, down = _powers()
+    up, down = _powers(min(STRETCH, sum(len(t) + 1 for t in texts if t) + len(texts)))
     for piece, first, ends in _stretches(texts):
         a = np.frombuffer(piece, np.uint8)
         a = _LOWER[a] if lower else a
         edge = np.diff(np.concatenate([[True], _IS_SPACE[a], [True]]).astype(np.int8))
         start, end = np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
-        if len(a) > STRETCH:  # one word and perhaps the space behind it
+        if len(start) and end[0] - start[0] >= STRETCH:  # one word and perhaps the space behind it
             h = np.array([xxh3_64_intdigest(a[s:e].tobytes()) for s, e in zip(start, end, strict=True)], np.uint64)
         else:
             total = np.concatenate([[np.uint64(0)], np.cumsum((a.astype(np.uint64) + np.uint64(1)) * up[: len(a)])])
@@ -180,6 +173,27 @@ def hash_texts(texts: list[bytes | None], lower: bool = True, lines: bool = Fals
     return np.concatenate([np.zeros(0, np.uint64), *hashes]), np.concatenate([none, *owners]), np.concatenate([none, *places]) if lines else None
 
 
+def gather(it: Iterator[pa.RecordBatch], rows: int, size: int) -> Iterator[pa.RecordBatch]:
+    """The batches joined until they have so many rows or bytes."""
+    held, n, total = [], 0, 0
+    for b in it:
+        held.append(b)
+        n, total = n + b.num_rows, total + b.nbytes
+        if n >= rows or total >= size:
+            yield held[0] if len(held) == 1 else pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+            held, n, total = [], 0, 0
+    if n:
+        yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+
+
+def fresh(name: str, columns: list[str]) -> str:
+    """name, with underscores behind it until no column is called so (Spark's names ignore case)."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def split_by(values: np.ndarray, owner: np.ndarray, n: int) -> list[np.ndarray]:
     """values of owners 0 to n - 1, in order."""
     return np.split(values, np.searchsorted(owner, np.arange(1, n))) if n else []
@@ -205,7 +219,7 @@ def raw_shingles(word_hashes: np.ndarray, k: int) -> np.ndarray:
 
 def shingles(word_hashes: np.ndarray, k: int) -> np.ndarray:
     """Sorted distinct hashes of the shingles."""
-    return np.unique(raw_shingles(word_hashes, k))
+    return distinct(raw_shingles(word_hashes, k))
 
 
 def set_key(tokens: np.ndarray) -> int:
@@ -220,6 +234,10 @@ def batch(schema: pa.Schema, *columns) -> pa.RecordBatch:
 # --- connected components -----------------------------------------------------------------------
 
 
+#: Rounds grow with the logarithm of the longest path.
+ROUNDS = 60
+
+
 def components(edges: DataFrame, a: str = "a", b: str = "b", name: str = "cc") -> DataFrame:
     """(node, comp): the smallest node reachable, for every node of an edge list of longs.
 
@@ -229,7 +247,7 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", name: str = "cc") -
     e = save(
         edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v").distinct(), f"{name}-0"
     )
-    for step in range(60):
+    for step in range(ROUNDS):
         # large star: each node links its larger neighbours to its smallest neighbour (or itself)
         both = e.select("u", "v").union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
@@ -243,5 +261,5 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", name: str = "cc") -
         many = nxt.groupBy("u").agg(F.count("*").alias("n")).where("n > 1").limit(1).select("n")
         e = nxt
         if tall.isEmpty() and many.isEmpty():
-            break
-    return e.select(F.col("u").alias("node"), F.col("v").alias("comp"))
+            return e.select(F.col("u").alias("node"), F.col("v").alias("comp"))
+    raise RuntimeError(f"components: no forest of stars after {ROUNDS} rounds")

@@ -3,19 +3,28 @@
 A line's tokens are its distinct words (A-Z folded). Lines without a word are never removed. A line is removed if an
 earlier line, by (doc_id, line number), has Jaccard similarity of at least num / den with it.
 
-Equal token sets are settled first: of these only the first line can stay, and copies within a task go no further.
-Sets so small that one word more or less falls short of num / den (under 4 words at 0.8) can only have equal partners
-and end there; they are compared by 64 bits a word.
-The others meet in the postings of their prefix, the n - ceil(t * n) + 1 first tokens in an order by rarity over all
-documents (the COMMON_MAX most frequent words are told apart, all others count as rare). Postings travel packed
-into one row per task and bucket, and a token of many lines is dealt to the pairs of its blocks, so a bucket stays
-bounded. Within a bucket length, positional and bitmap filters act on all pairs of a posting at once; a line gives
-out its FIRST_FEW earliest candidates, which are verified on whole token sets. Only lines that none of these removed
-and that had more candidates go through a second round, which gives out all of theirs.
-
-Words of the larger sets are compared by 32-bit hashes. Rows that share a doc_id share positions and so are no copies of each other;
-rows with a null doc_id take no part and come back unchanged, as do null and empty texts. Lines end at \\n and keep
-other white space. Extra columns are kept.
+Equal token sets are settled by their 64-bit keys: of these only the first line can stay, and copies within a task go
+no further. Sets so small that one word more or less falls short of num / den (under 4 words at 0.8) can only have
+equal partners and end there.
+
+The others meet in the postings of their prefix, the n - ceil(t * n) + 1 first tokens in an order by rarity. That
+order comes from counts over all documents in SLOTS slots of token hashes, a table of fixed size. A posting holds the
+line, the set's key and size, the token's position and a sketch of 128 bits, in each of which the parity of the
+set's tokens there is kept: sets that differ in d tokens differ in at most d bits. Within a posting the smaller set of
+a pair has to show the token in its shorter index prefix; length, positional and sketch filters drop most pairs at
+once, without leaving the task.
+
+First round: a token of many lines is dealt to blocks of about BLOCK lines, without copies. In each posting the
+earliest lines are held against all others, PIVOTS times, so that a group of near copies costs a few looks a line.
+A line gives out FEW candidates a posting; these are verified on whole token sets. Second round: only the lines that
+none of these removed, and that had more candidates or a token of several blocks, are held against all blocks and
+give out all candidates. Lines themselves are never copied, only these probes are. Nothing is capped: what the first
+round leaves open, the second one settles.
+
+Words of the larger sets are compared by 32-bit hashes. Rows that share a doc_id share positions and so are no copies
+of each other; rows with a null doc_id take no part and come back unchanged, as do null and empty texts; an empty
+table gives no rows. Lines end at \\n and keep other white space. Very long texts and lines are hashed piece by piece.
+Extra columns are kept.
 """
 
 from __future__ import annotations
@@ -27,40 +36,53 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batch, hash_texts, map_arrow, mix, save, text_bytes
+from .common import batch, distinct, fresh, gather, hash_texts, map_arrow, mix, save, text_bytes
 
-MIN_TOKENS = 1
-COMMON_MAX = 1 << 18
-CHUNK, LOCAL_MIN = 2_000_000, 3
+#: Slots in which tokens are counted, by their high bits; a slot counted less than LOCAL_MIN times in CHUNK tokens is
+#: given out by chance, at a rate that leaves the expected total as it is.
+SLOT_BITS, CHUNK, LOCAL_MIN = 20, 1 << 22, 8
+SLOTS = 1 << SLOT_BITS
 #: Lines of a posting that are compared in one task; postings per bucket; least number of buckets.
-BLOCK, BUCKET, MIN_BUCKETS = 4096, 250_000, 256
-#: Postings a task gathers before it sends them.
-SEND = 1 << 19
-FIRST_FEW = 2
-#: The second round filters postings by its tokens if they are at most so many (4 bytes each).
-PROBES_MAX = 1 << 20
+BLOCK, BUCKET, MIN_BUCKETS = 1 << 14, 250_000, 256
+#: Keys a task remembers to drop copies; postings it gathers before it sends them; pairs looked at in one step.
+SEEN, SEND, STEP = 1 << 16, 1 << 19, 1 << 20
+FEW, PIVOTS = 2, 4
+BITS = 128
 
 LINE = pa.schema([("doc_id", pa.int64()), ("line", pa.int32()), ("key", pa.int64()), ("n", pa.int32()), ("tokens", pa.binary())])
-POSTING = np.dtype([("token", "<u4"), ("same", "<u4"), ("doc", "<i8"), ("line", "<i4"), ("pos", "<u2"), ("n", "<u2"), ("probe", "u1"), ("bits", "<u8", 2)])
-#: Larger sizes are held as this, and such lines pass the filters that need them.
-LARGE = 65535
+POSTING = np.dtype([("token", "<u4"), ("doc", "<i8"), ("line", "<i4"), ("key", "<i8"), ("n", "<u4"), ("pos", "<u4"), ("probe", "u1"), ("low", "<u8"), ("high", "<u8")])
+#: Roles of a posting: only looked up, only probing, both.
+LOOKED_UP, PROBING, BOTH = 0, 1, 2
 
 
-def _ragged(values: np.ndarray, lengths: np.ndarray) -> pa.Array:
-    """A binary array of rows of uint32, without copying."""
-    offsets = np.concatenate([[0], np.cumsum(4 * lengths)]).astype(np.int32)
-    return pa.Array.from_buffers(pa.binary(), len(lengths), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(values))])
+def _ragged(values: np.ndarray, lengths: np.ndarray, held: np.ndarray) -> pa.Array:
+    """A binary array of rows of uint32; rows that aren't held are null."""
+    keep = np.repeat(held, lengths)
+    offsets = np.concatenate([[0], np.cumsum(4 * np.where(held, lengths, 0))]).astype(np.int32)
+    valid = pa.array(held).buffers()[1]
+    return pa.Array.from_buffers(pa.binary(), len(lengths), [valid, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(values[keep]))])
 
 
 def _least(num: int, den: int) -> int:
     """The least size of a set that a different one can be similar to: n / (n + 1) >= num / den."""
-    return max(MIN_TOKENS, -(-num // (den - num))) if num < den else LARGE * LARGE
+    return -(-num // (den - num)) if num < den else 1 << 62
+
+
+def _prefix(n: np.ndarray, num: int, den: int) -> np.ndarray:
+    """n - ceil(n * num / den) + 1."""
+    return n + (-n * num // den) + 1
+
+
+def _overlap(total: np.ndarray, num: int, den: int) -> np.ndarray:
+    """The least overlap of similar sets with so many tokens together."""
+    return -(-num * total // (num + den))
 
 
 def _lines(least: int):
-    """doc_id, line, key, n and tokens (uint32, ascending) of each line; with n = -count, words common in a chunk.
+    """doc_id, line, key, n and tokens (uint32, ascending) of each line; with n = -count, token slots and their counts.
 
-    Words are counted in lines of least tokens and more, those that give postings.
+    Tokens are null for lines of fewer than `least` tokens and for copies of a line that the task has met lately;
+    tokens are counted in lines that hold them.
     """
 
     def small_keys(at: np.ndarray, hashes: np.ndarray, small: np.ndarray) -> np.ndarray:
@@ -69,120 +91,141 @@ def _lines(least: int):
         at, hashes = at[mine], hashes[mine]
         order = np.lexsort((hashes, at))
         at, hashes = at[order], hashes[order]
-        fresh = np.concatenate([[True], (at[1:] != at[:-1]) | (hashes[1:] != hashes[:-1])]) if len(at) else np.zeros(0, bool)
-        at, hashes = at[fresh], hashes[fresh]
+        new = np.concatenate([[True], (at[1:] != at[:-1]) | (hashes[1:] != hashes[:-1])]) if len(at) else np.zeros(0, bool)
+        at, hashes = at[new], hashes[new]
         start = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]])) if len(at) else np.zeros(0, np.int64)
         size = np.diff(np.append(start, len(at))).astype(np.uint64)
         return mix(np.add.reduceat(mix(hashes + np.uint64(1)), start) + size) if len(at) else np.zeros(0, np.uint64)
 
     def tokens_of(docs: np.ndarray, texts: list[bytes]) -> tuple[np.ndarray, ...]:
         hashes, owner, line = hash_texts(texts, lines=True)
-        fresh = np.flatnonzero(np.concatenate([[True], (owner[1:] != owner[:-1]) | (line[1:] != line[:-1])])) if len(owner) else owner
-        size = np.diff(np.append(fresh, len(owner)))
-        at = np.repeat(np.arange(len(fresh), dtype=np.uint64), size)
-        distinct = np.unique(at << np.uint64(32) | hashes >> np.uint64(32))
-        n = np.bincount((distinct >> np.uint64(32)).astype(np.int64), minlength=len(fresh))
-        tokens = (distinct & np.uint64(0xFFFFFFFF)).astype(np.uint32)
+        new = np.flatnonzero(np.concatenate([[True], (owner[1:] != owner[:-1]) | (line[1:] != line[:-1])])) if len(owner) else owner
+        size = np.diff(np.append(new, len(owner)))
+        at = np.repeat(np.arange(len(new), dtype=np.uint64), size)
+        held = distinct(at << np.uint64(32) | hashes >> np.uint64(32))
+        n = np.bincount((held >> np.uint64(32)).astype(np.int64), minlength=len(new))
+        tokens = (held & np.uint64(0xFFFFFFFF)).astype(np.uint32)
         key = mix(np.add.reduceat(mix(tokens.astype(np.uint64) + np.uint64(1)), np.cumsum(n) - n) + n.astype(np.uint64)) if len(n) else np.zeros(0, np.uint64)
         small = n < least
-        key[small] = small_keys(at.astype(np.int64), hashes, small)
-        return docs[owner[fresh]], line[fresh].astype(np.int32), n, tokens, key.view(np.int64)
+        if small.any():
+            key[small] = small_keys(at.astype(np.int64), hashes, small)
+        return docs[owner[new]], line[new].astype(np.int32), n, tokens, key.view(np.int64)
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size = [], 0
-
-        def report() -> pa.RecordBatch:
-            words, counts = np.unique(np.concatenate(held), return_counts=True)
-            often = counts >= LOCAL_MIN
-            none = int(often.sum())
-            return batch(LINE, pa.nulls(none, pa.int64()), pa.nulls(none, pa.int32()), words[often].astype(np.int64), -counts[often].astype(np.int32), pa.nulls(none, pa.binary()))
+        counts, size, chunk, seen = np.zeros(SLOTS, np.int64), 0, 0, {}
+
+        def report(name: int) -> pa.RecordBatch:
+            slots = np.flatnonzero(counts)
+            c = counts[slots]
+            luck = mix(slots.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(name)) % np.uint64(LOCAL_MIN)
+            often = c > luck.astype(np.int64)  # c < LOCAL_MIN: at a rate of c / LOCAL_MIN
+            slots, c = slots[often], np.maximum(c[often], LOCAL_MIN)
+            none = len(slots)
+            counts[:] = 0
+            return batch(LINE, pa.nulls(none, pa.int64()), pa.nulls(none, pa.int32()), slots, -np.minimum(c, 2**31 - 1).astype(np.int32), pa.nulls(none, pa.binary()))
 
         for b in it:
             doc, line, n, tokens, key = tokens_of(b.column(0).to_numpy(), b.column(1).to_pylist())
             if not len(n):
                 continue
-            yield batch(LINE, doc, line, key, n.astype(np.int32), _ragged(tokens, n))
-            counted = tokens[np.repeat(n >= least, n)]
-            held.append(counted)
+            if len(seen) > SEEN:
+                seen.clear()
+            held = n >= least
+            for i in np.flatnonzero(held).tolist():
+                at = int(doc[i]), int(line[i])
+                if (old := seen.get(k := int(key[i]))) is None or at < old:
+                    seen[k] = at
+                else:
+                    held[i] = False
+            yield batch(LINE, doc, line, key, n.astype(np.int32), _ragged(tokens, n, held))
+            counted = tokens[np.repeat(held, n)]
+            counts += np.bincount(counted >> np.uint32(32 - SLOT_BITS), minlength=SLOTS)
             size += len(counted)
+            chunk ^= int(key[0]) & (2**64 - 1)
             if size >= CHUNK:
-                yield report()
-                held, size = [], 0
+                yield report(chunk)
+                size = 0
         if size:
-            yield report()
+            yield report(chunk)
 
     return run
 
 
-def _postings(num: int, den: int, common, buckets: int, probes=None):
+def _pack(rows: np.ndarray) -> bytes:
+    """Column by column, which compresses better."""
+    return b"".join(rows[c].tobytes() for c in POSTING.names)
+
+
+def _unpack(packed: list[bytes]) -> dict[str, np.ndarray]:
+    parts = {c: [] for c in POSTING.names}
+    for p in packed:
+        n, at = len(p) // POSTING.itemsize, 0
+        for c in POSTING.names:
+            kind = POSTING[c]
+            parts[c].append(np.frombuffer(p, kind, n, at))
+            at += n * kind.itemsize
+    return {c: np.concatenate([np.zeros(0, POSTING[c]), *v]) for c, v in parts.items()}
+
+
+def _blocks(levels: np.ndarray) -> np.ndarray:
+    """The blocks of tokens of these levels."""
+    return np.ceil(2.0 ** (np.arange(256) / 4) / BLOCK)[levels].astype(np.int64)
+
+
+def _postings(num: int, den: int, levels, buckets: int, wanted=None):
     """(bucket, packed postings) of the prefixes of lines(doc_id, line, key, n, tokens, probe).
 
-    common: sorted word hashes and counts. probes: the only tokens wanted, or None for all.
+    levels: of each slot. wanted: in the second round, whether a slot is one of a probing line's prefix. Probing
+    lines go to all blocks of their tokens then, and all lines, to be looked up, to their own.
     """
     schema = pa.schema([("bucket", pa.int32()), ("postings", pa.binary())])
 
-    def packed(b: pa.RecordBatch, seen: dict[int, tuple[int, int]]) -> tuple[np.ndarray, np.ndarray]:
-        names, counts = common.value
+    def packed(b: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
         doc, line, key, n, probe = (b.column(c).to_numpy(zero_copy_only=False) for c in ("doc_id", "line", "key", "n", "probe"))
-        fresh = np.zeros(len(n), bool)
-        for i, (k, at) in enumerate(zip(key.tolist(), zip(doc.tolist(), line.tolist(), strict=True), strict=True)):
-            if (old := seen.get(k)) is None or at < old:
-                seen[k], fresh[i] = at, True
-        rows = np.flatnonzero(fresh)
-        if not len(rows):
-            return np.zeros(0, POSTING), np.zeros(0, np.int64)
-        doc, line, key, n, probe = doc[rows], line[rows], key[rows], n[rows].astype(np.int64), probe[rows]
-        tokens = np.frombuffer(b"".join(b.column("tokens").take(pa.array(rows)).to_pylist()), np.uint32)
-        count = np.zeros(len(tokens), np.int64)
-        if len(names):
-            found = np.minimum(np.searchsorted(names, tokens), len(names) - 1)
-            count = np.where(names[found] == tokens, counts[found], 0)
-        starts, of = np.cumsum(n) - n, np.repeat(np.arange(len(n)), n)
-        # lines keep their place under a stable sort by (line, level); tokens ascend already
-        level = np.where(count, 1 + 4 * np.log2(np.maximum(count, 1)), 0).astype(np.int64)
-        order = np.argsort((of << 8) | np.minimum(level, 255), kind="stable")
+        n = n.astype(np.int64)
+        tokens = np.frombuffer(b"".join(b.column("tokens").to_pylist()), np.uint32)
+        slots = tokens >> np.uint32(32 - SLOT_BITS)
+        starts, of = np.cumsum(n) - n, np.repeat(np.arange(len(n), dtype=np.uint64), n)
+        order = np.sort(of << np.uint64(40) | levels.value[slots].astype(np.uint64) << np.uint64(32) | tokens)
+        of = of.astype(np.int64)
         pos = np.arange(len(tokens)) - starts[of]
-        inside = pos < (n + (-n * num // den) + 1)[of]  # n - ceil(n * num / den) + 1
-        chosen, owner = order[inside], of[inside]
-        bits = np.zeros((len(n), 2), np.uint64)
-        one = np.uint64(1) << (tokens & np.uint32(63)).astype(np.uint64)
-        half = (tokens >> np.uint32(6)) & np.uint32(1)
-        for h in (0, 1):
-            bits[:, h] = np.bitwise_or.reduceat(np.where(half == h, one, np.uint64(0)), starts)
-        out = np.zeros(len(chosen), POSTING)
-        out["token"], out["doc"], out["line"], out["pos"] = tokens[chosen], doc[owner], line[owner], np.minimum(pos[inside], LARGE)
-        out["same"] = (key & 0xFFFFFFFF).astype(np.uint32)[owner]
-        out["n"], out["probe"], out["bits"] = np.minimum(n, LARGE)[owner], probe[owner], bits[owner]
-        times = count[chosen]
-        if probes is not None:
-            wanted = probes.value
-            at = np.minimum(np.searchsorted(wanted, out["token"]), len(wanted) - 1)
-            keep = wanted[at] == out["token"] if len(wanted) else np.zeros(len(out), bool)
-            out, times = out[keep], times[keep]
-        # a token of many lines: the line of block i goes to the tasks of the block pairs (i, j)
-        blocks = np.maximum(1, -(-times // BLOCK))
-        mine = (mix(out["doc"].view(np.uint64) * np.uint64(1 << 20) + out["line"].astype(np.uint64)) % blocks.astype(np.uint64)).astype(np.int64)
-        copies = np.repeat(np.arange(len(out)), blocks)
-        other = np.arange(len(copies)) - np.repeat(np.cumsum(blocks) - blocks, blocks)
-        low, high = np.minimum(mine[copies], other), np.maximum(mine[copies], other)
-        place = mix(mix(out["token"].astype(np.uint64)[copies]) + low.astype(np.uint64) * np.uint64(1 << 32) + high.astype(np.uint64))
-        return out[copies], (place % np.uint64(buckets)).astype(np.int64)
+        inside = pos < _prefix(n, num, den)[of]
+        token, owner, pos = (order[inside] & np.uint64(0xFFFFFFFF)).astype(np.uint32), of[inside], pos[inside]
+        if wanted is not None:
+            keep = wanted.value[token >> np.uint32(32 - SLOT_BITS)]
+            token, owner, pos = token[keep], owner[keep], pos[keep]
+        bit, half = np.uint64(1) << (tokens & np.uint32(63)).astype(np.uint64), (tokens >> np.uint32(6)) & np.uint32(1)
+        out = np.zeros(len(token), POSTING)
+        for c, h in (("low", 0), ("high", 1)):
+            out[c] = np.bitwise_xor.reduceat(np.where(half == h, bit, np.uint64(0)), starts)[owner]
+        out["token"], out["doc"], out["line"], out["key"], out["n"], out["pos"] = token, doc[owner], line[owner], key[owner], n[owner], pos
+        out["probe"] = BOTH if wanted is None else LOOKED_UP
+        blocks = _blocks(levels.value[token >> np.uint32(32 - SLOT_BITS)])
+        block = (mix(out["key"].view(np.uint64)) % blocks.astype(np.uint64)).astype(np.int64)
+        if wanted is not None:
+            asks = np.flatnonzero(probe[owner])
+            copies = np.repeat(asks, blocks[asks])
+            other = np.arange(len(copies)) - np.repeat(np.cumsum(blocks[asks]) - blocks[asks], blocks[asks])
+            probing = out[copies]
+            probing["probe"] = PROBING
+            out, block = np.concatenate([out, probing]), np.concatenate([block, other])
+        place = mix(mix(out["token"].astype(np.uint64)) + block.astype(np.uint64))
+        return out, (place % np.uint64(buckets)).astype(np.int64)
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size, seen = [], 0, {}
+        held, size = [], 0
 
         def send() -> pa.RecordBatch:
             rows, place = (np.concatenate([h[i] for h in held]) for i in (0, 1))
-            order = np.argsort(place, kind="stable")
+            order = np.lexsort((rows["token"], place))
             rows, place = rows[order], place[order]
-            used, first = np.unique(place, return_index=True)
+            first = np.flatnonzero(np.concatenate([[True], place[1:] != place[:-1]]))
             parts = np.split(rows, first[1:])
-            return batch(schema, used.astype(np.int32), [p.tobytes() for p in parts])
+            return batch(schema, place[first].astype(np.int32), [_pack(p) for p in parts])
 
-        for b in it:
-            if b.num_rows:
-                held.append(packed(b, seen))
-                size += len(held[-1][0])
+        for b in gather(it, 1 << 13, 1 << 22):
+            held.append(packed(b))
+            size += len(held[-1][0])
             if size >= SEND:
                 yield send()
                 held, size = [], 0
@@ -195,67 +238,169 @@ def _postings(num: int, den: int, common, buckets: int, probes=None):
 PAIR = pa.schema([("xd", pa.int64()), ("xl", pa.int32()), ("yd", pa.int64()), ("yl", pa.int32()), ("more", pa.bool_())])
 
 
-def _pairs(num: int, den: int, few: int | None):
-    """Per bucket: (later line, earlier line) that all filters let pass; with few, the earliest so many a posting."""
+class Postings:
+    """The postings of a bucket, each set once a posting, in order of token, size and position."""
+
+    def __init__(self, p: dict[str, np.ndarray], num: int, den: int):
+        # equal sets of a posting: the first line stands for all; copies are settled elsewhere
+        order = np.lexsort((p["line"], p["doc"], p["key"], p["token"]))
+        token, key = p["token"][order], p["key"][order]
+        new = np.concatenate([[True], (token[1:] != token[:-1]) | (key[1:] != key[:-1])]) if len(order) else np.zeros(0, bool)
+        order = order[new]
+        order = order[np.lexsort((p["pos"][order], p["n"][order], p["token"][order]))]
+        self.token, self.doc, self.line, self.low, self.high = (p[c][order] for c in ("token", "doc", "line", "low", "high"))
+        self.n, self.pos = p["n"][order].astype(np.int64), p["pos"][order].astype(np.int64)
+        self.place = self.token.astype(np.int64) << 31 | np.minimum(self.n, (1 << 31) - 1)
+        self.index = self.pos < self.n - _overlap(2 * self.n, num, den) + 1
+        rank = np.lexsort((self.line, self.doc))
+        self.rank = np.empty(len(rank), np.int64)
+        self.rank[rank] = np.arange(len(rank))
+
+    def __len__(self) -> int:
+        return len(self.token)
+
+
+def _similar(x: Postings, i: np.ndarray, y: Postings, j: np.ndarray, num: int, den: int) -> np.ndarray:
+    """Whether positions and sketches let x[i] and y[j], which share a token, be similar."""
+    a, b, pa_, pb = x.n[i], y.n[j], x.pos[i], y.pos[j]
+    need = _overlap(a + b, num, den)
+    shown = ((a >= b) & y.index[j]) | ((b >= a) & x.index[i])  # by the smaller one, or by either
+    ok = shown & (den * np.minimum(a, b) >= num * np.maximum(a, b)) & (np.minimum(pa_, pb) + np.minimum(a - pa_, b - pb) >= need)
+    k = np.flatnonzero(ok)
+    apart = np.bitwise_count(x.low[i[k]] ^ y.low[j[k]]).astype(np.int64) + np.bitwise_count(x.high[i[k]] ^ y.high[j[k]])
+    ok[k] = apart <= a[k] + b[k] - 2 * need[k]
+    return ok
+
+
+def _ranges(from_: np.ndarray, to: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(i, j) for all j from from_[i] to to[i] - 1, STEP or so at a time; a longer row is cut."""
+    count = np.maximum(to - from_, 0)
+    ends = np.cumsum(count)
+    at, total = 0, int(ends[-1]) if len(ends) else 0
+    while at < total:
+        till = min(total, at + STEP)
+        lo, hi = np.searchsorted(ends, at, side="right"), np.searchsorted(ends, till, side="left") + 1
+        rows = np.arange(lo, hi)
+        first = np.maximum(at - (ends[rows] - count[rows]), 0)
+        last = np.minimum(till - (ends[rows] - count[rows]), count[rows])
+        size = last - first
+        i = np.repeat(rows, size)
+        yield i, np.arange(len(i)) - np.repeat(np.cumsum(size) - size, size) + (from_[rows] + first)[i - lo]
+        at = till
+
+
+class Candidates:
+    """Pairs (later, earlier); with few, the first so many of a later line and posting."""
+
+    def __init__(self, p: Postings, few: int | None):
+        self.few, self.given, self.later, self.earlier = few, np.zeros(len(p), np.int64), [], []
+
+    def add(self, later: np.ndarray, earlier: np.ndarray) -> None:
+        if self.few is not None and len(later):
+            order = np.argsort(later, kind="stable")
+            later, earlier = later[order], earlier[order]
+            start = np.flatnonzero(np.concatenate([[True], later[1:] != later[:-1]]))
+            nth = np.arange(len(later)) - np.repeat(start, np.diff(np.append(start, len(later))))
+            keep = nth + self.given[later] < self.few
+            self.given += np.bincount(later, minlength=len(self.given))
+            later, earlier = later[keep], earlier[keep]
+        self.later.append(later)
+        self.earlier.append(earlier)
+
+
+def _first_pairs(p: Postings, found: Candidates, num: int, den: int) -> None:
+    """Candidates among p: earliest lines of the postings against all first, then all that want for candidates."""
+    size = np.bincount(np.cumsum(np.concatenate([[0], p.token[1:] != p.token[:-1]]))) if len(p) else np.zeros(0, np.int64)
+    large = np.repeat(size, size) > 8
+    been = np.zeros(len(p), bool)
+    for _ in range(PIVOTS):
+        open_ = np.flatnonzero(large & (found.given < FEW))
+        can = open_[~been[open_]]
+        if not len(can):
+            break
+        can = can[np.lexsort((p.rank[can], p.token[can]))]
+        pivot = can[np.concatenate([[True], p.token[can[1:]] != p.token[can[:-1]]])]
+        been[pivot] = True
+        of = np.searchsorted(p.token[pivot], p.token[open_])
+        there = of < len(pivot)
+        open_, y = open_[there], pivot[of[there]]
+        ok = (p.token[open_] == p.token[y]) & (p.rank[open_] > p.rank[y])
+        open_, y = open_[ok], y[ok]
+        ok = _similar(p, open_, p, y, num, den)
+        found.add(open_[ok], y[ok])
+    wanting = found.given < FEW
+    if wanting.all():
+        most = p.n * den // num
+        y = np.flatnonzero(p.index)
+        for i, x in _ranges(y + 1, np.searchsorted(p.place, p.place[y] - p.n[y] + most[y], side="right")):
+            i = y[i]
+            ok = _similar(p, x, p, i, num, den)
+            x, i = x[ok], i[ok]
+            swap = p.rank[x] < p.rank[i]
+            later, earlier = np.where(swap, i, x), np.where(swap, x, i)
+            new = ~been[earlier]
+            found.add(later[new], earlier[new])
+        return
+    _probe(p, np.flatnonzero(wanting), p, found, num, den, been)
+
+
+def _probe(x: Postings, rows: np.ndarray, y: Postings, found: Candidates, num: int, den: int, met: np.ndarray | None = None) -> None:
+    """Candidates of rows of x among all of y that come earlier, but for those of y that x has met."""
+    least, most = -(-x.n[rows] * num // den), x.n[rows] * den // num
+    base = x.place[rows] - x.n[rows]
+    for i, j in _ranges(np.searchsorted(y.place, base + least), np.searchsorted(y.place, base + most, side="right")):
+        i = rows[i]
+        ok = (y.doc[j] < x.doc[i]) | ((y.doc[j] == x.doc[i]) & (y.line[j] < x.line[i]))
+        if met is not None:
+            ok &= ~met[j]
+        i, j = i[ok], j[ok]
+        ok = _similar(x, i, y, j, num, den)
+        found.add(i[ok], j[ok])
+
+
+def _pairs(num: int, den: int, levels, few: int | None):
+    """Per bucket: (later line, earlier line) that all filters let pass; with few, so many a posting.
+
+    A line with so many, which may have more, or with a token of several blocks has a row without an earlier line.
+    """
 
     def run(table: pa.Table) -> pa.Table:
-        p = np.frombuffer(b"".join(table.column("postings").to_pylist()), POSTING)
-        # of equal sets the first line of a posting stands for all; copies are settled elsewhere
-        p = p[np.lexsort((p["line"], p["doc"]))]
-        name = p["token"].astype(np.uint64) << np.uint64(32) | p["same"]
-        order = np.argsort(name, kind="stable")
-        fresh = np.concatenate([[True], name[order[1:]] != name[order[:-1]]]) if len(p) else np.zeros(0, bool)
-        kept = np.sort(order[fresh])
-        p = p[kept[np.argsort(p["token"][kept], kind="stable")]]
-        token, doc, line, probe = p["token"], p["doc"], p["line"], p["probe"] > 0
-        n, pos, bits = p["n"].astype(np.int64), p["pos"].astype(np.int64), p["bits"]
-        excess = n - np.bitwise_count(bits).sum(axis=1)
-        start = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]])) if len(p) else np.zeros(0, np.int64)
-        length = np.diff(np.append(start, len(p)))
-        # places in order of how far the end of their posting is: those that have a partner at distance s come first
-        after = np.repeat(start + length, length) - np.arange(len(p)) - 1
-        by_reach = np.argsort(-after, kind="stable")
-        reach = after[by_reach]
-        given, out = np.zeros(len(p), np.int64), []
-        for s in range(int(reach[0]) if len(reach) else 0, 0, -1):  # far first: the earliest partners of a line
-            y = by_reach[: np.searchsorted(-reach, -s, side="right")]
-            x = y + s
-            a, b = n[x], n[y]
-            ok = probe[x] & ((doc[x] != doc[y]) | (line[x] != line[y]))
-            most = np.minimum(pos[x], pos[y]) + np.minimum(a - pos[x], b - pos[y])
-            large = np.maximum(a, b) == LARGE
-            ok &= large | ((den * np.minimum(a, b) >= num * np.maximum(a, b)) & ((num + den) * most >= num * (a + b)))
-            x, y = x[ok], y[ok]
-            if not len(x):
-                continue
-            both = np.bitwise_count(bits[x] & bits[y]).sum(axis=1) + np.minimum(excess[x], excess[y])
-            apart = np.bitwise_count(bits[x] ^ bits[y]).sum(axis=1)
-            most = np.minimum(both, (n[x] + n[y] - apart) // 2)
-            ok = (np.maximum(n[x], n[y]) == LARGE) | ((num + den) * most >= num * (n[x] + n[y]))
-            x, y = x[ok], y[ok]
-            given[x] += 1
-            if few is not None:
-                first = given[x] <= few
-                x, y = x[first], y[first]
-            out.append((x, y))
-        x, y = (np.concatenate([o[i] for o in out]) if out else np.zeros(0, np.int64) for i in (0, 1))
-        more = given[x] > few if few is not None else np.zeros(len(x), bool)
-        return pa.table([pa.array(c) for c in (doc[x], line[x], doc[y], line[y], more)], schema=PAIR)
+        p = _unpack(table.column("postings").to_pylist())
+        pick = lambda rows: {c: v[rows] for c, v in p.items()}
+        y = Postings(pick(np.flatnonzero(p["probe"] != PROBING)), num, den)
+        x = y if few is not None else Postings(pick(np.flatnonzero(p["probe"] == PROBING)), num, den)
+        found = Candidates(x, few)
+        if few is not None:
+            _first_pairs(x, found, num, den)
+        else:
+            _probe(x, np.arange(len(x)), y, found, num, den)
+        later, earlier = (np.concatenate([np.zeros(0, np.int64), *c]) for c in (found.later, found.earlier))
+        again = np.flatnonzero((found.given >= few) | (_blocks(levels.value[x.token >> np.uint32(32 - SLOT_BITS)]) > 1)) if few is not None else np.zeros(0, np.int64)
+        none = len(again)
+        columns = [np.concatenate([x.doc[later], x.doc[again]]), np.concatenate([x.line[later], x.line[again]])]
+        nulls = np.concatenate([np.zeros(len(later), bool), np.ones(none, bool)])
+        yd, yl = (pa.array(np.concatenate([v, np.zeros(none, v.dtype)]), mask=nulls) for v in (y.doc[earlier], y.line[earlier]))
+        return pa.table([pa.array(columns[0]), pa.array(columns[1]), yd, yl, pa.array(nulls)], schema=PAIR)
 
     return run
 
 
 def _verify(num: int, den: int):
-    schema = pa.schema([("xd", pa.int64()), ("xl", pa.int32()), ("ok", pa.bool_()), ("more", pa.bool_())])
+    """Of pairs with their token sets, whether they are similar; many pairs at a time by one sort."""
+    schema = pa.schema([("xd", pa.int64()), ("xl", pa.int32()), ("ok", pa.bool_())])
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in it:
-            ok = []
-            for ta, tb in zip(b.column(3).to_pylist(), b.column(4).to_pylist(), strict=True):
-                x, y = np.frombuffer(ta, np.uint32), np.frombuffer(tb, np.uint32)
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                ok.append(den * both >= num * (len(x) + len(y) - both))
-            yield batch(schema, b.column(0), b.column(1), ok, b.column(2))
+            sides = []
+            for c in (2, 3):
+                raw = b.column(c).to_pylist()
+                size = np.array([len(t) // 4 for t in raw], np.int64)
+                sides.append((size, np.frombuffer(b"".join(raw), np.uint32).astype(np.uint64) | np.repeat(np.arange(len(raw), dtype=np.uint64), size) << np.uint64(32)))
+            (a, x), (c, y) = sides
+            both = np.sort(np.concatenate([x, y]))
+            twice = both[1:][both[1:] == both[:-1]]
+            common = np.bincount((twice >> np.uint64(32)).astype(np.int64), minlength=len(a))
+            yield batch(schema, b.column(0), b.column(1), den * common >= num * (a + c - common))
 
     return run
 
@@ -266,56 +411,77 @@ def repeated_lines(docs: DataFrame, num: int = 80, den: int = 100) -> DataFrame:
     rows = docs.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), text_bytes("text").alias("text"))
     least = _least(num, den)
     found = save(map_arrow(rows, _lines(least), "doc_id long, line int, key long, n int, tokens binary"), "lines")
-    counted = found.where("n < 0").groupBy("key").agg(F.sum(-F.col("n")).alias("c")).orderBy(F.desc("c"), "key").limit(COMMON_MAX).orderBy("key").toArrow()
-    common = sc.broadcast((counted.column("key").to_numpy().astype(np.uint32), counted.column("c").to_numpy()))
-    lines = found.where("n > 0")
-    joined = found.where(F.col("n") >= least)
-    prefix = F.col("n") - F.ceil(F.col("n") * num / den) + 1
-    total = joined.agg(F.sum(prefix)).first()[0] or 0
+    # at most one row a slot
+    counted = found.where("n < 0").groupBy("key").agg(F.sum(-F.col("n").cast("long")).alias("c")).toArrow()
+    table = np.zeros(SLOTS, np.uint8)
+    table[counted.column("key").to_numpy()] = np.minimum(255, 4 * np.log2(counted.column("c").to_numpy().astype(np.float64))).astype(np.uint8)
+    levels = sc.broadcast(table)
+    lines, joined = found.where("n > 0"), found.where("tokens is not null")
+    total = joined.agg(F.sum(F.col("n") - F.ceil(F.col("n") * num / den) + 1)).first()[0] or 0
     buckets = max(MIN_BUCKETS, -(-int(total) // BUCKET))
 
-    def candidates(probing: DataFrame, few: int | None, tokens=None) -> DataFrame:
-        packed = map_arrow(probing, _postings(num, den, common, buckets, tokens), "bucket int, postings binary")
-        return packed.groupBy("bucket").applyInArrow(_pairs(num, den, few), "xd long, xl int, yd long, yl int, more boolean")
+    def candidates(probing: DataFrame, few: int | None, wanted=None) -> DataFrame:
+        packed = map_arrow(probing.select("doc_id", "line", "key", "n", "tokens", "probe"), _postings(num, den, levels, buckets, wanted), "bucket int, postings binary")
+        return packed.groupBy("bucket").applyInArrow(_pairs(num, den, levels, few), "xd long, xl int, yd long, yl int, more boolean")
 
-    def verified(pairs: DataFrame, name: str) -> DataFrame:
-        """(xd, xl, settled, more) of each line with candidates."""
-        pairs = save(pairs.groupBy("xd", "xl", "yd", "yl").agg(F.max("more").alias("more")), f"pairs-{name}")
-        ends = pairs.select(F.explode(F.array(F.struct(F.col("xd").alias("doc_id"), F.col("xl").alias("line")), F.struct(F.col("yd").alias("doc_id"), F.col("yl").alias("line")))).alias("e")).select("e.*").distinct()
+    def settled(pairs: DataFrame, name: str) -> tuple[DataFrame, DataFrame]:
+        """(doc_id, line) of the lines that a verified pair removes, and of those that are still open."""
+        pairs = save(pairs.distinct(), f"pairs-{name}")
+        ends = pairs.where("not more").select(F.explode(F.array(F.struct(F.col("xd").alias("doc_id"), F.col("xl").alias("line")), F.struct(F.col("yd").alias("doc_id"), F.col("yl").alias("line")))).alias("e")).select("e.*").distinct()
         sets = save(joined.select("doc_id", "line", "tokens").join(ends, ["doc_id", "line"], "left_semi"), f"sets-{name}")
         tx, ty = (sets.select(F.col("doc_id").alias(f"{c}d"), F.col("line").alias(f"{c}l"), F.col("tokens").alias(f"t{c}")) for c in "xy")
-        both = pairs.join(ty, ["yd", "yl"]).join(tx, ["xd", "xl"]).select("xd", "xl", "more", "tx", "ty")
-        held = map_arrow(both, _verify(num, den), "xd long, xl int, ok boolean, more boolean")
-        return save(held.groupBy("xd", "xl").agg(F.max("ok").alias("settled"), F.max("more").alias("more")), f"settled-{name}")
-
-    columns = ["doc_id", "line", "key", "n", "tokens", "probe"]
-    first = verified(candidates(joined.withColumn("probe", F.lit(True)).select(*columns), FIRST_FEW), "first")
-    settled = first.where("settled").select("xd", "xl")
-    open_ = first.where("not settled and more").select(F.col("xd").alias("doc_id"), F.col("xl").alias("line"), F.lit(True).alias("probe"))
+        both = pairs.where("not more").join(ty, ["yd", "yl"]).join(tx, ["xd", "xl"]).select("xd", "xl", "tx", "ty")
+        held = map_arrow(both, _verify(num, den), "xd long, xl int, ok boolean")
+        gone = save(held.where("ok").select(F.col("xd").alias("doc_id"), F.col("xl").alias("line")).distinct(), f"gone-{name}")
+        return gone, pairs.where("more").select(F.col("xd").alias("doc_id"), F.col("xl").alias("line")).join(gone, ["doc_id", "line"], "left_anti")
+
+    gone, open_ = settled(candidates(joined.withColumn("probe", F.lit(True)), FEW), "first")
+    open_ = save(open_, "open")
     if not open_.isEmpty():
-        marked = joined.join(open_, ["doc_id", "line"], "left").withColumn("probe", F.coalesce("probe", F.lit(False))).select(*columns)
-        few_tokens = marked.where("probe").select("tokens").limit(PROBES_MAX // 16 + 1).toArrow()
-        wanted = np.unique(np.frombuffer(b"".join(few_tokens.column(0).to_pylist()), np.uint32)) if few_tokens.num_rows <= PROBES_MAX // 16 else None
-        tokens = sc.broadcast(wanted) if wanted is not None and len(wanted) <= PROBES_MAX else None
-        settled = settled.union(verified(candidates(marked, None, tokens), "rest").where("settled").select("xd", "xl"))
+        asking = save(joined.join(open_, ["doc_id", "line"], "left_semi"), "asking")
+        # at most one row a slot
+        slots = map_arrow(asking.select("n", "tokens"), _slots(num, den, levels), "slot int").distinct().toArrow()
+        wanted = np.zeros(SLOTS, bool)
+        wanted[slots.column(0).to_numpy()] = True
+        both = joined.withColumn("probe", F.lit(False)).unionByName(asking.withColumn("probe", F.lit(True)))
+        gone = gone.union(settled(candidates(both, None, sc.broadcast(wanted)), "rest")[0])
 
     firsts = lines.groupBy("key").agg(F.min(F.struct("doc_id", "line")).alias("first"))
     copies = lines.select("key", "doc_id", "line").join(firsts, "key").where(F.struct("doc_id", "line") != F.col("first")).select("doc_id", "line")
-    gone = copies.union(settled.select(F.col("xd").alias("doc_id"), F.col("xl").alias("line")))
-    return gone.groupBy("doc_id").agg(F.collect_set("line").alias("lines"))
+    return copies.union(gone).groupBy("doc_id").agg(F.collect_set("line").alias("lines"))
+
+
+def _slots(num: int, den: int, levels):
+    """The slots of the prefixes of (n, tokens)."""
+    schema = pa.schema([("slot", pa.int32())])
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in gather(it, 1 << 13, 1 << 22):
+            n = b.column(0).to_numpy().astype(np.int64)
+            tokens = np.frombuffer(b"".join(b.column(1).to_pylist()), np.uint32)
+            of = np.repeat(np.arange(len(n), dtype=np.uint64), n)
+            order = np.sort(of << np.uint64(40) | levels.value[tokens >> np.uint32(32 - SLOT_BITS)].astype(np.uint64) << np.uint64(32) | tokens)
+            inside = np.arange(len(tokens)) - np.repeat(np.cumsum(n) - n, n) < np.repeat(_prefix(n, num, den), n)
+            yield batch(schema, distinct((order[inside] & np.uint64(0xFFFFFFFF)) >> np.uint64(32 - SLOT_BITS)).astype(np.int32))
+
+    return run
 
 
 def dedup_lines(docs: DataFrame, num: int = 80, den: int = 100) -> DataFrame:
     """docs with repeated lines taken out of text, and n_lines, n_removed (long); columns so named are replaced."""
-    keep = [c for c in docs.columns if c not in ("n_lines", "n_removed")]
-    gone = repeated_lines(docs, num, den).withColumnRenamed("doc_id", "_doc").withColumnRenamed("lines", "_lines")
+    keep = [c for c in docs.columns if c.lower() not in ("n_lines", "n_removed")]
+    doc, gone, salt = (fresh(c, docs.columns) for c in ("_doc", "_lines", "_salt"))
+    # rows with a null doc_id match nothing; a salt keeps them from one task
+    spread = F.when(F.col("doc_id").isNull(), F.pmod(F.xxhash64("text"), F.lit(1 << 16))).otherwise(0)
+    marks = repeated_lines(docs, num, den).select(F.col("doc_id").alias(doc), F.col("lines").alias(gone), F.lit(0).cast("long").alias(fresh("_zero", docs.columns)))
+    rows = docs.select(*keep, spread.alias(salt))
     # the narrow side is hashed, so that whole texts need no sort
-    out = docs.select(*keep).join(gone.hint("shuffle_hash"), F.col("doc_id") == F.col("_doc"), "left")
+    out = rows.join(marks.hint("shuffle_hash"), (F.col("doc_id").cast("long") == F.col(doc)) & (F.col(salt) == F.col(fresh("_zero", docs.columns))), "left")
     lines = F.split("text", "\n", -1)
     total = F.when(F.length("text") > 0, F.length("text") - F.length(F.replace("text", F.lit("\n"), F.lit(""))) + 1).otherwise(0)
-    stay = F.transform(F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), "_lines"), lambda i: lines[i])
-    text = F.when(F.col("_lines").isNull(), F.col("text")).otherwise(F.array_join(stay, "\n"))
-    return out.select(*[text.alias(c) if c == "text" else F.col(c) for c in keep], F.coalesce(total, F.lit(0)).cast("long").alias("n_lines"), F.coalesce(F.size("_lines"), F.lit(0)).cast("long").alias("n_removed"))
+    stay = F.transform(F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), gone), lambda i: lines[i])
+    text = F.when(F.col(gone).isNull(), F.col("text")).otherwise(F.array_join(stay, "\n"))
+    return out.select(*[text.alias(c) if c.lower() == "text" else F.col(c) for c in keep], F.coalesce(total, F.lit(0)).cast("long").alias("n_lines"), F.coalesce(F.size(gone), F.lit(0)).cast("long").alias("n_removed"))
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -9,6 +9,7 @@ import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from lorebase.llm import decontaminate, langid, line_dedup, ngram_join, pii, quality, secrets, sentencepiece_codec, sharding, warc
 from lorebase.llm.common import components, new_path
@@ -407,7 +408,7 @@ def test_far_texts_are_rejected(spark):
 
 def brute_lines(docs, num=80, den=100):
     rows = sorted((d, i, frozenset(w.lower() for w in line.split())) for d, t in docs if t for i, line in enumerate(t.split("\n")))
-    rows = [r for r in rows if len(r[2]) >= line_dedup.MIN_TOKENS]
+    rows = [r for r in rows if r[2]]
     gone = set()
     for at, (d, i, s) in enumerate(rows):
         if any(den * len(s & o) >= num * len(s | o) for _, _, o in rows[:at]):
@@ -416,15 +417,13 @@ def brute_lines(docs, num=80, den=100):
 
 
 @pytest.mark.parametrize("block", [2, 1024])
-def test_line_dedup_equals_brute_force(spark, block):
+def test_line_dedup_equals_brute_force(spark, block, monkeypatch):
     rng = random.Random(8)
     lines = [x for x in near_copies(6, 80) + near_copies(7, 60)] + ["", "short line", "One Two three four FIVE", "one two three four five"]
     texts = ["\n".join(rng.choice(lines) for _ in range(rng.randrange(1, 6))) for _ in range(50)] + [None, ""]
-    old, line_dedup.BLOCK = line_dedup.BLOCK, block
-    try:
-        got = {(r.doc_id, i) for r in line_dedup.repeated_lines(frame(spark, texts)).collect() for i in r.lines}
-    finally:
-        line_dedup.BLOCK = old
+    monkeypatch.setattr(line_dedup, "BLOCK", block)
+    monkeypatch.setattr(line_dedup, "LOCAL_MIN", 1)
+    got = {(r.doc_id, i) for r in line_dedup.repeated_lines(frame(spark, texts)).collect() for i in r.lines}
     want = brute_lines(enumerate(texts))
     assert got == want and want
     out = {r.doc_id: r for r in line_dedup.dedup_lines(frame(spark, texts)).collect()}
@@ -432,6 +431,27 @@ def test_line_dedup_equals_brute_force(spark, block):
         assert out[i].text == (t and "\n".join(x for j, x in enumerate(t.split("\n")) if (i, j) not in want))
 
 
+@pytest.mark.parametrize(("block", "seed"), [(3, 1), (40, 2), (1 << 14, 3)])
+def test_large_groups_of_near_copies(spark, block, seed, monkeypatch):
+    """Groups far larger than FEW and PIVOTS, at and around the threshold, and copies of their lines."""
+    rng = random.Random(seed)
+    words = [f"w{i}" for i in range(60)]
+    lines = []
+    for size in (5, 9, 10, 20):
+        base = rng.sample(words, size)
+        for _ in range(60):
+            line = list(base)
+            for _ in range(rng.randrange(0, 1 + size // 4)):
+                line[rng.randrange(size)] = rng.choice(words)
+            lines.append(" ".join(rng.sample(line, size)))
+    texts = ["\n".join(rng.choice(lines) for _ in range(3)) for _ in range(120)]
+    monkeypatch.setattr(line_dedup, "BLOCK", block)
+    monkeypatch.setattr(line_dedup, "LOCAL_MIN", 1)
+    monkeypatch.setattr(line_dedup, "STEP", 500)
+    got = {(r.doc_id, i) for r in line_dedup.repeated_lines(frame(spark, texts)).collect() for i in r.lines}
+    assert got == brute_lines(enumerate(texts))
+
+
 def test_short_lines_are_deduplicated(spark):
     texts = ["All rights reserved\nHome\na b c d", "home\nreserved all RIGHTS all\na b c d e\na b c", " \n\na b c e\nother", "Home home\na b d c"]
     rows = [(d, i, {w.lower() for w in line.split()}) for d, t in enumerate(texts) for i, line in enumerate(t.split("\n"))]
@@ -441,7 +461,9 @@ def test_short_lines_are_deduplicated(spark):
 
 
 def test_line_dedup_odd_rows(spark):
-    out = line_dedup.dedup_lines(odd(spark).withColumnRenamed("lang", "n_lines")).collect()
+    clash = odd(spark).withColumnRenamed("lang", "n_lines").withColumn("_doc", F.lit(1)).withColumn("_LINES", F.lit("x")).withColumn("_salt", F.lit(None).cast("int"))
+    out = line_dedup.dedup_lines(clash).collect()
+    assert len(out) == 7 and {(r._doc, r._LINES, r._salt) for r in out} == {(1, "x", None)}
     assert len(out) == 7 and all(r.n_removed == 0 for r in out)
     assert line_dedup.dedup_lines(odd(spark).limit(0)).collect() == []
 
