@@ -47,10 +47,12 @@ BLOCK, BUCKET, MIN_BUCKETS = 1 << 14, 250_000, 256
 #: Keys a task remembers to drop copies; postings it gathers before it sends them; pairs looked at in one step.
 SEEN, SEND, STEP = 1 << 16, 1 << 19, 1 << 20
 FEW, PIVOTS = 2, 4
-BITS = 128
 
 LINE = pa.schema([("doc_id", pa.int64()), ("line", pa.int32()), ("key", pa.int64()), ("n", pa.int32()), ("tokens", pa.binary())])
-POSTING = np.dtype([("token", "<u4"), ("doc", "<i8"), ("line", "<i4"), ("key", "<i8"), ("n", "<u4"), ("pos", "<u4"), ("probe", "u1"), ("low", "<u8"), ("high", "<u8")])
+#: name: 32 bits of the key. Equal sets have equal names, sizes and sketches, and only these are taken for equal here.
+POSTING = np.dtype([("token", "<u4"), ("doc", "<i8"), ("line", "<i4"), ("name", "<u4"), ("n", "<u4"), ("pos", "<u4"), ("probe", "u1"), ("low", "<u8"), ("high", "<u8")])
+#: Larger sizes and positions share a place in the order of a posting, and pass the index filter.
+LARGE = 65535
 #: Roles of a posting: only looked up, only probing, both.
 LOOKED_UP, PROBING, BOTH = 0, 1, 2
 
@@ -152,8 +154,8 @@ def _lines(least: int):
 
 
 def _pack(rows: np.ndarray) -> bytes:
-    """Column by column, which compresses better."""
-    return b"".join(rows[c].tobytes() for c in POSTING.names)
+    """Byte by byte of each column, so that the high bytes, mostly zeros, compress to nothing."""
+    return b"".join(np.ascontiguousarray(np.ascontiguousarray(rows[c]).view(np.uint8).reshape(len(rows), -1).T).tobytes() for c in POSTING.names)
 
 
 def _unpack(packed: list[bytes]) -> dict[str, np.ndarray]:
@@ -162,7 +164,8 @@ def _unpack(packed: list[bytes]) -> dict[str, np.ndarray]:
         n, at = len(p) // POSTING.itemsize, 0
         for c in POSTING.names:
             kind = POSTING[c]
-            parts[c].append(np.frombuffer(p, kind, n, at))
+            planes = np.frombuffer(p, np.uint8, n * kind.itemsize, at).reshape(kind.itemsize, n)
+            parts[c].append(np.ascontiguousarray(planes.T).reshape(-1).view(kind))
             at += n * kind.itemsize
     return {c: np.concatenate([np.zeros(0, POSTING[c]), *v]) for c, v in parts.items()}
 
@@ -198,10 +201,10 @@ def _postings(num: int, den: int, levels, buckets: int, wanted=None):
         out = np.zeros(len(token), POSTING)
         for c, h in (("low", 0), ("high", 1)):
             out[c] = np.bitwise_xor.reduceat(np.where(half == h, bit, np.uint64(0)), starts)[owner]
-        out["token"], out["doc"], out["line"], out["key"], out["n"], out["pos"] = token, doc[owner], line[owner], key[owner], n[owner], pos
+        out["token"], out["doc"], out["line"], out["name"], out["n"], out["pos"] = token, doc[owner], line[owner], key.astype(np.uint64).astype(np.uint32)[owner], n[owner], pos
         out["probe"] = BOTH if wanted is None else LOOKED_UP
         blocks = _blocks(levels.value[token >> np.uint32(32 - SLOT_BITS)])
-        block = (mix(out["key"].view(np.uint64)) % blocks.astype(np.uint64)).astype(np.int64)
+        block = (mix(out["name"].astype(np.uint64)) % blocks.astype(np.uint64)).astype(np.int64)
         if wanted is not None:
             asks = np.flatnonzero(probe[owner])
             copies = np.repeat(asks, blocks[asks])
@@ -217,7 +220,7 @@ def _postings(num: int, den: int, levels, buckets: int, wanted=None):
 
         def send() -> pa.RecordBatch:
             rows, place = (np.concatenate([h[i] for h in held]) for i in (0, 1))
-            order = np.lexsort((rows["token"], place))
+            order = np.argsort(place.astype(np.uint64) << np.uint64(32) | rows["token"])
             rows, place = rows[order], place[order]
             first = np.flatnonzero(np.concatenate([[True], place[1:] != place[:-1]]))
             parts = np.split(rows, first[1:])
@@ -242,19 +245,35 @@ class Postings:
     """The postings of a bucket, each set once a posting, in order of token, size and position."""
 
     def __init__(self, p: dict[str, np.ndarray], num: int, den: int):
-        # equal sets of a posting: the first line stands for all; copies are settled elsewhere
-        order = np.lexsort((p["line"], p["doc"], p["key"], p["token"]))
-        token, key = p["token"][order], p["key"][order]
-        new = np.concatenate([[True], (token[1:] != token[:-1]) | (key[1:] != key[:-1])]) if len(order) else np.zeros(0, bool)
-        order = order[new]
-        order = order[np.lexsort((p["pos"][order], p["n"][order], p["token"][order]))]
+        order = np.argsort(p["token"].astype(np.uint64) << np.uint64(32) | p["name"])
+        order = order[self._first_of_each(p, order)]
+        place = p["token"][order].astype(np.uint64) << np.uint64(32) | np.minimum(p["n"][order], LARGE).astype(np.uint64) << np.uint64(16) | np.minimum(p["pos"][order], LARGE).astype(np.uint64)
+        order = order[np.argsort(place)]
         self.token, self.doc, self.line, self.low, self.high = (p[c][order] for c in ("token", "doc", "line", "low", "high"))
         self.n, self.pos = p["n"][order].astype(np.int64), p["pos"][order].astype(np.int64)
-        self.place = self.token.astype(np.int64) << 31 | np.minimum(self.n, (1 << 31) - 1)
-        self.index = self.pos < self.n - _overlap(2 * self.n, num, den) + 1
-        rank = np.lexsort((self.line, self.doc))
-        self.rank = np.empty(len(rank), np.int64)
-        self.rank[rank] = np.arange(len(rank))
+        self.place = self.token.astype(np.int64) << 16 | np.minimum(self.n, LARGE)
+        self.index = (self.pos < self.n - _overlap(2 * self.n, num, den) + 1) | (self.n >= LARGE)
+
+    @staticmethod
+    def _first_of_each(p: dict[str, np.ndarray], order: np.ndarray) -> np.ndarray:
+        """Of equal sets of a posting the first line stands for all; copies are settled elsewhere."""
+        token, name = p["token"][order], p["name"][order]
+        same = (token[1:] == token[:-1]) & (name[1:] == name[:-1])
+        if not same.any():
+            return np.ones(len(order), bool)
+        keep = np.ones(len(order), bool)
+        some = np.flatnonzero(np.concatenate([[False], same]) | np.concatenate([same, [False]]))
+        q = {c: v[order[some]] for c, v in p.items()}
+        by = np.lexsort((q["line"], q["doc"], q["high"], q["low"], q["n"], q["name"], q["token"]))
+        again = np.ones(max(0, len(by) - 1), bool)
+        for c in ("token", "name", "n", "low", "high"):
+            again &= q[c][by[1:]] == q[c][by[:-1]]
+        keep[some[by[1:][again]]] = False
+        return keep
+
+    def earlier(self, i: np.ndarray, other: Postings, j: np.ndarray) -> np.ndarray:
+        """Whether line i of these stands before line j of others."""
+        return (self.doc[i] < other.doc[j]) | ((self.doc[i] == other.doc[j]) & (self.line[i] < other.line[j]))
 
     def __len__(self) -> int:
         return len(self.token)
@@ -318,13 +337,13 @@ def _first_pairs(p: Postings, found: Candidates, num: int, den: int) -> None:
         can = open_[~been[open_]]
         if not len(can):
             break
-        can = can[np.lexsort((p.rank[can], p.token[can]))]
+        can = can[np.lexsort((p.line[can], p.doc[can], p.token[can]))]
         pivot = can[np.concatenate([[True], p.token[can[1:]] != p.token[can[:-1]]])]
         been[pivot] = True
         of = np.searchsorted(p.token[pivot], p.token[open_])
         there = of < len(pivot)
         open_, y = open_[there], pivot[of[there]]
-        ok = (p.token[open_] == p.token[y]) & (p.rank[open_] > p.rank[y])
+        ok = (p.token[open_] == p.token[y]) & p.earlier(y, p, open_)
         open_, y = open_[ok], y[ok]
         ok = _similar(p, open_, p, y, num, den)
         found.add(open_[ok], y[ok])
@@ -332,11 +351,11 @@ def _first_pairs(p: Postings, found: Candidates, num: int, den: int) -> None:
     if wanting.all():
         most = p.n * den // num
         y = np.flatnonzero(p.index)
-        for i, x in _ranges(y + 1, np.searchsorted(p.place, p.place[y] - p.n[y] + most[y], side="right")):
+        for i, x in _ranges(y + 1, np.searchsorted(p.place, p.place[y] - np.minimum(p.n[y], LARGE) + np.minimum(most[y], LARGE), side="right")):
             i = y[i]
             ok = _similar(p, x, p, i, num, den)
             x, i = x[ok], i[ok]
-            swap = p.rank[x] < p.rank[i]
+            swap = p.earlier(x, p, i)
             later, earlier = np.where(swap, i, x), np.where(swap, x, i)
             new = ~been[earlier]
             found.add(later[new], earlier[new])
@@ -347,10 +366,10 @@ def _first_pairs(p: Postings, found: Candidates, num: int, den: int) -> None:
 def _probe(x: Postings, rows: np.ndarray, y: Postings, found: Candidates, num: int, den: int, met: np.ndarray | None = None) -> None:
     """Candidates of rows of x among all of y that come earlier, but for those of y that x has met."""
     least, most = -(-x.n[rows] * num // den), x.n[rows] * den // num
-    base = x.place[rows] - x.n[rows]
-    for i, j in _ranges(np.searchsorted(y.place, base + least), np.searchsorted(y.place, base + most, side="right")):
+    base = x.place[rows] - np.minimum(x.n[rows], LARGE)
+    for i, j in _ranges(np.searchsorted(y.place, base + np.minimum(least, LARGE)), np.searchsorted(y.place, base + np.minimum(most, LARGE), side="right")):
         i = rows[i]
-        ok = (y.doc[j] < x.doc[i]) | ((y.doc[j] == x.doc[i]) & (y.line[j] < x.line[i]))
+        ok = y.earlier(j, x, i)
         if met is not None:
             ok &= ~met[j]
         i, j = i[ok], j[ok]
@@ -428,7 +447,8 @@ def repeated_lines(docs: DataFrame, num: int = 80, den: int = 100) -> DataFrame:
         """(doc_id, line) of the lines that a verified pair removes, and of those that are still open."""
         pairs = save(pairs.distinct(), f"pairs-{name}")
         ends = pairs.where("not more").select(F.explode(F.array(F.struct(F.col("xd").alias("doc_id"), F.col("xl").alias("line")), F.struct(F.col("yd").alias("doc_id"), F.col("yl").alias("line")))).alias("e")).select("e.*").distinct()
-        sets = save(joined.select("doc_id", "line", "tokens").join(ends, ["doc_id", "line"], "left_semi"), f"sets-{name}")
+        # token sets are moved by line at every size
+        sets = save(joined.select("doc_id", "line", "tokens").join(ends.hint("merge"), ["doc_id", "line"], "left_semi"), f"sets-{name}")
         tx, ty = (sets.select(F.col("doc_id").alias(f"{c}d"), F.col("line").alias(f"{c}l"), F.col("tokens").alias(f"t{c}")) for c in "xy")
         both = pairs.where("not more").join(ty, ["yd", "yl"]).join(tx, ["xd", "xl"]).select("xd", "xl", "tx", "ty")
         held = map_arrow(both, _verify(num, den), "xd long, xl int, ok boolean")
@@ -446,9 +466,22 @@ def repeated_lines(docs: DataFrame, num: int = 80, den: int = 100) -> DataFrame:
         both = joined.withColumn("probe", F.lit(False)).unionByName(asking.withColumn("probe", F.lit(True)))
         gone = gone.union(settled(candidates(both, None, sc.broadcast(wanted)), "rest")[0])
 
-    firsts = lines.groupBy("key").agg(F.min(F.struct("doc_id", "line")).alias("first"))
-    copies = lines.select("key", "doc_id", "line").join(firsts, "key").where(F.struct("doc_id", "line") != F.col("first")).select("doc_id", "line")
-    return copies.union(gone).groupBy("doc_id").agg(F.collect_set("line").alias("lines"))
+    return _copies(lines).union(gone).groupBy("doc_id").agg(F.collect_set("line").alias("lines"))
+
+
+#: A key with more than one in so many lines is frequent; there are fewer such keys than this.
+FREQUENT = 1024
+
+
+def _copies(lines: DataFrame) -> DataFrame:
+    """(doc_id, line) of all lines of a key but the first. Frequent keys, fewer than FREQUENT, are broadcast."""
+    lines = lines.select("key", "doc_id", "line")
+    firsts = save(lines.groupBy("key").agg(F.min(F.struct("doc_id", "line")).alias("first"), F.count("*").alias("c")).where("c > 1"), "firsts")
+    total = lines.count()
+    frequent = F.broadcast(firsts.where(F.col("c") * FREQUENT > total).select("key", F.col("first").alias("common")))
+    marked = lines.join(frequent, "key", "left")
+    rest = marked.where("common is null").select("key", "doc_id", "line").join(firsts.where(F.col("c") * FREQUENT <= total).select("key", "first"), "key")
+    return marked.where("common is not null").withColumnRenamed("common", "first").unionByName(rest).where(F.struct("doc_id", "line") != F.col("first")).select("doc_id", "line")
 
 
 def _slots(num: int, den: int, levels):
@@ -477,9 +510,8 @@ def dedup_lines(docs: DataFrame, num: int = 80, den: int = 100) -> DataFrame:
     rows = docs.select(*keep, spread.alias(salt))
     # the narrow side is hashed, so that whole texts need no sort
     out = rows.join(marks.hint("shuffle_hash"), (F.col("doc_id").cast("long") == F.col(doc)) & (F.col(salt) == F.col(fresh("_zero", docs.columns))), "left")
-    lines = F.split("text", "\n", -1)
-    total = F.when(F.length("text") > 0, F.length("text") - F.length(F.replace("text", F.lit("\n"), F.lit(""))) + 1).otherwise(0)
-    stay = F.transform(F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), gone), lambda i: lines[i])
+    total = F.when(F.length("text") > 0, F.octet_length("text") - F.octet_length(F.replace("text", F.lit("\n"), F.lit(""))) + 1).otherwise(0)
+    stay = F.filter(F.split("text", "\n", -1), lambda _, i: ~F.array_contains(gone, i))
     text = F.when(F.col(gone).isNull(), F.col("text")).otherwise(F.array_join(stay, "\n"))
     return out.select(*[text.alias(c) if c.lower() == "text" else F.col(c) for c in keep], F.coalesce(total, F.lit(0)).cast("long").alias("n_lines"), F.coalesce(F.size(gone), F.lit(0)).cast("long").alias("n_removed"))
 
