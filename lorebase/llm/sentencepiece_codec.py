@@ -2,7 +2,8 @@
 
 A text is marked (a space becomes U+2581, one is put in front) and cut into words where no piece can cross. The
 distinct words of a batch are sorted, which is the depth-first order of their trie: the forward state of each
-prefix is computed once and kept on a stack while words share it.
+prefix is computed once and kept on a stack while words share it. With it go the places in the trie of pieces that
+the suffixes of the prefix have reached, so that only pieces which really occur are looked at.
 
 The forward state depends on the model file's kind:
 
@@ -10,13 +11,15 @@ The forward state depends on the model file's kind:
     BPE      the last piece of the prefix's merge result. Best sums of BPE scores (ranks of merges) are not what
              merging gives, so scores can't be added up here. But the last piece is unique and follows from shorter
              prefixes: a piece that merging rebuilds from its own characters, and that merging leaves next to the last
-             piece of what precedes it. The result equals the library's merge order.
+             piece of what precedes it. The result equals the library's merge order. Whether merging leaves two
+             pieces side by side is read off the last merges along their common edge, undone from the latest on.
 
 Characters without a piece become byte pieces. Decoding joins pieces, turns marks into spaces and drops the first.
 Round trips are exact but that U+2581 itself becomes a space, and bytes that are no UTF-8 become U+FFFD.
 
-A null text has null ids, an empty one none. Rows are kept one to one; very long words cost in proportion to their
-length. The map over the scan needs no shuffle; memory holds one batch and a cache of CACHE words.
+A null text has null ids, an empty one none; an empty table gives no rows. Rows are kept one to one, with their extra
+columns, so repeated rows need no rule; of pieces of equal rank the leftmost merges first. Very long words cost in
+proportion to their length. The map over the scan needs no shuffle; memory holds one batch and a cache of CACHE words.
 """
 
 from __future__ import annotations
@@ -27,6 +30,7 @@ import struct
 from collections.abc import Iterator
 from itertools import chain
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -35,7 +39,7 @@ from .common import map_arrow, text_bytes
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
-CACHE = 300_000
+CACHE, PAIRS = 150_000, 200_000
 #: Kinds of models and pieces in the file format.
 UNIGRAM, BPE = 1, 2
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
@@ -93,17 +97,28 @@ class Codec:
         run = re.compile(f"{MARK}*")
         self.simple = all(MARK not in p[1:] or run.fullmatch(p) for p in self.id)
         self.cut = re.compile(f"{MARK}+[^{MARK}\n]*|\n|[^{MARK}\n]+" if not any("\n" in p for p in self.id) else f"{MARK}+[^{MARK}]*|[^{MARK}]+") if self.simple else re.compile(".+", re.S)
-        self.sound: dict[str, bool] = {}
         self.beside: dict[tuple[str, str], bool] = {}
-        self.words: dict[str, tuple[int, ...]] = {}
+        self.halves: dict[str, tuple[str, str] | None] = {}
+        self.order: dict[str, bool] = {}
+        self.last: tuple[str, str] | None = None
+        #: Words' places in the tables below, which hold their ids, one behind the other, and what they decode to.
+        self.place: dict[str, int] = {}
+        self.codes: list[tuple[int, ...]] = []
+        self.plain: list[bytes] = []
         self.runs: dict[int, tuple[str, ...]] = {}
+        self.root: dict = {}
+        for p in self.id:
+            node = self.root
+            for c in p:
+                node = node.setdefault(c, {})
+            node[""] = p
 
     # --- BPE ---
 
     def merged(self, text: str) -> list[str]:
         """Merge the adjacent pair of the best score, the leftmost first, until none is a piece."""
         parts, score = list(text), self.score
-        n = len(parts)
+        n, self.last = len(parts), None
         left, right = list(range(-1, n - 1)), [*range(1, n), -1]
         agenda: list[tuple[float, int, str]] = []
 
@@ -119,6 +134,7 @@ class Codec:
             j = right[i] if parts[i] else -1
             if j < 0 or parts[i] + parts[j] != p:
                 continue
+            self.last = parts[i], parts[j]
             parts[i], parts[j] = p, ""
             right[i] = right[j]
             if right[j] >= 0:
@@ -128,52 +144,99 @@ class Codec:
             offer(i)
         return [p for p in parts if p]
 
+    def _halves(self, piece: str) -> tuple[str, str] | None:
+        """What a piece is merged from in the end ("", "" for one character); None if merging never gives it.
+
+        None also if a half ranks behind the whole: merges then don't come in the order of their ranks.
+        """
+        if piece not in self.halves:
+            found = None
+            if len(piece) == 1:
+                found = "", ""
+            elif self.merged(piece) == [piece]:
+                found = self.last
+            self.halves[piece] = found
+        return self.halves[piece]
+
+    def _ordered(self, piece: str) -> bool:
+        """Whether all merges that lead to the piece come in the order of their ranks."""
+        if len(piece) == 1:
+            return True
+        if piece not in self.order:
+            halves = self._halves(piece)
+            self.order[piece] = halves is not None and all(len(h) == 1 or self.score[h] > self.score[piece] and self._ordered(h) for h in halves)
+        return self.order[piece]
+
     def _fits(self, before: str, piece: str) -> bool:
-        ok = self.sound.get(piece)
-        if ok is None:
-            ok = self.sound[piece] = self.merged(piece) == [piece]
-        if not ok or not before:
-            return ok
+        """Whether merging leaves the piece whole, next to `before`."""
+        if self._halves(piece) is None:
+            return False
+        if not before:
+            return True
         pair = before, piece
         ok = self.beside.get(pair)
         if ok is None:
-            if len(self.beside) > 400_000:
+            if len(self.beside) > PAIRS:
                 self.beside.clear()
-            ok = self.beside[pair] = self.merged(before + piece) == [before, piece]
+            ok = self.beside[pair] = self._stay(before, piece) if self._ordered(before) and self._ordered(piece) else self.merged(before + piece) == [before, piece]
         return ok
 
+    def _stay(self, left: str, right: str) -> bool:
+        """Undo the latest merge at either edge, again and again: no pair that stood there may merge before it."""
+        score, halves = self.score, self.halves
+        left_until = right_until = float("-inf")  # scores at which these were merged into what encloses them
+        while True:
+            s = score.get(left + right)
+            if s is not None and s > left_until and s >= right_until:  # of equal ones the leftmost comes first
+                return False
+            if len(left) == 1 and len(right) == 1:
+                return True
+            if len(right) == 1 or len(left) > 1 and score[left] < score[right]:
+                left_until = score[left]
+                left = halves[left][1]
+            else:
+                right_until = score[right]
+                right = halves[right][0]
+
     # --- the walk over sorted words ---
 
     def segment(self, words: list[str]) -> Iterator[tuple[str, list[str]]]:
         """The pieces of each of the sorted distinct words; a character without a piece stands for itself."""
-        last, best, before = [""], [0.0], ""
-        known, longest, unigram, score = self.id, self.longest, self.kind == UNIGRAM, self.score
+        last, best, reached, before = [""], [0.0], [[]], ""
+        unigram, score, root, fits = self.kind == UNIGRAM, self.score, self.root, self._fits
         for word in words:
-            n, common = len(word), 0
+            common = 0
             for a, b in zip(word, before, strict=False):
                 if a != b:
                     break
                 common += 1
-            del last[common + 1 :], best[common + 1 :]
-            for end in range(common + 1, n + 1):
-                if unigram:
-                    top, piece = best[end - 1] + self.worst, word[end - 1]
-                    for start in range(max(0, end - longest), end):
-                        s = score.get(word[start:end])
-                        if s is not None and best[start] + s > top:
-                            top, piece = best[start] + s, word[start:end]
-                    best.append(top)
-                    last.append(piece)
-                    continue
-                piece = word[end - 1]
-                for start in range(max(0, end - longest), end - 1):
-                    p = word[start:end]
-                    if p in known and self._fits(last[start], p):
-                        piece = p
-                        break
+            del last[common + 1 :], best[common + 1 :], reached[common + 1 :]
+            for end in range(common + 1, len(word) + 1):
+                c, now = word[end - 1], []
+                piece, top = c, best[end - 1] + self.worst
+                settled = False
+                for start, node in reached[end - 1]:
+                    node = node.get(c)
+                    if node is None:
+                        continue
+                    now.append((start, node))
+                    if settled or "" not in node:
+                        continue
+                    p = node[""]
+                    if unigram:
+                        if best[start] + score[p] > top:
+                            top, piece = best[start] + score[p], p
+                    elif fits(last[start], p):
+                        piece, settled = p, True
+                node = root.get(c)
+                if node is not None:
+                    now.append((end - 1, node))
+                    if unigram and "" in node and best[end - 1] + score[c] > top:
+                        top, piece = best[end - 1] + score[c], c
                 last.append(piece)
-                best.append(0.0)
-            out, end = [], n
+                best.append(top)
+                reached.append(now)
+            out, end = [], len(word)
             while end:
                 out.append(last[end])
                 end -= len(last[end])
@@ -194,17 +257,16 @@ class Codec:
 
     def _learn(self, words: set[str]) -> None:
         """Fill the cache. Of a BPE word with several marks in front, those before the last are merged apart."""
-        if len(self.words) > CACHE:
-            self.words.clear()
-        new = [w for w in words if w not in self.words]
+        if len(self.place) > CACHE:
+            self.place.clear(), self.codes.clear(), self.plain.clear()
+        new = [w for w in words if w not in self.place]
         heads = {}
         if self.kind == BPE and self.simple:
             for w in new:
                 body = w.lstrip(MARK)
                 if len(w) - len(body) > 1:
                     heads[w] = MARK + body
-        plain = sorted({heads.get(w, w) for w in new})
-        found = dict(self.segment(plain))
+        found = dict(self.segment(sorted({heads.get(w, w) for w in new})))
         for w in new:
             pieces = found[heads.get(w, w)]
             if w in heads:
@@ -212,20 +274,45 @@ class Codec:
                 if marks not in self.runs:
                     self.runs[marks] = tuple(self.merged(MARK * marks))
                 pieces = [*self.runs[marks], *pieces[pieces[0] == MARK :]]
-            self.words[w] = self.ids(pieces)
+            ids = self.ids(pieces)
+            self.place[w] = len(self.codes)
+            self.codes.append(ids)
+            self.plain.append(b"".join(map(self.bytes.__getitem__, ids)))
 
-    def encode(self, texts: list[str | None]) -> list[list[int] | None]:
-        cut = [None if t is None else self.cut.findall(MARK + t.replace(" ", MARK)) if t else [] for t in texts]
+    def cut_words(self, text: str) -> list[str]:
+        return self.cut.findall(MARK + text.replace(" ", MARK)) if text else []
+
+    def encode_batch(self, texts: list[str | None]) -> tuple[pa.ListArray, list[bool | None]]:
+        """The ids of each text, and whether they decode to it; words are encoded and decoded once."""
+        cut = [None if t is None else self.cut_words(t) for t in texts]
         self._learn(set(chain.from_iterable(c for c in cut if c)))
-        get = self.words.__getitem__
-        return [None if c is None else list(chain.from_iterable(map(get, c))) for c in cut]
+        size = np.array([len(c or ()) for c in cut], np.int64)
+        places = np.fromiter(map(self.place.__getitem__, chain.from_iterable(c for c in cut if c)), np.int64, int(size.sum()))
+        used, places = np.unique(places, return_inverse=True)
+        held = [self.codes[i] for i in used.tolist()]
+        length = np.array([len(h) for h in held], np.int64)
+        flat = np.fromiter(chain.from_iterable(held), np.int32, int(length.sum()))
+        first, long = (np.cumsum(length) - length)[places], length[places]
+        ends = np.concatenate([[0], np.cumsum(long)])
+        at = np.arange(ends[-1]) + np.repeat(first - ends[:-1], long)
+        offsets = ends[np.concatenate([[0], np.cumsum(size)])]
+        none = pa.array([c is None for c in cut], pa.bool_())
+        ids = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(flat[at], pa.int32()), mask=none)
+        plain, bare = [self.plain[i] for i in used.tolist()], np.concatenate([[0], np.cumsum(size)]).tolist()
+        places = places.tolist()
+        same = [None if t is None else self._text(map(plain.__getitem__, places[bare[i] : bare[i + 1]])) == t.replace(MARK, " ") for i, t in enumerate(texts)]
+        return ids, same
 
-    def decode(self, ids: list[int] | None) -> str | None:
-        if ids is None:
-            return None
-        text = b"".join(map(self.bytes.__getitem__, ids)).decode("utf-8", "replace")
+    def encode(self, texts: list[str | None]) -> list[list[int] | None]:
+        return self.encode_batch(texts)[0].to_pylist()
+
+    def _text(self, parts: Iterator[bytes]) -> str:
+        text = b"".join(parts).decode("utf-8", "replace")
         return text[1:] if text.startswith(" ") else text
 
+    def decode(self, ids: list[int] | None) -> str | None:
+        return None if ids is None else self._text(map(self.bytes.__getitem__, ids))
+
 
 def load(path: str) -> dict:
     """The model as a value to broadcast; the file is on the driver and far below its memory."""
@@ -250,9 +337,8 @@ def encode(docs: DataFrame, model: str = MODEL, text_col: str = "text") -> DataF
         codec = codec_of(shared.value)
         for b in it:
             texts = [None if t is None else t.decode("utf-8", "replace") for t in b.column(1).to_pylist()]
-            ids = codec.encode(texts)
-            same = [None if t is None else codec.decode(i) == t.replace(MARK, " ") for t, i in zip(texts, ids, strict=True)]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(ids, pa.list_(pa.int32())), pa.array(same, pa.bool_())], names=["row", "ids", "round_trip"])
+            ids, same = codec.encode_batch(texts)
+            yield pa.RecordBatch.from_arrays([b.column(0), ids, pa.array(same, pa.bool_())], names=["row", "ids", "round_trip"])
 
     kind = rows.schema["row"].dataType.simpleString()
     return map_arrow(rows, run, f"row {kind}, ids array<int>, round_trip boolean").select("row.*", "ids", "round_trip")
