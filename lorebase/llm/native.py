@@ -15,16 +15,34 @@ def matches_of(text: Column, pattern: str, group: int = 0) -> Column:
     return F.regexp_extract_all(text, F.lit(pattern), F.lit(group))
 
 
+#: Elements that are gathered together; appending to one long list would copy it every time.
+CHUNK = 512
+
+
+def gathered(steps: Column, zero: Column, step, kind: str) -> Column:
+    """A fold that gives out a list: step(state, x) -> (new state, element of type kind).
+
+    Each element joins the list one step later: `let` copies what it gives out, so it must not give out the list. Nor
+    may a condition give out the long list, for it would be cast, element by element.
+    """
+    none, nothing = F.array().cast(f"array<array<{kind}>>"), F.array().cast(f"array<{kind}>")
+
+    def add(s: Column, x: Column) -> Column:
+        full = F.size(s["part"]) >= CHUNK
+        state, element = step(s["now"]["state"], x)
+        now = let(F.struct(state.alias("state"), element.alias("element")), lambda e: e)
+        part = F.concat(F.when(full, nothing).otherwise(s["part"]), F.array(s["now"]["element"]))
+        return F.struct(now.alias("now"), part.alias("part"), F.concat(s["out"], F.when(full, F.array(s["part"])).otherwise(none)).alias("out"))
+
+    first = F.struct(F.struct(zero.alias("state"), F.lit(None).cast(kind).alias("element")).alias("now"), nothing.alias("part"), none.alias("out"))
+    # before the first element stands the one of `first`
+    return F.aggregate(steps, first, add, lambda s: let(F.flatten(F.concat(s["out"], F.array(s["part"], F.array(s["now"]["element"])))), lambda all_: F.slice(all_, F.lit(2), F.size(all_))))
+
+
 def starts_of(gaps: Column, matches: Column) -> Column:
     """Start of each match in code points, from the lengths of what precedes it."""
     step = F.zip_with(F.slice(gaps, 1, F.size(matches)), matches, lambda g, m: F.struct(F.length(g).alias("g"), F.length(m).alias("m")))
-    zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out"))
-    walked = F.aggregate(
-        step,
-        zero,
-        lambda s, x: F.struct((s["at"] + x["g"] + x["m"]).alias("at"), F.concat(s["out"], F.array(s["at"] + x["g"])).alias("out")),
-    )
-    return walked["out"]
+    return gathered(step, F.lit(0), lambda at, x: (at + x["g"] + x["m"], at + x["g"]), "int")
 
 
 def let(value: Column, f) -> Column:

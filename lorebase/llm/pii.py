@@ -20,7 +20,10 @@ neighbouring groups of a run with 13 to 19 digits together may be a card. From l
 layout are taken first (one group, 4-4-4-4, 4-6-5, 4-6-4, 4-4-4-4-3), then the longest valid ones of any layout that
 overlap none of them.
 
-A null text stays null, an empty one empty; rows are kept one to one. Work is linear in the text.
+A null text stays null, an empty one empty; an empty table gives no rows. Rows are kept one to one, with null doc_ids,
+repeated rows and extra columns, of which only pii is replaced. Patterns are possessive, so long texts cost no stack, and
+work is linear in the text but for lists of findings, which are copied as they grow: a text of 10^5 findings, or a
+run of 10^5 groups of digits, takes about a minute.
 """
 
 from __future__ import annotations
@@ -28,11 +31,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .native import gaps_of, let, matches_of
+from .native import gaps_of, gathered, let, matches_of
 
 KINDS = ("email", "phone", "card", "ipv4", "ssn", "date")
 PATTERNS = {
-    "email": r"(?<![A-Za-z0-9._+-])[A-Za-z0-9._+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)+",
+    "email": r"(?<![A-Za-z0-9._+-])[A-Za-z0-9._+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++",
     "phone": r"(?<![0-9+])\+[0-9]{1,3}[ .-]?(?:\([0-9]{3}\)|[0-9]{3})[ .-]?[0-9]{3}[ .-]?[0-9]{4}(?![0-9])",
     "ipv4": r"(?<![0-9.])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?![0-9])(?!\.[0-9])",
     "ssn": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
@@ -172,33 +175,31 @@ def _groupings(groups: Column) -> Column:
 
 def _run_parts(run: Column) -> Column:
     """array<struct<kind, value>>: cards of a run, and what is between them with a null kind."""
-    spans = "array<struct<start:int,end:int>>"
 
-    def cards(groups: Column, found: Column) -> Column:
-        zero = F.struct(F.lit(1).alias("at"), F.lit(1).alias("free"), F.array().cast(spans).alias("out"))
+    def chosen(groups: Column, found: Column) -> Column:
+        """For each group: of how many groups the card is that begins there, 0 for none, -1 inside a card."""
 
-        def step(s: Column, i: Column) -> Column:
+        def step(free: Column, i: Column) -> tuple[Column, Column]:
             here = F.element_at(found, i)
             other = F.array_max(F.filter(here["ns"], lambda n: ~F.exists(F.slice(found, i + 1, n - 1), lambda x: x["usual"] > 0)))
-            n = F.when(i < s["free"], 0).when(here["usual"] > 0, here["usual"]).otherwise(F.coalesce(other, F.lit(0)))
-            return let(n, lambda n: F.struct(
-                (s["at"] + F.length(F.element_at(groups, i)) + 1).alias("at"),
-                F.when(n > 0, i + n).otherwise(s["free"]).alias("free"),
-                F.when(n > 0, F.concat(s["out"], F.array(F.struct(s["at"].alias("start"), (s["at"] + F.length(F.array_join(F.slice(groups, i, n), " "))).alias("end"))))).otherwise(s["out"]).alias("out"),
-            ))
+            n = F.when(i < free, -1).when(here["usual"] > 0, here["usual"]).otherwise(F.coalesce(other, F.lit(0)))
+            return F.when(n > 0, i + n).otherwise(free), n
 
-        return F.aggregate(F.sequence(F.lit(1), F.size(groups)), zero, step, lambda s: s["out"])
+        return gathered(F.sequence(F.lit(1), F.size(groups)), F.lit(1), step, "int")
 
-    def part(kind: Column, start: Column, end: Column) -> Column:
-        return F.struct(kind.alias("kind"), F.substring(run, start, end - start).alias("value"))
+    def pieces(groups: Column, behind: Column, ns: Column) -> Column:
+        """groups: with behind, the separator after each, they make the run."""
+        part = lambda kind, value: F.struct(F.lit(kind).cast("string").alias("kind"), value.alias("value"))
 
-    def cut(out: Column) -> Column:
-        none, last = F.lit(None).cast("string"), F.coalesce(F.try_element_at(out, F.lit(-1))["end"], F.lit(1))
-        ends = F.concat(F.array(F.lit(1)), F.transform(out, lambda x: x["end"]))
-        pieces = F.transform(out, lambda x, i: F.array(part(none, ends[i], x["start"]), part(F.lit("card"), x["start"], x["end"])))
-        return F.concat(F.flatten(pieces), F.array(part(none, last, F.length(run) + 1)))
+        def of(n: Column, i: Column) -> Column:
+            last = i + n - 1
+            card = F.concat(F.array_join(F.zip_with(F.slice(groups, i + 1, n - 1), F.slice(behind, i + 1, n - 1), lambda g, b: F.concat(g, b)), ""), groups[last])
+            return F.when(n > 0, F.array(part("card", card), part(None, behind[last]))).when(n == 0, F.array(part(None, F.concat(groups[i], behind[i])))).otherwise(F.array().cast(f"array<{PART}>"))
 
-    return let(F.split(run, "[ -]"), lambda g: let(let(_groupings(g), lambda found: cards(g, found)), cut))
+        return F.flatten(F.transform(ns, of))
+
+    behind = F.concat(F.regexp_extract_all(run, F.lit("[ -]"), F.lit(0)), F.array(F.lit("")))
+    return let(F.split(run, "[ -]"), lambda g: let(behind, lambda b: let(let(_groupings(g), lambda found: chosen(g, found)), lambda ns: pieces(g, b, ns))))
 
 
 def _parts(m: Column) -> Column:

@@ -3,13 +3,15 @@
 Base findings, leftmost and non-overlapping for each kind: assignments to a secret-like name with a value of 6
 or more characters, access keys of 20 or more, hex runs of 24 or more. The method adds candidate strings whose
 Shannon entropy in some window of 20 characters reaches the threshold of their character class. The entropy is
-kept incrementally: a character that enters or leaves the window changes one count c, hence the sum of
-c * log2(c), held in integers of 1e-9 bit so that results don't depend on the order of additions. Candidates
-that match the allow-list, lack a digit or a letter, or lie inside a base finding are suppressed. A candidate starts
+kept incrementally: a character that enters or leaves the window changes one count c, of those packed into six longs,
+and hence the sum of c * log2(c), held in integers of 1e-9 bit so that results don't depend on the order of additions.
+Candidates that match the allow-list, lack a digit or a letter, or lie inside a base finding are suppressed. A candidate starts
 behind leading =, which no key has; leading - and _ stay, but don't change its class.
 
-A null or empty text has no findings: counts 0 and the digest of the empty string. Rows are kept one to one,
-so ties and repeated rows need no rule. The work per text is linear but for the list of its findings.
+A null or empty text has no findings: counts 0 and the digest of the empty string. Rows are kept one to one, those
+of null doc_id too, so ties and repeated rows need no rule; an empty table gives no rows. Of extra columns only
+base_spans and all_spans are replaced. The work is linear in the text, however long its runs are, but for the list of
+its findings, which is copied as it grows.
 """
 
 from __future__ import annotations
@@ -19,7 +21,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .native import gaps_of, matches_of, starts_of
+from .native import gaps_of, let, matches_of, starts_of
 
 ASSIGN = (
     r"([pP][aA][sS][sS][wW][oO][rR][dD]|[pP][aA][sS][sS][wW][dD]|[sS][eE][cC][rR][eE][tT]|[tT][oO][kK][eE][nN]|[aA][pP][iI]_?[kK][eE][yY])"
@@ -34,13 +36,11 @@ CANDIDATE = r"[A-Za-z0-9+/_=-]{20,}"
 WINDOW = 20
 #: Bits for each character class of a candidate; a window of 20 has at most 4 (hex) or 4.32 bits.
 THRESHOLDS = {"entropy_hex": 3.0, "entropy_alnum": 3.9, "entropy_base64": 3.9}
-#: Candidates in which one of these is found are no secrets: UUIDs, documentation keys, counting or repeated runs, paths.
-#: The last one also meets keys (+ and / are base64 characters). The SQL still has it; the operator has PATH in its place.
+#: Candidates in which one of these is found are no secrets: UUIDs, documentation keys, counting runs. Nor are PATHs.
 ALLOW = (
     r"[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}",
     r"(?i:example|sample|placeholder|dummy|changeme|lorem)",
     r"0123456789|abcdefghij|ABCDEFGHIJ",
-    r"^[-_=+/]|//",
 )
 _WORD = r"(?:[A-Z]++(?![a-z])|[A-Z]?[a-z]*+)[0-9]*+"
 _PART = rf"{_WORD}(?:[-_]{_WORD})*+"
@@ -58,28 +58,38 @@ def _most_sum(bits: float) -> int:
     return round(UNIT * WINDOW * (math.log2(WINDOW) - bits))
 
 
+#: The characters of candidates; five bits of a long count one of them, twelve fit.
+ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
+EACH, BITS = 12, 5
+
+
 def _least_sum(candidate: Column) -> Column:
     """The least sum of c * log2(c) over the candidate's windows."""
     f = F.array(*[F.lit(x).cast("long") for x in _c_log_c()])
-    count = lambda w, x: F.length(w) - F.length(F.replace(w, x, F.lit("")))
+    unit = F.array(*[F.lit(1 << BITS * i).cast("long") for i in range(EACH)])
+    longs = -(-len(ALPHABET) // EACH)
+
+    def count(counts: Column, x: Column) -> Column:
+        return F.pmod(F.call_function("div", counts[x["long"]], unit[x["at"]]), F.lit(1 << BITS)).cast("int")
+
+    def changed(counts: Column, x: Column, by: int) -> Column:
+        return F.transform(counts, lambda v, i: F.when(i == x["long"], v + by * unit[x["at"]]).otherwise(v))
 
-    def step(s: Column, i: Column) -> Column:
-        x = F.substring(candidate, i, F.lit(1))
-        entered = F.struct(F.concat(s["w"], x).alias("w"), (s["sum"] + f[count(s["w"], x) + 1] - f[count(s["w"], x)]).alias("sum"))
-        first = F.substring(s["w"], 1, 1)
+    def step(s: Column, x: Column) -> Column:
+        def enter(n: Column) -> Column:
+            return F.struct(changed(s["counts"], x["new"], 1).alias("counts"), (s["sum"] + f[n + 1] - f[n]).alias("sum"))
 
         def leave(e: Column) -> Column:
-            n = count(e["w"], first)
-            return F.struct(F.substring(e["w"], F.lit(2), F.length(e["w"])).alias("w"), (e["sum"] + f[n - 1] - f[n]).alias("sum"))
+            return let(count(e["counts"], x["old"]), lambda n: F.struct(changed(e["counts"], x["old"], -1).alias("counts"), (e["sum"] + f[n - 1] - f[n]).alias("sum")))
 
-        moved = F.transform(F.array(entered), lambda e: F.when(F.length(e["w"]) > WINDOW, leave(e)).otherwise(e))[0]
-        return F.transform(
-            F.array(moved),
-            lambda m: F.struct(m["w"].alias("w"), m["sum"].alias("sum"), F.when((F.length(m["w"]) == WINDOW) & (m["sum"] < s["best"]), m["sum"]).otherwise(s["best"]).alias("best")),
-        )[0]
+        moved = let(let(count(s["counts"], x["new"]), enter), lambda e: F.when(x["old"].isNotNull(), leave(e)).otherwise(e))
+        return let(moved, lambda m: F.struct(m["counts"].alias("counts"), m["sum"].alias("sum"), F.when(x["full"], F.least(s["best"], m["sum"])).otherwise(s["best"]).alias("best")))
 
-    zero = F.struct(F.lit("").alias("w"), F.lit(0).cast("long").alias("sum"), F.lit(2**62).cast("long").alias("best"))
-    return F.aggregate(F.sequence(F.lit(1), F.length(candidate)), zero, step)["best"]
+    code = lambda c: let(F.instr(F.lit(ALPHABET), c) - 1, lambda k: F.struct(F.floor(k / EACH).cast("int").alias("long"), F.pmod(k, F.lit(EACH)).alias("at")))
+    codes = F.transform(F.split(candidate, ""), code)
+    steps = let(codes, lambda cs: F.transform(cs, lambda c, i: F.struct(c.alias("new"), F.when(i >= WINDOW, cs[i - WINDOW]).alias("old"), (i >= WINDOW - 1).alias("full"))))
+    zero = F.struct(F.array(*[F.lit(0).cast("long")] * longs).alias("counts"), F.lit(0).cast("long").alias("sum"), F.lit(2**62).cast("long").alias("best"))
+    return F.aggregate(steps, zero, step)["best"]
 
 
 def _spans(text: Column, pattern: str, kind: str, keep=None, group: int = 0) -> Column:
@@ -102,7 +112,7 @@ def _entropy_spans(text: Column) -> Column:
         lambda x: (F.length(x["value"]) >= WINDOW)
         & F.regexp(x["value"], F.lit("[0-9]"))
         & F.regexp(x["value"], F.lit("[A-Za-z]"))
-        & ~F.regexp(x["value"], F.lit("|".join(f"(?:{a})" for a in (*ALLOW[:-1], PATH)))),
+        & ~F.regexp(x["value"], F.lit("|".join(f"(?:{a})" for a in (*ALLOW, PATH)))),
     )
     named = F.transform(
         found,
@@ -158,6 +168,7 @@ def _oracle() -> str:
         )
 
     allow = "|".join(f"(?:{a})" for a in ALLOW).replace("'", "''")
+    word = "([A-Z]+|[A-Z]?[a-z]*)[0-9]*"
     table = "[" + ", ".join(map(str, _c_log_c())) + "]"
     hexes, rest = _most_sum(THRESHOLDS["entropy_hex"]), _most_sum(THRESHOLDS["entropy_base64"])
     window = f"list_sum(list_transform(list_distinct(string_split(substr(v, i, {WINDOW}), '')), lambda c: ({table})[1 + length(substr(v, i, {WINDOW})) - length(replace(substr(v, i, {WINDOW}), c, ''))]))"
@@ -167,11 +178,13 @@ b AS (SELECT doc_id, t, list_concat(
   (SELECT {spans("assign", ASSIGN, "length(x.v) >= 6", "regexp_extract(m[i], '{p}', 2)")}),
   (SELECT {spans("access", ACCESS, "length(x.v) >= 20")}),
   (SELECT {spans("hex", "[0-9a-f]+", "length(x.v) >= 24")})) AS base FROM d),
-c AS (SELECT doc_id, unnest((SELECT {spans("entropy_base64", CANDIDATE, "true")})) AS x, base FROM b),
-k AS (SELECT doc_id, x.s AS s, x.s + length(x.m) AS e, x.v AS v,
-  CASE WHEN regexp_matches(x.v, '^([0-9a-f]+|[0-9A-F]+)$') THEN 'entropy_hex' WHEN regexp_matches(x.v, '^[A-Za-z0-9]+$') THEN 'entropy_alnum' ELSE 'entropy_base64' END AS kind
-  FROM c WHERE regexp_matches(x.v, '[0-9]') AND regexp_matches(x.v, '[A-Za-z]') AND NOT regexp_matches(x.v, '{allow}')
-  AND len(list_filter(base, lambda q: q.s <= x.s AND x.s + length(x.m) <= q.s + length(q.m))) = 0),
+r AS (SELECT doc_id, unnest((SELECT {spans("entropy_base64", CANDIDATE, "true")})) AS x, base FROM b),
+c AS (SELECT doc_id, base, x.s + length(x.m) AS e, regexp_replace(x.m, '^=+', '') AS v FROM r),
+k AS (SELECT doc_id, e - length(v) AS s, e, v,
+  CASE WHEN regexp_matches(v, '^[-_]*([0-9a-f]+|[0-9A-F]+)$') THEN 'entropy_hex' WHEN regexp_matches(v, '^[-_]*[A-Za-z0-9]+$') THEN 'entropy_alnum' ELSE 'entropy_base64' END AS kind
+  FROM c WHERE length(v) >= {WINDOW} AND regexp_matches(v, '[0-9]') AND regexp_matches(v, '[A-Za-z]') AND NOT regexp_matches(v, '{allow}')
+  AND NOT ((v LIKE '/%' OR contains(v, '//')) AND regexp_full_match(v, '{word}([-_/]{word})*'))
+  AND len(list_filter(base, lambda q: q.s <= e - length(v) AND e <= q.s + length(q.m))) = 0),
 h AS (SELECT doc_id, list({{'s': s, 'r': list_position({list(KINDS)}, kind) - 1, 'e': e, 'kind': kind}}) AS more FROM k
   WHERE list_min(list_transform(range(1, length(v) - {WINDOW - 2}), lambda i: {window})) <= CASE WHEN kind = 'entropy_hex' THEN {hexes} ELSE {rest} END GROUP BY doc_id),
 f AS (SELECT b.doc_id, list_transform(base, lambda x: {{'s': x.s, 'r': x.r, 'e': x.s + length(x.m), 'kind': x.kind}}) AS base, more FROM b LEFT JOIN h ON h.doc_id = b.doc_id)

@@ -6,14 +6,17 @@ last byte of a gzip member is the high byte of the content's length, which is 0
 the separator. A larger record is followed by a small metadata record to restore this.
 
 Reading cuts files into byte ranges at the gzip magic 1f 8b 08: a task gets the candidates that begin inside its
-range and owns the records among them. A candidate is a member only if it inflates to a whole WARC record. The magic
-can also occur by chance within compressed data; then a candidate ends early and is joined with the next ones. Where
-that crosses the end of a range, the open end and the orphaned start are given out as pieces and joined afterwards by
-file and position. Truncated or foreign data that fits nowhere is skipped, as are records that are not asked for.
+range and owns the records among them. A candidate is a member if it inflates from its start to a whole WARC record.
+The magic can also occur within a member, by chance or because a payload holds gzip members itself; so an open member
+takes all further candidates until its own stream ends. If it fails instead, its first candidate was no member and
+the ones behind it are looked at anew. A member that is still open at the end of a range is carried into the next one,
+which is then decoded again from there. Members are inflated piece by piece; without payloads only their digests are
+kept. A record whose length or headers are wrong is skipped, and so are truncated and foreign data.
 
 A null html is an empty payload. Equal payloads: the smallest page_id is the response, the others are revisits that
 name it, also for empty payloads. Rows with a null page_id are written as responses of their own and read back with
-page_id null. Extra columns are ignored; an empty table gives no records.
+page_id null. Extra columns, whatever their names, are ignored; an empty table gives no records. A payload beyond 2 GiB
+fits no row: it is read back as null, with its digest and length.
 """
 
 from __future__ import annotations
@@ -22,19 +25,19 @@ import base64
 import gzip
 import hashlib
 import zlib
+from collections import deque
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import batch, map_arrow, new_path, save
 
 MAGIC = b"\x1f\x8b\x08"
 DATE = "2024-01-01T00:00:00Z"
-MEMBER_LIMIT = 1 << 24
-#: A candidate that stays open over so many further candidates is no member (chance: one in 2^24 for each byte).
-MOST_JOINED = 64
+#: Bytes inflated at a time; longest headers; longest payload of a row.
+STEP, HEAD_LIMIT, PAYLOAD_LIMIT = 1 << 20, 1 << 20, (1 << 31) - (1 << 16)
 
 
 def _record(kind: str, headers: list[tuple[str, str]], block: bytes) -> bytes:
@@ -90,71 +93,119 @@ def write_warc(pages: DataFrame, path: str, min_revisit_bytes: int = 0) -> None:
     members.select(F.expr("cast(value as string)").alias("value")).write.option("lineSep", "\x00").option("compression", "none").text(path)
 
 
-def _inflate(data: bytes) -> tuple[bytes, bool] | None:
-    """The content and whether the member is whole; None if this is no gzip member."""
-    z = zlib.decompressobj(wbits=31)
-    try:
-        out = z.decompress(data)
-    except zlib.error:
-        return None
-    return out, z.eof
-
-
-def _parse(content: bytes) -> tuple[dict[str, str], bytes] | None:
-    head, sep, block = content.partition(b"\r\n\r\n")
-    if not sep or not head.startswith(b"WARC/1."):
-        return None
-    headers = dict(line.split(": ", 1) for line in head.decode("utf-8", "replace").split("\r\n")[1:] if ": " in line)
-    n = int(headers.get("Content-Length", -1))
-    return (headers, block[:n]) if 0 <= n <= len(block) else None
-
-
-def decode_pieces(pieces: Iterator[bytes]) -> Iterator[tuple[str, bytes | tuple]]:
-    """From the candidates of a range, in order: ('record', (headers, block)), ('orphan', raw) and ('open', raw)."""
-    held: list[bytes] = []
-    for piece in pieces:
-        fresh = _inflate(MAGIC + piece)
-        starts = fresh is not None and (fresh[0].startswith(b"WARC/1.") or not fresh[1] and b"WARC/1.".startswith(fresh[0][:7]))
-        if held and not (starts and fresh[1]):
-            held.append(piece)
-            joined = _inflate(MAGIC + MAGIC.join(held))
-            if joined is not None and joined[1]:
-                if record := _parse(joined[0]):
-                    yield "record", record
-                held = []
-                continue
-            if joined is not None and len(held) < MOST_JOINED:
+def _as_bytes(spark: SparkSession) -> dict[str, str]:
+    """Options by which files named *.gz are read as they are and in ranges.
+
+    Hadoop looks up a file's codec by the last registered suffix before its name, both read backwards; with this one
+    registered, which no file has, a *.gz name doesn't meet gzip's own.
+    """
+    codec = spark.sparkContext._jvm.org.apache.hadoop.io.compress.PassthroughCodec
+    return {"io.compression.codecs": codec.CLASSNAME, codec.OPT_EXTENSION: "!.gz"}
+
+
+class NoRecordError(Exception):
+    """The candidate is no gzip member, or holds no WARC record."""
+
+
+class Member:
+    """A member that is inflated as its bytes come in."""
+
+    def __init__(self, with_payload: bool):
+        self.z, self.sha, self.with_payload = zlib.decompressobj(wbits=31), hashlib.sha1(), with_payload
+        self.head, self.headers, self.left, self.in_http, self.length, self.parts = b"", None, 0, False, 0, []
+
+    def feed(self, data: bytes) -> None:
+        while not self.z.eof:
+            try:
+                out = self.z.decompress(data, STEP)
+            except zlib.error as e:
+                raise NoRecordError from e
+            data = self.z.unconsumed_tail
+            if out:
+                self._take(out)
+            elif not data:
+                return
+
+    def _take(self, out: bytes) -> None:
+        if self.headers is None:
+            self.head += out
+            head, sep, out = self.head.partition(b"\r\n\r\n")
+            if not b"WARC/1.".startswith(head[:7]) or len(head) > HEAD_LIMIT:
+                raise NoRecordError
+            if not sep:
+                return
+            self.headers = dict(line.split(": ", 1) for line in head.decode("utf-8", "replace").split("\r\n")[1:] if ": " in line)
+            length = self.headers.get("Content-Length", "").strip()
+            if not (length.isascii() and length.isdigit()):
+                raise NoRecordError
+            self.left, self.head, self.in_http = int(length), b"", self.headers.get("Content-Type", "").startswith("application/http")
+        out = out[: self.left]
+        self.left -= len(out)
+        if self.in_http:
+            at = max(0, len(self.head) - 3)
+            self.head += out
+            end = self.head.find(b"\r\n\r\n", at)
+            if end < 0:
+                return
+            out, self.head, self.in_http = self.head[end + 4 :], b"", False
+        self.sha.update(out)
+        self.length += len(out)
+        if self.with_payload and self.length <= PAYLOAD_LIMIT:
+            self.parts.append(out)
+
+    @property
+    def ended(self) -> bool:
+        return self.z.eof
+
+    def record(self) -> tuple | None:
+        """type, id, uri, digest, payload_length, refers_to, payload; None if it isn't whole."""
+        h = self.headers
+        if h is None or self.left:
+            return None
+        kind, digest, length = h.get("WARC-Type", ""), h.get("WARC-Payload-Digest", ""), h.get("X-Payload-Length", "")
+        if kind != "revisit":  # what was stored speaks for itself
+            digest, length = base64.b32encode(self.sha.digest()).decode(), self.length
+        else:
+            length = int(length) if length.isascii() and length.isdigit() else None
+        payload = b"".join(self.parts) if self.with_payload and self.length <= PAYLOAD_LIMIT else None
+        return kind, h.get("WARC-Record-ID", "").strip("<>"), h.get("WARC-Target-URI"), digest.rpartition(":")[2], length, (h.get("WARC-Refers-To") or "").strip("<>") or None, payload
+
+
+def decode_pieces(pieces: Iterator[bytes], with_payload: bool = True) -> Iterator[tuple[str, tuple | bytes]]:
+    """From the candidates of a range, in order: ('record', fields), and at the end ('open', its bytes but the magic)."""
+    again: deque[bytes] = deque()
+    pieces = iter(pieces)
+    member, held = None, []
+    while True:
+        piece = again.popleft() if again else next(pieces, None)
+        if piece is None:
+            break
+        if member is None:
+            if not piece:  # before a file's first magic, or magic upon magic: no member begins so
                 continue
-            held = [piece] if starts and not fresh[1] else []
+            member, held = Member(with_payload), []
+        held.append(piece)
+        try:
+            member.feed(MAGIC + piece)
+        except NoRecordError:
+            again.extendleft(reversed(held[1:]))
+            member = None
             continue
-        held = []
-        if starts and fresh[1]:
-            if record := _parse(fresh[0]):
+        if member.ended:
+            if record := member.record():
                 yield "record", record
-        elif starts:
-            held = [piece]
-        else:
-            yield "orphan", piece
-    if held:
+            member = None
+    if member is not None:
         yield "open", MAGIC.join(held)
 
 
 SCHEMA = pa.schema([("file", pa.string()), ("start", pa.int64()), ("kind", pa.string()), ("type", pa.string()), ("id", pa.string()), ("uri", pa.string()), ("digest", pa.string()), ("payload_length", pa.int64()), ("refers_to", pa.string()), ("payload", pa.binary()), ("raw", pa.binary())])
-PIECE = "file string, start long, kind string, type string, id string, uri string, digest string, payload_length long, refers_to string, payload binary, raw binary"
+ROW = "file string, start long, kind string, type string, id string, uri string, digest string, payload_length long, refers_to string, payload binary, raw binary"
 
 
-def _row(headers: dict[str, str], block: bytes, with_payload: bool) -> tuple:
-    body = block.partition(b"\r\n\r\n")[2] if headers.get("Content-Type", "").startswith("application/http") else block
-    digest, length = headers.get("WARC-Payload-Digest", ""), headers.get("X-Payload-Length")
-    kind = headers.get("WARC-Type", "")
-    if kind != "revisit":  # what was stored speaks for itself
-        digest, length = base64.b32encode(hashlib.sha1(body).digest()).decode(), len(body)
-    elif length is None or not length.isdigit():
-        length = None
-    return kind, headers.get("WARC-Record-ID", "").strip("<>"), headers.get("WARC-Target-URI"), digest.rpartition(":")[2], None if length is None else int(length), (headers.get("WARC-Refers-To") or "").strip("<>") or None, body if with_payload else None
+def _decode(with_payload: bool):
+    """The records of ranges, and for each range a row 'range', with raw if a member is open at its end."""
 
-
-def _decode(with_payload: bool, records: bool):
     def ranges(it: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, int, bytes]]:
         for b in it:
             yield from zip(*(b.column(i).to_pylist() for i in range(3)), strict=True)
@@ -163,43 +214,57 @@ def _decode(with_payload: bool, records: bool):
         from itertools import groupby
 
         for (file, start), rows in groupby(ranges(it), key=lambda r: r[:2]):
-            out, size = [], 0
-            for at, (kind, what) in enumerate(decode_pieces(r[2] for r in rows)):
-                if kind == "record" and records:
-                    out.append((file, start, kind, *_row(*what, with_payload), None))
-                elif kind != "record" and not records:
-                    out.append((file, start, kind, None, None, None, None, at, None, None, what))  # payload_length: the order in its range
-                size += len(what) if kind != "record" else len(what[1]) * with_payload
+            out, size, open_ = [], 0, None
+            for kind, what in decode_pieces((r[2] for r in rows), with_payload):
+                if kind == "open":
+                    open_ = what
+                    continue
+                out.append((file, start, kind, *what, None))
+                size += len(what[-1] or b"")
                 if len(out) >= 500 or size > 1 << 22:
                     yield batch(SCHEMA, *map(list, zip(*out, strict=True)))
                     out, size = [], 0
-            if out:
-                yield batch(SCHEMA, *map(list, zip(*out, strict=True)))
+            out.append((file, start, "range", *[None] * 7, open_))
+            yield batch(SCHEMA, *map(list, zip(*out, strict=True)))
 
     return run
 
 
-def _stitch(with_payload: bool):
-    """Open ends and orphans of one file, in order of position; bounded, for they are as rare as chance magics."""
-    keep = _decode(with_payload, True)
+def _decode_again(with_payload: bool):
+    """The rows of one range, with the open member before it as its first piece (at = -1)."""
+    run_all = _decode(with_payload)
 
     def run(table: pa.Table) -> pa.Table:
-        rows = sorted(zip(*(table.column(c).to_pylist() for c in ("start", "payload_length", "file", "raw")), strict=True), key=lambda r: r[:2])
-        fake = pa.table([pa.array([r[2] for r in rows], pa.string()), pa.array([0] * len(rows), pa.int64()), pa.array([r[3] for r in rows], pa.binary())], names=["file", "start", "value"])
-        return pa.Table.from_batches(list(keep(iter(fake.to_batches()))), schema=SCHEMA)
+        table = table.sort_by("at").select(["file", "start", "value"])
+        return pa.Table.from_batches(list(run_all(iter(table.to_batches()))), schema=SCHEMA)
 
     return run
 
 
 def read_warc(spark: SparkSession, path: str, with_payload: bool = True) -> DataFrame:
-    """Records under path: type, id, uri, digest, payload_length, refers_to, payload (null unless asked for)."""
+    """Records under path: type, id, uri, digest, payload_length, refers_to, payload (null unless asked for).
+
+    Ranges are decoded once, in one map. Only those behind an open member, which are rare, are read again.
+    """
     # ISO-8859-1 makes the separator exactly the three bytes of the magic; the reader splits files at any byte
-    raw = spark.read.option("encoding", "ISO-8859-1").option("lineSep", MAGIC.decode("latin1")).text(path)
-    pieces = raw.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"), F.expr("cast(value as binary)").alias("value")).where(F.octet_length("value") > 0)
-    whole = map_arrow(pieces, _decode(with_payload, True), PIECE)
-    rest = map_arrow(pieces, _decode(False, False), PIECE)
-    joined = rest.groupBy("file").applyInArrow(_stitch(with_payload), PIECE)
-    return whole.union(joined).select("type", "id", "uri", "digest", "payload_length", "refers_to", "payload")
+    raw = spark.read.options(**_as_bytes(spark)).option("encoding", "ISO-8859-1").option("lineSep", MAGIC.decode("latin1")).text(path)
+    pieces = raw.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"), F.expr("cast(value as binary)").alias("value"))
+    rows = save(map_arrow(pieces, _decode(with_payload), ROW), "records")
+    while True:
+        by = Window.partitionBy("file").orderBy("start")
+        ends = rows.where("kind = 'range'").select("file", "start", "raw", F.lead("start").over(by).alias("next"), F.lag(F.col("raw").isNotNull()).over(by).alias("after_open"))
+        # of open members in neighbouring ranges the first decides about the others
+        open_ = ends.where("raw is not null and next is not null and not coalesce(after_open, false)").select("file", F.col("start").alias("from"), F.col("next").alias("start"), "raw")
+        if open_.isEmpty():
+            return rows.where("kind = 'record'").select("type", "id", "uri", "digest", "payload_length", "refers_to", "payload")
+        open_ = save(open_, "open")
+        asked = pieces.withColumn("at", F.monotonically_increasing_id()).join(open_.select("file", "start"), ["file", "start"], "left_semi")
+        carried = open_.select("file", "start", F.col("raw").alias("value"), F.lit(-1).cast("long").alias("at"))
+        fresh = asked.select("file", "start", "value", "at").unionByName(carried).groupBy("file", "start").applyInArrow(_decode_again(with_payload), ROW)
+        done = open_.select("file", F.col("from").alias("start"), F.lit(True).alias("done"))
+        kept = rows.join(open_.select("file", "start"), ["file", "start"], "left_anti").join(done, ["file", "start"], "left")
+        kept = kept.withColumn("raw", F.when(F.col("done").isNull(), F.col("raw"))).select(*rows.columns)
+        rows = save(kept.unionByName(fresh), "records")
 
 
 def page_records(records: DataFrame) -> DataFrame:
