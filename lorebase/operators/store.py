@@ -79,10 +79,10 @@ def overwrite_ledger(ledger: DataFrame, new: DataFrame) -> DataFrame:
     return ledger.join(new.select("url"), "url", "left_anti").unionByName(merged.select(*ledger.columns))
 
 
-def missing_previous(nodes: DataFrame) -> DataFrame:
-    """Rows whose previous url is named but not held."""
-    held = nodes.select(F.col("url").alias("_u"))
-    return nodes.where(F.coalesce("prev_url", F.lit("")) != "").join(held, F.col("prev_url") == F.col("_u"), "left_anti")
+def missing_previous(nodes: DataFrame, store: DataFrame | None = None) -> DataFrame:
+    """Rows whose previous url is named but not held, by the store or by the rows themselves."""
+    held = (nodes if store is None else store).select(F.col("url").alias("_u"))
+    return nodes.where(F.coalesce(F.col("prev_url").cast("string"), F.lit("")) != "").join(held, F.col("prev_url") == F.col("_u"), "left_anti")
 
 
 def recent(commands: DataFrame, n: int) -> DataFrame:
@@ -95,12 +95,16 @@ def removed_files(known: DataFrame, current: DataFrame) -> DataFrame:
 
 
 def oldest_and_sample(rows: DataFrame, oldest: int, sample: int, seed: int, by: str | None = None) -> DataFrame:
-    """The oldest rows and a uniform sample of the rest, overall or for each group."""
+    """The oldest rows and a sample of the rest, overall or for each group: the least SHA-1 of seed and url.
+
+    The draw depends on the url alone, so it is the same in every layout of the files.
+    """
+    drawn = F.sha1(F.encode(F.concat_ws(":", F.lit(str(seed)), F.col("url").cast("string")), "UTF-8"))
     if by is None:
         first = rows.orderBy("upload_date", "url").limit(oldest)
-        rest = rows.join(first.select("url"), "url", "left_anti").orderBy(F.rand(seed)).limit(sample)
+        rest = rows.join(first.select("url"), "url", "left_anti").orderBy(drawn, "url").limit(sample)
         return first.unionByName(rest)
     order = F.row_number().over(Window.partitionBy(by).orderBy("upload_date", "url"))
-    ranked = rows.withColumn("_k", order).withColumn("_old", F.col("_k") <= oldest).withColumn("_r", F.rand(seed))
-    ranked = ranked.withColumn("_s", F.row_number().over(Window.partitionBy(by, "_old").orderBy("_r")))
+    ranked = rows.withColumn("_k", order).withColumn("_old", F.col("_k") <= oldest).withColumn("_r", drawn)
+    ranked = ranked.withColumn("_s", F.row_number().over(Window.partitionBy(by, "_old").orderBy("_r", "url")))
     return ranked.where(F.col("_old") | (F.col("_s") <= sample)).drop("_k", "_old", "_r", "_s")

@@ -291,13 +291,6 @@ def url_parts(spark: SparkSession, sf: str) -> DataFrame:
     return p.select("page_id", "p.category", "p.shard", "p.id", "host")
 
 
-@query("SELECT p_partkey, CAST(p_partkey * 7919 AS BIGINT) AS n, true AS same, length(CAST(p_partkey AS VARCHAR)) >= 0 AS padded FROM part")
-def base62_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
-    p = table(spark, sf, "part").select("p_partkey", (F.col("p_partkey") * 7919).alias("n"))
-    code = urls.base62_encode(F.col("n"), 4)
-    return p.withColumn("code", code).select("p_partkey", urls.base62_decode(F.col("code")).alias("n"), (urls.base62_decode(F.col("code")) == F.col("n")).alias("same"), (F.length("code") >= 4).alias("padded"))
-
-
 @query("SELECT page_id, rtrim(translate(base64(encode(url)), '+/', '-_'), '=') AS nid, url FROM pages")
 def nid_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "pages").select("page_id", urls.nid_encode(F.col("url")).alias("nid")).withColumn("url", urls.nid_decode(F.col("nid")))
@@ -330,6 +323,13 @@ def boundary_kinds(spark: SparkSession, sf: str) -> DataFrame:
     return graph.boundaries(order_graph(spark, sf), "next")
 
 
+@query(
+    f"WITH {GRAPH_SQL} SELECT a.url, CASE WHEN a.prev_url IS NULL THEN 'chain_end' WHEN g.url IS NULL THEN 'missing_from_catalogue' WHEN g.fetch_status <> 'ok' THEN 'confirmed_404' WHEN g.next_url IS DISTINCT FROM a.url THEN 'non_reciprocal' ELSE 'connected' END AS kind, a.prev_url AS target_url FROM live a LEFT JOIN graph g ON g.url = a.prev_url"
+)
+def boundary_kinds_before(spark: SparkSession, sf: str) -> DataFrame:
+    return graph.boundaries(order_graph(spark, sf), "prev")
+
+
 @query(f"WITH {GRAPH_SQL} SELECT url, next_url FROM rec")
 def reciprocal_edges(spark: SparkSession, sf: str) -> DataFrame:
     return graph.reciprocal_edges(order_graph(spark, sf))
@@ -353,7 +353,17 @@ def display_chains(spark: SparkSession, sf: str) -> DataFrame:
     return graph.display_chains(graph.chains(order_graph(spark, sf)))
 
 
-@query()
+def _bound_sql(at: str, field: str, back: str) -> str:
+    return f"(SELECT CASE WHEN a.{field} IS NULL THEN 'chain_end' WHEN g.url IS NULL THEN 'missing_from_catalogue' WHEN g.fetch_status <> 'ok' THEN 'confirmed_404' WHEN g.{back} IS DISTINCT FROM a.url THEN 'non_reciprocal' ELSE 'connected' END FROM live a LEFT JOIN graph g ON g.url = a.{field} WHERE a.url = {at})"
+
+
+_COUNTED = ", ".join(f"count_if({side}_kind = '{k}') AS {side}_{k}" for side in ("start", "end") for k in ("chain_end", "missing_from_catalogue", "confirmed_404", "non_reciprocal"))
+
+
+@query(
+    f"WITH RECURSIVE {GRAPH_SQL}, {_CHAINS_SQL}, c AS (SELECT root, count(*) AS n, arg_max(url, pos) AS last FROM walk GROUP BY root), b AS (SELECT n, {_bound_sql('c.root', 'prev_url', 'next_url')} AS start_kind, {_bound_sql('c.last', 'next_url', 'prev_url')} AS end_kind FROM c) "
+    f"SELECT count(*) AS chains, CAST(sum(n) AS BIGINT) AS novels, 0 AS cycles, count_if(n = 1) AS singles, max(n) AS longest, {_COUNTED} FROM b"
+)
 def chain_counters(spark: SparkSession, sf: str) -> DataFrame:
     return graph.chain_counters(graph.chains(order_graph(spark, sf)))
 
@@ -378,9 +388,9 @@ def probed_pages(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(f"WITH {GRAPH_SQL} SELECT url, prev_url FROM graph g WHERE prev_url IS NOT NULL AND NOT EXISTS (SELECT 1 FROM graph h WHERE h.url = g.prev_url AND h.url % 3 <> 0)")
 def missing_previous(spark: SparkSession, sf: str) -> DataFrame:
+    """The store lacks every third row."""
     g = order_graph(spark, sf).select("url", "prev_url")
-    held = g.where("url % 3 <> 0").select(F.col("url").alias("_u"))
-    return g.where("prev_url is not null").join(held, F.col("prev_url") == F.col("_u"), "left_anti")
+    return store.missing_previous(g, g.where("url % 3 <> 0"))
 
 
 # --- text ---
@@ -425,10 +435,10 @@ def chapter_numbers(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "conversations").select("conv_id", "turn", text.chapter_number(title).alias("num"))
 
 
-@query("SELECT doc_id, len(string_split(text, ' ')) >= 0 AS ok, array_to_string(list_filter(list_transform(regexp_split_to_array(trim(substr(text, 1, 300)), '[\\s　 、，,/／┃|；;]+'), lambda t: trim(t)), lambda t: t <> '' AND length(t) <= 12), '|') AS tags FROM documents")
+@query("SELECT doc_id, array_to_string(list_filter(list_transform(regexp_split_to_array(trim(text), '[\\s　 、，,/／┃|；;]+'), lambda t: trim(t)), lambda t: t <> '' AND length(t) <= 12), '|') AS tags FROM documents")
 def split_tags(spark: SparkSession, sf: str) -> DataFrame:
-    """Words of each text as if it were a tag line. The SQL still cuts texts at 300 characters, so it agrees on shorter ones only."""
-    return table(spark, sf, "documents").select("doc_id", (F.size(F.split("text", " ")) >= 0).alias("ok"), F.array_join(text.split_tags(F.col("text")), "|").alias("tags"))
+    """Words of each text as if it were a tag line."""
+    return table(spark, sf, "documents").select("doc_id", F.array_join(text.split_tags(F.col("text")), "|").alias("tags"))
 
 
 @query()
@@ -487,7 +497,7 @@ def pca_map(spark: SparkSession, sf: str) -> DataFrame:
     return rank.pca_map(table(spark, sf, "embeddings").select(F.col("vec_id").alias("row_id"), "embedding"))
 
 
-@query()
+@query(f"WITH {RECORDS_SQL}, k AS (SELECT url, upload_date, category, row_number() OVER (PARTITION BY category ORDER BY upload_date, url) <= 3 AS old, sha1(concat('42:', url)) AS r FROM records), s AS (SELECT *, row_number() OVER (PARTITION BY category, old ORDER BY r, url) AS n FROM k) SELECT url, upload_date, category FROM s WHERE old OR n <= 5")
 def oldest_and_sample(spark: SparkSession, sf: str) -> DataFrame:
     return store.oldest_and_sample(records(spark, sf).select("url", "upload_date", "category"), 3, 5, 42, "category")
 
@@ -498,3 +508,4 @@ def reading_states(spark: SparkSession, sf: str) -> DataFrame:
     return e.select("user_id", "event_id", scalars.progress_percent(F.col("p"), F.col("total")).alias("percent"), scalars.reading_state(F.col("p"), F.col("total")).alias("state"))
 
 
+from . import checks  # noqa: E402, F401  (registers its queries)
