@@ -329,15 +329,16 @@ class Candidates:
 
 def _first_pairs(p: Postings, found: Candidates, num: int, den: int) -> None:
     """Candidates among p: earliest lines of the postings against all first, then all that want for candidates."""
-    size = np.bincount(np.cumsum(np.concatenate([[0], p.token[1:] != p.token[:-1]]))) if len(p) else np.zeros(0, np.int64)
-    large = np.repeat(size, size) > 8
+    start = np.flatnonzero(np.concatenate([[True], p.token[1:] != p.token[:-1]])) if len(p) else np.zeros(0, np.int64)
+    size = np.diff(np.append(start, len(p)))
+    large = np.flatnonzero(np.repeat(size > 8, size))
+    large = large[np.lexsort((p.line[large], p.doc[large], p.token[large]))]
     been = np.zeros(len(p), bool)
     for _ in range(PIVOTS):
-        open_ = np.flatnonzero(large & (found.given < FEW))
+        open_ = large[found.given[large] < FEW]
         can = open_[~been[open_]]
         if not len(can):
             break
-        can = can[np.lexsort((p.line[can], p.doc[can], p.token[can]))]
         pivot = can[np.concatenate([[True], p.token[can[1:]] != p.token[can[:-1]]])]
         been[pivot] = True
         of = np.searchsorted(p.token[pivot], p.token[open_])
