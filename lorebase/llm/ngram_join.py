@@ -91,7 +91,10 @@ def _prefixes(k: int, num: int, den: int, common):
             for words in hash_each(b.column(0).to_pylist()):
                 if not len(words):
                     continue
-                tokens, at = np.unique(raw_shingles(words, k), return_index=True)
+                raw = raw_shingles(words, k)
+                at = np.argsort(raw)
+                at = at[np.concatenate([[True], raw[at[1:]] != raw[at[:-1]]])]
+                tokens = raw[at]
                 p = prefix_length(len(tokens), num, den)
                 level = np.zeros(len(tokens), np.int32)
                 if len(names):
@@ -122,21 +125,39 @@ def _fold(bits: int, width: int, to: int) -> int:
 
 
 def _bitmap(tokens: np.ndarray) -> bytes:
+    """The OR bitmap, and behind it a bitmap of half the bits with the parity of the tokens at each."""
     width = _bitmap_bits(len(tokens))
     flags = np.zeros(width, np.uint8)
     flags[(tokens & np.uint64(width - 1)).astype(np.int64)] = 1
-    return np.packbits(flags, bitorder="little").tobytes()
+    odd = np.bincount(((tokens >> np.uint64(32)) & np.uint64(width // 2 - 1)).astype(np.int64), minlength=width // 2) & 1
+    return np.packbits(np.concatenate([flags, odd.astype(np.uint8)]), bitorder="little").tobytes()
+
+
+def _parts(raw: bytes) -> tuple[int, int, int]:
+    """(bits, width, parities) of what _bitmap has made; there are width / 2 parities."""
+    cut = len(raw) * 2 // 3
+    return int.from_bytes(raw[:cut], "little"), 8 * cut, int.from_bytes(raw[cut:], "little")
+
+
+def _fold_odd(odd: int, width: int, to: int) -> int:
+    while width > to:
+        width //= 2
+        odd = (odd >> width) ^ (odd & ((1 << width) - 1))
+    return odd
 
 
 class Node:
-    """Members' sizes low to high, OR and AND of bitmaps, most tokens that share a bit (excess), range of components."""
+    """Members' sizes low to high, OR and AND of bitmaps, most tokens that share a bit (excess), range of components.
+
+    A leaf also has its member's parities; a member is (key, comp, n, bits, parities).
+    """
 
-    __slots__ = ("all", "bits", "c_high", "c_low", "excess", "high", "kids", "low", "member")
+    __slots__ = ("all", "bits", "c_high", "c_low", "excess", "high", "kids", "low", "member", "odd")
 
     def __init__(self, kids: list[Node] | None = None, member=None):
-        self.kids, self.member = kids, member
+        self.kids, self.member, self.odd = kids, member, None
         if member is not None:
-            _, comp, n, bits = member
+            _, comp, n, bits, self.odd = member
             self.low = self.high = n
             self.bits = self.all = bits
             self.excess, self.c_low, self.c_high = n - bits.bit_count(), comp, comp
@@ -151,7 +172,7 @@ class Node:
 
 
 def build_tree(members: list[tuple]) -> Node | None:
-    """members: (key, comp, n, bits) with bitmaps of one width. Neighbours in size and component share nodes."""
+    """members: (key, comp, n, bits, parities) with bitmaps of one width. Neighbours in size and component share nodes."""
     level = [Node(member=m) for m in sorted(members, key=lambda m: (m[1], m[2], m[0]))]
     width = LEAF
     while len(level) > 1:
@@ -164,11 +185,13 @@ def may_link(x: Node, y: Node, num: int, den: int) -> bool:
     """Whether some member of x and some member of y could reach the threshold, by the largest possible overlap.
 
     Shared tokens lie in shared bits, and at most `excess` more of them than bits; a bit that all of x have and none of
-    y stands for a token of the difference.
+    y stands for a token of the difference, and so does, of two leaves, each parity in which they differ.
     """
     if den * x.high < num * y.low or den * y.high < num * x.low:
         return False
     apart = (x.all & ~y.bits).bit_count() + (y.all & ~x.bits).bit_count()
+    if x.odd is not None and y.odd is not None:
+        apart = max(apart, (x.odd ^ y.odd).bit_count())
     most = min((x.high + y.high - apart) // 2, (x.bits & y.bits).bit_count() + min(x.excess, y.excess), x.high, y.high)
     return most * (num + den) >= num * (x.low + y.low)
 
@@ -200,10 +223,11 @@ def _tree_pairs(num: int, den: int):
 
     def run(table: pa.Table) -> pa.Table:
         rows = list(zip(*(table.column(c).to_pylist() for c in ("part", "key", "comp", "n", "bitmap")), strict=True))
-        width = min((8 * len(r[4]) for r in rows), default=64)
+        width = min((_parts(r[4])[1] for r in rows), default=64)
         sides: dict[int, list] = {0: [], 1: []}
         for part, key, comp, n, raw in rows:
-            sides[part].append((key, comp, n, _fold(int.from_bytes(raw, "little"), 8 * len(raw), width)))
+            bits, own, odd = _parts(raw)
+            sides[part].append((key, comp, n, _fold(bits, own, width), _fold_odd(odd, own // 2, width // 2)))
         left, right = build_tree(sides[0]), build_tree(sides[1])
         found = {(min(p), max(p)) for p in dual(left, right or left, num, den)} if left else set()
         return pa.table([pa.array([p[0] for p in found], pa.int64()), pa.array([p[1] for p in found], pa.int64())], schema=schema)
@@ -219,9 +243,12 @@ def _possible(num: int, den: int):
         for b_in in it:
             out = []
             for a, b, na, nb, ma, mb in zip(*(b_in.column(i).to_pylist() for i in range(6)), strict=True):
-                width = 8 * min(len(ma), len(mb))
-                x, y = (Node(member=(key, 0, n, _fold(int.from_bytes(m, "little"), 8 * len(m), width))) for key, n, m in ((a, na, ma), (b, nb, mb)))
-                if may_link(x, y, num, den):
+                (xb, xw, xo), (yb, yw, yo) = _parts(ma), _parts(mb)
+                w = min(xw, yw)
+                apart = (_fold_odd(xo, xw // 2, w // 2) ^ _fold_odd(yo, yw // 2, w // 2)).bit_count()
+                if (na + nb - apart) // 2 * (num + den) < num * (na + nb):
+                    continue
+                if may_link(Node(member=(a, 0, na, _fold(xb, xw, w), None)), Node(member=(b, 0, nb, _fold(yb, yw, w), None)), num, den):
                     out.append((a, b))
             yield batch(schema, [p[0] for p in out], [p[1] for p in out])
 

@@ -87,7 +87,10 @@ def test_dual_traversal_never_loses_a_pair():
     rng = np.random.default_rng(5)
     base = rng.integers(0, 2**63, 60).astype(np.uint64)
     sets = {i: np.unique(np.concatenate([base[rng.random(60) < 0.9], rng.integers(0, 2**63, rng.integers(0, 12)).astype(np.uint64)])) for i in range(40)}
-    members = [(i, i, len(t), ngram_join._fold(int.from_bytes(ngram_join._bitmap(t), "little"), 8 * len(ngram_join._bitmap(t)), 64)) for i, t in sets.items()]
+    members = []
+    for i, t in sets.items():
+        bits, width, odd = ngram_join._parts(ngram_join._bitmap(t))
+        members.append((i, i, len(t), ngram_join._fold(bits, width, 64), ngram_join._fold_odd(odd, width // 2, 32)))
     tree = ngram_join.build_tree(members)
     found = {tuple(sorted(p)) for p in ngram_join.dual(tree, tree, 80, 100)}
     true = {(i, j) for i in sets for j in sets if i < j and 100 * len(np.intersect1d(sets[i], sets[j])) >= 80 * len(np.union1d(sets[i], sets[j]))}
