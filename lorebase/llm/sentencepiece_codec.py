@@ -39,7 +39,7 @@ from .common import map_arrow, text_bytes
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
-CACHE, PAIRS = 150_000, 200_000
+CACHE, PAIRS = 400_000, 200_000
 #: Kinds of models and pieces in the file format.
 UNIGRAM, BPE = 1, 2
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
@@ -256,9 +256,14 @@ class Codec:
         return tuple(out)
 
     def _learn(self, words: set[str]) -> None:
-        """Fill the cache. Of a BPE word with several marks in front, those before the last are merged apart."""
+        """Fill the cache. Of a BPE word with several marks in front, those before the last are merged apart.
+
+        A full cache keeps the words that are met again, which frequent ones are in every batch.
+        """
         if len(self.place) > CACHE:
-            self.place.clear(), self.codes.clear(), self.plain.clear()
+            kept = [(w, self.place[w]) for w in words if w in self.place]
+            self.codes, self.plain = [self.codes[i] for _, i in kept], [self.plain[i] for _, i in kept]
+            self.place = {w: i for i, (w, _) in enumerate(kept)}
         new = [w for w in words if w not in self.place]
         heads = {}
         if self.kind == BPE and self.simple:
