@@ -20,6 +20,17 @@ def _cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def numbered(rows: DataFrame, name: str, *order: Column) -> DataFrame:
+    """rows with a running number from 1 in that order: ranges are numbered apart, their sizes alone are summed in one task."""
+    keys = [c.alias(f"_o{i}") for i, c in enumerate(order)]
+    cols = [f"_o{i}" for i in range(len(order))]
+    ranged = _cut(rows.select("*", *keys).repartitionByRange(*cols).withColumn("_p", F.spark_partition_id()))
+    within = F.row_number().over(Window.partitionBy("_p").orderBy(*cols))
+    before = F.sum("_c").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1))
+    offsets = ranged.groupBy("_p").agg(F.count("*").alias("_c")).select("_p", F.coalesce(before, F.lit(0)).alias("_before"))
+    return ranged.withColumn("_k", within).join(offsets, "_p").withColumn(name, (F.col("_before") + F.col("_k")).cast("int")).drop("_p", "_k", "_before", *cols)
+
+
 def _live() -> Column:
     return F.coalesce("fetch_status", F.lit("ok")) == "ok"
 
@@ -92,9 +103,8 @@ def chains(nodes: DataFrame, members: DataFrame | None = None) -> DataFrame:
 
     (sb, sc), (eb, ec) = bound("prev", "start", "end"), bound("next", "end", "start")
     c = c.withColumn("start_url", F.col("start.url")).withColumn("end_url", F.col("end.url")).join(sb, "start_url", "left").join(eb, "end_url", "left")
-    # one row a chain; the running number is a report's and needs one order over all of them
-    number = F.row_number().over(Window.orderBy("start.upload_date", "start.url"))
-    return c.select(number.alias("chain_number"), "novel_count", "is_cycle", "start", "end", sc, ec, F.transform("path", lambda p: p["url"]).alias("urls"))
+    c = numbered(c, "chain_number", F.col("start.upload_date"), F.col("start.url"))
+    return c.select("chain_number", "novel_count", "is_cycle", "start", "end", sc, ec, F.transform("path", lambda p: p["url"]).alias("urls"))
 
 
 def display_chains(strict: DataFrame) -> DataFrame:
@@ -116,8 +126,7 @@ def display_chains(strict: DataFrame) -> DataFrame:
         opened = first.join(rings.select("url"), "url", "left_semi").join(anchors, "url", "left").withColumn("prev", F.when(F.col("anchor").isNull(), F.col("prev")))
         paths = paths.unionByName(_jump(opened.select("url", "upload_date", "prev"))[0])
     parts = paths.join(s.select(F.col("chain_number").alias("url"), "novel_count", "start"), "url").groupBy("root").agg(F.count("*").alias("n_chains"), F.sum("novel_count").alias("novel_count"), F.min_by("start", "pos").alias("start"), F.array_sort(F.collect_list(F.struct("pos", F.col("url").alias("chain")))).alias("p"))
-    number = F.row_number().over(Window.orderBy("start.upload_date", "start.url"))
-    return parts.select(number.alias("display_number"), F.col("start.url").alias("start_url"), "n_chains", "novel_count", F.transform("p", lambda x: x["chain"]).alias("parts"))
+    return numbered(parts, "display_number", F.col("start.upload_date"), F.col("start.url")).select("display_number", F.col("start.url").alias("start_url"), "n_chains", "novel_count", F.transform("p", lambda x: x["chain"]).alias("parts"))
 
 
 def chain_counters(strict: DataFrame) -> DataFrame:

@@ -57,6 +57,19 @@ def like(corpus: DataFrame, seed_url: str, n: int = 10, filters: Filters | None
     return search(corpus, list(seed.embedding), n, filters, list(seed.tags), [seed_url])
 
 
+#: Rows of a free-text answer, by default and at most.
+ANSWER, ANSWER_MAX = 12, 40
+
+
+def answer(corpus: DataFrame, text: str, encode: Callable[[list[str]], np.ndarray] | None, n: int = ANSWER, category: str | None = None) -> tuple[DataFrame | None, str | None]:
+    """(rows, None) for a page, or (None, why) where there is no text or no model; never more than ANSWER_MAX rows."""
+    if not text.strip():
+        return None, "the query is empty"
+    if encode is None:
+        return None, "no model is loaded"
+    return query(corpus, text, encode, max(1, min(n, ANSWER_MAX)), Filters(categories=frozenset({category} if category else ()))), None
+
+
 def query(corpus: DataFrame, text: str, encode: Callable[[list[str]], np.ndarray], n: int = 10, filters: Filters | None = None, parsed: tuple[str, set[str], Filters] | None = None) -> DataFrame:
     """Free text; what a parser found fills in what the caller left open (0 counts as open)."""
     text, tags, found = parsed or (text, set(), Filters())
@@ -213,13 +226,16 @@ def build_index(records: DataFrame, old: DataFrame | None, model: str, encoder:
     return index, {"total": counts.total, "embedded": counts.embedded, "reused": counts.total - counts.embedded}
 
 
+#: Numbers of the moments that are added up in one place.
+MOMENTS = 1 << 16
+
+
 def pca_map(index: DataFrame) -> DataFrame:
     """(row_id, x, y): centred rows on their two main directions, scaled to [-1, 1]; the largest loading is positive.
 
-    Sums and the d x d second moments are aggregated; the driver sees d * d numbers.
+    Sums and the d x d second moments are added up on executors, a block of MOMENTS numbers a key; the driver sees d * d.
     """
     spark = index.sparkSession
-    schema = "n long, s array<double>, m array<double>"
 
     def moments(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n, s, m = 0, 0.0, 0.0
@@ -228,14 +244,24 @@ def pca_map(index: DataFrame) -> DataFrame:
                 x = np.asarray(b.column(0).flatten()).reshape(b.num_rows, -1).astype(np.float64)
                 n, s, m = n + len(x), s + x.sum(axis=0), m + x.T @ x
         if n:
-            yield pa.RecordBatch.from_pydict({"n": [n], "s": [s.tolist()], "m": [m.ravel().tolist()]})
-
-    parts = index.select("embedding").mapInArrow(moments, schema).collect()
-    if not parts:
+            every = np.concatenate([[n], s, m.ravel()])
+            blocks = [every[i : i + MOMENTS].tolist() for i in range(0, len(every), MOMENTS)]
+            yield pa.RecordBatch.from_pydict({"block": list(range(len(blocks))), "v": blocks})
+
+    def added(table: pa.Table) -> pa.Table:
+        rows = np.array(table.column("v").to_pylist())
+        return pa.table({"block": table.column("block")[:1].cast(pa.int64()), "v": [rows.sum(axis=0).tolist()]})
+
+    # two levels: partial sums of a block meet under a salt first, so that no task takes those of all partitions
+    parts = index.select("embedding").mapInArrow(moments, "block long, v array<double>").withColumn("salt", F.pmod(F.spark_partition_id(), F.lit(64)))
+    half = parts.groupBy("block", "salt").applyInArrow(added, "block long, v array<double>")
+    sums = half.groupBy("block").applyInArrow(added, "block long, v array<double>").orderBy("block").collect()
+    if not sums:
         return spark.createDataFrame([], "row_id long, x double, y double")
-    n, s = sum(p.n for p in parts), np.sum([p.s for p in parts], axis=0)
-    mean = s / n
-    cov = np.sum([p.m for p in parts], axis=0).reshape(len(s), -1) / n - np.outer(mean, mean)
+    every = np.concatenate([r.v for r in sums])
+    n, d = every[0], round((np.sqrt(4 * len(every) - 3) - 1) / 2)  # 1 + d + d * d numbers
+    mean = every[1 : d + 1] / n
+    cov = every[d + 1 :].reshape(d, d) / n - np.outer(mean, mean)
     axes = np.linalg.eigh(cov)[1][:, ::-1][:, :2].T
     axes = np.array([a * np.sign(a[np.argmax(np.abs(a))]) for a in axes])
     dot = lambda a: cosine(F.col("embedding"), a.tolist()) - F.lit(float(mean @ a))

@@ -119,6 +119,11 @@ def incomplete_table(report: DataFrame) -> str:
     return render_table(["Category", "Novels", "Failed pages"], rows[:-1], rows[-1], "Incomplete downloads")
 
 
+def chain_json(strict: DataFrame) -> DataFrame:
+    """(chain_number, json) of each chain: size, ends, boundaries and urls."""
+    return strict.select("chain_number", F.to_json(F.struct("chain_number", "novel_count", "is_cycle", "start", "end", "start_boundary", "end_boundary", "urls")).alias("json"))
+
+
 def chain_table(strict: DataFrame) -> str:
     rows = [[str(r.chain_number), str(r.novel_count), r.start.url, r.end.url, r.start_boundary.kind, r.end_boundary.kind] for r in strict.orderBy("chain_number").collect()]
     return render_table(["Chain", "Novels", "Start", "End", "Before", "After"], rows, title="Catalogue chains")

@@ -13,6 +13,7 @@ import re
 import zipfile
 from collections.abc import Iterator
 from html.parser import HTMLParser
+from urllib.parse import unquote
 from xml.etree import ElementTree
 
 import pandas as pd
@@ -30,7 +31,7 @@ from .schemas import CATALOG, RECORD, with_catalog_defaults, with_record_default
 
 
 def _json_lines(spark: SparkSession, paths: list[str], schema) -> DataFrame:
-    """Rows of JSON-lines files with their order; folders or files that are missing give none."""
+    """Rows of JSON-lines files with their order; folders or files that are missing give none, a malformed line fails."""
     found = []
     for i, p in enumerate(paths):
         try:
@@ -40,7 +41,7 @@ def _json_lines(spark: SparkSession, paths: list[str], schema) -> DataFrame:
                 raise
             continue
         at = F.struct(F.lit(i).alias("store"), F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("row"))
-        found.append(raw.where(F.trim("value") != "").select(at.alias("at"), F.from_json("value", schema).alias("r")).select("at", "r.*"))
+        found.append(raw.where(F.trim("value") != "").select(at.alias("at"), F.from_json("value", schema, {"mode": "FAILFAST"}).alias("r")).select("at", "r.*"))
     if not found:
         return spark.createDataFrame([], schema).select(F.lit(None).cast("struct<store:int,file:string,block:bigint,row:bigint>").alias("at"), "*")
     out = found[0]
@@ -75,12 +76,14 @@ def load_catalogue(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame
 
 
 def load_index(spark: SparkSession, path: str) -> DataFrame | None:
-    """The index table, or None while it has not been written whole."""
+    """The index table, or None while it has not been written whole; a damaged one fails."""
     try:
         spark.read.json(f"{path}/manifest")
-        return spark.read.parquet(f"{path}/vectors")
-    except AnalysisException:
+    except AnalysisException as e:
+        if "PATH_NOT_FOUND" not in str(e):
+            raise
         return None
+    return spark.read.parquet(f"{path}/vectors")
 
 
 def load_engine(index: DataFrame, records: DataFrame) -> DataFrame:
@@ -127,6 +130,24 @@ def is_complete(text: Column) -> Column:
     return F.coalesce(_labelled(_head_lines(text), K.INTEGRITY_LABEL) == K.COMPLETE, F.lit(True))
 
 
+def watched_novel(files: DataFrame) -> DataFrame:
+    """(path, title, author, status, chapters, integrity, chars) of saved files(path, text).
+
+    Chapters are the labelled number, or the headings of the body where that is no number; chars counts the body behind the
+    source line; a file without the integrity line is `unknown`.
+    """
+    lines = F.split("text", "\n", -1)
+    at = F.array_position(F.transform(lines, lambda x: F.startswith(x, F.lit(K.SOURCE_LABEL))), True).cast("int")
+    f = files.withColumn("head", F.when(at > 0, F.slice(lines, 1, at)).otherwise(lines)).withColumn("body", F.when(at > 0, F.slice(lines, at + 1, F.size(lines))).otherwise(F.array().cast("array<string>")))
+    field = lambda label: F.coalesce(_labelled(F.col("head"), label), F.lit(""))
+    headed = F.size(F.filter("body", lambda x: F.regexp(strip(x), F.lit(K.CHAPTER_HEAD))))
+    return f.select(
+        "path", field(K.TITLE_LABEL).alias("title"), field(K.AUTHOR_LABEL).alias("author"), field(K.STATUS_LABEL).alias("status"),
+        F.coalesce(F.when(F.regexp(field(K.CHAPTERS_LABEL), F.lit(r"^\d+$")), field(K.CHAPTERS_LABEL).try_cast("int")), headed).alias("chapters"),
+        F.when(field(K.INTEGRITY_LABEL) == "", "unknown").otherwise(field(K.INTEGRITY_LABEL)).alias("integrity"), F.length(strip(F.array_join("body", "\n"))).alias("chars"),
+    )
+
+
 def incomplete_files(files: DataFrame) -> DataFrame:
     return files.where(F.contains("text", F.lit(K.PAGE_FAILED)))
 
@@ -233,6 +254,10 @@ def _plain_text(html: str) -> str:
     return "\n\n".join(x for line in "".join(p.out).split("\n") if (x := " ".join(line.split())))
 
 
+#: Media types of a book's chapters.
+CHAPTER_TYPES = ("application/xhtml+xml", "text/html", "")
+
+
 def epub_text(raw: bytes) -> str:
     """Text of an EPUB in the order of its spine."""
     local = lambda e: e.tag.rpartition("}")[2]
@@ -240,10 +265,12 @@ def epub_text(raw: bytes) -> str:
         box = ElementTree.fromstring(z.read("META-INF/container.xml"))
         opf_path = next(e.attrib["full-path"] for e in box.iter() if local(e) == "rootfile")
         opf = list(ElementTree.fromstring(z.read(opf_path)).iter())
-        items = {e.attrib["id"]: e.attrib["href"] for e in opf if local(e) == "item"}
+        items = {e.attrib["id"]: e.attrib for e in opf if local(e) == "item"}
         spine = [items[e.attrib["idref"]] for e in opf if local(e) == "itemref" and e.attrib.get("idref") in items]
-        names, base = set(z.namelist()), posixpath.dirname(opf_path)
-        parts = [_plain_text(z.read(n).decode("utf-8", "replace")) for h in spine if (n := posixpath.normpath(posixpath.join(base, h.partition("#")[0]))) in names]
+        base = posixpath.dirname(opf_path)
+        # hrefs are URLs; a chapter that the spine names and the archive lacks is an error, not a gap
+        hrefs = [unquote(a["href"].partition("#")[0]) for a in spine if a.get("media-type", "").lower() in CHAPTER_TYPES]
+        parts = [_plain_text(z.read(posixpath.normpath(posixpath.join(base, h))).decode("utf-8", "replace")) for h in hrefs]
     return "\n\n".join(p for p in parts if p)
 
 

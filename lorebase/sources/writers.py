@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import base64
 import uuid
+from urllib.parse import unquote
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -30,13 +32,16 @@ def replace_folder(spark: SparkSession, path: str, write) -> None:
 
 
 def write_records(records: DataFrame, path: str) -> None:
-    """Records as JSON lines, one folder a category, ordered by (upload_date, url) in each file."""
-    out = records.repartition("category").sortWithinPartitions("category", "upload_date", "url").withColumn("_category", F.col("category"))
+    """Records as JSON lines, one folder a category, ordered by (upload_date, url) over and within its files.
+
+    Ranges of rows, not categories, are the tasks, so that a large category is written by many.
+    """
+    out = records.repartitionByRange("category", "upload_date", "url").sortWithinPartitions("category", "upload_date", "url").withColumn("_category", F.col("category"))
     replace_folder(records.sparkSession, path, lambda p: out.write.partitionBy("_category").option("ignoreNullFields", False).json(p))
 
 
 def write_catalog(catalog: DataFrame, path: str) -> None:
-    out = catalog.repartition("category").sortWithinPartitions("category", "url").withColumn("_category", F.col("category"))
+    out = catalog.repartitionByRange("category", "url").sortWithinPartitions("category", "url").withColumn("_category", F.col("category"))
     replace_folder(catalog.sparkSession, path, lambda p: out.write.partitionBy("_category").option("ignoreNullFields", False).json(p))
 
 
@@ -70,8 +75,27 @@ def render_text(title: Column, author: Column, status: Column, upload_date: Colu
 
 
 def write_texts(texts: DataFrame, path: str) -> None:
-    """(file, text) as one text file each, in a folder named after the file."""
-    texts.select("file", "text").write.mode("overwrite").partitionBy("file").option("lineSep", "\n").text(path)
+    """(file, text) as one text file each: path/file, whose parts may be folders.
+
+    Tasks write beside the final name and rename, through the file system of the path, so that a lost task leaves
+    at most a hidden file; a name that occurs twice is an error of the caller and the last one stays.
+    """
+    spark = texts.sparkSession
+    stage = f"{path.rstrip('/')}/.stage-{uuid.uuid4().hex}"
+    texts.select(F.base64(F.encode("file", "UTF-8")).alias("_file"), F.regexp_replace("text", r"\n\z", "").alias("text")).write.partitionBy("_file").option("lineSep", "\n").text(stage)
+    jvm = spark.sparkContext._jvm
+    P, fs = jvm.org.apache.hadoop.fs.Path, jvm.org.apache.hadoop.fs.Path(stage).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    for folder in fs.listStatus(P(stage)):
+        name = folder.getPath().getName()
+        if not name.startswith("_file="):
+            continue
+        target = P(f"{path.rstrip('/')}/{base64.b64decode(unquote(name.removeprefix('_file='))).decode()}")
+        part = next(f.getPath() for f in fs.listStatus(folder.getPath()) if f.getPath().getName().startswith("part-"))
+        fs.mkdirs(target.getParent())
+        fs.delete(target, False)
+        if not fs.rename(part, target):
+            raise OSError(f"{target} can't be written")
+    fs.delete(P(stage), True)
 
 
 def patch_navigation(text: Column, label: str, name: Column, url: Column, file: Column) -> Column:
@@ -100,6 +124,13 @@ def append_log(rows: DataFrame, path: str) -> None:
     rows.write.mode("append").parquet(path)
 
 
+def run_log(rows: DataFrame) -> DataFrame:
+    """(line) of rows(url, title, failed array<string>): titles whose pages failed, and the pages below them."""
+    some = rows.where(F.size("failed") > 0).orderBy("url")
+    lines = F.concat(F.array(F.concat(F.col("title"), F.lit("  "), F.col("url"), F.lit("  ("), F.size("failed").cast("string"), F.lit(")"))), F.transform("failed", lambda u: F.concat(F.lit("    "), u)))
+    return some.select(F.explode(lines).alias("line"))
+
+
 def count_table(counts: DataFrame, per_row: int, key: str = "url") -> DataFrame:
     """(key, row, text) of counts(key, page_no, n): so many cells to a row of text."""
     cell = F.format_string("%4d:%6d", "page_no", "n")

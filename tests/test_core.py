@@ -448,12 +448,18 @@ def test_heading_patterns(spark):
     p = text.infer_pattern("1重生\n2 归来\n003、终章")
     assert one(spark, text.pattern_matches(F.lit("1重生\nnope\r\n 12 x \n"), p)) == ["1重生", "12 x"]
     assert text.infer_pattern("正文 12 重生").startswith("^") and "|" in text.infer_pattern("第1章 a\n12 b")
+    assert text.infer_pattern("第1章 a\n12 b") == r"^(?:(?:\s*第[零一二三四五六七八九十百千万亿两〇0-9]+[章回卷节部篇折]\s*.*)|(?:\s*\d+\s*(?:[、.)）]\s*)?\S.{0,98}))$"
+    for good in (r"^(?:a|b)+x"[:-2] + "x", r"^第\d+章(?:x)?", r"^[ab]{2,5}(c|d)?$", r"^\s*\bact\b.{0,98}$"):
+        assert text.validate_pattern(f" {good} ") == good
+    for bad in (r"^(?:ab)+$", r"^(?:ab|c){2}", r"^(?i:a)", r"^(?P<n>a)", r"^(?<!a)b", r"^(?>a)", r"^\d+(x*)*"):
+        with pytest.raises(ValueError):
+            text.validate_pattern(bad)
     for bad in (r"\d+title", r"^(a+)+$", r"^(a)\1$", r"^(?=a)", "^[", "^" + "a" * 300, ""):
         with pytest.raises(ValueError):
             text.validate_pattern(bad)
     got = text.effective_patterns({"english-standard": {"label": "E"}, "mine": {"pattern": "^x"}}, ["chinese-standard"])
     assert [(x["id"], x["label"], x["builtin"]) for x in got] == [("english-standard", "E", True), ("mine", "mine", False)]
-    assert one(spark, text.tone_marks(F.lit("ni3 hao3 lu:4 xue2 gou3 de5 x"))) == "nǐ hǎo lǜ xué gǒu de x"
+    assert one(spark, text.tone_marks(F.lit("ni3 hao3 lv4 lu:4 xue2 gou3 de5 x"))) == "nǐ hǎo lǜ lu:4 xué gǒu de x"
     assert one(spark, text.to_simplified(F.lit("書裏頭發"), {"書": "书", "頭發": "头发", "裏": "里"})) == "书里头发"
 
 
