@@ -112,8 +112,8 @@ def _prefixes(k: int, num: int, den: int, common):
 
 
 def _bitmap_bits(n: int) -> int:
-    """Bits of a set's bitmap: the power of two from 4n to 8n, so that few tokens share a bit."""
-    return 1 << max(6, int(n).bit_length() + 2)
+    """Bits of a set's bitmap: the power of two from n to 2n, which its rows in all rounds carry."""
+    return 1 << max(6, int(n - 1).bit_length())
 
 
 def _fold(bits: int, width: int, to: int) -> int:
@@ -125,17 +125,18 @@ def _fold(bits: int, width: int, to: int) -> int:
 
 
 def _bitmap(tokens: np.ndarray) -> bytes:
-    """The OR bitmap, and behind it a bitmap of half the bits with the parity of the tokens at each."""
+    """The OR bitmap, and behind it a bitmap with the parity of the tokens at each bit: of sets that differ in d tokens it
+    differs in d bits at most, and in not many fewer, where the OR of shared tokens would hide some."""
     width = _bitmap_bits(len(tokens))
     flags = np.zeros(width, np.uint8)
     flags[(tokens & np.uint64(width - 1)).astype(np.int64)] = 1
-    odd = np.bincount(((tokens >> np.uint64(32)) & np.uint64(width // 2 - 1)).astype(np.int64), minlength=width // 2) & 1
+    odd = np.bincount(((tokens >> np.uint64(32)) & np.uint64(width - 1)).astype(np.int64), minlength=width) & 1
     return np.packbits(np.concatenate([flags, odd.astype(np.uint8)]), bitorder="little").tobytes()
 
 
 def _parts(raw: bytes) -> tuple[int, int, int]:
-    """(bits, width, parities) of what _bitmap has made; there are width / 2 parities."""
-    cut = len(raw) * 2 // 3
+    """(bits, width, parities) of what _bitmap has made."""
+    cut = len(raw) // 2
     return int.from_bytes(raw[:cut], "little"), 8 * cut, int.from_bytes(raw[cut:], "little")
 
 
@@ -146,10 +147,16 @@ def _fold_odd(odd: int, width: int, to: int) -> int:
     return odd
 
 
+def differing(x: int, x_width: int, y: int, y_width: int) -> int:
+    """The parities that differ, of two sets' bitmaps brought to the smaller width."""
+    to = min(x_width, y_width)
+    return (_fold_odd(x, x_width, to) ^ _fold_odd(y, y_width, to)).bit_count()
+
+
 class Node:
     """Members' sizes low to high, OR and AND of bitmaps, most tokens that share a bit (excess), range of components.
 
-    A leaf also has its member's parities; a member is (key, comp, n, bits, parities).
+    A leaf also has its member's parities; a member is (key, comp, n, bits, (parities, their width)).
     """
 
     __slots__ = ("all", "bits", "c_high", "c_low", "excess", "high", "kids", "low", "member", "odd")
@@ -191,7 +198,7 @@ def may_link(x: Node, y: Node, num: int, den: int) -> bool:
         return False
     apart = (x.all & ~y.bits).bit_count() + (y.all & ~x.bits).bit_count()
     if x.odd is not None and y.odd is not None:
-        apart = max(apart, (x.odd ^ y.odd).bit_count())
+        apart = max(apart, differing(*x.odd, *y.odd))
     most = min((x.high + y.high - apart) // 2, (x.bits & y.bits).bit_count() + min(x.excess, y.excess), x.high, y.high)
     return most * (num + den) >= num * (x.low + y.low)
 
@@ -227,7 +234,7 @@ def _tree_pairs(num: int, den: int):
         sides: dict[int, list] = {0: [], 1: []}
         for part, key, comp, n, raw in rows:
             bits, own, odd = _parts(raw)
-            sides[part].append((key, comp, n, _fold(bits, own, width), _fold_odd(odd, own // 2, width // 2)))
+            sides[part].append((key, comp, n, _fold(bits, own, width), (odd, own)))
         left, right = build_tree(sides[0]), build_tree(sides[1])
         found = {(min(p), max(p)) for p in dual(left, right or left, num, den)} if left else set()
         return pa.table([pa.array([p[0] for p in found], pa.int64()), pa.array([p[1] for p in found], pa.int64())], schema=schema)
@@ -244,8 +251,7 @@ def _possible(num: int, den: int):
             out = []
             for a, b, na, nb, ma, mb in zip(*(b_in.column(i).to_pylist() for i in range(6)), strict=True):
                 (xb, xw, xo), (yb, yw, yo) = _parts(ma), _parts(mb)
-                w = min(xw, yw)
-                apart = (_fold_odd(xo, xw // 2, w // 2) ^ _fold_odd(yo, yw // 2, w // 2)).bit_count()
+                w, apart = min(xw, yw), differing(xo, xw, yo, yw)
                 if (na + nb - apart) // 2 * (num + den) < num * (na + nb):
                     continue
                 if may_link(Node(member=(a, 0, na, _fold(xb, xw, w), None)), Node(member=(b, 0, nb, _fold(yb, yw, w), None)), num, den):

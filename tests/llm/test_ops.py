@@ -90,7 +90,7 @@ def test_dual_traversal_never_loses_a_pair():
     members = []
     for i, t in sets.items():
         bits, width, odd = ngram_join._parts(ngram_join._bitmap(t))
-        members.append((i, i, len(t), ngram_join._fold(bits, width, 64), ngram_join._fold_odd(odd, width // 2, 32)))
+        members.append((i, i, len(t), ngram_join._fold(bits, width, 64), (odd, width)))
     tree = ngram_join.build_tree(members)
     found = {tuple(sorted(p)) for p in ngram_join.dual(tree, tree, 80, 100)}
     true = {(i, j) for i in sets for j in sets if i < j and 100 * len(np.intersect1d(sets[i], sets[j])) >= 80 * len(np.union1d(sets[i], sets[j]))}
