@@ -7,6 +7,7 @@ Texts travel to Python as bytes, so nothing is decoded and odd UTF-8 cannot fail
 from __future__ import annotations
 
 import atexit
+import ctypes
 import hashlib
 import re
 import uuid
@@ -65,8 +66,23 @@ def save(df: DataFrame, name: str) -> DataFrame:
 
 
 def map_arrow(df: DataFrame, f: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+    """f over the batches of each partition; workers serve later stages too, so memory is given back at the end."""
     configure(df.sparkSession)
-    return df.mapInArrow(f, schema)
+
+    def whole(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from f(it)
+        give_back()
+
+    return df.mapInArrow(whole, schema)
+
+
+def give_back() -> None:
+    """Free memory that allocators keep goes back to the system, where there is a way."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another libc
+        return
 
 
 def text_bytes(col: str | Column = "text") -> Column:

@@ -27,6 +27,7 @@ from __future__ import annotations
 import heapq
 import re
 import struct
+from array import array
 from collections.abc import Iterator
 from itertools import chain
 
@@ -39,7 +40,7 @@ from .common import map_arrow, text_bytes
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
-CACHE, PAIRS = 400_000, 200_000
+CACHE, PAIRS, ROWS = 300_000, 150_000, 250
 #: Kinds of models and pieces in the file format.
 UNIGRAM, BPE = 1, 2
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
@@ -101,10 +102,9 @@ class Codec:
         self.halves: dict[str, tuple[str, str] | None] = {}
         self.order: dict[str, bool] = {}
         self.last: tuple[str, str] | None = None
-        #: Words' places in the tables below, which hold their ids, one behind the other, and what they decode to.
+        #: Words' places in the tables below: their ids one behind the other, where those begin, whether they decode to the word.
         self.place: dict[str, int] = {}
-        self.codes: list[tuple[int, ...]] = []
-        self.plain: list[bytes] = []
+        self.flat, self.start, self.exact = array("i"), array("i", [0]), bytearray()
         self.runs: dict[int, tuple[str, ...]] = {}
         self.root: dict = {}
         for p in self.id:
@@ -261,9 +261,11 @@ class Codec:
         A full cache keeps the words that are met again, which frequent ones are in every batch.
         """
         if len(self.place) > CACHE:
-            kept = [(w, self.place[w]) for w in words if w in self.place]
-            self.codes, self.plain = [self.codes[i] for _, i in kept], [self.plain[i] for _, i in kept]
-            self.place = {w: i for i, (w, _) in enumerate(kept)}
+            kept, flat, start, exact = [w for w in words if w in self.place], self.flat, self.start, self.exact
+            self.flat, self.start, self.exact = array("i"), array("i", [0]), bytearray()
+            for i in map(self.place.__getitem__, kept):
+                self._add(flat[start[i] : start[i + 1]], exact[i])
+            self.place = {w: i for i, w in enumerate(kept)}
         new = [w for w in words if w not in self.place]
         heads = {}
         if self.kind == BPE and self.simple:
@@ -280,9 +282,13 @@ class Codec:
                     self.runs[marks] = tuple(self.merged(MARK * marks))
                 pieces = [*self.runs[marks], *pieces[pieces[0] == MARK :]]
             ids = self.ids(pieces)
-            self.place[w] = len(self.codes)
-            self.codes.append(ids)
-            self.plain.append(b"".join(map(self.bytes.__getitem__, ids)))
+            self.place[w] = len(self.exact)
+            self._add(ids, b"".join(map(self.bytes.__getitem__, ids)) == w.replace(MARK, " ").encode("utf-8", "surrogatepass"))
+
+    def _add(self, ids, exact: bool) -> None:
+        self.flat.extend(ids)
+        self.start.append(len(self.flat))
+        self.exact.append(exact)
 
     def cut_words(self, text: str) -> list[str]:
         return self.cut.findall(MARK + text.replace(" ", MARK)) if text else []
@@ -291,32 +297,30 @@ class Codec:
         """The ids of each text, and whether they decode to it; words are encoded and decoded once."""
         cut = [None if t is None else self.cut_words(t) for t in texts]
         self._learn(set(chain.from_iterable(c for c in cut if c)))
-        size = np.array([len(c or ()) for c in cut], np.int64)
-        places = np.fromiter(map(self.place.__getitem__, chain.from_iterable(c for c in cut if c)), np.int64, int(size.sum()))
-        used, places = np.unique(places, return_inverse=True)
-        held = [self.codes[i] for i in used.tolist()]
-        length = np.array([len(h) for h in held], np.int64)
-        flat = np.fromiter(chain.from_iterable(held), np.int32, int(length.sum()))
-        first, long = (np.cumsum(length) - length)[places], length[places]
+        bare = np.concatenate([[0], np.cumsum([len(c or ()) for c in cut], dtype=np.int64)])
+        places = np.fromiter(map(self.place.__getitem__, chain.from_iterable(c for c in cut if c)), np.int64, int(bare[-1]))
+        none = pa.array([c is None for c in cut], pa.bool_())
+        del cut
+        start, flat = np.array(self.start, np.int64), np.array(self.flat, np.int32)
+        first = start[places]
+        long = start[places + 1] - first
         ends = np.concatenate([[0], np.cumsum(long)])
         at = np.arange(ends[-1]) + np.repeat(first - ends[:-1], long)
-        offsets = ends[np.concatenate([[0], np.cumsum(size)])]
-        none = pa.array([c is None for c in cut], pa.bool_())
-        ids = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(flat[at], pa.int32()), mask=none)
-        plain, bare = [self.plain[i] for i in used.tolist()], np.concatenate([[0], np.cumsum(size)]).tolist()
-        places = places.tolist()
-        same = [None if t is None else self._text(map(plain.__getitem__, places[bare[i] : bare[i + 1]])) == t.replace(MARK, " ") for i, t in enumerate(texts)]
+        offsets, found = ends[bare], flat[at]
+        ids = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(found, pa.int32()), mask=none)
+        # texts of words that decode to themselves do so too; what is left is decoded as a whole
+        odd = np.concatenate([[0], np.cumsum(np.frombuffer(bytes(self.exact), np.uint8)[places] == 0)])[bare]
+        same = [None if t is None else bool(odd[i] == odd[i + 1]) or self.decode(found[offsets[i] : offsets[i + 1]].tolist()) == t.replace(MARK, " ") for i, t in enumerate(texts)]
         return ids, same
 
     def encode(self, texts: list[str | None]) -> list[list[int] | None]:
         return self.encode_batch(texts)[0].to_pylist()
 
-    def _text(self, parts: Iterator[bytes]) -> str:
-        text = b"".join(parts).decode("utf-8", "replace")
-        return text[1:] if text.startswith(" ") else text
-
     def decode(self, ids: list[int] | None) -> str | None:
-        return None if ids is None else self._text(map(self.bytes.__getitem__, ids))
+        if ids is None:
+            return None
+        text = b"".join(map(self.bytes.__getitem__, ids)).decode("utf-8", "replace")
+        return text[1:] if text.startswith(" ") else text
 
 
 def load(path: str) -> dict:
@@ -340,7 +344,7 @@ def encode(docs: DataFrame, model: str = MODEL, text_col: str = "text") -> DataF
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = codec_of(shared.value)
-        for b in it:
+        for b in chain.from_iterable((big.slice(i, ROWS) for i in range(0, big.num_rows, ROWS)) for big in it):
             texts = [None if t is None else t.decode("utf-8", "replace") for t in b.column(1).to_pylist()]
             ids, same = codec.encode_batch(texts)
             yield pa.RecordBatch.from_arrays([b.column(0), ids, pa.array(same, pa.bool_())], names=["row", "ids", "round_trip"])
