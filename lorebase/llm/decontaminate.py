@@ -11,8 +11,8 @@ sent to the executors and held against all documents in one map over the scan. N
 while there is one block, and only hits are with several.
 
 Null and empty texts contain nothing, null or blank items occur nowhere, equal items are all reported. An item of
-less than 1 / ERROR folded bytes has a budget of 0 and is matched exactly. Rows are kept one
-to one; very long texts are scanned in overlapping stretches of bounded size.
+less than 1 / ERROR folded bytes has a budget of 0 and is matched exactly. An empty benchmark finds nothing, an empty
+table gives no rows. Rows are kept one to one, with null doc_ids, repeated rows and extra columns of any name; very long texts are scanned in overlapping stretches of bounded size.
 """
 
 from __future__ import annotations
@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batch, map_arrow, save, text_bytes
+from .common import fresh, map_arrow, save, text_bytes
 
 #: Edits allowed for each folded byte of an item.
 ERROR = 0.08
@@ -127,22 +127,23 @@ class Matcher:
 def find_items(docs: DataFrame, benchmark: DataFrame, error: float = ERROR) -> DataFrame:
     """docs with item_ids and distances (arrays, by item_id); columns so named are replaced."""
     spark = docs.sparkSession
-    keep = [c for c in docs.columns if c not in ("item_ids", "distances")]
+    keep = [c for c in docs.columns if c.lower() not in ("item_ids", "distances")]
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), text_bytes("text").alias("text")).where("item_id is not null and text is not null")
     total = items.agg(F.sum(F.octet_length("text") + 16)).first()[0] or 0
     blocks = max(1, -(-total // BLOCK_BYTES))
     part = lambda b: spark.sparkContext.broadcast([tuple(r) for r in items.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == b).collect()])
     if blocks == 1:
         return _find_block(docs, keep, part(0), error)
+    row, found_at = fresh("_row", keep), fresh("_found", keep)
     # several blocks: number the rows once, so that hits of the blocks find back to their rows
-    fixed = save(docs.select(*keep).withColumn("_row", F.monotonically_increasing_id()), "docs")
+    fixed = save(docs.select(*keep, F.monotonically_increasing_id().alias(row)), "docs")
     hits = None
     for b in range(blocks):
-        found = _find_block(fixed.select("_row", "text"), ["_row"], part(b), error).where(F.size("item_ids") > 0).select("_row", F.arrays_zip("item_ids", "distances").alias("z"))
+        found = _find_block(fixed.select(row, "text"), [row], part(b), error).where(F.size("item_ids") > 0).select(row, F.arrays_zip("item_ids", "distances").alias("z"))
         hits = found if hits is None else hits.union(found)
-    by_row = hits.groupBy("_row").agg(F.array_sort(F.flatten(F.collect_list("z"))).alias("z"))
-    out = fixed.join(by_row, "_row", "left").drop("_row")
-    return out.select(*keep, F.coalesce(F.col("z.item_ids"), F.array().cast("array<long>")).alias("item_ids"), F.coalesce(F.col("z.distances"), F.array().cast("array<int>")).alias("distances"))
+    by_row = hits.groupBy(row).agg(F.array_sort(F.flatten(F.collect_list("z"))).alias(found_at))
+    out = fixed.join(by_row, row, "left").drop(row)
+    return out.select(*keep, F.coalesce(F.col(f"{found_at}.item_ids"), F.array().cast("array<long>")).alias("item_ids"), F.coalesce(F.col(f"{found_at}.distances"), F.array().cast("array<int>")).alias("distances"))
 
 
 def _find_block(docs: DataFrame, keep: list[str], block, error: float) -> DataFrame:

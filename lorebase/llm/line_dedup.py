@@ -517,5 +517,21 @@ def dedup_lines(docs: DataFrame, num: int = 80, den: int = 100) -> DataFrame:
     return out.select(*[text.alias(c) if c.lower() == "text" else F.col(c) for c in keep], F.coalesce(total, F.lit(0)).cast("long").alias("n_lines"), F.coalesce(F.size(gone), F.lit(0)).cast("long").alias("n_removed"))
 
 
+ORACLE = """
+WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS i FROM documents WHERE text IS NOT NULL),
+s AS (SELECT doc_id, i, line, list_sort(list_distinct(list_filter(regexp_split_to_array(translate(line, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+'), lambda x: x <> ''))) AS w FROM l),
+c AS (SELECT w, doc_id, i, row_number() OVER (PARTITION BY w ORDER BY doc_id, i) AS k FROM s WHERE len(w) > 0),
+f AS (SELECT row_number() OVER (ORDER BY doc_id, i) AS id, doc_id, i, w, len(w) AS n FROM c WHERE k = 1),
+t AS (SELECT id, n, unnest(w) AS x FROM f), d AS (SELECT x, count(*) AS df FROM t GROUP BY x),
+p AS (SELECT id, n, x FROM (SELECT t.*, row_number() OVER (PARTITION BY id ORDER BY df, x) AS pos FROM t JOIN d USING (x)) WHERE pos <= n - (n * 80 + 99) // 100 + 1),
+q AS (SELECT DISTINCT a.id AS a, b.id AS b FROM p a JOIN p b ON a.x = b.x AND a.id < b.id AND 100 * least(a.n, b.n) >= 80 * greatest(a.n, b.n)),
+g AS (SELECT DISTINCT q.b AS id FROM q JOIN f a ON a.id = q.a JOIN f b ON b.id = q.b WHERE 100 * len(list_intersect(a.w, b.w)) >= 80 * (a.n + b.n - len(list_intersect(a.w, b.w)))),
+gone AS (SELECT doc_id, i FROM c WHERE k > 1 UNION ALL SELECT doc_id, i FROM f JOIN g USING (id)),
+r AS (SELECT s.doc_id, string_agg(line, chr(10) ORDER BY s.i) FILTER (WHERE gone.i IS NULL) AS text, count(gone.i) AS n_removed FROM s LEFT JOIN gone ON gone.doc_id = s.doc_id AND gone.i = s.i GROUP BY s.doc_id)
+SELECT d.doc_id, CASE WHEN r.n_removed > 0 THEN coalesce(r.text, '') ELSE d.text END AS text, CAST(CASE WHEN coalesce(d.text, '') = '' THEN 0 ELSE len(string_split(d.text, chr(10))) END AS BIGINT) AS n_lines, CAST(coalesce(r.n_removed, 0) AS BIGINT) AS n_removed
+FROM documents d LEFT JOIN r ON r.doc_id = d.doc_id
+"""
+
+
 def query(spark, sf_dir: str) -> DataFrame:
     return dedup_lines(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))

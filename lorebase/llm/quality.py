@@ -9,7 +9,9 @@ rule are not kept either.
 Counts are pre-aggregated on the map side, so a host with a third of all documents costs no more than others; the
 verdicts are joined to narrow feature rows, where AQE splits a skewed host. The prior is one row.
 
-A null text has no words and fails the length rule. A null host is a host of its own. Rows are kept one to one.
+A null text has no words and fails the length rule. A null host is a host of its own. Rows are kept one to one, those
+of null doc_id and repeated ones too, so ties need no rule; an empty table gives no rows. Very long texts are hashed in
+stretches of bounded size, and extra columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations

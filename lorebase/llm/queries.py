@@ -24,5 +24,6 @@ SQL = {
     "op1_ngram_jaccard_join": ngram_join.ORACLE,
     "op2_secret_scan": secrets.ORACLE,
     "op5_warc": warc.ORACLE,
+    "op8_line_dedup": line_dedup.ORACLE,
     "op9_quality_rules": quality.ORACLE,
 }

@@ -249,6 +249,72 @@ def test_feistel_permutes_every_format(spark):
     assert got == list(range(898 * 99))
 
 
+def brute_feistel(value, a, b, key, kind):
+    left, right = divmod(value, b)
+    f = lambda n, half, modulus: int(hashlib.sha256(f"{key}:{kind}:{n}:{half}".encode()).hexdigest()[:14], 16) % modulus
+    for i in range(0, 8, 2):
+        left = (left + f(i, right, a)) % a
+        right = (right + f(i + 1, left, b)) % b
+    return left * b + right
+
+
+def brute_pseudonym(kind, value, key):
+    """Each kind's pseudonym, from its definition."""
+    import datetime
+
+    digits = re.sub(r"\D", "", value)
+
+    def permuted(d, kind):
+        high = len(d) // 2
+        return str(brute_feistel(int(d), 10**high, 10 ** (len(d) - high), key, kind)).zfill(len(d))
+
+    def into(new):
+        rest = iter(new)
+        return re.sub(r"\d", lambda _: next(rest), value)
+
+    if kind == "email":
+        return "u" + hashlib.sha256(f"{key}:email:{value.lower()}".encode()).hexdigest()[:16] + "@mail.example"
+    if kind == "phone":
+        return into(digits[:-10] + permuted(digits[-10:], "phone"))
+    if kind == "card":
+        body = permuted(digits[:-1], "card")
+        total = sum(2 * int(c) - 9 * (c > "4") if i % 2 == 0 else int(c) for i, c in enumerate(reversed(body)))
+        return into(body + str(-total % 10))
+    if kind == "ipv4":
+        n = 0
+        for x in value.split("."):
+            n = n * 256 + int(x)
+        n = brute_feistel(n, 65536, 65536, key, "ipv4")
+        return ".".join(str(n >> s & 255) for s in (24, 16, 8, 0))
+    if kind == "ssn":
+        area, group, serial = map(int, value.split("-"))
+        v = brute_feistel(((area - 1 - (area > 666)) * 99 + group - 1) * 9999 + serial - 1, 898 * 99, 9999, key, "ssn")
+        area = v // (99 * 9999) + 1
+        return f"{area + (area >= 666):03d}-{v // 9999 % 99 + 1:02d}-{v % 9999 + 1:04d}"
+    first = datetime.date(1800, 1, 1)
+    day = brute_feistel((datetime.date.fromisoformat(value) - first).days, 189, 773, key, "date")
+    return str(first + datetime.timedelta(days=day))
+
+
+def test_pseudonyms_equal_brute_force(spark):
+    """Every finding in the generated documents and in random values of each format."""
+    rng = random.Random(4)
+
+    def card(n):
+        body = "".join(rng.choice("0123456789") for _ in range(n - 1))
+        total = sum(2 * int(c) - 9 * (c > "4") if i % 2 == 0 else int(c) for i, c in enumerate(reversed(body)))
+        return body + str(-total % 10)
+
+    made = [f"x {card(16)} y +1 {rng.randrange(200, 999)}-{rng.randrange(200, 999)}-{rng.randrange(10**4):04d} z {rng.randrange(256)}.{rng.randrange(256)}.{rng.randrange(256)}.7 w {rng.randrange(1, 666):03d}-{rng.randrange(1, 99):02d}-{rng.randrange(1, 9999):04d} v {rng.randrange(1800, 2199)}-{rng.randrange(1, 13):02d}-{rng.randrange(1, 29):02d} u a.B{rng.randrange(99)}@c.example ok" for _ in range(60)]
+    seen = Counter()
+    for docs in (frame(spark, made), spark.read.parquet("/root/testdata/sf0.001/documents.parquet")):
+        for r in pii.pseudonymise(docs, "k").collect():
+            for x in r.pii:
+                assert x.pseudonym == brute_pseudonym(x.kind, x.value, "k"), x
+                seen[x.kind] += 1
+    assert min(seen[k] for k in pii.KINDS) >= 55
+
+
 def test_pseudonyms_keep_format_and_links(spark):
     text = "Card 4111 1111 1111 1111, phone +1 (743) 555-3824 at 10.0.0.255 or a.b@c.example; ssn 123-45-6789 on 2024-02-29.%%%"
     bad = "4111 1111 1111 1112 and 300.1.1.1 and 000-12-3456 and 2023-02-30 and 1.2.3.4.5 and x@y"
@@ -402,6 +468,27 @@ def test_members_across_ranges(spark, size, tmp_path):
 # --- op6 ---
 
 
+def test_sharding_values_and_uniformity(spark):
+    """Sizes and checksums as the standard library has them; each text lands in each shard equally often."""
+    import zlib
+
+    texts = ["", "a", "é漢😀", None, "x" * 100_000] + [f"t{i}" for i in range(4000)]
+    rows = {r.doc_id: r for r in sharding.shard_rows(frame(spark, texts, 7), 8).collect()}
+    for i, t in enumerate(texts):
+        raw = (t or "").encode()
+        assert (rows[i].size, rows[i].text_crc32, rows[i].law, rows[i].grown_shard) == (len(raw) + 16, zlib.crc32(raw), "rows", None)
+    # chi-square of source thirds by shards and of halves of shards by parity: 99.9 % bounds for 14 and 7 degrees
+    for of, groups, bound in ((lambda i: i % 3, 3, 36.1), (lambda i: i % 2, 2, 24.3)):
+        seen = Counter((of(i), r.shard) for i, r in rows.items())
+        want = len(rows) / groups / 8
+        assert sum((seen[g, s] - want) ** 2 / want for g in range(groups) for s in range(8)) < bound
+    order = sorted((r.shard, r.slot, i) for i, r in rows.items())
+    near = sum(abs(a[2] - b[2]) == 1 for a, b in zip(order, order[1:], strict=False))
+    assert near < 30  # about 2 neighbours of the input stay neighbours by chance
+    again = {r.doc_id: (r.shard, r.slot) for r in sharding.shard_rows(frame(spark, texts, 7), 8, seed=7).collect()}
+    assert sum(again[i][0] == r.shard for i, r in rows.items()) < 0.2 * len(rows)
+
+
 def test_matrix_and_slots(spark):
     m = sharding.communication_matrix([10, 0, 7, 1000], 7, 1)
     assert m.sum(axis=1).tolist() == [10, 0, 7, 1000] and set(m.sum(axis=0)) <= {1017 // 7, 1017 // 7 + 1}
@@ -460,6 +547,29 @@ def test_far_texts_are_rejected(spark):
     assert [r.rejected for r in langid.predict(far, model).collect()] == [True, True]
 
 
+WITHOUT_PACKAGE = """
+import sys
+sys.path.insert(0, sys.argv[1])
+from pyspark.sql import SparkSession
+s = SparkSession.builder.master("local[2]").config("spark.ui.enabled", "false").config("spark.sql.shuffle.partitions", "2").config("spark.executorEnv.PYTHONPATH", "").getOrCreate()
+s.sparkContext.setLogLevel("OFF")
+from lorebase.llm import line_dedup, ngram_join, quality
+d = s.createDataFrame([(i, f"a b c d e f g {i % 3}\\nx y z", "u") for i in range(9)], "doc_id long, text string, source string")
+print("rows", ngram_join.ngram_jaccard_groups(d, 3).count(), line_dedup.dedup_lines(d).count(), quality.quality(d).count())
+"""
+
+
+def test_workers_need_no_copy_of_the_package(tmp_path):
+    import os
+    import subprocess
+    import sys
+
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    repo = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+    out = subprocess.run([sys.executable, "-c", WITHOUT_PACKAGE, repo], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=200)
+    assert "rows 9 9 9" in out.stdout, out.stderr[-2000:]
+
+
 # --- op8 ---
 
 
