@@ -203,7 +203,13 @@ def bookmark_furthest(spark: SparkSession, sf: str) -> DataFrame:
     return user.furthest(_log(spark, sf))
 
 
-@query()
+_MARKS_SQL = (
+    "l AS (SELECT user_id AS user, event_type AS url, list({'p': CAST(floor(value) AS INTEGER), 'l': CASE WHEN event_id % 3 <> 0 THEN CAST(event_id % 50 AS INTEGER) END, 'f': event_id % 97 = 0, 'u': strftime(ts, '%Y-%m-%d %H:%M:%S'), 's': event_id} ORDER BY event_id) AS items FROM events GROUP BY 1, 2), "
+    "m AS (SELECT user, url, list_reduce(items, lambda a, x: CASE WHEN x.f OR x.p > a.p OR (x.p = a.p AND coalesce(x.l, -1) > coalesce(a.l, -1)) OR (x.p = a.p AND x.l IS NOT NULL AND a.l IS NULL) THEN x ELSE {'p': a.p, 'l': a.l, 'f': a.f, 'u': x.u, 's': x.s} END) AS m FROM l)"
+)
+
+
+@query(f"WITH {_MARKS_SQL} SELECT user, url, least(399, m.p) AS position, CASE WHEN m.p <= 399 THEN m.l END AS line, CASE WHEN m.l IS NOT NULL THEN 2 END AS anchor_version, CAST(NULL AS VARCHAR) AS title, 400 AS total, m.u AS updated FROM m")
 def bookmark_state(spark: SparkSession, sf: str) -> DataFrame:
     return user.clamp_progress(user.bookmarks(_log(spark, sf)))
 
@@ -236,10 +242,10 @@ def shelf_union(spark: SparkSession, sf: str) -> DataFrame:
     return user.shelf(s.where("on_shelf"), read, s.where("removed"))
 
 
-@query(f"WITH {RECORDS_SQL} SELECT user_id AS user, r.url, max(strftime(ts, '%Y-%m-%d %H:%M:%S')) AS updated, any_value(title) AS title, any_value(author) AS author FROM events e JOIN records r ON r.row_id = e.event_id % 200 WHERE event_type = 'view' GROUP BY 1, 2")
+@query(f"WITH {RECORDS_SQL} SELECT user_id AS user, r.url, max(strftime(ts, '%Y-%m-%d %H:%M:%S')) AS updated, any_value(title) AS title, any_value(author) AS author FROM events e JOIN records r ON r.row_id = e.event_id % (SELECT count(*) FROM part) WHERE event_type = 'view' GROUP BY 1, 2")
 def reading_list(spark: SparkSession, sf: str) -> DataFrame:
     r = records(spark, sf)
-    seen = table(spark, sf, "events").where("event_type = 'view'").select(F.col("user_id").alias("user"), (F.col("event_id") % 200).alias("row_id"), F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("updated"))
+    seen = table(spark, sf, "events").where("event_type = 'view'").select(F.col("user_id").alias("user"), (F.col("event_id") % r.count()).alias("row_id"), F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("updated"))
     progress = seen.join(r.select("row_id", "url"), "row_id").groupBy("user", "url").agg(F.max("updated").alias("updated"))
     return user.reading_list(progress, r).select("user", "url", "updated", "title", "author")
 
@@ -260,11 +266,16 @@ def index_delta(spark: SparkSession, sf: str) -> DataFrame:
     return store.index_delta(d, old.unionByName(d.where("url % 9 = 0").withColumn("url", -1 - F.col("url"))))
 
 
-@query()
+@query(
+    "WITH e AS (SELECT doc_id AS url, CAST(-1 AS BIGINT) AS k, CASE WHEN doc_id % 2 = 0 THEN 1 ELSE 2 END AS rank, '0' AS hash FROM documents UNION ALL SELECT event_id // 3, event_id, CASE WHEN event_type IN ('click', 'view') THEN 2 ELSE 1 END, CAST(user_id % 3 AS VARCHAR) FROM events), "
+    "l AS (SELECT url, list({'pos': k, 'rank': rank, 'hash': hash, 'added': CAST(k >= 0 AS BIGINT), 'updated': CAST(0 AS BIGINT)} ORDER BY k) AS items FROM e GROUP BY url), "
+    "w AS (SELECT url, list_reduce(items, lambda a, x: CASE WHEN x.rank > a.rank OR (x.rank = a.rank AND x.hash <> a.hash) THEN {'pos': x.pos, 'rank': x.rank, 'hash': x.hash, 'added': a.added, 'updated': a.updated + 1} ELSE a END) AS w FROM l) "
+    "SELECT url, CASE WHEN w.rank = 2 THEN 'full' ELSE 'meta' END AS source, w.hash AS content_hash, w.added AS added, w.updated AS updated FROM w"
+)
 def upsert_store(spark: SparkSession, sf: str) -> DataFrame:
-    """events as updates of documents: two sources, repeated keys, repeated hashes."""
-    d = table(spark, sf, "documents").where("doc_id % 4 <> 0").select(F.col("doc_id").alias("url"), F.when(F.col("doc_id") % 2 == 0, "meta").otherwise("full").alias("source"), F.lit("0").alias("content_hash"))
-    new = table(spark, sf, "events").select((F.col("event_id") % 500).alias("url"), F.when(F.col("event_type").isin("click", "view"), "full").otherwise("meta").alias("source"), (F.col("user_id") % 3).cast("string").alias("content_hash"), F.col("event_id").alias("seq"))
+    """events as updates of documents and of urls beyond them: two sources, repeated keys, repeated hashes."""
+    d = table(spark, sf, "documents").select(F.col("doc_id").alias("url"), F.when(F.col("doc_id") % 2 == 0, "meta").otherwise("full").alias("source"), F.lit("0").alias("content_hash"))
+    new = table(spark, sf, "events").select(F.floor(F.col("event_id") / 3).alias("url"), F.when(F.col("event_type").isin("click", "view"), "full").otherwise("meta").alias("source"), (F.col("user_id") % 3).cast("string").alias("content_hash"), F.col("event_id").alias("seq"))
     after, changes = store.upsert(d, new)
     return after.join(changes, "url")
 
@@ -380,9 +391,11 @@ def id_gaps(spark: SparkSession, sf: str) -> DataFrame:
     return graph.id_gaps(g, "o_custkey", ["upload_date", "url"]).select("url", "o_custkey", "delta")
 
 
-@query("WITH t AS (SELECT conv_id AS url, turn + 2 AS page_no FROM conversations WHERE (conv_id + turn) % 6 = 0), g AS (SELECT *, page_no - coalesce(lag(page_no) OVER w, 1) > 4 AS gap FROM t WINDOW w AS (PARTITION BY url ORDER BY page_no)) SELECT url, page_no FROM (SELECT *, max(CAST(gap AS INTEGER)) OVER (PARTITION BY url ORDER BY page_no) AS cut FROM g) WHERE cut = 0")
+@query("WITH t AS (SELECT conv_id AS url, turn + 2 + 5 * (turn // (1 + conv_id % 5)) AS page_no FROM conversations), g AS (SELECT *, page_no - coalesce(lag(page_no) OVER w, 1) > 4 AS gap FROM t WINDOW w AS (PARTITION BY url ORDER BY page_no)) SELECT url, page_no FROM (SELECT *, max(CAST(gap AS INTEGER)) OVER (PARTITION BY url ORDER BY page_no) AS cut FROM g) WHERE cut = 0")
 def probed_pages(spark: SparkSession, sf: str) -> DataFrame:
-    c = table(spark, sf, "conversations").where("(conv_id + turn) % 6 = 0").select(F.col("conv_id").alias("url"), (F.col("turn") + 2).alias("page_no"))
+    """Turns as pages, with gaps of six pages that lie further apart from one conversation to the next."""
+    gaps = 5 * F.floor(F.col("turn") / (1 + F.col("conv_id") % 5))
+    c = table(spark, sf, "conversations").select(F.col("conv_id").alias("url"), (F.col("turn") + 2 + gaps).alias("page_no"))
     return graph.probed_pages(c)
 
 
@@ -401,9 +414,20 @@ def detect_language(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "documents").select("doc_id", text.detect_language(F.col("text")).alias("language"))
 
 
-@query()
+_STRIP = r"regexp_replace(X, '^[\s\x{0B}\x{1C}-\x{1F}\x{85}\p{Z}]+|[\s\x{0B}\x{1C}-\x{1F}\x{85}\p{Z}]+$', '', 'g')"
+_PACKED = "list_filter([" + _STRIP.replace("X", "array_to_string({}, chr(10))") + "], lambda b: b <> '')"
+
+
+@query(
+    "WITH e AS (SELECT doc_id, list_concat([{'done': CAST([] AS VARCHAR[]), 'open': CAST([] AS VARCHAR[]), 'size': CAST(0 AS BIGINT), 'line': ''}], list_transform(string_split(" + _STRIP.replace("X", "text") + ", chr(10)), lambda x: {'done': CAST([] AS VARCHAR[]), 'open': CAST([] AS VARCHAR[]), 'size': CAST(length(x) AS BIGINT), 'line': x})) AS items FROM documents WHERE text IS NOT NULL), "
+    "r AS (SELECT doc_id, list_reduce(items, lambda a, x: CASE WHEN x.size > 2000 THEN {'done': list_concat(a.done, " + _PACKED.replace("{}", "a.open") + ", list_transform(range(0, (x.size + 1999) // 2000), lambda i: substr(x.line, i * 2000 + 1, 2000))), 'open': CAST([] AS VARCHAR[]), 'size': CAST(0 AS BIGINT), 'line': ''} "
+    "WHEN a.size + x.size + 1 >= 2000 THEN {'done': list_concat(a.done, " + _PACKED.replace("{}", "list_append(a.open, x.line)") + "), 'open': CAST([] AS VARCHAR[]), 'size': CAST(0 AS BIGINT), 'line': ''} ELSE {'done': a.done, 'open': list_append(a.open, x.line), 'size': a.size + x.size + 1, 'line': ''} END) AS r FROM e), "
+    "b AS (SELECT doc_id, list_concat(r.done, " + _PACKED.replace("{}", "r.open") + ") AS blocks FROM r), p AS (SELECT doc_id, len(blocks) AS n, unnest(blocks) AS body, unnest(range(1, len(blocks) + 1)) AS i FROM b) "
+    "SELECT doc_id, CAST(i - 1 AS INTEGER) AS part, concat('Part ', lpad(CAST(i AS VARCHAR), CAST(greatest(2, length(CAST(n AS VARCHAR))) AS INTEGER), '0')) AS title, sha1(body) AS body_hash FROM p"
+)
 def text_blocks(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "documents").select("doc_id", text.fallback_chapters(F.col("text")).alias("parts"))
+    parts = table(spark, sf, "documents").select("doc_id", F.posexplode(text.fallback_chapters(F.col("text"))).alias("part", "p"))
+    return parts.select("doc_id", "part", "p.title", F.sha1(F.encode("p.body", "UTF-8")).alias("body_hash"))
 
 
 HEAD = r"^(?:The|De|La|An|Die)\b"
@@ -485,7 +509,7 @@ def stream_daily_counts(spark: SparkSession, sf: str) -> DataFrame:
     return out.select(F.col("start").cast("timestamp_ntz").alias("start"), "event_type", "n", F.round("total", 4).alias("total"))
 
 
-@query()
+@query(f"WITH {_MARKS_SQL} SELECT CAST(user AS VARCHAR) AS user, url, m.p AS position, m.l AS line, CASE WHEN m.l IS NOT NULL THEN 2 END AS anchor_version, CAST(NULL AS VARCHAR) AS title, 400 AS total, m.u AS updated, m.s AS seq FROM m")
 def stream_bookmarks(spark: SparkSession, sf: str) -> DataFrame:
     e = streams.event_stream(spark, f"{sf}/events.parquet")
     log = e.select(F.col("user_id").cast("string").alias("user"), F.col("event_type").alias("url"), F.floor("value").cast("int").alias("position"), F.when(F.col("event_id") % 3 != 0, (F.col("event_id") % 50).cast("int")).alias("line"), F.lit(2).alias("anchor_version"), (F.col("event_id") % 97 == 0).alias("force"), F.lit(None).cast("string").alias("title"), F.lit(400).alias("total"), F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("updated"), F.col("event_id").alias("seq"))
