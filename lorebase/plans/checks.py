@@ -379,3 +379,181 @@ def request_delay(spark: SparkSession, sf: str) -> DataFrame:
     """The shortest delay before the first burst that was refused."""
     e = table(spark, sf, "events").groupBy((F.col("event_id") % 24).alias("burst")).agg(F.count_if(F.col("event_type") == "error").alias("refused"))
     return reports.recommended_delay(e.select((240 - 10 * F.col("burst")).alias("delay"), ((F.col("refused") == 0) | (F.col("burst") < 5)).alias("clean")))
+
+
+# --- pinyin, speech, lines ---
+
+
+@query("SELECT event_id, CASE event_id % 6 WHEN 0 THEN 'mā lǜ' WHEN 1 THEN 'xué gǒu' WHEN 2 THEN 'de x' WHEN 3 THEN 'lu:4 hǎo' WHEN 4 THEN 'nüè liù' ELSE 'guī huí' END AS marked FROM events")
+def tone_words(spark: SparkSession, sf: str) -> DataFrame:
+    words = F.element_at(F.array(*map(F.lit, ("ma1 lv4", "xue2 gou3", "de5 x", "lu:4 hao3", "nüe4 liu4", "gui1 hui2"))), (F.col("event_id") % 6 + 1).cast("int"))
+    return table(spark, sf, "events").select("event_id", text.tone_marks(words).alias("marked"))
+
+
+@query(f"SELECT conv_id, turn, regexp_replace(regexp_replace(regexp_replace(regexp_replace(concat(' ', text, chr(13), chr(10), chr(9), ' x', repeat(chr(10), 5), 'y', chr(13)), '\r\n|\r', chr(10), 'g'), '[ \t]+', ' ', 'g'), '\n{{4,}}', repeat(chr(10), 3), 'g'), '^[{_BLANK}]+|[{_BLANK}]+$', '', 'g') AS speech FROM conversations")
+def speech_forms(spark: SparkSession, sf: str) -> DataFrame:
+    raw = F.concat(F.lit(" "), "text", F.lit("\r\n\t x\n\n\n\n\ny\r"))
+    return table(spark, sf, "conversations").select("conv_id", "turn", text.normalize_speech(raw).alias("speech"))
+
+
+_LINES_SQL = "l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS line_no FROM documents)"
+
+
+def _lines_of(spark: SparkSession, sf: str) -> DataFrame:
+    return table(spark, sf, "documents").select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("p", "line")).select("doc_id", (F.col("p") + 1).cast("long").alias("line_no"), "line")
+
+
+@query(f"WITH {_LINES_SQL} SELECT doc_id, CAST(line_no AS DOUBLE) AS at, sha1(line) AS line FROM l UNION ALL SELECT doc_id, line_no - 0.5::DOUBLE, sha1('* * *') FROM l WHERE line_no = 1 + doc_id % 3")
+def line_breaks(spark: SparkSession, sf: str) -> DataFrame:
+    """A break before the first, second or third line of each text, where it has one."""
+    lines = _lines_of(spark, sf)
+    return text.insert_breaks(lines, lines.where("line_no = 1 + doc_id % 3")).select("doc_id", "at", F.sha1(F.encode("line", "UTF-8")).alias("line"))
+
+
+@query("SELECT doc_id, CASE WHEN doc_id % 2 = 1 THEN 1 ELSE 1000000 END AS line_no FROM documents WHERE doc_id % 4 <> 0")
+def stale_breaks(spark: SparkSession, sf: str) -> DataFrame:
+    """Breaks that fit (every fourth text), whose snippet is another, and whose line is gone."""
+    lines = _lines_of(spark, sf)
+    first = lines.where("line_no = 1").select("doc_id", scalars.fingerprint(F.col("line")).alias("own"))
+    i = F.col("doc_id")
+    breaks = first.select("doc_id", F.when((i % 4 == 0) | (i % 2 == 1), 1).otherwise(1_000_000).cast("long").alias("line_no"), F.when(i % 4 == 0, F.col("own")).otherwise("another snippet").alias("snippet"))
+    return text.stale_breaks(lines, breaks).select("doc_id", F.col("line_no").cast("int").alias("line_no"))
+
+
+@query("SELECT doc_id, sha1(CASE WHEN doc_id % 2 = 0 THEN concat(lang, chr(10), chr(10), 'a', chr(10), chr(10), text, chr(10), chr(10), 'b', chr(10), chr(10), source) ELSE concat('b', chr(10), chr(10), source, chr(10), chr(10), 'c', chr(10), chr(10)) END) AS payload FROM documents")
+def copy_payloads(spark: SparkSession, sf: str) -> DataFrame:
+    part = lambda t, b: F.struct(F.lit(t).alias("title"), b.alias("body"))
+    parts = F.array(part("a", F.col("text")), part("b", F.col("source")), part("c", F.lit("")))
+    out = text.copy_payload(F.col("lang"), parts, (F.col("doc_id") % 2).cast("int"), F.lit(2))
+    return table(spark, sf, "documents").select("doc_id", F.sha1(F.encode(out, "UTF-8")).alias("payload"))
+
+
+@query("SELECT concat('书', p_partkey) AS word, concat(p_name, '|', p_brand) AS defs, 'shū' AS pinyin, 1 AS n FROM part UNION ALL SELECT concat('書', p_partkey), concat(p_name, '|', p_brand), 'shū', 1 FROM part WHERE p_partkey % 2 = 0 UNION ALL SELECT concat('無', p_partkey), NULL, NULL, 0 FROM part")
+def dictionary_words(spark: SparkSession, sf: str) -> DataFrame:
+    """A dictionary of part names under simplified words, every second one under a traditional one too, and unknown words."""
+    k = _s("p_partkey")
+    p = table(spark, sf, "part")
+    trad = F.when(F.col("p_partkey") % 2 == 0, "書").otherwise("书")
+    lines = p.select(F.col("p_partkey").alias("line_no"), F.concat(trad, k, F.lit(" 书"), k, F.lit(" [shu1] /"), "p_name", F.lit("/"), "p_brand", F.lit("/")).alias("line"))
+    d = readers.dictionary(lines, text.tone_marks)
+    words = p.select(F.concat(F.lit("书"), k).alias("word")).unionByName(p.where("p_partkey % 2 = 0").select(F.concat(F.lit("書"), k).alias("word"))).unionByName(p.select(F.concat(F.lit("無"), k).alias("word")))
+    first = F.get("entries", F.lit(0))
+    return user.define(words, d).select("word", F.array_join(first["defs"], "|").alias("defs"), first["pinyin"].alias("pinyin"), F.size("entries").alias("n"))
+
+
+# --- titles, free text, hooks ---
+
+
+@query("SELECT p_partkey AS row_id, p_name AS title FROM part WHERE lower(p_name) = 'small ring' ORDER BY p_partkey LIMIT 1")
+def resolve_title(spark: SparkSession, sf: str) -> DataFrame:
+    return resolve.resolve_title(records(spark, sf), "  Small RING ").select("row_id", "title")
+
+
+@query("SELECT p_partkey AS row_id, p_name AS title FROM part WHERE lower(p_name) = 'small ring'")
+def resolve_target(spark: SparkSession, sf: str) -> DataFrame:
+    """The candidates of a title that several rows have."""
+    return resolve.resolve_target(records(spark, sf), "small ring")[1].select("row_id", "title")
+
+
+_ASKED = "a cold widget"
+_VECTOR = rank.HashingEncoder(64)([_ASKED])[0].tolist()
+_DOT = f"list_dot_product(CAST(embedding AS DOUBLE[]), CAST({_VECTOR} AS DOUBLE[]))"
+
+
+@query(f"WITH {CORPUS_SQL} SELECT row_id, round({_DOT}, 6) AS cosine FROM corpus WHERE category = 'economy' ORDER BY {_DOT} DESC, row_id LIMIT 12")
+def free_text(spark: SparkSession, sf: str) -> DataFrame:
+    """The answer to a text within a category, by a deterministic encoder."""
+    rows, _ = rank.answer(corpus(spark, sf), _ASKED, rank.HashingEncoder(64), category="economy")
+    return rows.select("row_id", F.round("cosine", 6).alias("cosine"))
+
+
+@query("SELECT p_partkey, left(concat('why: ', p_name, ' by ', p_brand, ' of ', p_type), 30) AS reason FROM part")
+def explained(spark: SparkSession, sf: str) -> DataFrame:
+    reason = rank.explain_column(lambda q, t: f" {q}: {t} ", "why", 30)
+    return table(spark, sf, "part").select("p_partkey", reason(F.concat_ws(" ", "p_name", F.lit("by"), "p_brand", F.lit("of"), "p_type")).alias("reason"))
+
+
+# --- logs, navigation, files ---
+
+
+@query("WITH f AS (SELECT doc_id, unnest(CASE WHEN doc_id % 3 = 0 THEN [concat('t', doc_id, '  u', doc_id, '  (2)'), '    x', concat('    y', doc_id)] ELSE [] END) AS line FROM documents) SELECT line, count(*) AS n FROM f GROUP BY 1")
+def run_log(spark: SparkSession, sf: str) -> DataFrame:
+    k = _s("doc_id")
+    failed = F.when(F.col("doc_id") % 3 == 0, F.array(F.lit("x"), F.concat(F.lit("y"), k))).otherwise(F.array().cast("array<string>"))
+    rows = table(spark, sf, "documents").select(F.concat(F.lit("u"), k).alias("url"), F.concat(F.lit("t"), k).alias("title"), failed.alias("failed"))
+    return writers.run_log(rows).groupBy("line").agg(F.count("*").alias("n"))
+
+
+@query("SELECT doc_id AS path, concat('t', doc_id) AS title, 'a' AS author, '' AS status, CASE WHEN doc_id % 2 = 0 THEN 7 ELSE 2 END AS chapters, CASE WHEN doc_id % 3 = 0 THEN '完整' ELSE 'unknown' END AS integrity, CAST(length(concat('第1章 x', chr(10), lang, chr(10), '第二章 y')) AS INTEGER) AS chars FROM documents")
+def watched_novels(spark: SparkSession, sf: str) -> DataFrame:
+    """Saved files as a watcher shows them: labelled or counted chapters, integrity, body characters."""
+    i = F.col("doc_id")
+    head = F.concat(F.lit("标题：t"), _s("doc_id"), F.lit("\n作者： a\n"), F.when(i % 2 == 0, "章节数：7\n").otherwise("章节数：many\n"), F.when(i % 3 == 0, "完整性：完整\n").otherwise(""), F.lit("来源：u\n\n"))
+    body = F.concat(F.lit("第1章 x\n"), "lang", F.lit("\n第二章 y\n\n"))
+    return readers.watched_novel(table(spark, sf, "documents").select(i.alias("path"), F.concat(head, body).alias("text")))
+
+
+@query("SELECT page_id, concat('x', chr(10), '上一篇：n', page_id, chr(10), '        URL:  ', url, chr(10), '        文件: f$1.txt', chr(10), chr(10), '下一篇：b') AS text FROM pages")
+def patched_navigation(spark: SparkSession, sf: str) -> DataFrame:
+    old = F.lit("x\n上一篇：a\n        URL:  b\n        文件: c\n\n下一篇：b")
+    return table(spark, sf, "pages").select("page_id", writers.patch_navigation(old, "上一篇：", F.concat(F.lit("n"), _s("page_id")), F.col("url"), F.lit("f$1.txt")).alias("text"))
+
+
+@query(f"WITH {CORPUS_SQL} SELECT row_id, title, category FROM corpus")
+def demo_store(spark: SparkSession, sf: str) -> DataFrame:
+    path = _folder(spark, "demo")
+    writers.write_demo(corpus(spark, sf).withColumn("excerpt", F.lit("x")), path)
+    return readers.load_demo(spark, path).select("row_id", "title", "category")
+
+
+@query("SELECT concat('d', doc_id, '.txt') AS name, CAST(octet_length(encode(text)) + 1 AS BIGINT) AS bytes FROM documents WHERE text IS NOT NULL")
+def file_facts(spark: SparkSession, sf: str) -> DataFrame:
+    """Names and sizes of texts saved one to a file."""
+    path = _folder(spark, "files")
+    d = table(spark, sf, "documents")
+    writers.write_texts(d.select(F.concat(F.lit("d"), _s("doc_id"), F.lit(".txt")).alias("file"), F.concat("text", F.lit("\n")).alias("text")), path)
+    return readers.file_facts(spark, path).select(F.regexp_extract("path", r"([^/]+)$", 1).alias("name"), "bytes")
+
+
+@query("SELECT doc_id, text FROM documents")
+def decoded_texts(spark: SparkSession, sf: str) -> DataFrame:
+    """Texts back from bytes in UTF-8, with and without a byte-order mark."""
+    raw = F.encode("text", "UTF-8")
+    marked = F.when(F.col("doc_id") % 2 == 0, F.concat(F.unhex(F.lit("EFBBBF")), raw)).otherwise(raw)
+    return table(spark, sf, "documents").select("doc_id", readers.decode_text(marked).alias("text"))
+
+
+@query("SELECT url FROM pages")
+def url_lists(spark: SparkSession, sf: str) -> DataFrame:
+    """A list of URLs with remarks and blank lines."""
+    path = _folder(spark, "urls")
+    p = table(spark, sf, "pages")
+    p.select(F.explode(F.array(F.concat(F.lit("# "), "url"), F.concat(F.lit("  "), "url", F.lit(" ")), F.lit(" "))).alias("value")).write.text(path)
+    return readers.url_list(spark, path)
+
+
+@query("SELECT event_type AS outcome, count(*) AS n FROM events GROUP BY 1")
+def outcome_counts(spark: SparkSession, sf: str) -> DataFrame:
+    return reports.outcome_counts(table(spark, sf, "events").select(F.col("event_type").alias("outcome")))
+
+
+@query("SELECT CAST(sum(user_id) AS BIGINT) AS a, CAST(sum(event_id) AS BIGINT) AS b FROM events")
+def stats_sum(spark: SparkSession, sf: str) -> DataFrame:
+    return reports.sum_stats(table(spark, sf, "events").select(F.col("user_id").alias("a"), F.col("event_id").alias("b")), "a", "b")
+
+
+@query(f"WITH {RECORDS_SQL} SELECT url, CASE WHEN row_id % 3 > 0 THEN title ELSE 'plain' END AS title, CASE WHEN row_id % 3 > 0 THEN author ELSE 'none' END AS author, CASE WHEN row_id % 3 > 0 THEN upload_date END AS upload_date FROM records")
+def enriched_nodes(spark: SparkSession, sf: str) -> DataFrame:
+    r = records(spark, sf)
+    nodes = r.select("url", F.lit("plain").alias("title"), F.lit("none").alias("author"), F.lit(None).cast("string").alias("upload_date"))
+    return reports.enriched_catalog(nodes, r.where("row_id % 3 > 0"))
+
+
+@query("WITH c AS (SELECT user_id AS user, event_id AS id, strftime(ts, '%Y-%m-%d %H:%M:%S') AS u FROM events) SELECT c.user, c.id, p_name AS title, CASE WHEN c.id % 2 = 0 THEN c.u ELSE 'added' END AS at FROM c LEFT JOIN part ON p_partkey = c.id")
+def shelf_rows(spark: SparkSession, sf: str) -> DataFrame:
+    """Shelf entries with titles where the id is known, and the time of reading or else of adding."""
+    e = table(spark, sf, "events").select(F.col("user_id").alias("user"), F.col("event_id").alias("id"), F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("updated"))
+    items = e.select("user", "id", F.lit("added").alias("added"))
+    progress = e.select("user", "id", F.lit(1).alias("position"), F.lit(2).alias("total"), F.when(F.col("id") % 2 == 0, F.col("updated")).otherwise("").alias("updated"))
+    r = table(spark, sf, "part").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("title"), F.col("p_brand").alias("author"), F.col("p_type").alias("category"))
+    return user.shelf_rows(e.select("user", "id"), items, r, progress).select("user", "id", "title", "at")
