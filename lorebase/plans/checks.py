@@ -557,3 +557,117 @@ def shelf_rows(spark: SparkSession, sf: str) -> DataFrame:
     progress = e.select("user", "id", F.lit(1).alias("position"), F.lit(2).alias("total"), F.when(F.col("id") % 2 == 0, F.col("updated")).otherwise("").alias("updated"))
     r = table(spark, sf, "part").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("title"), F.col("p_brand").alias("author"), F.col("p_type").alias("category"))
     return user.shelf_rows(e.select("user", "id"), items, r, progress).select("user", "id", "title", "at")
+
+
+# --- tags and chapters ---
+
+
+@query("SELECT p_partkey, 'alpha|x|t1|t2' AS tags, concat('one ', p_partkey) AS one_liner, 'will' AS intent, concat('some prose ', p_name) AS synopsis FROM part")
+def extracted_tags(spark: SparkSession, sf: str) -> DataFrame:
+    """Label lines, noise, a topic sidebar and a stop line; names of author and title are no tags."""
+    from lorebase.functions.tags import extract_tags
+
+    raw = F.concat(F.lit("内容标签："), "p_brand", F.lit(" alpha，alpha\n搜索关键字：主角：y┃其它：x\n一句话简介：one "), _s("p_partkey"), F.lit("\n立意：will\n-----\n文案：some prose "), "p_name", F.lit("\n简介\n\n所属专题：t1、t2\n开始阅读\n内容标签：late"))
+    x = extract_tags(raw, F.concat("p_name", F.lit("[GL]")), F.col("p_brand"))
+    return table(spark, sf, "part").select("p_partkey", x.alias("x")).select("p_partkey", F.array_join("x.tags", "|").alias("tags"), "x.one_liner", "x.intent", "x.synopsis")
+
+
+_PAGES_SQL = f"p AS (SELECT conv_id AS url, turn + 1 AS page_no, regexp_replace(text, '^[{_BLANK}]+|[{_BLANK}]+$', '', 'g') AS text FROM conversations)"
+
+
+@query(f"WITH {_PAGES_SQL}, h AS (SELECT *, sum(CASE WHEN page_no % 3 = 0 THEN 1 ELSE 0 END) OVER (PARTITION BY url ORDER BY page_no) AS part FROM p) SELECT url, CAST(part AS BIGINT) AS \"order\", max(CASE WHEN page_no % 3 = 0 THEN concat('第', page_no, '章') END) AS header, sha1(string_agg(text, chr(10) || chr(10) ORDER BY page_no)) AS body FROM h GROUP BY url, part")
+def chapters_of_pages(spark: SparkSession, sf: str) -> DataFrame:
+    """Turns as pages of one paragraph; every third begins with a chapter head."""
+    n = F.col("turn") + 1
+    flat = F.regexp_replace(F.trim("text"), "\n\n+", "\n")
+    c = table(spark, sf, "conversations").select(F.col("conv_id").alias("url"), n.alias("page_no"), F.concat(F.when(n % 3 == 0, F.concat(F.lit("第"), _s(n), F.lit("章\n\n"))).otherwise(""), flat).alias("text"))
+    return text.chapters_from_pages(c).select("url", "order", "header", F.sha1(F.encode("body", "UTF-8")).alias("body"))
+
+
+@query(f"WITH {_PAGES_SQL}, t AS (SELECT url, count(*) AS n FROM p GROUP BY 1) SELECT t.url, sha1(concat('第1章', chr(10), chr(10), f.text)) AS preview, n > 1 AND NOT (n > 1) AS truncated FROM t JOIN p f ON f.url = t.url AND f.page_no = 1")
+def first_chapters(spark: SparkSession, sf: str) -> DataFrame:
+    """The first of chapters that are one page each."""
+    n = F.col("turn") + 1
+    c = table(spark, sf, "conversations").select(F.col("conv_id").alias("url"), n.alias("page_no"), F.concat(F.lit("第"), _s(n), F.lit("章\n\n"), F.regexp_replace(F.trim("text"), "\n\n+", "\n")).alias("text"))
+    out = text.first_chapter_preview(c, 1_000)
+    return out.select("url", F.sha1(F.encode("preview", "UTF-8")).alias("preview"), "truncated")
+
+
+_SAVED = "标题：t\n来源：u\n"
+
+
+@query("SELECT doc_id, 0 AS chapter, '第1章 a' AS title, lang AS body, concat('about ', source) AS synopsis, 'detected' AS mode FROM documents UNION ALL SELECT doc_id, 1, '第2章 b', concat(lang, chr(10), source), concat('about ', source), 'detected' FROM documents")
+def saved_chapters(spark: SparkSession, sf: str) -> DataFrame:
+    """Chapters and synopses of saved files of two chapters."""
+    rule = "═" * 40
+    body = F.concat(F.lit(_SAVED + "about "), "source", F.lit(f"  \n第1章 a\n\n{rule}\n\n第1章 a\n\n"), "lang", F.lit(f"\n\n{rule}\n\n第2章 b\n\n"), "lang", F.lit("\n"), "source", F.lit("\n"))
+    files = table(spark, sf, "documents").select(F.col("doc_id").alias("url"), F.replace(body, F.lit("第1章 a\n\n" + rule + "\n\n第1章"), F.lit(rule + "\n\n第1章")).alias("text"))
+    parts = text.local_chapters(files)
+    about = files.select("url", text.trim_synopsis(text.local_synopsis(F.col("text")), F.lit("第1章 a")).alias("synopsis"))
+    modes = parts.groupBy("url").agg(text.chapter_mode(F.collect_list("title")).alias("mode"))
+    return parts.join(about, "url").join(modes, "url").select(F.col("url").alias("doc_id"), "chapter", "title", "body", "synopsis", "mode")
+
+
+@query("SELECT doc_id, CAST(len(list_filter(string_split(regexp_replace(text, '\r\n|\r', chr(10), 'g'), chr(10)), lambda x: length(trim(x)) BETWEEN 1 AND 100 AND regexp_matches(trim(x), '(?i)^\\s*act\\b.{0,98}$|^\\s*on\\b.{0,98}$'))) AS INTEGER) AS n FROM documents")
+def matched_headings(spark: SparkSession, sf: str) -> DataFrame:
+    """Lines that a pattern of two series would take for headings."""
+    found = text.pattern_matches(F.col("text"), r"^(?:\s*act\b.{0,98}|\s*on\b.{0,98})$")
+    return table(spark, sf, "documents").select("doc_id", F.size(found).alias("n"))
+
+
+@query("SELECT page_id AS upload, concat('a_b', page_id, '.txt') AS filename, concat('a_b', page_id) AS stem, 'en' AS language, 2 AS chapter_count, 'Chapter 1 x1 Chapter 2' AS synopsis FROM pages")
+def detected_uploads(spark: SparkSession, sf: str) -> DataFrame:
+    """Raw files of two headed chapters."""
+    from lorebase.operators import uploads
+
+    k = _s("page_id")
+    files = table(spark, sf, "pages").select(F.col("page_id").alias("upload"), F.concat(F.lit("up/a:b"), k, F.lit(".txt")).alias("filename"), F.encode(F.lit("Chapter 1\nx1\nChapter 2\ny y\n"), "UTF-8").alias("content"))
+    return uploads.detect(files).select("upload", "filename", F.concat(F.lit("a_b"), _s("upload")).alias("stem"), "language", "chapter_count", "synopsis")
+
+
+# --- reports, streams ---
+
+
+@query(f"WITH RECURSIVE {GRAPH_SQL}, walk AS (SELECT url AS root, url, 0 AS pos FROM live WHERE url NOT IN (SELECT next_url FROM rec) UNION ALL SELECT w.root, r.next_url, w.pos + 1 FROM walk w JOIN rec r ON r.url = w.url), c AS (SELECT root, count(*) AS n, list(url ORDER BY pos) AS urls FROM walk GROUP BY root) SELECT CAST(row_number() OVER (ORDER BY l.upload_date, root) AS INTEGER) AS chain_number, CAST(n AS BIGINT) AS n, array_to_string(urls, '|') AS urls FROM c JOIN live l ON l.url = c.root")
+def chains_as_json(spark: SparkSession, sf: str) -> DataFrame:
+    """The JSON report of chains, read again."""
+    from lorebase.operators import graph
+
+    j = reports.chain_json(graph.chains(order_graph(spark, sf)))
+    r = F.from_json("json", "novel_count bigint, urls array<string>")
+    return j.select("chain_number", r.alias("r")).select("chain_number", F.col("r.novel_count").alias("n"), F.array_join("r.urls", "|").alias("urls"))
+
+
+_SCANS_SQL = "s AS (SELECT user_id AS path, event_id // 40 AS poll, count(*) AS bytes FROM events GROUP BY 1, 2), l AS (SELECT *, coalesce(lag(poll) OVER w = poll - 1 AND lag(bytes) OVER w = bytes, false) AS same FROM s WINDOW w AS (PARTITION BY path ORDER BY poll)), g AS (SELECT *, coalesce(lag(same) OVER (PARTITION BY path ORDER BY poll), false) AS before FROM l)"
+
+
+@query(f"WITH {_SCANS_SQL} SELECT concat('p', path) AS path, CAST(bytes AS BIGINT) AS bytes, CAST(poll AS BIGINT) AS poll FROM g WHERE same AND NOT before")
+def stable_files(spark: SparkSession, sf: str) -> DataFrame:
+    """Files of a stream of folder scans that have stopped growing: events of a user in spans of 40 as sizes."""
+    from lorebase.streaming import streams
+
+    e = table(spark, sf, "events").groupBy(F.col("user_id").alias("u"), F.floor(F.col("event_id") / 40).alias("poll")).agg(F.count("*").alias("bytes"))
+    path = _folder(spark, "scans")
+    e.select(F.concat(F.lit("p"), _s("u")).alias("path"), "bytes", F.lit("m").alias("modified"), "poll").write.parquet(path)
+    scans = spark.readStream.schema("path string, bytes long, modified string, poll long").parquet(path)
+    return streams.run_to_files(streams.stable_files(scans), "update").select("path", "bytes", "poll")
+
+
+@query(f"WITH {_SCANS_SQL} SELECT concat('p', path) AS path, CAST(bytes AS BIGINT) AS bytes, CAST(poll AS BIGINT) AS poll FROM g WHERE same AND NOT before")
+def stable_files_logged(spark: SparkSession, sf: str) -> DataFrame:
+    from lorebase.streaming import streams
+
+    e = table(spark, sf, "events").groupBy(F.col("user_id").alias("u"), F.floor(F.col("event_id") / 40).alias("poll")).agg(F.count("*").alias("bytes"))
+    return streams.stable_files_batch(e.select(F.concat(F.lit("p"), _s("u")).alias("path"), "bytes", F.lit("m").alias("modified"), "poll")).select("path", "bytes", "poll")
+
+
+@query("SELECT event_type AS job, CAST(arg_max(event_id % 50, ts) AS INTEGER) AS done, 100 AS total FROM events GROUP BY 1")
+def job_progress(spark: SparkSession, sf: str) -> DataFrame:
+    """The last progress line of each job, out of a stream of log lines."""
+    from lorebase.streaming import streams
+
+    path = _folder(spark, "lines")
+    line = F.concat(F.lit("x [ "), _s(F.col("event_id") % 50), F.lit("/100] y"))
+    table(spark, sf, "events").select(F.col("event_type").alias("job"), F.col("ts").cast("timestamp").alias("ts"), line.alias("line")).write.parquet(path)
+    lines = spark.readStream.schema("job string, ts timestamp, line string").parquet(path)
+    return streams.latest(streams.run_to_files(streams.progress_lines(lines), "update"), "job").select("job", "done", "total")
