@@ -2,16 +2,18 @@
 
 Texts become L2-normalised TF-IDF vectors of hashed byte n-grams (2, 3 and 4 bytes, ASCII case folded, other ASCII
 characters than letters made spaces). Each language has several centroids, found by spherical k-means over a sample of
-labelled rows; a text takes the language of the centroid of largest cosine. A text of at least MIN_BYTES letters
-whose cosine is below the model's limit is rejected: its distance from every language is far beyond that of
-the sample.
+labelled rows; a text takes the language of the centroid of largest cosine. A text whose cosine is below the model's
+limit for texts of its size is rejected: its distance from every language is far beyond that of the sample. Sizes are
+classed by EDGES (bytes of letters); texts below the first, or in a class of which the sample has fewer than MIN_SAMPLES,
+are labelled whatever their distance, for so few n-grams tell nothing.
 
 The classifier is fitted on a bounded sample (PER_LANG rows a language, SAMPLE_MAX in all, those of smallest id
 hash); everything else covers all rows and whole texts. Prediction is one map over the scan, without a shuffle.
 
 Null texts and texts without a letter are `und` with score 0 and rejected. With nothing to learn from, all are
 `und`. A null doc_id counts as the empty string in the split. Ties between centroids go to the first language in
-alphabetical order. Rows are kept one to one.
+alphabetical order. Rows are kept one to one, repeated ones too; an empty table gives no rows. Very long texts are counted in
+blocks of bounded size. Extra columns are kept.
 """
 
 from __future__ import annotations
@@ -29,7 +31,7 @@ from .common import batch, map_arrow, text_bytes
 DIM_BITS = 15
 PER_LANG, SAMPLE_MAX = 400, 4000
 CENTROIDS = 3
-MIN_BYTES = 200
+EDGES, MIN_SAMPLES = (50, 100, 200), 20
 #: The limit is this share of the sample's cosine at the given quantile.
 LIMIT_SHARE, LIMIT_QUANTILE = 0.6, 0.001
 
@@ -59,7 +61,7 @@ class Model:
     langs: tuple[str, ...]
     idf: np.ndarray
     centroids: np.ndarray  # dim x (langs * CENTROIDS)
-    limit: float
+    limits: tuple[float, ...]  # by size class
 
 
 def vector(counts: np.ndarray, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -97,8 +99,15 @@ def fit(labels: list[str], rows: list[tuple[np.ndarray, np.ndarray]], sizes: lis
     names = np.array(labels)
     centroids = np.concatenate([_k_means(dense[names == lang], CENTROIDS) for lang in langs]).T.astype(np.float32)
     best = (dense @ centroids).max(axis=1)
-    long = best[np.array(sizes) >= MIN_BYTES]
-    return Model(langs, idf.astype(np.float32), np.ascontiguousarray(centroids), LIMIT_SHARE * float(np.quantile(long, LIMIT_QUANTILE)) if len(long) else 0.0)
+    of = size_class(np.array(sizes))
+    own = [best[of == i] for i in range(len(EDGES))]
+    limits = tuple(LIMIT_SHARE * float(np.quantile(b, LIMIT_QUANTILE)) if len(b) >= MIN_SAMPLES else 0.0 for b in own)
+    return Model(langs, idf.astype(np.float32), np.ascontiguousarray(centroids), limits)
+
+
+def size_class(size):
+    """The class of a text by its letters, -1 below all edges."""
+    return np.searchsorted(EDGES, size, side="right") - 1
 
 
 def _remainder(doc_id: Column) -> Column:
@@ -133,11 +142,11 @@ def learn(docs: DataFrame) -> Model | None:
 def predict(docs: DataFrame, model: Model | None) -> DataFrame:
     """docs with lang_pred, score and rejected; columns so named are replaced."""
     keep = [c for c in docs.columns if c not in ("lang_pred", "score", "rejected")]
-    shared = docs.sparkSession.sparkContext.broadcast(None if model is None else (model.langs, model.idf, model.centroids, model.limit))
+    shared = docs.sparkSession.sparkContext.broadcast(None if model is None else (model.langs, model.idf, model.centroids, model.limits))
     rows = docs.select(F.struct(*keep).alias("row"), text_bytes("text").alias("bytes"), F.coalesce(F.regexp("text", F.lit(r"\p{L}")), F.lit(False)).alias("letters"))
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        langs_of, idf, centroids, limit = shared.value or ((), None, None, 0.0)
+        langs_of, idf, centroids, limits = shared.value or ((), None, None, ())
         for b in it:
             langs, scores, rejected = [], [], []
             for text, letters in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
@@ -149,7 +158,7 @@ def predict(docs: DataFrame, model: Model | None) -> DataFrame:
                 cosines = w.astype(np.float32) @ centroids[at]
                 best = int(np.argmax(cosines))
                 score = min(1.0, max(0.0, float(cosines[best])))
-                langs.append(langs_of[best // CENTROIDS]), scores.append(score), rejected.append(size >= MIN_BYTES and score < limit)
+                langs.append(langs_of[best // CENTROIDS]), scores.append(score), rejected.append((at_class := int(size_class(size))) >= 0 and score < limits[at_class])
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(langs, pa.string()), pa.array(scores, pa.float64()), pa.array(rejected, pa.bool_())], names=["row", "lang_pred", "score", "rejected"])
 
     kind = rows.schema["row"].dataType.simpleString()

@@ -545,6 +545,13 @@ def test_far_texts_are_rejected(spark):
     model = langid.learn(docs)
     far = frame(spark, ["zqx vjk wqz xkv qqz jjx kvq zzx vvq " * 30, "漢字仮名交文 " * 60])
     assert [r.rejected for r in langid.predict(far, model).collect()] == [True, True]
+    assert model.limits[-1] > 0 and all(0 <= x < 1 for x in model.limits)
+    short = docs.where("length(text) between 120 and 230 and lang is not null")
+    rows = langid.predict(short, model).collect()
+    assert sum(r.rejected for r in rows) <= 0.02 * len(rows)
+    if model.limits[1]:
+        junk = frame(spark, ["zqx vjk wqz xkv qqz jjx kvq zzx vvq " * 5])
+        assert [r.rejected for r in langid.predict(junk, model).collect()] == [True]
 
 
 WITHOUT_PACKAGE = """
