@@ -9,6 +9,7 @@ from __future__ import annotations
 import hashlib
 import json
 import re
+import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -18,6 +19,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lorebase.functions import constants as K
+from lorebase.scratch import scratch_dir
 
 from .filters import Filters, has_all_tags
 
@@ -131,12 +133,13 @@ def categories(corpus: DataFrame) -> DataFrame:
 def knn_join(queries: DataFrame, corpus: DataFrame, n: int = 10, block: int = 4096) -> DataFrame:
     """(query_id, row_id, cosine, rank): the n nearest rows of each query(query_id, embedding), by blocks of queries.
 
-    Queries are a stated set taken in blocks of a fixed size; every partition of the corpus keeps n rows for each query
-    of the block, and only those are shuffled.
+    Queries are a stated set taken in blocks of about a fixed size; every partition of the corpus keeps n rows for each
+    query of the block, and only those are shuffled. With several blocks one is at work at a time: its rows are written
+    before its vectors are dropped and the next one is read.
     """
     spark = corpus.sparkSession
-    ids = queries.select("query_id", "embedding").orderBy("query_id")
-    out, batch_rows, found = None, [], ids.toLocalIterator()
+    blocks = max(1, -(-queries.count() // block))
+    by = Window.partitionBy("query_id").orderBy(F.desc(F.round("cosine", 12)), "row_id")
     schema = pa.schema([("query_id", pa.int64()), ("row_id", pa.int64()), ("cosine", pa.float64())])
 
     def scan(shared) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
@@ -157,19 +160,17 @@ def knn_join(queries: DataFrame, corpus: DataFrame, n: int = 10, block: int = 40
 
         return run
 
-    def flush(rows) -> DataFrame:
+    out = f"{scratch_dir(spark)}/knn-{uuid.uuid4().hex}"
+    for b in range(blocks):
+        rows = queries.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b).select("query_id", "embedding").orderBy("query_id").collect()
         shared = spark.sparkContext.broadcast((np.array([r.query_id for r in rows], np.int64), np.array([r.embedding for r in rows], np.float64)))
-        return corpus.select(F.col("row_id").cast("long"), "embedding").mapInArrow(scan(shared), "query_id long, row_id long, cosine double")
-
-    for r in found:
-        batch_rows.append(r)
-        if len(batch_rows) == block:
-            out = flush(batch_rows) if out is None else out.unionByName(flush(batch_rows))
-            batch_rows = []
-    if batch_rows or out is None:
-        out = flush(batch_rows) if out is None else out.unionByName(flush(batch_rows))
-    by = Window.partitionBy("query_id").orderBy(F.desc(F.round("cosine", 12)), "row_id")
-    return out.withColumn("rank", F.row_number().over(by)).where(F.col("rank") <= n)
+        found = corpus.select(F.col("row_id").cast("long"), "embedding").mapInArrow(scan(shared), "query_id long, row_id long, cosine double")
+        best = found.withColumn("rank", F.row_number().over(by)).where(F.col("rank") <= n)
+        if blocks == 1:
+            return best
+        best.write.mode("append").parquet(out)
+        shared.destroy()
+    return spark.read.schema("query_id long, row_id long, cosine double, rank int").parquet(out)
 
 
 # --- index ---
