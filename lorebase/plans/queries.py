@@ -359,15 +359,23 @@ def chains(spark: SparkSession, sf: str) -> DataFrame:
     return graph.chains(order_graph(spark, sf)).select("chain_number", "novel_count", F.col("start.url").alias("start_url"), F.col("end.url").alias("end_url"))
 
 
-@query()
-def display_chains(spark: SparkSession, sf: str) -> DataFrame:
-    return graph.display_chains(graph.chains(order_graph(spark, sf)))
-
-
 def _bound_sql(at: str, field: str, back: str) -> str:
     return f"(SELECT CASE WHEN a.{field} IS NULL THEN 'chain_end' WHEN g.url IS NULL THEN 'missing_from_catalogue' WHEN g.fetch_status <> 'ok' THEN 'confirmed_404' WHEN g.{back} IS DISTINCT FROM a.url THEN 'non_reciprocal' ELSE 'connected' END FROM live a LEFT JOIN graph g ON g.url = a.{field} WHERE a.url = {at})"
 
 
+@query(
+    f"WITH RECURSIVE {GRAPH_SQL}, {_CHAINS_SQL}, c AS (SELECT root, count(*) AS n, arg_max(url, pos) AS last FROM walk GROUP BY root), "
+    f"k AS (SELECT CAST(row_number() OVER (ORDER BY l.upload_date, root) AS INTEGER) AS chain, n, root, l.upload_date AS day, l.prev_url AS starget, e.next_url AS etarget, {_bound_sql('c.root', 'prev_url', 'next_url')} AS skind, {_bound_sql('c.last', 'next_url', 'prev_url')} AS ekind FROM c JOIN live l ON l.url = c.root JOIN live e ON e.url = c.last), "
+    "st AS (SELECT skind, starget, count(*) AS starts, min(chain) AS next FROM k WHERE skind IN ('confirmed_404', 'non_reciprocal') AND starget IS NOT NULL GROUP BY 1, 2), "
+    "jn AS (SELECT next, min(chain) AS before FROM k JOIN st ON st.skind = k.ekind AND st.starget = k.etarget AND starts = 1 WHERE next <> chain GROUP BY next), "
+    "w AS (SELECT chain AS first, chain, 0 AS pos FROM k WHERE chain NOT IN (SELECT next FROM jn) UNION ALL SELECT w.first, jn.next, pos + 1 FROM w JOIN jn ON jn.before = w.chain), "
+    "g AS (SELECT w.first, count(*) AS n_chains, CAST(sum(n) AS BIGINT) AS novel_count, string_agg(w.chain, '|' ORDER BY pos) AS parts FROM w JOIN k ON k.chain = w.chain GROUP BY 1) "
+    "SELECT CAST(row_number() OVER (ORDER BY day, root) AS INTEGER) AS display_number, root AS start_url, n_chains, novel_count, parts FROM g JOIN k ON k.chain = g.first"
+)
+def display_chains(spark: SparkSession, sf: str) -> DataFrame:
+    return graph.display_chains(graph.chains(order_graph(spark, sf))).withColumn("parts", F.array_join("parts", "|"))
+
+
 _COUNTED = ", ".join(f"count_if({side}_kind = '{k}') AS {side}_{k}" for side in ("start", "end") for k in ("chain_end", "missing_from_catalogue", "confirmed_404", "non_reciprocal"))
 
 
@@ -418,11 +426,19 @@ _STRIP = r"regexp_replace(X, '^[\s\x{0B}\x{1C}-\x{1F}\x{85}\p{Z}]+|[\s\x{0B}\x{1
 _PACKED = "list_filter([" + _STRIP.replace("X", "array_to_string({}, chr(10))") + "], lambda b: b <> '')"
 
 
+def _blocks_sql(source: str, limit: int) -> str:
+    """CTEs that end in b(key, blocks): the blocks of source(key, text)."""
+    none, state = "CAST([] AS VARCHAR[])", "'size': CAST(0 AS BIGINT), 'line': ''"
+    return (
+        f"e AS (SELECT key, list_concat([{{'done': {none}, 'open': {none}, {state}}}], list_transform(string_split({_STRIP.replace('X', 'text')}, chr(10)), lambda x: {{'done': {none}, 'open': {none}, 'size': CAST(length(x) AS BIGINT), 'line': x}})) AS items FROM {source} WHERE text IS NOT NULL), "
+        f"r AS (SELECT key, list_reduce(items, lambda a, x: CASE WHEN x.size > {limit} THEN {{'done': list_concat(a.done, {_PACKED.replace('{}', 'a.open')}, list_transform(range(0, (x.size + {limit - 1}) // {limit}), lambda i: substr(x.line, i * {limit} + 1, {limit}))), 'open': {none}, {state}}} "
+        f"WHEN a.size + x.size + 1 >= {limit} THEN {{'done': list_concat(a.done, {_PACKED.replace('{}', 'list_append(a.open, x.line)')}), 'open': {none}, {state}}} ELSE {{'done': a.done, 'open': list_append(a.open, x.line), 'size': a.size + x.size + 1, 'line': ''}} END) AS r FROM e), "
+        f"b AS (SELECT key, list_concat(r.done, {_PACKED.replace('{}', 'r.open')}) AS blocks FROM r)"
+    )
+
+
 @query(
-    "WITH e AS (SELECT doc_id, list_concat([{'done': CAST([] AS VARCHAR[]), 'open': CAST([] AS VARCHAR[]), 'size': CAST(0 AS BIGINT), 'line': ''}], list_transform(string_split(" + _STRIP.replace("X", "text") + ", chr(10)), lambda x: {'done': CAST([] AS VARCHAR[]), 'open': CAST([] AS VARCHAR[]), 'size': CAST(length(x) AS BIGINT), 'line': x})) AS items FROM documents WHERE text IS NOT NULL), "
-    "r AS (SELECT doc_id, list_reduce(items, lambda a, x: CASE WHEN x.size > 2000 THEN {'done': list_concat(a.done, " + _PACKED.replace("{}", "a.open") + ", list_transform(range(0, (x.size + 1999) // 2000), lambda i: substr(x.line, i * 2000 + 1, 2000))), 'open': CAST([] AS VARCHAR[]), 'size': CAST(0 AS BIGINT), 'line': ''} "
-    "WHEN a.size + x.size + 1 >= 2000 THEN {'done': list_concat(a.done, " + _PACKED.replace("{}", "list_append(a.open, x.line)") + "), 'open': CAST([] AS VARCHAR[]), 'size': CAST(0 AS BIGINT), 'line': ''} ELSE {'done': a.done, 'open': list_append(a.open, x.line), 'size': a.size + x.size + 1, 'line': ''} END) AS r FROM e), "
-    "b AS (SELECT doc_id, list_concat(r.done, " + _PACKED.replace("{}", "r.open") + ") AS blocks FROM r), p AS (SELECT doc_id, len(blocks) AS n, unnest(blocks) AS body, unnest(range(1, len(blocks) + 1)) AS i FROM b) "
+    f"WITH d AS (SELECT doc_id AS key, text FROM documents), {_blocks_sql('d', 2000)}, p AS (SELECT key AS doc_id, len(blocks) AS n, unnest(blocks) AS body, unnest(range(1, len(blocks) + 1)) AS i FROM b) "
     "SELECT doc_id, CAST(i - 1 AS INTEGER) AS part, concat('Part ', lpad(CAST(i AS VARCHAR), CAST(greatest(2, length(CAST(n AS VARCHAR))) AS INTEGER), '0')) AS title, sha1(body) AS body_hash FROM p"
 )
 def text_blocks(spark: SparkSession, sf: str) -> DataFrame:
@@ -443,11 +459,19 @@ def chapters_custom(spark: SparkSession, sf: str) -> DataFrame:
     return c.select("doc_id", "order", "title", F.sha1("body").alias("body_hash"))
 
 
-@query()
+@query(
+    "WITH c AS (SELECT conv_id AS doc_id, turn AS k, turn + CASE WHEN turn > 1 THEN 3 ELSE 1 END AS num, CASE WHEN turn = 1 THEN repeat(text, 9) ELSE text END AS body FROM conversations), "
+    "m AS (SELECT *, length(body) AS n, list_sort(list(length(body)) OVER (PARTITION BY doc_id)) AS sizes, lead(num) OVER (PARTITION BY doc_id ORDER BY k) - num AS gap FROM c), "
+    "f AS (SELECT *, coalesce(n > 3000 AND n >= greatest(sizes[len(sizes) // 2 + 1], 3000) * 1.5 AND gap > 1 AND gap <= 500, false) AS fused FROM m), "
+    f"d AS (SELECT {{'doc': doc_id, 'k': k}} AS key, body AS text FROM f WHERE fused), {_blocks_sql('d', 3000)}, "
+    "p AS (SELECT doc_id, k, num, [body] AS pieces FROM f WHERE NOT fused UNION ALL SELECT f.doc_id, f.k, num, blocks FROM f JOIN b ON b.key.doc = f.doc_id AND b.key.k = f.k), "
+    "u AS (SELECT doc_id, k, num, unnest(pieces) AS body, unnest(range(len(pieces))) AS part FROM p) "
+    "SELECT doc_id, k AS \"order\", CAST(part AS INTEGER) AS part, CASE WHEN part = 0 THEN concat('第', num, '章') ELSE concat('第', num, '章 (', part + 1, ')') END AS title, sha1(body) AS body FROM u"
+)
 def fused_split(spark: SparkSession, sf: str) -> DataFrame:
     """Turns as chapters with a number left out in each conversation."""
     c = table(spark, sf, "conversations").select(F.col("conv_id").alias("doc_id"), F.col("turn").alias("order"), F.concat(F.lit("第"), (F.col("turn") + F.when(F.col("turn") > 1, 3).otherwise(1)).cast("string"), F.lit("章")).alias("title"), F.repeat(F.col("text"), F.when(F.col("turn") == 1, 9).otherwise(1)).alias("body"))
-    return text.split_fused(c)
+    return text.split_fused(c).withColumn("body", F.sha1(F.encode("body", "UTF-8")))
 
 
 @query("SELECT conv_id, turn, CAST(turn + 1 AS INTEGER) AS num FROM conversations")
