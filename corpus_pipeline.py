@@ -6,8 +6,10 @@
     decontaminate      documents that hold a benchmark item go
     sentencepiece      texts become token ids; those that don't decode to their text would show in round_trip
 
-All but the last return the columns of documents. A document with a null doc_id passes the stages that compare
-documents unchanged, since no other can be ordered before or after it.
+All but the last return the columns of documents, extra ones with them. A document with a null doc_id passes the stages
+that compare documents unchanged, since no other can be ordered before or after it. Null and wordless texts have no
+language and go in the first stage; an empty table runs through and gives no rows. Rows are written between stages, so
+a lost executor costs tasks of one stage only.
 """
 
 from __future__ import annotations
@@ -38,7 +40,8 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     groups = ngram_join.ngram_jaccard_groups(docs, k=5, num=80, den=100)
     by_id = groups.groupBy("doc_id").agg(F.collect_set(F.when(F.col("doc_id") != F.col("component_id"), F.col("class_id"))).alias("sets"), F.bool_or(F.col("doc_id") == F.col("component_id")).alias("stays"))
     go = save(by_id.where(F.size("sets") > 0), "go")
-    left = docs.join(go.where("not stays").select("doc_id"), "doc_id", "left_anti").select(*docs.columns)
+    # rows without a doc_id have no partner, and would all be dealt to one task
+    left = docs.where("doc_id is not null").join(go.where("not stays").select("doc_id"), "doc_id", "left_anti").select(*docs.columns).unionByName(docs.where("doc_id is null"))
     # a doc_id of which some sets go and others stay: only then do rows need their set
     some = go.where("stays").select("doc_id", "sets")
     return left if some.isEmpty() else ngram_join.without_sets(left, some, 5).select(*docs.columns)
