@@ -59,4 +59,5 @@ FS_UNSAFE = r'[\\/:*?"<>|【】\r\n]'
 TONES = {"a": "āáǎà", "e": "ēéěè", "i": "īíǐì", "o": "ōóǒò", "u": "ūúǔù", "ü": "ǖǘǚǜ"}
 WINDOW_COMMIT, WINDOW_LEAD, WINDOW_TRAIL = 150, 30, 60
 PROBE_STOP = 4
+USER_NAME = r"^[A-Za-z0-9_.-]{3,64}$"
 REC_DEPTH = 4

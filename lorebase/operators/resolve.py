@@ -86,3 +86,17 @@ def resolve_ids(ids: DataFrame, slugs: DataFrame, paths: DataFrame) -> DataFrame
     u3 = F.when(F.regexp(decoded, F.lit("^https?://")), decoded)
     kind = F.when(F.col("u0").isNotNull(), "slug").when(F.col("u1").isNotNull(), "slug").when(F.col("u2").isNotNull(), "path").when(u3.isNotNull(), "nid")
     return out.select("id", F.coalesce("u0", "u1", "u2", u3).alias("url"), kind.alias("kind"))
+
+
+def describe_ids(ids: DataFrame, slugs: DataFrame, records: DataFrame, files: DataFrame) -> DataFrame:
+    """(id, url, title, kind, language) of the shelf ids that can be described: records, raw text files, other documents.
+
+    records(url, title, language); files(path, title, language) with a kind as readers.classify gives it.
+    """
+    stem = F.regexp_extract("path", r"([^/]*?)(?:\.[^./]*)?$", 1)
+    found = resolve_ids(ids, slugs, files.where("kind = 'text'").select("path")).where("kind in ('slug', 'path')").select("id", F.col("url").alias("found"), "kind")
+    novels = records.select(F.col("url").alias("found"), F.col("title").alias("t"), F.col("language").alias("l"))
+    texts = files.where("kind = 'text'").select(F.col("path").alias("found"), F.coalesce("title", stem).alias("t"), F.col("language").alias("l"))
+    named = found.join(novels.unionByName(texts), "found", "left").select("id", F.col("found").alias("url"), F.col("t").alias("title"), F.when(F.col("kind") == "slug", "novel").otherwise("text").alias("kind"), F.col("l").alias("language"))
+    docs = ids.join(files.where("kind = 'doc'").select(F.col("path").alias("id"), stem.alias("title")), "id").join(named.select("id"), "id", "left_anti")
+    return named.unionByName(docs.select("id", F.col("id").alias("url"), "title", F.lit("doc").alias("kind"), F.lit("").alias("language")))

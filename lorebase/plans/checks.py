@@ -671,3 +671,28 @@ def job_progress(spark: SparkSession, sf: str) -> DataFrame:
     table(spark, sf, "events").select(F.col("event_type").alias("job"), F.col("ts").cast("timestamp").alias("ts"), line.alias("line")).write.parquet(path)
     lines = spark.readStream.schema("job string, ts timestamp, line string").parquet(path)
     return streams.latest(streams.run_to_files(streams.progress_lines(lines), "update"), "job").select("job", "done", "total")
+
+
+@query("SELECT concat('user', user_id) AS user, event_type AS url, CAST(max(event_id) AS BIGINT) AS position FROM events WHERE user_id % 3 > 0 GROUP BY 1, 2 UNION ALL SELECT concat('user', user_id), 'again', CAST(count(*) AS BIGINT) FROM events WHERE user_id % 3 = 0 GROUP BY 1")
+def user_states(spark: SparkSession, sf: str) -> DataFrame:
+    """The state of all users written, that of every third one replaced, and read back."""
+    path = _folder(spark, "state")
+    e = table(spark, sf, "events").withColumn("user", F.concat(F.lit("user"), _s("user_id")))
+    writers.write_user_state(e.groupBy("user", F.col("event_type").alias("url")).agg(F.max("event_id").alias("position")), path)
+    writers.write_user_state(e.where("user_id % 3 = 0").groupBy("user").agg(F.lit("again").alias("url"), F.count("*").alias("position")), path)
+    return readers.load_user_state(spark, path, "url string, position long").select("user", "url", "position")
+
+
+@query(
+    f"WITH {RECORDS_SQL}, i AS (SELECT *, row_id % 4 AS k FROM records) SELECT CASE k WHEN 0 THEN concat(category, '/', row_id) WHEN 1 THEN concat('raw/', row_id, '.txt') ELSE concat('raw/', row_id, '.epub') END AS id, CASE k WHEN 0 THEN url WHEN 1 THEN concat('raw/', row_id, '.txt') ELSE concat('raw/', row_id, '.epub') END AS url, "
+    "CASE k WHEN 0 THEN title ELSE CAST(row_id AS VARCHAR) END AS title, CASE k WHEN 0 THEN 'novel' WHEN 1 THEN 'text' ELSE 'doc' END AS kind, CASE k WHEN 0 THEN 'zh' WHEN 1 THEN 'en' ELSE '' END AS language FROM i WHERE k < 3 AND (k > 0 OR file IS NOT NULL)"
+)
+def described_shelf(spark: SparkSession, sf: str) -> DataFrame:
+    """Shelf ids that are slugs, raw text files and other documents; every fourth is nothing that is held."""
+    r = records(spark, sf)
+    k, raw = F.col("row_id") % 4, F.concat(F.lit("raw/"), _s("row_id"))
+    ids = r.select(F.when(k == 0, F.concat_ws("/", "category", _s("row_id"))).when(k == 1, F.concat(raw, F.lit(".txt"))).when(k == 2, F.concat(raw, F.lit(".epub"))).otherwise(F.concat(raw, F.lit(".zip"))).alias("id"))
+    names = ids.where("startswith(id, 'raw/')").select(F.col("id").alias("path"))
+    files = names.select("path", F.lit(None).cast("string").alias("title"), F.lit("en").alias("language"), readers.classify(F.col("path"), F.lit(False)).alias("kind"))
+    slugs = r.select(urls.slug_of(F.col("category"), F.col("file")).alias("slug"), "url").where("slug is not null")
+    return resolve.describe_ids(ids, slugs, r.select("url", "title", F.lit("zh").alias("language")), files)

@@ -94,6 +94,16 @@ def load_engine(index: DataFrame, records: DataFrame) -> DataFrame:
     return index.drop("content_hash").join(records, "url")
 
 
+def load_user_state(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """The state of all users; none where nothing has been written."""
+    try:
+        return spark.read.schema(f"{schema}, user string").json(path)
+    except AnalysisException as e:
+        if "PATH_NOT_FOUND" not in str(e):
+            raise
+        return spark.createDataFrame([], f"{schema}, user string")
+
+
 def load_demo(spark: SparkSession, path: str) -> DataFrame:
     """The demo corpus: records, vectors and coordinates in one table."""
     return spark.read.parquet(path)

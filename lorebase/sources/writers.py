@@ -120,6 +120,17 @@ def write_report(spark: SparkSession, path: str, text: str) -> None:
     spark.createDataFrame([(text,)], "value string").coalesce(1).write.mode("overwrite").text(path)
 
 
+def write_user_state(state: DataFrame, path: str) -> None:
+    """state(user, ...) as JSON, a folder for each user: those of the users at hand are replaced whole, others stay.
+
+    A user's name is part of a path; others than plain names are refused.
+    """
+    bad = state.where(~F.regexp("user", F.lit(K.USER_NAME)) | F.col("user").isNull()).limit(1)
+    if not bad.isEmpty():
+        raise ValueError("invalid user name")
+    state.repartition("user").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").option("ignoreNullFields", False).partitionBy("user").json(path)
+
+
 def append_log(rows: DataFrame, path: str) -> None:
     rows.write.mode("append").parquet(path)
 
