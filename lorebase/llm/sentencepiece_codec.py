@@ -40,7 +40,7 @@ from .common import map_arrow, text_bytes
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
-CACHE, PAIRS, ROWS = 200_000, 80_000, 250
+CACHE, PAIRS, ROWS = 250_000, 80_000, 250
 #: Kinds of models and pieces in the file format.
 UNIGRAM, BPE = 1, 2
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
@@ -169,16 +169,15 @@ class Codec:
 
     def _fits(self, before: str, piece: str) -> bool:
         """Whether merging leaves the piece whole, next to `before`."""
-        if self._halves(piece) is None:
-            return False
-        if not before:
-            return True
         pair = before, piece
         ok = self.beside.get(pair)
         if ok is None:
             if len(self.beside) > PAIRS:
                 self.beside.clear()
-            ok = self.beside[pair] = self._stay(before, piece) if self._ordered(before) and self._ordered(piece) else self.merged(before + piece) == [before, piece]
+            ok = self._halves(piece) is not None
+            if ok and before:
+                ok = self._stay(before, piece) if self._ordered(before) and self._ordered(piece) else self.merged(before + piece) == [before, piece]
+            self.beside[pair] = ok
         return ok
 
     def _stay(self, left: str, right: str) -> bool:
@@ -203,7 +202,7 @@ class Codec:
     def segment(self, words: list[str]) -> Iterator[tuple[str, list[str]]]:
         """The pieces of each of the sorted distinct words; a character without a piece stands for itself."""
         last, best, reached, before = [""], [0.0], [[]], ""
-        unigram, score, root, fits = self.kind == UNIGRAM, self.score, self.root, self._fits
+        step = self._unigram_step if self.kind == UNIGRAM else self._merge_step
         for word in words:
             common = 0
             for a, b in zip(word, before, strict=False):
@@ -211,38 +210,50 @@ class Codec:
                     break
                 common += 1
             del last[common + 1 :], best[common + 1 :], reached[common + 1 :]
-            for end in range(common + 1, len(word) + 1):
-                c, now = word[end - 1], []
-                piece, top = c, best[end - 1] + self.worst
-                settled = False
-                for start, node in reached[end - 1]:
-                    node = node.get(c)
-                    if node is None:
-                        continue
-                    now.append((start, node))
-                    if settled or "" not in node:
-                        continue
-                    p = node[""]
-                    if unigram:
-                        if best[start] + score[p] > top:
-                            top, piece = best[start] + score[p], p
-                    elif fits(last[start], p):
-                        piece, settled = p, True
-                node = root.get(c)
-                if node is not None:
-                    now.append((end - 1, node))
-                    if unigram and "" in node and best[end - 1] + score[c] > top:
-                        top, piece = best[end - 1] + score[c], c
-                last.append(piece)
-                best.append(top)
-                reached.append(now)
+            step(word, common, last, best, reached)
             out, end = [], len(word)
             while end:
                 out.append(last[end])
                 end -= len(last[end])
-            yield word, out[::-1]
+            out.reverse()
+            yield word, out
             before = word
 
+    def _merge_step(self, word: str, common: int, last: list[str], best: list[float], reached: list[list]) -> None:
+        """States of the prefixes of word beyond `common`; reached: (start, trie node) of the suffixes that go on."""
+        root, beside, fits, open_ = self.root.get, self.beside.get, self._fits, reached[-1]
+        for end in range(common, len(word)):
+            piece = c = word[end]
+            now = []
+            for start, node in open_:
+                node = node.get(c)
+                if node is not None:
+                    now.append((start, node))
+                    if piece is c and (p := node.get("")) is not None:
+                        ok = beside((last[start], p))
+                        if ok if ok is not None else fits(last[start], p):
+                            piece = p
+            node = root(c)
+            if node is not None:
+                now.append((end, node))
+            last.append(piece)
+            reached.append(now)
+            open_ = now
+
+    def _unigram_step(self, word: str, common: int, last: list[str], best: list[float], reached: list[list]) -> None:
+        for end in range(common, len(word)):
+            piece = c = word[end]
+            top, now = best[end] + self.worst, []
+            for start, node in [*reached[end], (end, self.root)]:
+                node = node.get(c)
+                if node is not None:
+                    now.append((start, node))
+                    if (p := node.get("")) is not None and best[start] + self.score[p] > top:
+                        top, piece = best[start] + self.score[p], p
+            last.append(piece)
+            best.append(top)
+            reached.append(now)
+
     def ids(self, pieces: list[str]) -> tuple[int, ...]:
         out = []
         for p in pieces:
@@ -267,12 +278,11 @@ class Codec:
                 self._add(flat[start[i] : start[i + 1]], exact[i])
             self.place = {w: i for i, w in enumerate(kept)}
         new = [w for w in words if w not in self.place]
-        heads = {}
-        if self.kind == BPE and self.simple:
-            for w in new:
-                body = w.lstrip(MARK)
-                if len(w) - len(body) > 1:
-                    heads[w] = MARK + body
+        heads = {w: MARK + w.lstrip(MARK) for w in new if w.startswith(MARK + MARK)} if self.kind == BPE and self.simple else {}
+        if not heads:
+            for w, pieces in self.segment(sorted(new)):
+                self._store(w, pieces)
+            return
         found = dict(self.segment(sorted({heads.get(w, w) for w in new})))
         for w in new:
             pieces = found[heads.get(w, w)]
@@ -281,9 +291,14 @@ class Codec:
                 if marks not in self.runs:
                     self.runs[marks] = tuple(self.merged(MARK * marks))
                 pieces = [*self.runs[marks], *pieces[pieces[0] == MARK :]]
+            self._store(w, pieces)
+
+    def _store(self, word: str, pieces: list[str]) -> None:
+        ids = list(map(self.id.get, pieces))
+        if None in ids:
             ids = self.ids(pieces)
-            self.place[w] = len(self.exact)
-            self._add(ids, b"".join(map(self.bytes.__getitem__, ids)) == w.replace(MARK, " ").encode("utf-8", "surrogatepass"))
+        self.place[word] = len(self.exact)
+        self._add(ids, b"".join(map(self.bytes.__getitem__, ids)) == word.replace(MARK, " ").encode("utf-8", "surrogatepass"))
 
     def _add(self, ids, exact: bool) -> None:
         self.flat.extend(ids)
