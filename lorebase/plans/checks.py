@@ -124,7 +124,7 @@ _STEM = "concat('https://www.books.example/novel/ab/', code)"
 
 
 @query(
-    f"WITH c AS (SELECT *, {_b62('p_partkey * 7919')} AS code, {_b62('p_partkey * 7919 + 1')} AS after FROM part) SELECT p_partkey, concat('https://www.books.example/novel/ab/', after, '.html') AS next, CASE WHEN p_partkey >= 1 THEN concat('https://www.books.example/novel/ab/', {_b62('greatest(0, p_partkey * 7919 - 7919)')}, '.html') END AS back, "
+    f"WITH c AS (SELECT *, {_b62('p_partkey * 7919')} AS code, {_b62('p_partkey * 7919 + 1')} AS after FROM part) SELECT p_partkey, concat('https://www.books.example/novel/ab/', after, '.html') AS next, CASE WHEN p_partkey >= 1 THEN concat('https://www.books.example/novel/ab/', lpad({_b62('greatest(0, p_partkey * 7919 - 7919)')}, CAST(length(code) AS INTEGER), '0'), '.html') END AS back, "
     f"'novel' AS category, 'ab' AS shard, code AS id, CAST(p_partkey * 7919 AS BIGINT) AS id_num, false AS parse_error, array_to_string(list_transform(range(2, p_size % 4 + 2), lambda i: concat({_STEM}, '_', i, '.html')), ' ') AS pages, p_partkey % 2 = 0 OR p_size % 4 = 0 AS valid FROM c"
 )
 def url_ids(spark: SparkSession, sf: str) -> DataFrame:
