@@ -49,9 +49,6 @@ def record_places(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-_COS = "row_id % 1999 / 1999.0"
-
-
 @query(
     f"WITH {RECORDS_SQL}, c AS (SELECT *, row_id % 1999 / 1999.0::DOUBLE AS cos, CAST(least(100, greatest(0, round_even(row_id % 1999 / 1999.0::DOUBLE * 100, 0))) AS INTEGER) AS sim FROM records) SELECT row_id, array_to_string(tags[1:8], '|') AS tags, left(synopsis, 260) AS synopsis, round(round_even(cos, 4), 4) AS cosine, sim AS similarity, "
     "concat_ws(' ', printf('%2d.', row_id % 100), printf('%3d%%', sim), CASE WHEN row_id % 2 = 0 THEN '[full]' ELSE '[meta]' END, title, author, status, replace(left(synopsis, 110), chr(10), ' ')) AS line FROM c"
