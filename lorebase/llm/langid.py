@@ -92,13 +92,21 @@ def fit(labels: list[str], rows: list[tuple[np.ndarray, np.ndarray]], sizes: lis
     for at, _ in rows:
         df[at] += 1
     idf = np.log((1 + len(rows)) / (1 + df)) + 1
-    dense = np.zeros((len(rows), dim), np.float32)
-    for i, (at, c) in enumerate(rows):
-        w = (1 + np.log(c)) * idf[at]
-        dense[i, at] = w / max(float(np.sqrt(w @ w)), 1e-12)
-    names = np.array(labels)
-    centroids = np.concatenate([_k_means(dense[names == lang], CENTROIDS) for lang in langs]).T.astype(np.float32)
-    best = (dense @ centroids).max(axis=1)
+    own_rows = [np.flatnonzero(np.array(labels) == lang) for lang in langs]
+
+    def dense(which: np.ndarray) -> np.ndarray:
+        """The vectors of one language's rows; only these are held at a time, PER_LANG * 2^DIM_BITS floats at most."""
+        out = np.zeros((len(which), dim), np.float32)
+        for i, r in enumerate(which.tolist()):
+            at, c = rows[r]
+            w = (1 + np.log(c)) * idf[at]
+            out[i, at] = w / max(float(np.sqrt(w @ w)), 1e-12)
+        return out
+
+    centroids = np.concatenate([_k_means(dense(which), CENTROIDS) for which in own_rows]).T.astype(np.float32)
+    best = np.zeros(len(rows), np.float32)
+    for which in own_rows:
+        best[which] = (dense(which) @ centroids).max(axis=1)
     of = size_class(np.array(sizes))
     own = [best[of == i] for i in range(len(EDGES))]
     limits = tuple(LIMIT_SHARE * float(np.quantile(b, LIMIT_QUANTILE)) if len(b) >= MIN_SAMPLES else 0.0 for b in own)
