@@ -40,7 +40,7 @@ from .common import map_arrow, text_bytes
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
-CACHE, PAIRS, ROWS = 600_000, 200_000, 250
+CACHE, PAIRS, ROWS = 300_000, 80_000, 250
 #: Kinds of models and pieces in the file format.
 UNIGRAM, BPE = 1, 2
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
