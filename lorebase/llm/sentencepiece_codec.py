@@ -40,7 +40,8 @@ from .common import map_arrow, text_bytes
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
-CACHE, PAIRS, ROWS = 300_000, 80_000, 250
+#: Words that a worker keeps (about 200 bytes each, and a third as many pairs of pieces); texts cut at a time.
+CACHE, ROWS = 600_000, 250
 #: Kinds of models and pieces in the file format.
 UNIGRAM, BPE = 1, 2
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
@@ -85,7 +86,7 @@ def parse_model(raw: bytes) -> tuple[list[tuple[str, float, int]], int]:
 
 class Codec:
     def __init__(self, pieces: list[tuple[str, float, int]], kind: int):
-        self.kind = kind
+        self.kind, self.cache = kind, CACHE
         self.score = {p: s for p, s, t in pieces if t in (NORMAL, USER)}
         self.id = {p: i for i, (p, _, t) in enumerate(pieces) if t in (NORMAL, USER)}
         self.unknown = next((i for i, p in enumerate(pieces) if p[2] == UNKNOWN), 0)
@@ -172,7 +173,7 @@ class Codec:
         pair = before, piece
         ok = self.beside.get(pair)
         if ok is None:
-            if len(self.beside) > PAIRS:
+            if len(self.beside) > self.cache // 3:
                 self.beside.clear()
             ok = self._halves(piece) is not None
             if ok and before:
@@ -271,7 +272,7 @@ class Codec:
 
         A full cache keeps the words that are met again, which frequent ones are in every batch.
         """
-        if len(self.place) > CACHE:
+        if len(self.place) > self.cache:
             kept, flat, start, exact = [w for w in words if w in self.place], self.flat, self.start, self.exact
             self.flat, self.start, self.exact = array("i"), array("i", [0]), bytearray()
             for i in map(self.place.__getitem__, kept):
@@ -351,14 +352,18 @@ def codec_of(held: dict) -> Codec:
     return held["codec"]
 
 
-def encode(docs: DataFrame, model: str = MODEL, text_col: str = "text") -> DataFrame:
-    """docs with ids array<int>, and round_trip: whether decoding gives the text back; columns so named are replaced."""
+def encode(docs: DataFrame, model: str = MODEL, text_col: str = "text", cache: int = CACHE) -> DataFrame:
+    """docs with ids array<int>, and round_trip: whether decoding gives the text back; columns so named are replaced.
+
+    cache: the words that a worker keeps; fewer cost time, not results.
+    """
     keep = [c for c in docs.columns if c not in ("ids", "round_trip")]
     shared = docs.sparkSession.sparkContext.broadcast(load(model))
     rows = docs.select(F.struct(*keep).alias("row"), text_bytes(text_col).alias("bytes"))
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = codec_of(shared.value)
+        codec.cache = cache
         for b in chain.from_iterable((big.slice(i, ROWS) for i in range(0, big.num_rows, ROWS)) for big in it):
             texts = [None if t is None else t.decode("utf-8", "replace") for t in b.column(1).to_pylist()]
             ids, same = codec.encode_batch(texts)
