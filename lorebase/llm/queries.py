@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import corpus_pipeline
 
-from . import decontaminate, langid, line_dedup, ngram_join, pii, quality, secrets, sentencepiece_codec, sharding, warc
+from . import decontaminate, fill_in_middle, langid, line_dedup, ngram_join, pii, quality, secrets, sentencepiece_codec, sharding, spelling, substring_dedup, warc
 
 QUERIES = {
     "op1_ngram_jaccard_join": ngram_join.query,
@@ -17,6 +17,9 @@ QUERIES = {
     "op8_line_dedup": line_dedup.query,
     "op9_quality_rules": quality.query,
     "op10_decontamination": decontaminate.query,
+    "op11_substring_dedup": substring_dedup.query,
+    "op12_fill_in_middle": fill_in_middle.query,
+    "op13_spelling_variants": spelling.query,
     "pipeline": corpus_pipeline.run,
 }
 
@@ -26,4 +29,7 @@ SQL = {
     "op5_warc": warc.ORACLE,
     "op8_line_dedup": line_dedup.ORACLE,
     "op9_quality_rules": quality.ORACLE,
+    "op11_substring_dedup": substring_dedup.ORACLE,
+    "op12_fill_in_middle": fill_in_middle.ORACLE,
+    "op13_spelling_variants": spelling.ORACLE,
 }
