@@ -17,6 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 from xxhash import xxh3_64_intdigest
 
 from lorebase.scratch import scratch_dir
@@ -65,7 +66,7 @@ def save(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def map_arrow(df: DataFrame, f: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+def map_arrow(df: DataFrame, f: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str | StructType) -> DataFrame:
     """f over the batches of each partition; workers serve later stages too, so memory is given back at the end."""
     configure(df.sparkSession)
 
@@ -210,6 +211,11 @@ def fresh(name: str, columns: list[str]) -> str:
     return name
 
 
+def quoted(columns: list[str]) -> list[Column]:
+    """The columns of these names, whatever dots and quotes they hold."""
+    return [F.col("`" + c.replace("`", "``") + "`") for c in columns]
+
+
 def split_by(values: np.ndarray, owner: np.ndarray, n: int) -> list[np.ndarray]:
     """values of owners 0 to n - 1, in order."""
     return np.split(values, np.searchsorted(owner, np.arange(1, n))) if n else []

@@ -25,7 +25,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import configure, fresh
+from .common import configure, fresh, quoted
 
 PATTERN = "[A-Za-z]+|[^A-Za-z]"
 MARKS = ("<P>", "<S>", "<M>")
@@ -75,7 +75,7 @@ RESULTS = ("n", "form", "prefix_chars", "middle_chars", "output")
 def transform(docs: DataFrame, id_col: str = "doc_id", seed: int = 1) -> DataFrame:
     """docs with n (long), form, prefix_chars, middle_chars (long, null if plain) and output."""
     configure(docs.sparkSession)
-    keep = [c for c in docs.columns if c.lower() not in RESULTS]
+    keep = quoted([c for c in docs.columns if c.lower() not in RESULTS])
     whole, draw, cut = (fresh(c, [*docs.columns, *RESULTS]) for c in ("_text", "_draw", "_cut"))
     text, hex_ = F.col(whole), F.sha2(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(id_col).cast("string"), F.lit(""))), 256)
     h = [F.conv(F.substring(F.col(draw), 1 + 8 * i, 8), 16, 10).cast("long") for i in range(4)]

@@ -36,9 +36,10 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from xxhash import xxh3_64_intdigest
 
-from .common import batch, distinct, fresh, gather, hash_texts, map_arrow, mix, save, text_bytes
+from .common import batch, distinct, fresh, gather, hash_texts, map_arrow, mix, quoted, save, text_bytes
 
 #: Words of a window.
 WIDTH = 20
@@ -317,7 +318,7 @@ def repeated_windows(docs: DataFrame, size: int, width: int = WIDTH) -> DataFram
     return save(dealt.groupBy("grp").applyInArrow(_subtrees(width), "doc long, tag long, marks binary"), "marks")
 
 
-def _covered(packed: list[bytes] | None, width: int, n: int) -> list[tuple[int, int]]:
+def _covered(packed: list[bytes] | None, width: int) -> list[tuple[int, int]]:
     """Spans of words, from and to, that marked windows cover; overlapping and touching ones are one."""
     marks = _unpack(packed or [], MARK)
     starts = [marks["at"][bit] - d for d in range(width) if len(bit := np.flatnonzero(marks["mask"] >> np.uint64(d) & np.uint64(1)))]
@@ -329,23 +330,21 @@ def _covered(packed: list[bytes] | None, width: int, n: int) -> list[tuple[int,
 
 
 def _apply(width: int):
-    """(row, n_words, n_removed, kept, spans) of (doc, tag, text, marks) with the other columns passed on."""
+    """row, n_words, n_removed, kept and spans of (row, text, marks)."""
     span = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in it:
-            n = b.num_columns - 2
             counts, gone, kept, spans = [], [], [], []
-            for text, packed in zip(b.column(n).to_pylist(), b.column(n + 1).to_pylist(), strict=True):
+            for text, packed in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
                 words = (text or b"").split()
-                cut = _covered(packed, width, len(words))
+                cut = _covered(packed, width)
                 stays = bytearray(b"\x01") * len(words)
                 for from_, to in cut:
                     stays[from_:to] = bytes(to - from_)
                 counts.append(len(words)), gone.append(sum(to - from_ for from_, to in cut))
                 kept.append(b" ".join(compress(words, stays))), spans.append([{"start": f, "end": t} for f, t in cut])
-            columns = [pa.array(counts, pa.int64()), pa.array(gone, pa.int64()), pa.array(kept, pa.binary()), pa.array(spans, span)]
-            yield pa.RecordBatch.from_arrays([*b.columns[:n], *columns], names=[*b.schema.names[:n], "n_words", "n_removed", "kept", "spans"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(counts, pa.int64()), pa.array(gone, pa.int64()), pa.array(kept, pa.binary()), pa.array(spans, span)], names=["row", "n_words", "n_removed", "kept", "spans"])
 
     return run
 
@@ -367,15 +366,17 @@ def remove_repeats(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     tag = F.xxhash64("text") if tagged else F.lit(0).cast("long")
     marks = repeated_windows(rows.select(id_.alias("doc"), tag.alias("tag"), text_bytes("text").alias("text")), facts[1] or 0, width)
     by_row = marks.groupBy("doc", "tag").agg(F.collect_list("marks").alias("marks"))
-    doc, of, found, bytes_, salt = (fresh(c, docs.columns) for c in ("_doc", "_tag", "_marks", "_bytes", "_salt"))
+    doc, of, found, salt = (fresh(c, docs.columns) for c in ("_doc", "_tag", "_marks", "_salt"))
     # rows with a null doc_id match nothing; a salt keeps them from one task
     spread = F.when(F.col("doc_id").isNull(), F.xxhash64("text")).otherwise(tag)
     side = by_row.select(F.col("doc").alias(doc), F.col("tag").alias(of), F.col("marks").alias(found))
-    both = docs.select(*keep, spread.alias(salt)).join(side.hint("shuffle_hash"), (id_ == F.col(doc)) & (F.col(salt) == F.col(of)), "left")
-    given = both.select(*keep, text_bytes("text").alias(bytes_), found)
-    kinds = ", ".join(f"`{f.name.replace('`', '``')}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema)
-    out = map_arrow(given, _apply(width), f"{kinds}, n_words long, n_removed long, kept binary, spans array<struct<start: long, end: long>>")
-    return out.withColumn("kept", F.col("kept").cast("string"))
+    columns = quoted(keep)
+    both = docs.select(*columns, spread.alias(salt)).join(side.hint("shuffle_hash"), (id_ == F.col(doc)) & (F.col(salt) == F.col(of)), "left")
+    given = both.select(F.struct(*columns).alias("row"), text_bytes("text").alias("text"), F.col(found).alias("marks"))
+    results = "n_words long, n_removed long, kept binary, spans array<struct<start: long, end: long>>"
+    schema = T.StructType([given.schema["row"], *T.StructType.fromDDL(results).fields])
+    out = map_arrow(given, _apply(width), schema)
+    return out.select("row.*", "n_words", "n_removed", F.col("kept").cast("string").alias("kept"), "spans")
 
 
 ORACLE = """
