@@ -1,4 +1,4 @@
-"""Link graph (G1-G11): boundaries, chains by pointer jumping, merged display chains, crawl frontier, gaps.
+"""Link graph (G1-G11): boundaries, chains by pointer jumping, merged display chains, reach over both kinds of links, gaps.
 
 Chains double their reach in every round, so a chain of n nodes takes about log2 n joins; each round's table is
 checkpointed, so lineage and plans don't grow. Only flags are read on the driver.
@@ -138,24 +138,37 @@ def chain_counters(strict: DataFrame) -> DataFrame:
 
 
 def frontier(nodes: DataFrame, seeds: DataFrame, depth: int = REC_DEPTH) -> DataFrame:
-    """(url, level, via) reached from seeds(url): a level is one pass over the frontier.
+    """(url, depth, via) of all that seeds(url) lead to: a chain link costs nothing and starts anew at 0, a recommendation 1.
 
-    prev and next links cost no depth and restart it; recommendations go `depth` deep. A url is taken once, by a chain
-    link where one reaches it in the same level.
+    A url counts with its least depth, so a cheaper way opens again what a dearer one has reached, and the order in which
+    urls are met changes nothing. Recommendations go `depth` deep. via: seed, chain (by a link) or rec.
+
+    Nodes whose prev and next links answer each other reach one another at no cost: they are contracted to groups by
+    pointer jumping first, so a long chain is one step. Rounds are as many as groups on the longest way; each joins
+    only the groups whose depth fell with their edges. Urls without a row of their own are reached and lead nowhere.
     """
-    links = nodes.select("url", F.explode(F.array_compact(F.array("prev_url", "next_url"))).alias("to")).withColumn("chain", F.lit(True))
-    recs = nodes.select("url", F.explode("rec_urls").alias("to")).withColumn("chain", F.lit(False))
-    edges = _cut(links.unionByName(recs).distinct())
-    seen = _cut(seeds.select("url").distinct().withColumn("level", F.lit(0)).withColumn("depth", F.lit(0)).withColumn("via", F.lit("seed")))
-    front, level = seen, 0
-    while True:
-        level += 1
-        step = front.join(edges, "url").select(F.col("to").alias("url"), F.when(F.col("chain"), 0).otherwise(F.col("depth") + 1).alias("depth"), F.when(F.col("chain"), "chain").otherwise("rec").alias("via")).where(F.col("depth") <= depth)
-        best = step.groupBy("url").agg(F.min(F.struct("via", "depth")).alias("b")).select("url", F.lit(level).alias("level"), "b.depth", "b.via")
-        front = _cut(best.join(seen.select("url"), "url", "left_anti"))
-        if front.limit(1).isEmpty():
-            return seen.select("url", "level", "via")
-        seen = _cut(seen.unionByName(front.select(*seen.columns)))
+    links = F.array_compact(F.array("prev_url", "next_url"))
+    plain = nodes.select("url", "prev_url", "next_url", F.lit("ok").alias("fetch_status"), F.lit(None).cast("string").alias("upload_date"))
+    members = chain_members(plain).select("url", F.col("root").alias("group"))
+    linked = members.groupBy("group").agg((F.count("*") > 1).alias("linked"))
+    members = _cut(members.join(linked, "group"))
+    steps = nodes.select("url", F.explode(links).alias("to")).withColumn("chain", F.lit(True))
+    steps = steps.unionByName(nodes.select("url", F.explode("rec_urls").alias("to")).withColumn("chain", F.lit(False)))
+    place = members.select(F.col("url").alias("to"), F.col("group").alias("to_group"), "linked")
+    edges = steps.where(F.col("to").cast("string") != "").join(members.select("url", "group"), "url").join(place, "to", "left").select("group", F.coalesce("to_group", "to").alias("to"), F.coalesce("linked", F.lit(False)).alias("linked"), "chain")
+    # within a group nothing is to be gained, but a node that names itself is reached by a link
+    edges = _cut(edges.where((F.col("group") != F.col("to")) | (F.col("chain") & ~F.col("linked"))).groupBy("group", "to", "linked").agg(F.bool_or("chain").alias("chain")))
+    start = seeds.select("url").distinct()
+    front = seen = _cut(start.join(members.select("url", "group"), "url", "left").select(F.coalesce("group", "url").alias("group")).distinct().withColumn("depth", F.lit(0)))
+    while not front.isEmpty():
+        step = front.join(edges, "group").withColumn("deep", F.when(F.col("chain"), 0).otherwise(F.col("depth") + 1)).where(F.col("deep") <= depth)
+        best = step.groupBy(F.col("to").alias("group")).agg(F.min(F.when(F.col("linked"), 0).otherwise(F.col("deep"))).alias("depth"))
+        known = seen.select("group", F.col("depth").alias("old"))
+        front = _cut(best.join(known, "group", "left").where("old is null or depth < old").select("group", "depth"))
+        seen = _cut(seen.join(front.select("group"), "group", "left_anti").unionByName(front))
+    rows = seen.join(members.select("url", "group"), "group", "left").select(F.coalesce("url", "group").alias("url"), "depth")
+    rows = rows.join(start.withColumn("seed", F.lit(True)), "url", "left")
+    return rows.select("url", "depth", F.when(F.col("seed"), "seed").when(F.col("depth") == 0, "chain").otherwise("rec").alias("via"))
 
 
 def probed_pages(pages: DataFrame, stop: int = PROBE_STOP, key: str = "url") -> DataFrame:

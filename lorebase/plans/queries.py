@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lorebase.functions import html, scalars, text, urls
+from lorebase.functions.constants import REC_DEPTH
 from lorebase.operators import graph, rank, reports, resolve, store, user
 from lorebase.operators.filters import Filters, parse_list
 from lorebase.streaming import streams
@@ -387,8 +388,13 @@ def chain_counters(spark: SparkSession, sf: str) -> DataFrame:
     return graph.chain_counters(graph.chains(order_graph(spark, sf)))
 
 
-@query()
+@query(
+    f"WITH RECURSIVE {GRAPH_SQL}, e AS (SELECT url, prev_url AS goal, true AS chain FROM graph WHERE prev_url IS NOT NULL UNION ALL SELECT url, next_url, true FROM graph WHERE next_url IS NOT NULL UNION ALL SELECT url, url * 2 % 997, false FROM graph WHERE url % 3 = 0), "
+    f"r AS (SELECT url, 0 AS depth FROM graph WHERE url % 500 = 1 UNION SELECT e.goal, CASE WHEN e.chain THEN 0 ELSE r.depth + 1 END FROM r JOIN e ON e.url = r.url WHERE e.chain OR r.depth + 1 <= {REC_DEPTH}) "
+    "SELECT url, CAST(min(depth) AS INTEGER) AS depth, CASE WHEN url % 500 = 1 AND url IN (SELECT url FROM graph) THEN 'seed' WHEN min(depth) = 0 THEN 'chain' ELSE 'rec' END AS via FROM r GROUP BY url"
+)
 def bfs_frontier(spark: SparkSession, sf: str) -> DataFrame:
+    """What every 500th order leads to, by its neighbours and one recommended order of each third one."""
     g = order_graph(spark, sf).withColumn("rec_urls", F.when(F.col("url") % 3 == 0, F.array((F.col("url") * 2) % 997)).otherwise(F.array().cast("array<bigint>")))
     return graph.frontier(g, g.where("url % 500 = 1").select("url"))
 

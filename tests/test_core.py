@@ -236,13 +236,59 @@ def reports_text(c):
     return reports.chain_table(c)
 
 
+def brute_reach(rows, seeds, limit):
+    """Least depths by relaxing every link until nothing falls."""
+    held, depth = {r[0]: r for r in rows}, dict.fromkeys(seeds, 0)
+    todo = list(seeds)
+    while todo:
+        url = todo.pop()
+        _, prev, nxt, recs = held.get(url, (url, None, None, []))
+        for to, d in [*((u, 0) for u in (prev, nxt) if u), *((u, depth[url] + 1) for u in recs)]:
+            if d <= limit and d < depth.get(to, limit + 1):
+                depth[to] = d
+                todo.append(to)
+    return {u: (d, "seed" if u in seeds else "rec" if d else "chain") for u, d in depth.items()}
+
+
+WEB = "url string, prev_url string, next_url string, rec_urls array<string>"
+
+
+def test_frontier_takes_the_cheaper_way(spark):
+    # the long way by links reaches Y at depth 1, the short one by recommendations at 2
+    links = {"A": (None, "B", ["R"]), "B": ("A", "C", []), "C": ("B", None, ["Y"]), "R": (None, None, ["Y"]), "Y": (None, None, ["Z1"]), "Z1": (None, None, ["Z2"]), "Z2": (None, None, ["Z3"]), "Z3": (None, None, [])}
+    web = spark.createDataFrame([(u, *x) for u, x in links.items()], WEB)
+    got = {r.url: r.depth for r in graph.frontier(web, spark.createDataFrame([("A",)], "url string"), 4).collect()}
+    assert got == {"A": 0, "B": 0, "C": 0, "R": 1, "Y": 1, "Z1": 2, "Z2": 3, "Z3": 4}
+    assert graph.frontier(web, spark.createDataFrame([], "url string"), 4).collect() == []
+
+
+def test_frontier_equals_relaxation_on_random_graphs(spark):
+    # 200 graphs side by side: links that answer each other, links that don't, rings, self-links, unknown urls
+    rng = random.Random(11)
+    rows, seeds = [], []
+    for g in range(200):
+        names = [f"{g}:{i}" for i in range(rng.randrange(3, 14))]
+        prev, nxt = dict.fromkeys(names), dict.fromkeys(names)
+        for a, b in zip(names, names[1:] + names[:1], strict=True):
+            if rng.random() < 0.5:
+                nxt[a], prev[b] = b, a
+        for n in names:
+            if rng.random() < 0.2:
+                (prev if rng.random() < 0.5 else nxt)[n] = rng.choice([*names, f"{g}:gone", ""])
+        rows += [(n, prev[n], nxt[n], [rng.choice(names) for _ in range(rng.choice([0, 0, 1, 1, 2]))]) for n in names]
+        seeds.append(rng.choice(names))
+    for limit in (1, 3):
+        got = graph.frontier(spark.createDataFrame(rows, WEB), spark.createDataFrame([(s,) for s in seeds], "url string"), limit)
+        assert {r.url: (r.depth, r.via) for r in got.collect()} == brute_reach(rows, seeds, limit)
+
+
 def test_long_chain_and_frontier(spark):
     n = 70
     g = nodes(spark, [(f"{i:03}", "1", "ok", f"{i - 1:03}" if i else None, f"{i + 1:03}" if i < n - 1 else None) for i in range(n)])
     assert [len(r.urls) for r in graph.chains(g).collect()] == [n]
     web = spark.createDataFrame([("s", None, None, ["r1"]), ("r1", None, None, ["r2"]), ("r2", None, "c1", ["r3"]), ("c1", "r2", None, ["e1"]), ("e1", None, None, ["e2"]), ("e2", None, None, [])], "url string, prev_url string, next_url string, rec_urls array<string>")
     seed = spark.createDataFrame([("s",)], "url string")
-    assert {r.url: r.level for r in graph.frontier(web, seed, 2).collect()} == {"s": 0, "r1": 1, "r2": 2, "c1": 3, "e1": 4, "e2": 5}
+    assert {r.url: (r.depth, r.via) for r in graph.frontier(web, seed, 2).collect()} == {"s": (0, "seed"), "r1": (1, "rec"), "r2": (0, "chain"), "c1": (0, "chain"), "r3": (1, "rec"), "e1": (1, "rec"), "e2": (2, "rec")}
     assert {r.url for r in graph.frontier(web, seed, 1).collect()} == {"s", "r1"}
     pages = spark.createDataFrame([("u", i) for i in (2, 3, 7, 8, 13)] + [("v", 7)], "url string, page_no int")
     assert sorted((r.url, r.page_no) for r in graph.probed_pages(pages).collect()) == [("u", 2), ("u", 3), ("u", 7), ("u", 8)]
