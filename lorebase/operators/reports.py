@@ -61,16 +61,41 @@ def size_by_month(files: DataFrame) -> DataFrame:
     return files.groupBy("month").agg(F.count("*").alias("files"), F.sum("bytes").alias("bytes"))
 
 
-def burst_stats(requests: DataFrame) -> DataFrame:
-    """Per burst: counts by verdict, mean latency, whether nothing was refused."""
-    verdicts = ("ok", "rate_limited", "challenged", "not_found", "error")
-    return requests.groupBy("burst").agg(F.count("*").alias("n"), *[F.count_if(F.col("verdict") == v).alias(v) for v in verdicts], F.avg("latency").alias("mean_latency"), (F.count_if(F.col("verdict").isin("rate_limited", "challenged")) == 0).alias("clean"))
+#: Answers that end a burst at once, and those that keep it from being clean.
+BLOCKED, TROUBLE = ("rate_limited", "challenged"), ("rate_limited", "challenged", "error")
+#: Seconds between requests, at least, where all bursts were clean, where some were, and where none was.
+SAFE, BACKED_OFF, GIVEN_UP = 1.0, 2.0, 5.0
+
+
+def until_blocked(requests: DataFrame) -> DataFrame:
+    """requests(burst, seq, verdict) up to the first of their burst that was blocked, that one included."""
+    ends = requests.where(F.col("verdict").isin(*BLOCKED)).groupBy("burst").agg(F.min("seq").alias("_end"))
+    return requests.join(ends, "burst", "left").where("_end is null or seq <= _end").drop("_end")
 
 
-def recommended_delay(bursts: DataFrame) -> DataFrame:
-    """The last clean burst before the first refused one, by delay from long to short."""
-    bad = bursts.where("not clean").agg(F.max("delay").alias("bad"))
-    return bursts.where("clean").crossJoin(F.broadcast(bad)).where("bad is null or delay > bad").agg(F.min("delay").alias("delay"))  # one row
+def burst_stats(requests: DataFrame) -> DataFrame:
+    """Per burst, of requests(burst, seq, verdict, latency): counts by verdict, mean latency, whether it was cut short, whether it was clean.
+
+    A burst ends at its first blocked request; clean is one without blocked requests and errors.
+    """
+    verdicts = ("ok", "rate_limited", "challenged", "not_found", "error")
+    any_of = lambda names: F.count_if(F.col("verdict").isin(*names)) > 0
+    return until_blocked(requests).groupBy("burst").agg(F.count("*").alias("n"), *[F.count_if(F.col("verdict") == v).alias(v) for v in verdicts], F.avg("latency").alias("mean_latency"), any_of(BLOCKED).alias("aborted"), (~any_of(TROUBLE)).alias("clean"))
+
+
+def recommended_delay(bursts: DataFrame, *by: str) -> DataFrame:
+    """delay: seconds between requests by bursts(step, delay, clean), which are tried in order until one isn't clean.
+
+    All clean: the last one's delay, 1 s at least. Else twice that of the last clean one, 2 s at least; 5 s without one.
+    One row, or one for each ramp named by the columns `by`.
+    """
+    first_bad = F.min(F.when(~F.col("clean"), F.col("step"))).alias("bad")
+    tried = bursts.groupBy(*by).agg(first_bad)
+    both = bursts.join(tried, list(by)) if by else bursts.crossJoin(F.broadcast(tried))  # one row
+    counts = F.col("clean") & (F.col("bad").isNull() | (F.col("step") < F.col("bad")))
+    found = both.groupBy(*by).agg(F.max_by(F.when(counts, F.col("delay")), F.when(counts, F.col("step"))).alias("last"), F.max("bad").alias("bad"))
+    delay = F.when(F.col("last").isNull(), GIVEN_UP).when(F.col("bad").isNull(), F.greatest("last", F.lit(SAFE))).otherwise(F.greatest(F.col("last") * 2, F.lit(BACKED_OFF)))
+    return found.select(*by, delay.cast("double").alias("delay"))
 
 
 def sum_stats(parts: DataFrame, *names: str) -> DataFrame:

@@ -371,14 +371,17 @@ def token_counts(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "conversations").select("conv_id", "turn", F.size(text.plain_tokens(F.col("text"))).alias("tokens"), text.to_simplified(F.col("text"), {"a": "A", "b": "B", "c": "C"}).alias("simple"))
 
 
-@query("WITH b AS (SELECT event_id % 24 AS burst, count(*) AS n, count_if(event_type IN ('error')) AS refused FROM events GROUP BY 1), d AS (SELECT 240 - 10 * burst AS delay, refused = 0 OR burst < 5 AS clean FROM b) SELECT min(delay) AS delay FROM d, (SELECT max(CASE WHEN NOT clean THEN delay END) AS bad FROM d) WHERE clean AND (bad IS NULL OR delay > bad)")
+@query(
+    "WITH b AS (SELECT o_orderpriority AS ramp, CAST(substr(strftime(o_orderdate, '%Y%m'), 1, 6) AS INTEGER) AS step, bool_and(o_orderstatus <> 'P') AS clean FROM orders GROUP BY 1, 2), "
+    "d AS (SELECT ramp, step, (199900 - step) / 100.0 AS delay, clean FROM b), s AS (SELECT ramp, min(step) FILTER (WHERE NOT clean) AS bad FROM d GROUP BY 1), "
+    "l AS (SELECT s.ramp, s.bad, arg_max(d.delay, d.step) FILTER (WHERE d.clean AND (s.bad IS NULL OR d.step < s.bad)) AS last FROM s JOIN d USING (ramp) GROUP BY 1, 2) "
+    "SELECT ramp, CAST(CASE WHEN last IS NULL THEN 5 WHEN bad IS NULL THEN greatest(last, 1) ELSE greatest(2 * last, 2) END AS DOUBLE) AS delay FROM l"
+)
 def request_delay(spark: SparkSession, sf: str) -> DataFrame:
-    """The shortest delay before the first burst that was refused."""
-    e = table(spark, sf, "events").groupBy((F.col("event_id") % 24).alias("burst")).agg(F.count_if(F.col("event_type") == "error").alias("refused"))
-    return reports.recommended_delay(e.select((240 - 10 * F.col("burst")).alias("delay"), ((F.col("refused") == 0) | (F.col("burst") < 5)).alias("clean")))
-
-
-# --- pinyin, speech, lines ---
+    """A ramp for each priority: months of orders as bursts, one with an order in part is not clean."""
+    step = F.date_format("o_orderdate", "yyyyMM").cast("int")
+    b = table(spark, sf, "orders").groupBy(F.col("o_orderpriority").alias("ramp"), step.alias("step")).agg(F.bool_and(F.col("o_orderstatus") != "P").alias("clean"))
+    return reports.recommended_delay(b.withColumn("delay", (F.lit(199900) - F.col("step")) / 100.0), "ramp")
 
 
 @query("SELECT event_id, CASE event_id % 6 WHEN 0 THEN 'mā lǜ' WHEN 1 THEN 'xué gǒu' WHEN 2 THEN 'de x' WHEN 3 THEN 'lu:4 hǎo' WHEN 4 THEN 'nüè liù' ELSE 'guī huí' END AS marked FROM events")
@@ -529,11 +532,6 @@ def url_lists(spark: SparkSession, sf: str) -> DataFrame:
     return readers.url_list(spark, path)
 
 
-@query("SELECT event_type AS outcome, count(*) AS n FROM events GROUP BY 1")
-def outcome_counts(spark: SparkSession, sf: str) -> DataFrame:
-    return reports.outcome_counts(table(spark, sf, "events").select(F.col("event_type").alias("outcome")))
-
-
 @query("SELECT CAST(sum(user_id) AS BIGINT) AS a, CAST(sum(event_id) AS BIGINT) AS b FROM events")
 def stats_sum(spark: SparkSession, sf: str) -> DataFrame:
     return reports.sum_stats(table(spark, sf, "events").select(F.col("user_id").alias("a"), F.col("event_id").alias("b")), "a", "b")

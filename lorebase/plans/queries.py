@@ -151,11 +151,18 @@ def size_summary(spark: SparkSession, sf: str) -> DataFrame:
     return reports.size_summary(f).withColumn("average", F.round("average", 6))
 
 
-@query("SELECT user_id % 10 AS burst, count(*) AS n, count(*) FILTER (WHERE event_type = 'view') AS ok, count(*) FILTER (WHERE event_type = 'click') AS rate_limited, count(*) FILTER (WHERE event_type = 'error') AS error, round(avg(value), 6) AS mean_latency, count(*) FILTER (WHERE event_type = 'click') = 0 AS clean FROM events GROUP BY 1")
+@query(
+    "WITH v AS (SELECT user_id // 7 AS burst, event_id AS seq, CASE WHEN event_type = 'click' AND event_id % 5 = 0 THEN 'rate_limited' WHEN event_type = 'view' AND event_id % 23 = 0 THEN 'challenged' WHEN event_type = 'error' AND event_id % 11 = 0 THEN 'error' ELSE 'ok' END AS verdict, value FROM events), "
+    "e AS (SELECT burst, min(seq) AS stop FROM v WHERE verdict IN ('rate_limited', 'challenged') GROUP BY 1), c AS (SELECT v.* FROM v LEFT JOIN e USING (burst) WHERE stop IS NULL OR seq <= stop) "
+    "SELECT burst, count(*) AS n, count_if(verdict = 'ok') AS ok, count_if(verdict = 'rate_limited') AS rate_limited, count_if(verdict = 'challenged') AS challenged, count_if(verdict = 'error') AS error, round(avg(value), 6) AS mean_latency, "
+    "bool_or(verdict IN ('rate_limited', 'challenged')) AS aborted, bool_and(verdict NOT IN ('rate_limited', 'challenged', 'error')) AS clean FROM c GROUP BY 1"
+)
 def burst_stats(spark: SparkSession, sf: str) -> DataFrame:
-    verdict = F.when(F.col("event_type") == "view", "ok").when(F.col("event_type") == "click", "rate_limited").when(F.col("event_type") == "error", "error").otherwise("other")
-    e = table(spark, sf, "events").select((F.col("user_id") % 10).alias("burst"), verdict.alias("verdict"), F.col("value").alias("latency"))
-    return reports.burst_stats(e).select("burst", "n", "ok", "rate_limited", "error", F.round("mean_latency", 6).alias("mean_latency"), "clean")
+    """Bursts of seven users' events: most are cut short, some are not."""
+    kind, i = F.col("event_type"), F.col("event_id")
+    verdict = F.when((kind == "click") & (i % 5 == 0), "rate_limited").when((kind == "view") & (i % 23 == 0), "challenged").when((kind == "error") & (i % 11 == 0), "error").otherwise("ok")
+    e = table(spark, sf, "events").select(F.floor(F.col("user_id") / 7).alias("burst"), i.alias("seq"), verdict.alias("verdict"), F.col("value").alias("latency"))
+    return reports.burst_stats(e).select("burst", "n", "ok", "rate_limited", "challenged", "error", F.round("mean_latency", 6).alias("mean_latency"), "aborted", "clean")
 
 
 @query("SELECT event_type AS outcome, count(*) AS n FROM events GROUP BY 1")

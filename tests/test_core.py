@@ -534,8 +534,12 @@ def test_reports(spark):
     assert tuple(reports.catalogue_report(cats, cat, meta).where("category = 'gl'").first()) == ("gl", 0, 3, 2, 1, 2, 1)
     bad = spark.createDataFrame([("gl", "[页面获取失败: a] [页面获取失败: b]"), ("gl", "fine")], "category string, text string")
     assert {x.category: (x.novels, x.failed_pages) for x in reports.incomplete_report(cats, bad).collect()} == {"gl": (1, 2), "none": (0, 0), "TOTAL": (1, 2)}
-    bursts = spark.createDataFrame([(1.0, True), (0.5, True), (0.2, False), (0.1, True)], "delay double, clean boolean")
-    assert reports.recommended_delay(bursts).first().delay == 0.5
+    ramp = lambda *rows: reports.recommended_delay(spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "step int, delay double, clean boolean")).first().delay
+    assert ramp((3.0, True), (1.5, True), (0.2, False), (0.1, True)) == 3.0 and ramp((2.0, True), (0.5, True), (0.2, False)) == 2.0
+    assert ramp((2.0, True), (0.1, True)) == 1.0 and ramp((3.0, True), (2.5, True)) == 2.5 and ramp((1.0, False), (0.5, True)) == 5.0 and ramp() == 5.0
+    asked = [(1, i, v, 1.0) for i, v in enumerate(["ok", "error", "ok"])] + [(2, i, v, float(i)) for i, v in enumerate(["ok", "not_found", "challenged", "ok", "rate_limited"])] + [(3, 0, "not_found", 1.0)]
+    bursts = {r.burst: (r.n, r.ok, r.challenged, r.rate_limited, r.error, r.mean_latency, r.aborted, r.clean) for r in reports.burst_stats(spark.createDataFrame(asked, "burst int, seq int, verdict string, latency double")).collect()}
+    assert bursts == {1: (3, 2, 0, 0, 1, 1.0, False, False), 2: (3, 1, 1, 0, 0, 1.0, True, False), 3: (1, 0, 0, 0, 0, 1.0, False, True)}
 
 
 # --- reader state ---
