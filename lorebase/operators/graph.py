@@ -10,14 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lorebase.functions.constants import PROBE_STOP, REC_DEPTH
-from lorebase.scratch import scratch_dir
-
-
-def _cut(df: DataFrame) -> DataFrame:
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(scratch_dir(df.sparkSession))
-    return df.checkpoint()
+from lorebase.scratch import cut as _cut
 
 
 def numbered(rows: DataFrame, name: str, *order: Column) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lorebase.functions.constants import SOURCE_RANK
+from lorebase.scratch import segments
 
 
 def source_rank(source: Column) -> Column:
@@ -16,26 +17,27 @@ def source_rank(source: Column) -> Column:
 
 
 def upsert(store: DataFrame, new: DataFrame, order: str = "seq") -> tuple[DataFrame, DataFrame]:
-    """(store after, changes(url, added, updated)): rows of `new` are applied one after the other by `order`.
+    """(store after, changes(url, added, updated)): rows of `new` are applied one after the other by `order`, which is unique for a url.
 
-    A row replaces the stored one if its source ranks higher, or equal with another content hash. The fold runs over
-    (order, rank, hash) of one url only; the winner's other columns are joined by its order, so wide rows are not
-    gathered into arrays.
+    A row replaces the stored one if its source ranks higher, or equal with another content hash. So the rank held is the
+    highest so far, rows below it do nothing, and of the others one wins if it differs from the one before. All three are
+    running windows. They run within ranges of (url, order), whose highest ranks and last rows are then passed on, so a
+    url with very many rows is spread over tasks. The winner's other columns are joined by its order.
     """
     columns = [c for c in store.columns]
     base = store.select(*columns).withColumn("_at", F.lit(-1).cast("long"))
     both = base.unionByName(new.select(*columns, F.col(order).cast("long").alias("_at")))
-    item = F.struct("_at", source_rank(F.col("source")).alias("rank"), "content_hash")
-    zero = F.struct(F.lit(None).cast("long").alias("at"), F.lit(None).cast("int").alias("rank"), F.lit(None).cast("string").alias("hash"), F.lit(0).cast("long").alias("added"), F.lit(0).cast("long").alias("updated"))
-
-    def step(a: Column, x: Column) -> Column:
-        first, won = a["at"].isNull(), (x["rank"] > a["rank"]) | ((x["rank"] == a["rank"]) & ~x["content_hash"].eqNullSafe(a["hash"]))
-        taken = lambda added, updated: F.struct(x["_at"].alias("at"), x["rank"].alias("rank"), x["content_hash"].alias("hash"), (a["added"] + added).alias("added"), (a["updated"] + updated).alias("updated"))
-        return F.when(first, taken((x["_at"] >= 0).cast("long"), F.lit(0))).when(won, taken(F.lit(0), F.lit(1))).otherwise(a)
-
-    folded = both.groupBy("url").agg(F.array_sort(F.collect_list(item)).alias("items")).select("url", F.aggregate("items", zero, step).alias("w"))
-    after = both.join(folded.select("url", F.col("w.at").alias("_at")), ["url", "_at"]).select(*columns)
-    return after, folded.select("url", "w.added", "w.updated")
+    rows = segments(both.select("url", "_at", source_rank(F.col("source")).alias("rank"), "content_hash"), F.col("url"), F.col("_at"))
+    within, before = Window.partitionBy("url", "_p").orderBy("_at"), Window.partitionBy("url").orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
+    highest = rows.groupBy("url", "_p").agg(F.max("rank").alias("m")).select("url", "_p", F.max("m").over(before).alias("held"))
+    ranked = rows.withColumn("_top", F.max("rank").over(within)).join(highest, ["url", "_p"])
+    able = ranked.where(F.col("rank") >= F.greatest("_top", F.coalesce("held", "_top"))).select("url", "_p", "_at", F.struct("rank", "content_hash").alias("row"))
+    last = able.groupBy("url", "_p").agg(F.max_by("row", "_at").alias("row")).select("url", "_p", F.last("row").over(before).alias("passed"))
+    old = F.coalesce(F.lag("row").over(within), F.col("passed"))
+    won = able.join(last, ["url", "_p"]).withColumn("old", old).where(F.col("old").isNull() | ~F.col("row").eqNullSafe(F.col("old")))
+    folded = won.groupBy("url").agg(F.max("_at").alias("_at"), (F.min("_at") >= 0).cast("long").alias("added"), (F.count("*") - 1).alias("updated"))
+    after = both.join(folded.select("url", "_at"), ["url", "_at"]).select(*columns)
+    return after, folded.select("url", "added", "updated")
 
 
 def route(records: DataFrame, default: str = "gl") -> DataFrame:

@@ -2,41 +2,77 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from lorebase.scratch import segments
 
 #: The settings that are kept.
 SETTING_KEYS = ("theme", "pinyin", "synopsisPinyin", "fontSize", "leading", "tracking", "measure", "contrast", "infiniteScroll")
-_MARK = "struct<position:int,line:int,anchor_version:int,title:string,total:int,updated:string>"
-
-
-def bookmark_step(a: Column, x: Column) -> Column:
-    """One bookmark event on a mark: never backwards, but where forced or where a newer anchor comes at the same place."""
-    at = F.greatest(F.lit(0), x["position"])
-    line = F.when(x["line"].isNotNull(), F.greatest(F.lit(0), x["line"]))
-    cur, cur_line = F.coalesce(a["position"], F.lit(0)), F.coalesce(a["line"], F.lit(-1))
-    ahead = (at > cur) | ((at == cur) & (F.coalesce(line, F.lit(-1)) > cur_line))
-    migrates = line.isNotNull() & (at == cur) & (x["anchor_version"] > F.coalesce(a["anchor_version"], F.lit(1)))
-    moves = a["position"].isNull() | F.coalesce(x["force"], F.lit(False)) | ahead | migrates
-    return F.struct(
-        F.when(moves, at).otherwise(a["position"]).alias("position"),
-        F.when(moves, line).otherwise(a["line"]).alias("line"),
-        F.when(moves, F.when(line.isNotNull(), F.greatest(F.lit(1), x["anchor_version"]))).otherwise(a["anchor_version"]).alias("anchor_version"),
-        F.coalesce(x["title"], a["title"]).alias("title"),
-        F.coalesce(x["total"], a["total"]).alias("total"),
-        F.coalesce(x["updated"], a["updated"]).alias("updated"),
-    )
+
+
+def place_fold(keys: int):
+    """Over rows (keys, line, anchor_version) in order of their keys: the last (line, anchor_version) of each.
+
+    The first row of a key sets the place. A later one takes it with a further line, or a line of a newer anchor. One
+    state is held, whatever the number of rows; a key may go on in the next batch.
+    """
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, line, version, kind = None, None, None, None
+
+        def given(done: list[tuple]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*done, strict=True), kind, strict=True)], schema=kind)
+
+        for b in it:
+            kind, done = b.schema, []
+            for row in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                new, (at, v) = row[:keys], row[keys:]
+                if key is None or new != key:
+                    if key is not None:
+                        done.append((*key, line, version))
+                    key, moves = new, True
+                else:
+                    moves = at is not None and (at > (-1 if line is None else line) or v > (1 if version is None else version))
+                if moves:
+                    line, version = at, None if at is None else max(1, v)
+            if done:
+                yield given(done)
+        if key is not None:
+            yield given([(*key, line, version)])
+
+    return run
 
 
 def bookmarks(log: DataFrame, keys: tuple[str, ...] = ("user", "url")) -> DataFrame:
     """Marks after log(user, url, seq, position, line, anchor_version, force, title, total, updated).
 
-    The fold needs a user's events on one book in order; that group is one reader's clicks. For plain logs
-    without force and anchors the maximum is the same and pre-aggregates, see furthest().
+    An event moves the mark forwards, to a newer anchor's line at the same place, or anywhere if forced. So what counts are
+    the events from the last forced one on, and among them those at the furthest position. Both are found within ranges
+    of (keys, order), so no task or array holds all events of a key. Only lines at that one position, whose outcome depends
+    on every step, are folded in order, row by row from sorted batches. For plain logs without force and anchors the
+    maximum is the same, see furthest().
     """
-    item = F.struct("seq", "position", "line", F.coalesce("anchor_version", F.lit(2)).alias("anchor_version"), "force", "title", "total", "updated")
-    zero = F.lit(None).cast(_MARK)
-    return log.groupBy(*keys).agg(F.aggregate(F.array_sort(F.collect_list(item)), zero, bookmark_step).alias("m")).select(*keys, "m.*")
+    item = F.struct("seq", "position", "line", F.coalesce("anchor_version", F.lit(2)).alias("anchor_version"), F.coalesce("force", F.lit(False)).alias("force"), "title", "total", "updated")
+    rows = segments(log.select(*keys, item.alias("e")), *map(F.col, keys), F.col("e.seq"))
+    part, whole = [*keys, "_p"], Window.partitionBy(*keys)
+    some = lambda c: F.max_by(f"e.{c}", F.when(F.col(f"e.{c}").isNotNull(), F.col("e"))).alias(c)
+    texts = rows.groupBy(*keys).agg(*map(some, ("title", "total", "updated")))
+    start = rows.groupBy(*part).agg(F.max(F.when(F.col("e.force"), F.col("e"))).alias("m")).select(*part, F.max("m").over(whole).alias("start"))
+    at = F.greatest(F.lit(0), F.col("e.position"))
+    later = rows.join(start, part).where("start is null or e >= start").select(*part, "e", at.alias("position"))
+    top = later.groupBy(*part).agg(F.max("position").alias("m")).select(*part, F.max("m").over(whole).alias("top"))
+    line = F.when(F.col("e.line").isNotNull(), F.greatest(F.lit(0), F.col("e.line")))
+    there = later.join(top, part).where("position = top").select(*keys, "position", line.cast("int").alias("line"), F.col("e.anchor_version").cast("int").alias("anchor_version"), "e")
+    there = there.repartition(*keys).sortWithinPartitions(*keys, "e").select(*keys, F.col("position").cast("int").alias("position"), "line", "anchor_version")
+    # the position is the same in all rows of a key, and so is part of it here
+    given = T.StructType([T.StructField(f.name, f.dataType) for f in there.schema])
+    places = there.mapInArrow(place_fold(len(keys) + 1), given)
+    return places.join(texts, list(keys)).select(*keys, "position", "line", "anchor_version", "title", F.col("total").cast("int").alias("total"), "updated")
 
 
 def furthest(log: DataFrame, keys: tuple[str, ...] = ("user", "url")) -> DataFrame:

@@ -633,6 +633,27 @@ def chains_as_json(spark: SparkSession, sf: str) -> DataFrame:
     return j.select("chain_number", r.alias("r")).select("chain_number", F.col("r.novel_count").alias("n"), F.array_join("r.urls", "|").alias("urls"))
 
 
+@query(
+    "WITH e AS (SELECT event_id // 3 AS url, event_id AS k, CASE WHEN event_type IN ('click', 'view') THEN 2 ELSE 1 END AS rank, CAST(user_id % 3 AS VARCHAR) AS hash FROM events), "
+    "l AS (SELECT url, list({'pos': k, 'rank': rank, 'hash': hash, 'updated': CAST(0 AS BIGINT)} ORDER BY k) AS items FROM e GROUP BY url), "
+    "w AS (SELECT url, list_reduce(items, lambda a, x: CASE WHEN x.rank > a.rank OR (x.rank = a.rank AND x.hash <> a.hash) THEN {'pos': x.pos, 'rank': x.rank, 'hash': x.hash, 'updated': a.updated + 1} ELSE a END) AS w FROM l) "
+    "SELECT CAST(url AS VARCHAR) AS url, CASE WHEN w.rank = 2 THEN 'full' ELSE 'meta' END AS source, w.hash AS content_hash, CAST(1 AS BIGINT) AS added, w.updated AS updated FROM w"
+)
+def maintained_store(spark: SparkSession, sf: str) -> DataFrame:
+    """events as updates of a store that a stream maintains, in two starts: the second one goes on from the first one's folder."""
+    from lorebase.streaming import maintain
+
+    e = table(spark, sf, "events")
+    last = e.agg(F.max("event_id")).first()[0] or 0
+    updates = e.select(_s(F.floor(F.col("event_id") / 3)).alias("url"), F.when(F.col("event_type").isin("click", "view"), "full").otherwise("meta").alias("source"), _s(F.col("user_id") % 3).alias("content_hash"), F.col("event_id").alias("seq"))
+    path, at = _folder(spark, "updates"), _folder(spark, "store")
+    for first in (True, False):
+        updates.where((F.col("seq") <= last // 2) == F.lit(first)).write.mode("append").parquet(path)
+        live = spark.readStream.schema(updates.schema).parquet(path)
+        rows = maintain.maintain(live, at, F.pmod(F.xxhash64("url"), F.lit(16)))
+    return rows.join(maintain.changes(spark, at), "url").select("url", "source", "content_hash", "added", "updated")
+
+
 _SCANS_SQL = "s AS (SELECT user_id AS path, event_id // 40 AS poll, count(*) AS bytes FROM events GROUP BY 1, 2), l AS (SELECT *, coalesce(lag(poll) OVER w = poll - 1 AND lag(bytes) OVER w = bytes, false) AS same FROM s WINDOW w AS (PARTITION BY path ORDER BY poll)), g AS (SELECT *, coalesce(lag(same) OVER (PARTITION BY path ORDER BY poll), false) AS before FROM l)"
 
 

@@ -1,7 +1,7 @@
 """Streaming forms of watcher, bookmarks, progress lines and windowed counts (ST1, ST2, ST7, ST8).
 
 State is keyed and lives in Spark's state store; results go to files batch by batch, with the batch number, so a
-batch that is repeated after a failure replaces its own rows. Watermarked windows are our addition for event tables.
+batch that is repeated after a failure replaces its own rows, and a named folder lets a later start go on. Watermarked windows are our addition for event tables.
 """
 
 from __future__ import annotations
@@ -17,15 +17,21 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from lorebase.scratch import scratch_dir
 
+from .maintain import exists
+
 
 def _folder(spark: SparkSession, name: str) -> str:
     return f"{scratch_dir(spark)}/stream-{uuid.uuid4().hex}/{name}"
 
 
-def run_to_files(stream: DataFrame, mode: str) -> DataFrame:
-    """Process what is there now; the rows given out, with batch."""
+def run_to_files(stream: DataFrame, mode: str, at: str | None = None) -> DataFrame:
+    """Process what is there now; the rows given out, with batch.
+
+    at: a folder that keeps log, state and rows. A later start with the same one goes on from there and gives the rows of all
+    starts; a batch that was cut off is done again and overwrites what it had written. Without it, a new folder.
+    """
     spark = stream.sparkSession
-    out, state = _folder(spark, "out"), _folder(spark, "state")
+    out, state = (f"{at}/out", f"{at}/state") if at else (_folder(spark, "out"), _folder(spark, "state"))
 
     def write(rows: DataFrame, batch: int) -> None:
         rows.write.mode("overwrite").parquet(f"{out}/batch={batch}")
@@ -33,9 +39,9 @@ def run_to_files(stream: DataFrame, mode: str) -> DataFrame:
     q = stream.writeStream.outputMode(mode).option("checkpointLocation", state).trigger(availableNow=True).foreachBatch(write).start()
     q.awaitTermination()
     schema = T.StructType([*stream.schema.fields, T.StructField("batch", T.IntegerType())])
-    if not q.recentProgress or not any(p.numInputRows for p in q.recentProgress):
+    if not exists(spark, out):
         return spark.createDataFrame([], schema)
-    return spark.read.schema(schema).option("basePath", out).parquet(f"{out}/batch=*")
+    return spark.read.schema(schema).option("basePath", out).parquet(out)
 
 
 def event_stream(spark: SparkSession, path: str, files_per_batch: int = 1000) -> DataFrame:
@@ -61,7 +67,7 @@ _STATE = "position int, line int, anchor_version int, title string, total int, u
 
 
 def fold_mark(mark: tuple | None, e) -> tuple:
-    """One event on (position, line, anchor_version, title, total, updated, seq), by the rule of operators.user.bookmark_step."""
+    """One event on (position, line, anchor_version, title, total, updated, seq), by the rule of operators.user.bookmarks."""
     some = lambda v, f=lambda x: x: None if v is None or v != v else f(v)
     at, line, version = max(0, int(e.position)), some(e.line, lambda v: max(0, int(v))), some(e.anchor_version, int)
     version = 2 if version is None else version

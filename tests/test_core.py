@@ -18,7 +18,7 @@ from lorebase.plans import queries
 from lorebase.plans.session import Session
 from lorebase.sources import readers, writers
 from lorebase.sources.schemas import CATALOG, RECORD, with_record_defaults
-from lorebase.streaming import streams
+from lorebase.streaming import maintain, streams
 
 SITE, CATS = "books.example", ["gl", "yanqing"]
 
@@ -149,6 +149,17 @@ def test_upsert_is_a_sequential_fold(spark):
     rows = records(spark, new).collect()
     order = {r.title: i for i, r in enumerate(rows)}
     seq = spark.createDataFrame([(t, i) for t, i in order.items()], "title string, seq long")
+    hot = [{"url": "hot" if rng.random() < 0.8 else f"h{rng.randrange(30)}", "source": rng.choice(["meta", "full"] if k < 900 else ["full"]), "content_hash": rng.choice([None, "a", "b"]), "seq": k} for k in range(4000)]
+    want = {}
+    for r in hot:
+        have, rank = want.get(r["url"]), K.SOURCE_RANK.get(r["source"], 0)
+        if have is None:
+            want[r["url"]] = (rank, r["content_hash"], r["seq"], 0)
+        elif rank > have[0] or rank == have[0] and r["content_hash"] != have[1]:
+            want[r["url"]] = (rank, r["content_hash"], r["seq"], have[3] + 1)
+    many = spark.createDataFrame([tuple(r.values()) for r in hot], "url string, source string, content_hash string, seq long").repartition(7)
+    got, changed = store.upsert(many.limit(0).withColumn("v", F.col("seq")).drop("seq"), many.withColumn("v", F.col("seq")))
+    assert {r.url: (r.v, r.updated, r.added) for r in got.join(changed, "url").collect()} == {u: (w[2], w[3], 1) for u, w in want.items()}
     after, changes = store.upsert(records(spark, old), records(spark, new).join(seq, "title").withColumn("seq", F.col("title").cast("long")))
     assert {r.url: (r.source, r.content_hash, r.title) for r in after.collect()} == {u: (r["source"], r["content_hash"], r.get("title", "")) for u, r in held.items()}
     totals = changes.agg(F.sum("added"), F.sum("updated")).first()
@@ -568,6 +579,19 @@ def test_bookmarks(spark):
     assert {r.url: (r.position, r.line) for r in user.clamp_progress(m).collect()} == {"a": (4, None), "b": (2, 3), "c": (9, 1)}
 
 
+def test_bookmarks_of_a_hot_key_are_a_sequential_fold(spark):
+    # one reader's events lie in all ranges; forced ones, anchors and lines without number among them
+    rng = random.Random(8)
+    rows, held = [], {}
+    for i in range(6000):
+        key = ("u", "hot") if rng.random() < 0.7 else (f"u{rng.randrange(20)}", "b")
+        rows.append((*key, i, rng.randrange(-1, 4), rng.choice([None, *range(-1, 9)]), rng.choice([None, 1, 2, 3, 4]), rng.choice([True] + [None, False] * 400), rng.choice([None, "t", f"t{i}"]), rng.choice([None, i]), rng.choice([None, str(i)])))
+    log = spark.createDataFrame(rows, LOG).repartition(5)
+    for r in sorted(log.collect(), key=lambda r: r.seq):
+        held[r.user, r.url] = streams.fold_mark(held.get((r.user, r.url)), r)
+    assert {(r.user, r.url): tuple(r)[2:] for r in user.bookmarks(log).collect()} == {k: v[:6] for k, v in held.items()}
+
+
 def test_shelf_and_settings(spark):
     ops = [("u", "x", "add", "1"), ("u", "x", "add", "2"), ("u", "y", "add", "3"), ("u", "y", "remove", None), ("u", "y", "remove", None), ("u", "z", "remove", None), ("u", "z", "add", "4"), ("v", "x", "remove", None)]
     log = spark.createDataFrame([(a, b, c, d, "t", "novel", i) for i, (a, b, c, d) in enumerate(ops)], "user string, id string, op string, url string, title string, kind string, seq int")
@@ -580,6 +604,60 @@ def test_shelf_and_settings(spark):
     assert {r.user: (r.desktop, r.mobile) for r in user.merge_settings(old, put).collect()} == {"u": ({"theme": "b"}, {"theme": "m"}), "w": ({"pinyin": "1"}, {})}
 
 
+class Crash(Exception):
+    pass
+
+
+def test_a_maintained_store_goes_on_where_it_was_stopped(spark, tmp_path):
+    rng = random.Random(4)
+    schema, files = "url string, category string, source string, content_hash string, seq long", 6
+    rows = [[(f"u{rng.randrange(40)}", rng.choice(["meta", "full"]), rng.choice("abc"), f * 100 + k) for k in range(60)] for f in range(files)]
+    rows = [[(u, f"c{int(u[1:]) % 4}" if int(u[1:]) % 4 else "", s, h, k) for u, s, h, k in part if f != 3 or int(u[1:]) % 4 == 1] for f, part in enumerate(rows)]
+
+    def add(path, which):
+        for f in which:
+            spark.createDataFrame(rows[f], schema).coalesce(1).write.mode("append").parquet(str(path))
+
+    def start(source, target, after_batch=None):
+        live = spark.readStream.schema(spark.createDataFrame([], schema).schema).option("maxFilesPerTrigger", 1).parquet(str(source))
+        out = maintain.maintain(live, str(target), F.col("category"), after_batch=after_batch)
+        return sorted(tuple(r) for r in out.collect()), sorted(tuple(r) for r in maintain.changes(spark, str(target)).collect())
+
+    add(tmp_path / "a", range(files))
+    whole = start(tmp_path / "a", tmp_path / "whole")
+    all_rows = spark.createDataFrame([r for part in rows for r in part], schema)
+    after, changed = store.upsert(all_rows.drop("seq").limit(0), all_rows)
+    assert whole == (sorted((r.url, r.category, r.source, r.content_hash, f"p-{r.category}") for r in after.collect()), sorted(tuple(r) for r in changed.collect()))
+
+    def crash(batch):
+        if batch == 2:
+            raise Crash  # its rows are written, the stream has not noted it
+
+    add(tmp_path / "b", range(4))
+    with pytest.raises(Exception, match="Crash"):
+        start(tmp_path / "b", tmp_path / "cut", crash)
+    # half of a write that was cut off: data without a commit, and a commit that is done again
+    spark.createDataFrame([("zz", "c1", "full", "x", "p-c1")], "url string, category string, source string, content_hash string, part string").write.partitionBy("part").parquet(str(tmp_path / "cut/data/batch=7"))
+    add(tmp_path / "b", range(4, files))
+    assert start(tmp_path / "b", tmp_path / "cut") == whole
+    assert start(tmp_path / "b", tmp_path / "cut") == whole  # nothing new
+    batches = lambda p: {(r.part, r.batch) for r in maintain.commits(spark, str(tmp_path / p)).collect()}
+    assert batches("cut") == batches("whole") and {p for p, b in batches("cut") if b == 3} == {"p-c1"}
+    gone = maintain.remove_old(spark, str(tmp_path / "cut"))
+    assert 0 in gone and start(tmp_path / "b", tmp_path / "cut")[0] == whole[0]
+
+
+def test_streams_go_on_from_a_named_folder(spark, tmp_path):
+    schema = "path string, bytes long, modified string, poll long"
+    scans = [[("a", 1, "t", 0), ("b", 5, "t", 0)], [("a", 1, "t", 1), ("b", 6, "t", 1)], [("a", 1, "t", 2), ("b", 6, "t", 2)]]
+    got = []
+    for part in scans:
+        spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        live = spark.readStream.schema(spark.createDataFrame([], schema).schema).parquet(str(tmp_path / "in"))
+        got.append({(r.path, r.poll, r.batch) for r in streams.run_to_files(streams.stable_files(live), "update", str(tmp_path / "at")).collect()})
+    assert got == [set(), {("a", 1, 1)}, {("a", 1, 1), ("b", 2, 2)}]
+
+
 def test_streams(spark, tmp_path):
     scans = [("a", 1, "t", 0), ("a", 2, "t", 1), ("a", 2, "t", 2), ("a", 2, "t", 3), ("b", 5, "t", 1), ("b", 5, "t", 3), ("b", 5, "t", 4), ("a", 2, "t", 6), ("a", 2, "t", 7)]
     df = spark.createDataFrame(scans, "path string, bytes long, modified string, poll long")
