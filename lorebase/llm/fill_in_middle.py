@@ -3,8 +3,9 @@
 Tokens are what a Split pre-tokenizer of the tokenizers library isolates by PATTERN; nothing is trained. Its code-point
 offsets give the number n of tokens and the places of the two cuts, which are drawn from a hash of the id alone: with
 h1 to h4, the first four 32-bit words of the SHA-256 of "seed:id", prefix and middle end behind the smaller and the larger
-of h1 % (n + 1) and h2 % (n + 1) tokens. Long texts are split a stretch at a time, cut where a letter does not follow.
-Only the text goes to Python and three numbers come back; outputs are put together, and taken apart, by Spark.
+of h1 % (n + 1) and h2 % (n + 1) tokens. A space is always a token, so each distinct
+run between spaces is split once and remembered, up to a bound; long runs are split a stretch at a time, cut where a letter
+does not follow. Only the text goes to Python and three numbers come back; outputs are put together, and taken apart, by Spark.
 
 Forms: plain (the text) where the text is empty or holds one of the three marks, or for a share of all; else spm or psm.
 Since the text holds no mark, and none can begin within one and end behind it, the first <S>, <P> and <M> behind the
@@ -31,8 +32,8 @@ PATTERN = "[A-Za-z]+|[^A-Za-z]"
 MARKS = ("<P>", "<S>", "<M>")
 #: Shares, of 100, of transformed texts, and among them of suffix-prefix-middle.
 TRANSFORMED, SPM = 90, 20
-#: Code points that are split at a time.
-STRETCH = 1 << 16
+#: Code points that are split at a time; of runs that a task remembers.
+STRETCH, CACHE = 1 << 16, 1 << 24
 _LETTERS = re.compile("[A-Za-z]*")
 
 
@@ -51,21 +52,57 @@ def token_ends(split, text: str, size: int = STRETCH) -> np.ndarray:
     return np.concatenate([np.zeros(0, np.int64), *ends])
 
 
-def cuts(text: str, first: int, second: int, split) -> tuple[int, int, int]:
-    """(tokens, end of the prefix, end of the middle) for two draws."""
-    ends = token_ends(split, text)
-    n = len(ends)
-    a, b = sorted((first % (n + 1), second % (n + 1)))
-    return n, int(ends[a - 1]) if a else 0, int(ends[b - 1]) if b else 0
+class Splitter:
+    """Token borders of texts. The library splits each distinct run between spaces once; a space is a token of its own."""
+
+    def __init__(self):
+        from tokenizers import Regex
+        from tokenizers.pre_tokenizers import Split
+
+        self.split = Split(Regex(PATTERN), behavior="isolated")
+        self.forget()
+
+    def forget(self) -> None:
+        self.place: dict[str, int] = {}
+        self.ends: list[tuple[int, ...]] = []
+        self.held = 0
+
+    def _learn(self, runs: set[str]) -> None:
+        for run in runs:
+            self.place[run] = len(self.ends)
+            self.ends.append(tuple(token_ends(self.split, run).tolist()))
+            self.held += len(run) + 64
+
+    def cuts(self, text: str, first: int, second: int) -> tuple[int, int, int]:
+        """(tokens, end of the prefix, end of the middle) for two draws."""
+        if not text:
+            return 0, 0, 0
+        if self.held > CACHE:
+            self.forget()
+        runs = text.split(" ")
+        self._learn(set(runs).difference(self.place))
+        which = np.fromiter(map(self.place.__getitem__, runs), np.int64, len(runs))
+        # with the space behind each run, which the last one lacks
+        tokens = np.cumsum(np.fromiter(map(len, map(self.ends.__getitem__, which.tolist())), np.int64, len(runs)) + 1)
+        n = int(tokens[-1]) - 1
+
+        def end(rank: int) -> int:
+            """The offset behind so many tokens."""
+            if not rank:
+                return 0
+            k = int(np.searchsorted(tokens, rank))
+            nth = rank - (int(tokens[k - 1]) if k else 0)
+            ends = self.ends[which[k]]
+            return sum(map(len, runs[:k])) + k + (ends[nth - 1] if nth <= len(ends) else len(runs[k]) + 1)
+
+        a, b = sorted((first % (n + 1), second % (n + 1)))
+        return n, end(a), end(b)
 
 
 def _cut(parts: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
-    from tokenizers import Regex
-    from tokenizers.pre_tokenizers import Split
-
-    split = Split(Regex(PATTERN), behavior="isolated")
+    splitter = Splitter()
     for texts, first, second in parts:
-        rows = [cuts(t, a, b, split) for t, a, b in zip(texts, first, second, strict=True)]
+        rows = [splitter.cuts(*row) for row in zip(texts, first, second, strict=True)]
         yield pd.DataFrame(rows, columns=["n", "a", "b"], dtype="int64")
 
 

@@ -173,6 +173,16 @@ def test_split_tokens_equal_the_pattern(text, size):
     assert fill_in_middle.token_ends(split, text, size).tolist() == fill_in_middle.token_ends(split, text).tolist() == want
 
 
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.text(alphabet="ab \n.é語", max_size=30), max_size=5), st.integers(0, 2**32 - 1), st.integers(0, 2**32 - 1))
+def test_cuts_stand_at_ranked_tokens(texts, first, second):
+    splitter = fill_in_middle.Splitter()
+    for text in texts:
+        ends = [0, *(m.end() for m in re.finditer("[A-Za-z]+|[^A-Za-z]", text))]
+        a, b = sorted((first % len(ends), second % len(ends)))
+        assert splitter.cuts(text, first, second) == (len(ends) - 1, ends[a], ends[b])
+
+
 # --- op13 ---
 
 
