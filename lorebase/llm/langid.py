@@ -8,7 +8,7 @@ classed by EDGES (bytes of letters); texts below the first, or in a class of whi
 are labelled whatever their distance, for so few n-grams tell nothing.
 
 The classifier is fitted on a bounded sample (PER_LANG rows a language, SAMPLE_MAX in all, those of smallest id
-hash); everything else covers all rows and whole texts. Prediction is one map over the scan, without a shuffle.
+hash, of the LANGS most frequent labels); everything else covers all rows and whole texts. Prediction is one map over the scan, without a shuffle.
 
 Null texts and texts without a letter are `und` with score 0 and rejected. With nothing to learn from, all are
 `und`. A null doc_id counts as the empty string in the split. Ties between centroids go to the first language in
@@ -26,10 +26,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import batch, map_arrow, text_bytes
+from .common import batch, map_arrow, quoted, text_bytes
 
 DIM_BITS = 15
 PER_LANG, SAMPLE_MAX = 400, 4000
+#: Labels that are learnt, the most frequent ones: bounds the model, which every task holds.
+LANGS = 200
 CENTROIDS = 3
 EDGES, MIN_SAMPLES = (50, 100, 200), 20
 #: The limit is this share of the sample's cosine at the given quantile.
@@ -125,7 +127,7 @@ def _remainder(doc_id: Column) -> Column:
 def learn(docs: DataFrame) -> Model | None:
     """Fit on labelled rows outside the held-out quarter."""
     usable = docs.where(F.col("text").isNotNull() & F.col("lang").isNotNull() & (_remainder(F.col("doc_id")) != 2) & F.regexp(F.coalesce("text", F.lit("")), F.lit(r"\p{L}")))
-    sizes = {r["lang"]: r["count"] for r in usable.groupBy("lang").count().collect()}
+    sizes = {r["lang"]: r["count"] for r in usable.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGS).collect()}
     if not sizes:
         return None
     per = max(1, min(PER_LANG, SAMPLE_MAX // len(sizes)))
@@ -149,7 +151,7 @@ def learn(docs: DataFrame) -> Model | None:
 
 def predict(docs: DataFrame, model: Model | None) -> DataFrame:
     """docs with lang_pred, score and rejected; columns so named are replaced."""
-    keep = [c for c in docs.columns if c not in ("lang_pred", "score", "rejected")]
+    keep = quoted([c for c in docs.columns if c.lower() not in ("lang_pred", "score", "rejected")])
     shared = docs.sparkSession.sparkContext.broadcast(None if model is None else (model.langs, model.idf, model.centroids, model.limits))
     rows = docs.select(F.struct(*keep).alias("row"), text_bytes("text").alias("bytes"), F.coalesce(F.regexp("text", F.lit(r"\p{L}")), F.lit(False)).alias("letters"))
 

@@ -16,12 +16,13 @@ once, without leaving the task.
 
 First round: a token of many lines is dealt to blocks of about BLOCK lines, without copies. In each posting the
 earliest lines are held against all others, PIVOTS times, so that a group of near copies costs a few looks a line.
-A line gives out FEW candidates a posting; these are verified on whole token sets. Second round: only the lines that
+A line gives out FEW candidates a posting; these are verified on their words, read again from the documents. Second round: only the lines that
 none of these removed, and that had more candidates or a token of several blocks, are held against all blocks and
 give out all candidates. Lines themselves are never copied, only these probes are. Nothing is capped: what the first
 round leaves open, the second one settles.
 
-Words of the larger sets are compared by 32-bit hashes. Rows that share a doc_id share positions and so are no copies
+Postings know words by 32 bits of their hashes, which may make candidates but loses none; what is removed is decided on
+64-bit hashes of the words. Rows that share a doc_id share positions and so are no copies
 of each other; rows with a null doc_id take no part and come back unchanged, as do null and empty texts; an empty
 table gives no rows. Lines end at \\n and keep other white space. Very long texts and lines are hashed piece by piece.
 Extra columns are kept.
@@ -36,7 +37,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batch, distinct, fresh, gather, hash_texts, map_arrow, mix, save, text_bytes
+from .common import batch, distinct, fresh, gather, hash_each, hash_texts, map_arrow, mix, save, text_bytes
+from .native import let
 
 #: Slots in which tokens are counted, by their high bits; a slot counted less than LOCAL_MIN times in CHUNK tokens is
 #: given out by chance, at a rate that leaves the expected total as it is.
@@ -87,30 +89,24 @@ def _lines(least: int):
     tokens are counted in lines that hold them.
     """
 
-    def small_keys(at: np.ndarray, hashes: np.ndarray, small: np.ndarray) -> np.ndarray:
-        """Keys of the small lines, in order, from whole hashes."""
-        mine = small[at]
-        at, hashes = at[mine], hashes[mine]
-        order = np.lexsort((hashes, at))
-        at, hashes = at[order], hashes[order]
-        new = np.concatenate([[True], (at[1:] != at[:-1]) | (hashes[1:] != hashes[:-1])]) if len(at) else np.zeros(0, bool)
-        at, hashes = at[new], hashes[new]
-        start = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]])) if len(at) else np.zeros(0, np.int64)
-        size = np.diff(np.append(start, len(at))).astype(np.uint64)
-        return mix(np.add.reduceat(mix(hashes + np.uint64(1)), start) + size) if len(at) else np.zeros(0, np.uint64)
-
     def tokens_of(docs: np.ndarray, texts: list[bytes]) -> tuple[np.ndarray, ...]:
         hashes, owner, line = hash_texts(texts, lines=True)
         new = np.flatnonzero(np.concatenate([[True], (owner[1:] != owner[:-1]) | (line[1:] != line[:-1])])) if len(owner) else owner
         size = np.diff(np.append(new, len(owner)))
         at = np.repeat(np.arange(len(new), dtype=np.uint64), size)
-        held = distinct(at << np.uint64(32) | hashes >> np.uint64(32))
-        n = np.bincount((held >> np.uint64(32)).astype(np.int64), minlength=len(new))
-        tokens = (held & np.uint64(0xFFFFFFFF)).astype(np.uint32)
-        key = mix(np.add.reduceat(mix(tokens.astype(np.uint64) + np.uint64(1)), np.cumsum(n) - n) + n.astype(np.uint64)) if len(n) else np.zeros(0, np.uint64)
-        small = n < least
-        if small.any():
-            key[small] = small_keys(at.astype(np.int64), hashes, small)
+        packed = at << np.uint64(32) | hashes >> np.uint64(32)
+        order = np.argsort(packed)
+        packed, whole = packed[order], hashes[order]
+        same = packed[1:] == packed[:-1]
+        if (same & (whole[1:] != whole[:-1])).any():  # two words of a line share a token: each counts
+            order = np.lexsort((whole, packed))
+            packed, whole = packed[order], whole[order]
+            same = (packed[1:] == packed[:-1]) & (whole[1:] == whole[:-1])
+        first = np.concatenate([[True], ~same]) if len(packed) else np.zeros(0, bool)
+        packed, whole = packed[first], whole[first]
+        n = np.bincount((packed >> np.uint64(32)).astype(np.int64), minlength=len(new))
+        tokens = (packed & np.uint64(0xFFFFFFFF)).astype(np.uint32)
+        key = mix(np.add.reduceat(mix(whole + np.uint64(1)), np.cumsum(n) - n) + n.astype(np.uint64)) if len(n) else np.zeros(0, np.uint64)
         return docs[owner[new]], line[new].astype(np.int32), n, tokens, key.view(np.int64)
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -405,8 +401,22 @@ def _pairs(num: int, den: int, levels, few: int | None):
     return run
 
 
+def _sets(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(doc_id, line, words) of the asked lines of (doc_id, text, lines): their distinct words as 64-bit hashes."""
+    schema = pa.schema([("doc_id", pa.int64()), ("line", pa.int32()), ("words", pa.binary())])
+    for b in it:
+        doc, line, texts = [], [], []
+        for d, text, asked in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
+            parts = text.split(b"\n")
+            for i in asked:
+                if i < len(parts):  # rows that share a doc_id may be shorter
+                    doc.append(d), line.append(i), texts.append(parts[i])
+        if texts:
+            yield batch(schema, doc, line, [distinct(h).tobytes() for h in hash_each(texts)])
+
+
 def _verify(num: int, den: int):
-    """Of pairs with their token sets, whether they are similar; many pairs at a time by one sort."""
+    """Of pairs with their words, whether they are similar; many pairs at a time by one sort."""
     schema = pa.schema([("xd", pa.int64()), ("xl", pa.int32()), ("ok", pa.bool_())])
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -414,12 +424,15 @@ def _verify(num: int, den: int):
             sides = []
             for c in (2, 3):
                 raw = b.column(c).to_pylist()
-                size = np.array([len(t) // 4 for t in raw], np.int64)
-                sides.append((size, np.frombuffer(b"".join(raw), np.uint32).astype(np.uint64) | np.repeat(np.arange(len(raw), dtype=np.uint64), size) << np.uint64(32)))
-            (a, x), (c, y) = sides
-            both = np.sort(np.concatenate([x, y]))
-            twice = both[1:][both[1:] == both[:-1]]
-            common = np.bincount((twice >> np.uint64(32)).astype(np.int64), minlength=len(a))
+                size = np.array([len(t) // 8 for t in raw], np.int64)
+                sides.append((size, np.repeat(np.arange(len(raw)), size), np.frombuffer(b"".join(raw), np.uint64)))
+            (a, i, x), (c, j, y) = sides
+            of = np.concatenate([i, j])
+            # a word of one pair is another value than the same word of the next pair
+            both = mix(np.concatenate([x, y]) + of.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+            order = np.argsort(both)
+            both = both[order]
+            common = np.bincount(of[order][1:][both[1:] == both[:-1]], minlength=len(a))
             yield batch(schema, b.column(0), b.column(1), den * common >= num * (a + c - common))
 
     return run
@@ -447,10 +460,11 @@ def repeated_lines(docs: DataFrame, num: int = 80, den: int = 100) -> DataFrame:
     def settled(pairs: DataFrame, name: str) -> tuple[DataFrame, DataFrame]:
         """(doc_id, line) of the lines that a verified pair removes, and of those that are still open."""
         pairs = save(pairs.distinct(), f"pairs-{name}")
-        ends = pairs.where("not more").select(F.explode(F.array(F.struct(F.col("xd").alias("doc_id"), F.col("xl").alias("line")), F.struct(F.col("yd").alias("doc_id"), F.col("yl").alias("line")))).alias("e")).select("e.*").distinct()
-        # token sets are moved by line at every size
-        sets = save(joined.select("doc_id", "line", "tokens").join(ends.hint("merge"), ["doc_id", "line"], "left_semi"), f"sets-{name}")
-        tx, ty = (sets.select(F.col("doc_id").alias(f"{c}d"), F.col("line").alias(f"{c}l"), F.col("tokens").alias(f"t{c}")) for c in "xy")
+        ends = pairs.where("not more").select(F.explode(F.array(F.struct(F.col("xd").alias("doc_id"), F.col("xl").alias("line")), F.struct(F.col("yd").alias("doc_id"), F.col("yl").alias("line")))).alias("e")).select("e.*")
+        asked = ends.groupBy("doc_id").agg(F.collect_set("line").alias("lines"))
+        # candidates are read again where they stand; the narrow side is hashed, so that whole texts need no sort
+        sets = save(map_arrow(rows.join(asked.hint("shuffle_hash"), "doc_id").select("doc_id", "text", "lines"), _sets, "doc_id long, line int, words binary"), f"sets-{name}")
+        tx, ty = (sets.select(F.col("doc_id").alias(f"{c}d"), F.col("line").alias(f"{c}l"), F.col("words").alias(f"t{c}")) for c in "xy")
         both = pairs.where("not more").join(ty, ["yd", "yl"]).join(tx, ["xd", "xl"]).select("xd", "xl", "tx", "ty")
         held = map_arrow(both, _verify(num, den), "xd long, xl int, ok boolean")
         gone = save(held.where("ok").select(F.col("xd").alias("doc_id"), F.col("xl").alias("line")).distinct(), f"gone-{name}")
@@ -512,8 +526,10 @@ def dedup_lines(docs: DataFrame, num: int = 80, den: int = 100) -> DataFrame:
     # the narrow side is hashed, so that whole texts need no sort
     out = rows.join(marks.hint("shuffle_hash"), (F.col("doc_id").cast("long") == F.col(doc)) & (F.col(salt) == F.col(fresh("_zero", docs.columns))), "left")
     total = F.when(F.length("text") > 0, F.octet_length("text") - F.octet_length(F.replace("text", F.lit("\n"), F.lit(""))) + 1).otherwise(0)
-    stay = F.filter(F.split("text", "\n", -1), lambda _, i: ~F.array_contains(gone, i))
-    text = F.when(F.col(gone).isNull(), F.col("text")).otherwise(F.array_join(stay, "\n"))
+    # the numbers that stay are found by one set, not line by line
+    numbers = lambda lines: F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), gone)
+    kept = let(F.split("text", "\n", -1), lambda lines: F.transform(numbers(lines), lambda i: F.get(lines, i)))
+    text = F.when(F.col(gone).isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))
     return out.select(*[text.alias(c) if c.lower() == "text" else F.col(c) for c in keep], F.coalesce(total, F.lit(0)).cast("long").alias("n_lines"), F.coalesce(F.size(gone), F.lit(0)).cast("long").alias("n_removed"))
 
 

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batch, components, hash_each, map_arrow, raw_shingles, save, set_key, shingles, text_bytes
+from .common import batch, components, fresh, hash_each, map_arrow, quoted, raw_shingles, save, set_key, shingles, text_bytes
 
 #: Words counted together before their counts are reported, and the least count that is.
 CHUNK, LOCAL_MIN = 1_000_000, 4
@@ -345,8 +345,9 @@ def ngram_jaccard_groups(docs: DataFrame, k: int = 5, num: int = 80, den: int =
 
 def without_sets(docs: DataFrame, gone: DataFrame, k: int) -> DataFrame:
     """docs without the rows whose set is listed for their doc_id in gone(doc_id, sets: array<long> of class_id)."""
-    listed = gone.select(F.col("doc_id").alias("_doc"), "sets")
-    rows = docs.join(listed, F.col("doc_id") == F.col("_doc")).select(F.struct(*docs.columns).alias("row"), text_bytes("text").alias("bytes"), F.col("sets").alias("sets"))
+    doc, listed = (fresh(c, docs.columns) for c in ("_doc", "_sets"))
+    of = gone.select(F.col("doc_id").alias(doc), F.col("sets").alias(listed))
+    rows = docs.join(of, F.col("doc_id") == F.col(doc)).select(F.struct(*quoted(docs.columns)).alias("row"), text_bytes("text").alias("bytes"), F.col(listed).alias("sets"))
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in it:
@@ -356,7 +357,7 @@ def without_sets(docs: DataFrame, gone: DataFrame, k: int) -> DataFrame:
             yield b.select(["row"]).filter(pa.array(stay, pa.bool_()))
 
     rest = map_arrow(rows, run, f"row {rows.schema['row'].dataType.simpleString()}").select("row.*")
-    return docs.join(listed, F.col("doc_id") == F.col("_doc"), "left_anti").unionByName(rest)
+    return docs.join(of, F.col("doc_id") == F.col(doc), "left_anti").unionByName(rest)
 
 
 def _allowed(pairs: DataFrame, bitmaps: DataFrame, num: int, den: int) -> DataFrame:

@@ -15,7 +15,8 @@ The forward state depends on the model file's kind:
              pieces side by side is read off the last merges along their common edge, undone from the latest on.
 
 Characters without a piece become byte pieces. Decoding joins pieces, turns marks into spaces and drops the first.
-Round trips are exact but that U+2581 itself becomes a space, and bytes that are no UTF-8 become U+FFFD.
+Round trips are exact but that U+2581 itself becomes a space, and bytes that are no UTF-8 become U+FFFD; round_trip is
+false for such texts.
 
 A null text has null ids, an empty one none; an empty table gives no rows. Rows are kept one to one, with their extra
 columns, so repeated rows need no rule; of pieces of equal rank the leftmost merges first. Very long words cost in
@@ -36,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_arrow, text_bytes
+from .common import map_arrow, quoted, text_bytes
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
@@ -326,7 +327,9 @@ class Codec:
         ids = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(found, pa.int32()), mask=none)
         # texts of words that decode to themselves do so too; what is left is decoded as a whole
         odd = np.concatenate([[0], np.cumsum(np.frombuffer(bytes(self.exact), np.uint8)[places] == 0)])[bare]
-        same = [None if t is None else bool(odd[i] == odd[i + 1]) or self.decode(found[offsets[i] : offsets[i + 1]].tolist()) == t.replace(MARK, " ") for i, t in enumerate(texts)]
+        back = lambda i: self.decode(found[offsets[i] : offsets[i + 1]].tolist())
+        # a mark in the text itself becomes a space
+        same = [None if t is None else bool(odd[i] == odd[i + 1] and MARK not in t) or back(i) == t for i, t in enumerate(texts)]
         return ids, same
 
     def encode(self, texts: list[str | None]) -> list[list[int] | None]:
@@ -357,7 +360,7 @@ def encode(docs: DataFrame, model: str = MODEL, text_col: str = "text", cache: i
 
     cache: the words that a worker keeps; fewer cost time, not results.
     """
-    keep = [c for c in docs.columns if c not in ("ids", "round_trip")]
+    keep = quoted([c for c in docs.columns if c.lower() not in ("ids", "round_trip")])
     shared = docs.sparkSession.sparkContext.broadcast(load(model))
     rows = docs.select(F.struct(*keep).alias("row"), text_bytes(text_col).alias("bytes"))
 
@@ -365,8 +368,11 @@ def encode(docs: DataFrame, model: str = MODEL, text_col: str = "text", cache: i
         codec = codec_of(shared.value)
         codec.cache = cache
         for b in chain.from_iterable((big.slice(i, ROWS) for i in range(0, big.num_rows, ROWS)) for big in it):
-            texts = [None if t is None else t.decode("utf-8", "replace") for t in b.column(1).to_pylist()]
+            given = b.column(1).to_pylist()
+            texts = [None if t is None else t.decode("utf-8", "replace") for t in given]
             ids, same = codec.encode_batch(texts)
+            # bytes that are no UTF-8 have become U+FFFD
+            same = [s and ("\ufffd" not in t or t.encode() == g) for s, t, g in zip(same, texts, given, strict=True)]
             yield pa.RecordBatch.from_arrays([b.column(0), ids, pa.array(same, pa.bool_())], names=["row", "ids", "round_trip"])
 
     kind = rows.schema["row"].dataType.simpleString()
@@ -375,7 +381,7 @@ def encode(docs: DataFrame, model: str = MODEL, text_col: str = "text", cache: i
 
 def decode(tokens: DataFrame, model: str = MODEL, ids_col: str = "ids") -> DataFrame:
     """tokens with decoded string; a column so named is replaced."""
-    keep = [c for c in tokens.columns if c != "decoded"]
+    keep = quoted([c for c in tokens.columns if c.lower() != "decoded"])
     shared = tokens.sparkSession.sparkContext.broadcast(load(model))
     rows = tokens.select(F.struct(*keep).alias("row"), F.col(ids_col).cast("array<int>").alias("codes"))
 

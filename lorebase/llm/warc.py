@@ -8,9 +8,9 @@ the separator. A larger record is followed by a small metadata record to restore
 Reading cuts files into byte ranges at the gzip magic 1f 8b 08: a task gets the candidates that begin inside its
 range and owns the records among them. A candidate is a member if it inflates from its start to a whole WARC record.
 The magic can also occur within a member, by chance or because a payload holds gzip members itself; so an open member
-takes all further candidates until its own stream ends. If it fails instead, its first candidate was no member and
-the ones behind it are looked at anew. A member that is still open at the end of a range is carried into the next one,
-which is then decoded again from there. Members are inflated piece by piece; without payloads only their digests are
+takes all further candidates until its own stream ends. If it fails instead, or the file ends before it does, its first
+candidate was no member or was cut off, and the ones behind it are looked at anew. A member that is still open at the end
+of a range is carried, with its candidates, into the next one, which is then decoded again from there. Members are inflated piece by piece; without payloads only their digests are
 kept. A record whose length or headers are wrong is skipped, and so are truncated and foreign data.
 
 A null html is an empty payload. Equal payloads: the smallest page_id is the response, the others are revisits that
@@ -26,7 +26,7 @@ import gzip
 import hashlib
 import zlib
 from collections import deque
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -171,15 +171,22 @@ class Member:
         return kind, h.get("WARC-Record-ID", "").strip("<>"), h.get("WARC-Target-URI"), digest.rpartition(":")[2], length, (h.get("WARC-Refers-To") or "").strip("<>") or None, payload
 
 
-def decode_pieces(pieces: Iterator[bytes], with_payload: bool = True) -> Iterator[tuple[str, tuple | bytes]]:
-    """From the candidates of a range, in order: ('record', fields), and at the end ('open', its bytes but the magic)."""
+def decode_pieces(pieces: Iterator[bytes], with_payload: bool = True, last: bool = False) -> Iterator[tuple[str, tuple | bytes]]:
+    """From the candidates of a range, in order: ('record', fields), and at the end ('open', its bytes but the magic).
+
+    last: the file ends here, so a member that is still open then was cut off, and the candidates behind it are looked at.
+    """
     again: deque[bytes] = deque()
     pieces = iter(pieces)
     member, held = None, []
     while True:
         piece = again.popleft() if again else next(pieces, None)
         if piece is None:
-            break
+            if member is None or not last:
+                break
+            again.extend(held[1:])
+            member = None
+            continue
         if member is None:
             if not piece:  # before a file's first magic, or magic upon magic: no member begins so
                 continue
@@ -204,18 +211,18 @@ ROW = "file string, start long, kind string, type string, id string, uri string,
 
 
 def _decode(with_payload: bool):
-    """The records of ranges, and for each range a row 'range', with raw if a member is open at its end."""
+    """The records of ranges (file, start, last, value), and for each range a row 'range', with raw if a member is open at its end."""
 
-    def ranges(it: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, int, bytes]]:
+    def ranges(it: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, int, bool, bytes]]:
         for b in it:
-            yield from zip(*(b.column(i).to_pylist() for i in range(3)), strict=True)
+            yield from zip(*(b.column(i).to_pylist() for i in range(4)), strict=True)
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from itertools import groupby
 
-        for (file, start), rows in groupby(ranges(it), key=lambda r: r[:2]):
+        for (file, start, last), rows in groupby(ranges(it), key=lambda r: r[:3]):
             out, size, open_ = [], 0, None
-            for kind, what in decode_pieces((r[2] for r in rows), with_payload):
+            for kind, what in decode_pieces((r[3] for r in rows), with_payload, last):
                 if kind == "open":
                     open_ = what
                     continue
@@ -231,12 +238,17 @@ def _decode(with_payload: bool):
 
 
 def _decode_again(with_payload: bool):
-    """The rows of one range, with the open member before it as its first piece (at = -1)."""
+    """The rows of one range, with the candidates of the open member before it as its first pieces (at = -1)."""
     run_all = _decode(with_payload)
 
     def run(table: pa.Table) -> pa.Table:
-        table = table.sort_by("at").select(["file", "start", "value"])
-        return pa.Table.from_batches(list(run_all(iter(table.to_batches()))), schema=SCHEMA)
+        table = table.sort_by("at")
+        rows = zip(*(table.column(c).to_pylist() for c in ("file", "start", "last", "value", "at")), strict=True)
+        apart = [(file, start, last, piece) for file, start, last, value, at in rows for piece in (value.split(MAGIC) if at < 0 else [value])]
+        last = any(r[2] for r in apart)
+        columns = [pa.array([r[0] for r in apart]), pa.array([r[1] for r in apart]), pa.array([last] * len(apart)), pa.array([r[3] for r in apart], pa.large_binary())]
+        given = pa.RecordBatch.from_arrays(columns, names=["file", "start", "last", "value"])
+        return pa.Table.from_batches(list(run_all(iter([given]))), schema=SCHEMA)
 
     return run
 
@@ -244,27 +256,48 @@ def _decode_again(with_payload: bool):
 def read_warc(spark: SparkSession, path: str, with_payload: bool = True) -> DataFrame:
     """Records under path: type, id, uri, digest, payload_length, refers_to, payload (null unless asked for).
 
-    Ranges are decoded once, in one map. Only those behind an open member, which are rare, are read again.
+    Ranges are decoded once, in one map. Those behind an open member, which are rare, are decoded again: only their files
+    are read once more, and only their rows are written.
     """
     # ISO-8859-1 makes the separator exactly the three bytes of the magic; the reader splits files at any byte
     raw = spark.read.options(**_as_bytes(spark)).option("encoding", "ISO-8859-1").option("lineSep", MAGIC.decode("latin1")).text(path)
-    pieces = raw.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"), F.expr("cast(value as binary)").alias("value"))
-    rows = save(map_arrow(pieces, _decode(with_payload), ROW), "records")
+    at = lambda c: F.col(f"_metadata.{c}")
+    last = at("file_block_start") + at("file_block_length") >= at("file_size")
+    pieces = raw.select(at("file_path").alias("file"), at("file_block_start").alias("start"), last.alias("last"), F.expr("cast(value as binary)").alias("value"))
+    found = _in_even_ranges(spark, lambda: save(map_arrow(pieces, _decode(with_payload), ROW), "records"))
+    records = found.where("kind = 'record'")
+    ends = found.where("kind = 'range'").select("file", "start", "raw")
     while True:
         by = Window.partitionBy("file").orderBy("start")
-        ends = rows.where("kind = 'range'").select("file", "start", "raw", F.lead("start").over(by).alias("next"), F.lag(F.col("raw").isNotNull()).over(by).alias("after_open"))
-        # of open members in neighbouring ranges the first decides about the others
-        open_ = ends.where("raw is not null and next is not null and not coalesce(after_open, false)").select("file", F.col("start").alias("from"), F.col("next").alias("start"), "raw")
+        near = ends.select("file", "start", "raw", F.lead("start").over(by).alias("next"), F.lag(F.col("raw").isNotNull()).over(by).alias("after_open"))
+        # of open members in neighbouring ranges the first decides about the others; behind the last candidate stands nothing more
+        open_ = near.where("raw is not null and not coalesce(after_open, false)").select("file", F.col("start").alias("from"), F.coalesce("next", "start").alias("start"), F.col("next").isNull().alias("alone"), "raw")
         if open_.isEmpty():
-            return rows.where("kind = 'record'").select("type", "id", "uri", "digest", "payload_length", "refers_to", "payload")
+            return records.select("type", "id", "uri", "digest", "payload_length", "refers_to", "payload")
         open_ = save(open_, "open")
-        asked = pieces.withColumn("at", F.monotonically_increasing_id()).join(open_.select("file", "start"), ["file", "start"], "left_semi")
-        carried = open_.select("file", "start", F.col("raw").alias("value"), F.lit(-1).cast("long").alias("at"))
-        fresh = asked.select("file", "start", "value", "at").unionByName(carried).groupBy("file", "start").applyInArrow(_decode_again(with_payload), ROW)
+        # names of the files with an open member alone; Spark lists and reads only these
+        files = [r.file for r in open_.where("not alone").select("file").distinct().collect()]
+        ranges = open_.where("not alone").select("file", "start")
+        asked = pieces.where(F.col("file").isin(files)).withColumn("at", F.monotonically_increasing_id()).join(ranges, ["file", "start"], "left_semi")
+        carried = open_.select("file", "start", F.col("alone").alias("last"), F.col("raw").alias("value"), F.lit(-1).cast("long").alias("at"))
+        again = asked.unionByName(carried).groupBy("file", "start").applyInArrow(_decode_again(with_payload), ROW)
+        fresh = _in_even_ranges(spark, lambda again=again: save(again, "fresh"))
+        records = records.join(ranges, ["file", "start"], "left_anti").select(*found.columns).unionByName(fresh.where("kind = 'record'"))
         done = open_.select("file", F.col("from").alias("start"), F.lit(True).alias("done"))
-        kept = rows.join(open_.select("file", "start"), ["file", "start"], "left_anti").join(done, ["file", "start"], "left")
-        kept = kept.withColumn("raw", F.when(F.col("done").isNull(), F.col("raw"))).select(*rows.columns)
-        rows = save(kept.unionByName(fresh), "records")
+        kept = ends.join(ranges, ["file", "start"], "left_anti").join(done, ["file", "start"], "left")
+        kept = kept.select("file", "start", F.when(F.col("done").isNull(), F.col("raw")).alias("raw"))
+        ends = save(kept.unionByName(fresh.where("kind = 'range'").select("file", "start", "raw").join(ranges, ["file", "start"], "left_semi")), "ends")
+
+
+def _in_even_ranges(spark: SparkSession, read: Callable[[], DataFrame]) -> DataFrame:
+    """read(), with files cut at multiples of spark.sql.files.maxPartitionBytes, whichever files are read."""
+    name = "spark.sql.files.minPartitionNum"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, "1")
+    try:
+        return read()
+    finally:
+        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
 
 
 def page_records(records: DataFrame) -> DataFrame:

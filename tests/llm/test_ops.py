@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import time
 from collections import Counter
 
 import numpy as np
@@ -12,7 +13,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from lorebase.llm import decontaminate, langid, line_dedup, ngram_join, pii, quality, secrets, sentencepiece_codec, sharding, warc
-from lorebase.llm.common import components, new_path
+from lorebase.llm.common import components, hash_texts, new_path
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 WORDS = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu nu xi omicron pi rho sigma tau upsilon".split()
@@ -465,6 +466,40 @@ def test_members_across_ranges(spark, size, tmp_path):
     assert got == Counter([*nested(), b"one", b"two", b"three"])
 
 
+def test_records_behind_cut_off_members():
+    """Members of all kinds, cut anywhere, cost no record behind them, wherever ranges end."""
+    rng = random.Random(5)
+    good = [warc._member(warc._record("response", [("WARC-Record-ID", "<urn:g>")], b"good %d" % i)) for i in range(2)]
+    for n in range(300):
+        body = rng.randbytes(rng.randrange(3000)) if n % 2 else b"words and words " * rng.randrange(200)
+        make = stored if n % 3 == 0 else lambda b: warc._member(warc._record("response", [("WARC-Record-ID", "<urn:c>")], b))
+        whole = make(body)
+        data = whole[: rng.randrange(4, len(whole))] + b"".join(good)
+        parts = data.split(warc.MAGIC)
+        assert [w[-1] for k, w in warc.decode_pieces(iter(parts), last=True) if k == "record"][-2:] == [b"good 0", b"good 1"]
+        at = rng.randrange(1, len(parts))
+        left = list(warc.decode_pieces(iter(parts[:at])))
+        carried = [p for k, w in left if k == "open" for p in w.split(warc.MAGIC)]
+        right = list(warc.decode_pieces(iter([*carried, *parts[at:]]), last=True))
+        assert [w[-1] for k, w in left + right if k == "record"][-2:] == [b"good 0", b"good 1"]
+
+
+@pytest.mark.parametrize("size", ["701b", "1m"])
+def test_reading_behind_a_cut_off_member(spark, size, tmp_path):
+    good = b"".join(warc._member(warc._record("response", [("WARC-Record-ID", f"<urn:{i}>"), ("X-Odd", "y" * 300)], b"good %d" % i)) for i in range(9))
+    (tmp_path / "a b.warc.gz").write_bytes(stored(b"z" * 5000)[:900] + good)
+    (tmp_path / "c.warc.gz").write_bytes(good)
+    held = {c: spark.conf.get(c) for c in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    try:
+        for c, v in zip(held, (size, "1b"), strict=True):
+            spark.conf.set(c, v)
+        got = Counter(bytes(r.payload) for r in warc.read_warc(spark, str(tmp_path)).collect())
+    finally:
+        for c, v in held.items():
+            spark.conf.set(c, v)
+    assert got == Counter({b"good %d" % i: 2 for i in range(9)})
+
+
 # --- op6 ---
 
 
@@ -634,6 +669,25 @@ def test_short_lines_are_deduplicated(spark):
     assert {(r.doc_id, i) for r in line_dedup.repeated_lines(frame(spark, texts)).collect() for i in r.lines} == want
 
 
+def test_words_that_share_a_token_are_told_apart(spark):
+    # both last words have the same 32 bits, which postings know them by
+    a, b = "alpha beta gamma delta w199452", "alpha beta gamma delta w287357"
+    h = hash_texts([b"w199452 w287357"])[0] >> np.uint64(32)
+    assert h[0] == h[1]
+    texts = [a, b, "w199452 w287357 x y z", "x y z w199452 w287357", "x y z w199452 q", f"{a} w287357", f"{b} w199452 more"]
+    got = {r.doc_id: r.n_removed for r in line_dedup.dedup_lines(frame(spark, texts)).collect()}
+    want = Counter(d for d, _ in brute_lines(enumerate(texts)))
+    assert got == {i: want[i] for i in range(len(texts))} and not want[1] and want[3]
+
+
+def test_many_lines_of_one_text(spark):
+    lines = [f"line of words {i // 2} {i // 2 * 7} and {i // 2 * 13}" for i in range(100_000)]
+    began = time.time()
+    out = line_dedup.dedup_lines(frame(spark, ["\n".join(lines)])).first()
+    assert (out.n_lines, out.n_removed) == (100_000, 50_000) and out.text == "\n".join(lines[::2])
+    assert time.time() - began < 60
+
+
 def test_line_dedup_odd_rows(spark):
     clash = odd(spark).withColumnRenamed("lang", "n_lines").withColumn("_doc", F.lit(1)).withColumn("_LINES", F.lit("x")).withColumn("_salt", F.lit(None).cast("int"))
     out = line_dedup.dedup_lines(clash).collect()
@@ -736,10 +790,27 @@ def test_pipeline_stages(spark, tmp_path):
             assert before.count() - docs.count() <= len({d for d, _ in gone})
         assert docs.count() > 0
     assert docs.where("not round_trip").count() == 0
+    for name, stage in corpus_pipeline.STAGES:
+        empty = stage(spark, before.limit(0), "/root/testdata/sf0.001")
+        assert empty.collect() == [] and empty.columns[: len(before.columns)] == before.columns
     for name, stage in corpus_pipeline.STAGES[:-1]:
         assert stage(spark, odd(spark), "/root/testdata/sf0.001").columns == SCHEMA.replace(" long", "").replace(" string", "").split(", ")
 
 
+def test_stages_keep_columns_that_clash(spark):
+    """Columns called like those that the operators make, or use within, come back as they were."""
+    import corpus_pipeline
+
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").limit(60)
+    names = ["Score", "lang_pred", "rejected", "N_LINES", "n_removed", "item_ids", "distances", "_score", "sets", "_doc", "row", "bytes", "key"]
+    docs = docs.unionByName(docs.limit(3).withColumn("text", F.concat("text", F.lit(" and more")))).select("*", *[F.concat(F.lit(c), F.col("doc_id")).alias(c) for c in names])
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        got = stage(spark, docs, "/root/testdata/sf0.001")
+        assert got.columns == docs.columns
+        rows = got.collect()
+        assert rows and all(r[c] == f"{c}{r.doc_id}" for r in rows for c in names)
+
+
 def test_near_duplicates_of_repeated_doc_ids(spark):
     import corpus_pipeline
 
@@ -749,3 +820,25 @@ def test_near_duplicates_of_repeated_doc_ids(spark):
     out = corpus_pipeline.near_duplicate_stage(spark, docs, "")
     assert out.columns == docs.columns
     assert sorted(r.n_chars for r in out.collect()) == [0, 2, 3, 6]
+
+
+def test_round_trips_are_told_honestly(spark):
+    """A mark or bytes that decoding does not give back show, also at the operators whose columns have other case."""
+    texts = ["plain words", "a\u2581b", "\u2581", "  two  spaces ", "", None, "é漢😀\ufffd"]
+    docs = frame(spark, texts).withColumn("IDS", F.lit(1)).withColumn("Round_Trip", F.lit(2)).unionByName(spark.sql("SELECT 99L AS doc_id, CAST(X'61FF62' AS STRING) AS text, '' AS lang, '' AS source, 0L AS n_chars, 1 AS IDS, 2 AS Round_Trip"))
+    got = sentencepiece_codec.encode(docs)
+    assert got.columns == [*SCHEMA.replace(" long", "").replace(" string", "").split(", "), "ids", "round_trip"]
+    back = sentencepiece_codec.decode(got.withColumn("Decoded", F.lit(3)))
+    rows = {r.doc_id: r for r in back.collect()}
+    assert {i: r.round_trip for i, r in rows.items()} == {0: True, 1: False, 2: False, 3: True, 4: True, 5: None, 6: True, 99: False}
+    assert rows[1].decoded == "a b" and rows[3].decoded == texts[3]
+    assert sentencepiece_codec.encode(docs.limit(0)).collect() == []
+    named = langid.predict(frame(spark, ["x"]).withColumn("Score", F.lit(7)).withColumn("REJECTED", F.lit(7)), None)
+    assert named.columns[-3:] == ["lang_pred", "score", "rejected"] and named.first().score == 0.0
+
+
+def test_language_labels_are_bounded(spark, monkeypatch):
+    monkeypatch.setattr(langid, "LANGS", 2)
+    texts = [("der die das und nicht ein " * 9, "de")] * 9 + [("the of and to in is that " * 9, "en")] * 8 + [("le la les et des une " * 9, "fr")] * 3
+    docs = spark.createDataFrame([(i, t, lang, "s", 0) for i, (t, lang) in enumerate(texts)], SCHEMA)
+    assert set(langid.learn(docs).langs) == {"de", "en"}
