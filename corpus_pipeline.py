@@ -6,7 +6,7 @@
     decontaminate      documents that hold a benchmark item go
     sentencepiece      texts become token ids; those that don't decode to their text would show in round_trip
 
-All but the last return the columns of documents, extra ones with them. A document with a null doc_id passes the stages
+All but the last return the columns of documents, extra ones with them, whatever their names. A document with a null doc_id passes the stages
 that compare documents unchanged, since no other can be ordered before or after it. Null and wordless texts have no
 language and go in the first stage; an empty table runs through and gives no rows. Rows are written between stages, so
 a lost executor costs tasks of one stage only.
@@ -14,25 +14,37 @@ a lost executor costs tasks of one stage only.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lorebase.llm import decontaminate, langid, line_dedup, ngram_join, sentencepiece_codec
-from lorebase.llm.common import new_path, save
+from lorebase.llm.common import fresh, new_path, quoted, save
+
+
+def aside(docs: DataFrame, *made: str) -> tuple[DataFrame, list[Column]]:
+    """docs whose columns called like those that an operator makes bear other names; the columns under their own."""
+    moved = {}
+    for c in docs.columns:
+        if c.lower() in made:
+            moved[c] = fresh(f"_{c}", [*docs.columns, *moved.values(), *made])
+    back = [column.alias(c) for c, column in zip(docs.columns, quoted([moved.get(c, c) for c in docs.columns]), strict=True)]
+    return docs.withColumnsRenamed(moved), back
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return langid.predict(docs, langid.learn(docs)).where("not rejected").select(*docs.columns)
+    docs, back = aside(docs, "lang_pred", "score", "rejected")
+    return langid.predict(docs, langid.learn(docs)).where("not rejected").select(*back)
 
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Whatever has kept a word stays, and so does what had none before."""
+    docs, back = aside(docs, "n_lines", "n_removed")
     out = line_dedup.dedup_lines(docs)
     emptied = (F.col("n_removed") > 0) & ~F.regexp("text", F.lit(r"[^\x20\x09-\x0D]"))
     out = out.where(~F.coalesce(emptied, F.lit(False)))
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars")))
-    return out.select(*docs.columns)
+    return out.select(*back)
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -41,15 +53,16 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     by_id = groups.groupBy("doc_id").agg(F.collect_set(F.when(F.col("doc_id") != F.col("component_id"), F.col("class_id"))).alias("sets"), F.bool_or(F.col("doc_id") == F.col("component_id")).alias("stays"))
     go = save(by_id.where(F.size("sets") > 0), "go")
     # rows without a doc_id have no partner, and would all be dealt to one task
-    left = docs.where("doc_id is not null").join(go.where("not stays").select("doc_id"), "doc_id", "left_anti").select(*docs.columns).unionByName(docs.where("doc_id is null"))
+    left = docs.where("doc_id is not null").join(go.where("not stays").select("doc_id"), "doc_id", "left_anti").select(*quoted(docs.columns)).unionByName(docs.where("doc_id is null"))
     # a doc_id of which some sets go and others stay: only then do rows need their set
     some = go.where("stays").select("doc_id", "sets")
-    return left if some.isEmpty() else ngram_join.without_sets(left, some, 5).select(*docs.columns)
+    return left if some.isEmpty() else ngram_join.without_sets(left, some, 5).select(*quoted(docs.columns))
 
 
 def benchmark_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    docs, back = aside(docs, "item_ids", "distances")
     found = decontaminate.find_items(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    return found.where(F.size("item_ids") == 0).select(*docs.columns)
+    return found.where(F.size("item_ids") == 0).select(*back)
 
 
 def token_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
