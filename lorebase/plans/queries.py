@@ -502,7 +502,19 @@ def split_tags(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "documents").select("doc_id", F.array_join(text.split_tags(F.col("text")), "|").alias("tags"))
 
 
-@query()
+_PACKED = "list_reduce(list_transform({parts}, lambda w: [w]), lambda a, x: CASE WHEN length(a[-1]) + {gap} + length(x[1]) <= 200 THEN list_concat(a[:-2], [a[-1] || {sep} || x[1]]) ELSE list_concat(a, x) END)"
+_TRIMMED = "list_filter(list_transform({parts}, lambda s: trim(s, ' ' || chr(9) || chr(10))), lambda s: s <> '')"
+_PARAGRAPHS = _TRIMMED.format(parts="regexp_split_to_array(regexp_replace(regexp_replace(regexp_replace(text, '\\r\\n|\\r', chr(10), 'g'), '[ \\t]+', ' ', 'g'), '\\n{4,}', repeat(chr(10), 3), 'g'), '\\n\\s*\\n+')")
+_SENTENCES = _TRIMMED.format(parts="string_split(regexp_replace(p, '([.!?;:。！？；：])\\s+', '\\1' || chr(1), 'g'), chr(1))")
+
+
+@query(
+    f"WITH c AS (SELECT conv_id, turn, {_PARAGRAPHS} AS ps FROM conversations), p AS (SELECT conv_id, turn, unnest(ps) AS p, unnest(range(len(ps))) AS i FROM c), "
+    f"s AS (SELECT conv_id, turn, i, CASE WHEN length(p) <= 200 THEN [p] ELSE {_SENTENCES} END AS ss FROM p), u AS (SELECT conv_id, turn, i, unnest(ss) AS s, unnest(range(len(ss))) AS j FROM s), "
+    f"w AS (SELECT conv_id, turn, i, j, CASE WHEN length(s) <= 200 THEN [s] ELSE {_PACKED.format(parts="regexp_split_to_array(s, '\\s+')", gap=1, sep="' '")} END AS ws FROM u), "
+    f"g AS (SELECT conv_id, turn, flatten(list(ws ORDER BY i, j)) AS pieces FROM w GROUP BY 1, 2) "
+    f"SELECT c.conv_id, c.turn, CASE WHEN pieces IS NULL THEN [] ELSE {_PACKED.format(parts='pieces', gap=2, sep='repeat(chr(10), 2)')} END AS chunks FROM c LEFT JOIN g USING (conv_id, turn)"
+)
 def speech_chunks(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "conversations").select("conv_id", "turn", text.split_speech(F.col("text"), 200).alias("chunks"))
 

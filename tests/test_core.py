@@ -4,6 +4,8 @@ import hashlib
 import io
 import json
 import random
+import re
+import time
 import zipfile
 
 import numpy as np
@@ -501,7 +503,33 @@ def test_speech_and_windows(spark):
     assert one(spark, text.copy_payload(F.lit("syn"), arr, F.lit(0), F.lit(1))) == "syn\n\nt0\n\nb0" and one(spark, text.copy_payload(F.lit("syn"), arr, F.lit(1), F.lit(9))) == "t1\n\nb1\n\nt2\n\nb2"
 
 
+def test_packing_is_linear(spark):
+    # a million lines, and a long paragraph of short words
+    lines = [f"line {i}" * (1 + i % 3) for i in range(1_000_000)]
+    began = time.time()
+    got = one(spark, F.size(text.text_blocks(F.concat(*[F.lit("\n".join(lines[i : i + 250_000]) + "\n") for i in range(0, 1_000_000, 250_000)]))))
+    assert got == len(blocks_by_hand("\n".join(lines), 2000))
+    words = ["word"] * 400_000
+    chunks = one(spark, text.split_speech(F.lit(" ".join(words)), 99))
+    assert len(chunks) == 400_000 // 20 + 0 and set(map(len, chunks)) == {99}
+    assert time.time() - began < 60
+
+
+def test_saved_pages_are_split_by_dividers(spark):
+    d = "═" * 40
+    body = lambda s: [one(spark, x) for x in text.local_body(F.lit(s))]
+    assert body(f"来源：u\nhead\n{d}\np1\n\n{d}\n  \n{d} x\np2\np3") == ["来源：u\nhead\np1\n\n  \np2\np3", "p1\n\n\np2\np3"]
+    assert body(f"{d}\na\r\nb\n{d}") == ["a\r\nb", "a\r\nb"] and body(f"x\n{d}") == ["x", ""] and body("来源：u\n a \nb ") == ["来源：u\n a \nb ", "a \nb"]
+
+
 def test_heading_patterns(spark):
+    kinds = {"第十2回 x": 1, "第 1章": 5, "CHAPTER one": 2, "chapter1 x": 5, "Act": 2, "１２ a": 3, "二、x": 4, "正文 12 重生": 5, "a.b 3 c": 5}
+    parts = {1: r"\s*第[零一二三四五六七八九十百千万亿两〇0-9]+[章回卷节部篇折]\s*.*", 2: r"\s*(?:chapter|prologue|epilogue|interlude|part|volume|book|act)\b.{0,98}", 3: r"\s*\d+\s*(?:[、.)）]\s*)?\S.{0,98}", 4: r"\s*[零一二三四五六七八九十百千万亿两〇]+\s*(?:[、.)）]\s*)?\S.{0,98}"}
+    for example, kind in kinds.items():
+        label = re.escape(re.match(r"\D*", example)[0].strip())
+        assert text._series(example) == parts.get(kind, rf"\s*{label}\s*\d+\s*\S.{{0,98}}")
+    with pytest.raises(ValueError):
+        text.infer_pattern("no number")
     p = text.infer_pattern("1重生\n2 归来\n003、终章")
     assert one(spark, text.pattern_matches(F.lit("1重生\nnope\r\n 12 x \n"), p)) == ["1重生", "12 x"]
     assert text.infer_pattern("正文 12 重生").startswith("^") and "|" in text.infer_pattern("第1章 a\n12 b")
