@@ -1,7 +1,8 @@
 """Vector ranking (V1-V10, V14-V22, A7, A15, O1-O4): exact cosine with a tag boost, listings, bulk neighbours.
 
 Filters run before scoring. A single query is one projection over the scan and a TakeOrderedAndProject; many queries
-go block by block against partitions of the corpus in Arrow batches, each partition keeping its best n per query.
+go block by block against partitions of the corpus in Arrow batches, each partition keeping its best n per query and
+skipping groups of rows that can't be among them.
 """
 
 from __future__ import annotations
@@ -130,40 +131,126 @@ def categories(corpus: DataFrame) -> DataFrame:
 # --- many queries ---
 
 
-def knn_join(queries: DataFrame, corpus: DataFrame, n: int = 10, block: int = 4096) -> DataFrame:
-    """(query_id, row_id, cosine, rank): the n nearest rows of each query(query_id, embedding), by blocks of queries.
+#: Bytes of a block of queries and of its scores at a time; rows that are looked at together; of the sample.
+QUERY_BYTES, SCORE_BYTES, CORPUS_BYTES, SAMPLE_BYTES = 8 << 20, 32 << 20, 32 << 20, 16 << 20
+#: Centres that rows are grouped around; rounds of fitting them; rows found that a task keeps before it drops the worse ones.
+CENTRES, ROUNDS, HELD = 64, 5, 1 << 20
+#: Scores are compared to this many places, and bounds are wider by more than rounding can be.
+PLACES, SLACK = 12, 1e-9
 
-    Queries are a stated set taken in blocks of about a fixed size; every partition of the corpus keeps n rows for each
-    query of the block, and only those are shuffled. With several blocks one is at work at a time: its rows are written
-    before its vectors are dropped and the next one is read.
+
+def fit_centres(x: np.ndarray, k: int = CENTRES) -> np.ndarray:
+    """Centres of the rows, spread over them by steps and moved to their groups' means a few times."""
+    centres = x[np.linspace(0, len(x) - 1, min(k, len(x))).astype(np.int64)]
+    if not len(x):
+        return centres
+    for _ in range(ROUNDS):
+        of = nearest(x, centres)
+        sums, size = np.zeros_like(centres), np.bincount(of, minlength=len(centres))
+        np.add.at(sums, of, x)
+        centres = np.where(size[:, None] > 0, sums / np.maximum(size, 1)[:, None], centres)
+    return centres
+
+
+def nearest(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
+    return np.argmax(x @ centres.T - (centres**2).sum(axis=1) / 2, axis=1)
+
+
+class Neighbours:
+    """The n best rows of each query among those it is shown.
+
+    Rows are grouped around centres. Of a group no row can score above query x centre + |query| x radius, so queries whose
+    n-th best is better already skip it. least: scores that n rows are known to reach.
+    """
+
+    def __init__(self, q: np.ndarray, centres: np.ndarray, n: int, least: np.ndarray | None = None):
+        self.q, self.centres, self.n = q, centres, n
+        self.least = np.full(len(q), -np.inf) if least is None else least.copy()
+        self.size, self.to_centre = np.linalg.norm(q, axis=1), q @ centres.T
+        self.found: list[tuple[np.ndarray, ...]] = []
+        self.held = self.asked = self.skipped = 0
+
+    def show(self, ids: np.ndarray, x: np.ndarray) -> None:
+        if not len(ids):
+            return
+        of = nearest(x, self.centres)
+        order = np.argsort(of, kind="stable")
+        for group in np.split(order, np.flatnonzero(np.diff(of[order])) + 1) if len(order) else ():
+            c = int(of[group[0]])
+            radius = np.linalg.norm(x[group] - self.centres[c], axis=1).max()
+            open_ = np.flatnonzero(self.to_centre[:, c] + self.size * radius + SLACK >= self.least)
+            self.asked, self.skipped = self.asked + len(self.q), self.skipped + len(self.q) - len(open_)
+            step = max(1, SCORE_BYTES // (8 * max(1, len(open_))))
+            for at in range(0, len(group) if len(open_) else 0, step):
+                rows = group[at : at + step]
+                raw = self.q[open_] @ x[rows].T
+                score = np.round(raw, PLACES)
+                i, j = np.nonzero(score >= self.least[open_][:, None])
+                self.found.append((open_[i], score[i, j], raw[i, j], ids[rows[j]]))
+                self.held += len(i)
+                if self.held > HELD:
+                    self.best()
+        self.best()
+
+    def best(self) -> tuple[np.ndarray, ...]:
+        """(query, score, raw score, id) of the n best so far; what is worse is forgotten."""
+        none = np.zeros(0, np.int64)
+        query, score, raw, ids = (np.concatenate(c) for c in zip((none, none.astype(float), none.astype(float), none), *self.found, strict=True))
+        order = np.lexsort((ids, -score, query))
+        first = np.searchsorted(query[order], np.arange(len(self.q)))
+        order = order[np.arange(len(order)) - first[query[order]] < self.n]
+        query, score, raw, ids = query[order], score[order], raw[order], ids[order]
+        last = np.searchsorted(query, np.arange(len(self.q)), side="right") - 1
+        full = np.bincount(query, minlength=len(self.q)) >= self.n
+        self.least[full] = np.maximum(self.least[full], score[last[full]])
+        self.found, self.held = [(query, score, raw, ids)], len(query)
+        return self.found[0]
+
+
+def knn_join(queries: DataFrame, corpus: DataFrame, n: int = 10, block: int | None = None) -> DataFrame:
+    """(query_id, row_id, cosine, rank): the n nearest rows of each query(query_id, embedding), exactly, by blocks of queries.
+
+    Queries are a stated set, taken in blocks of QUERY_BYTES (or so many). Every task groups its rows around centres and skips,
+    query by query, groups that can't reach the n-th best so far; only rows among the best of a task are shuffled. Centres
+    and first limits come from a bounded sample of the corpus: it decides what can be skipped, not what is found. With
+    several blocks one is at work at a time: its rows are written before its vectors are dropped and the next one is read.
     """
     spark = corpus.sparkSession
+    first = queries.select(F.size("embedding")).first()
+    if first is None:
+        return spark.createDataFrame([], "query_id long, row_id long, cosine double, rank int")
+    block = block or max(1, QUERY_BYTES // (8 * max(1, first[0])))
     blocks = max(1, -(-queries.count() // block))
-    by = Window.partitionBy("query_id").orderBy(F.desc(F.round("cosine", 12)), "row_id")
+    by = Window.partitionBy("query_id").orderBy(F.desc(F.round("cosine", PLACES)), "row_id")
     schema = pa.schema([("query_id", pa.int64()), ("row_id", pa.int64()), ("cosine", pa.float64())])
+    vectors = lambda rows: np.array([r.embedding for r in rows], np.float64).reshape(len(rows), first[0])
+    sample = vectors(corpus.select("embedding").limit(max(n, SAMPLE_BYTES // (8 * max(1, first[0])))).collect())
+    centres = fit_centres(sample)
 
     def scan(shared) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
         def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            names, q = shared.value
-            best_s, best_i = np.zeros((len(names), 0)), np.zeros((len(names), 0), np.int64)
+            names, q, least = shared.value
+            near = Neighbours(q, centres_of.value, n, least)
             for b in it:
-                if not b.num_rows:
-                    continue
-                rows = b.column(0).to_numpy()
-                x = np.asarray(b.column(1).flatten()).reshape(len(rows), -1).astype(np.float64)
-                s = np.concatenate([best_s, q @ x.T], axis=1)
-                i = np.concatenate([best_i, np.broadcast_to(rows, (len(names), len(rows)))], axis=1)
-                keep = np.lexsort((i, -np.round(s, 12)), axis=1)[:, :n]
-                best_s, best_i = np.take_along_axis(s, keep, 1), np.take_along_axis(i, keep, 1)
-            k = best_s.shape[1]
-            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(names, k)), pa.array(best_i.ravel()), pa.array(best_s.ravel())], schema=schema)
+                step = max(1, CORPUS_BYTES // (8 * q.shape[1]))
+                for at in range(0, b.num_rows, step):
+                    part = b.slice(at, step)
+                    near.show(part.column(0).to_numpy(), np.asarray(part.column(1).flatten()).reshape(part.num_rows, -1).astype(np.float64))
+            query, _, raw, ids = near.best()
+            yield pa.RecordBatch.from_arrays([pa.array(names[query]), pa.array(ids), pa.array(raw)], schema=schema)
 
         return run
 
     out = f"{scratch_dir(spark)}/knn-{uuid.uuid4().hex}"
+    centres_of = spark.sparkContext.broadcast(centres)
     for b in range(blocks):
         rows = queries.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b).select("query_id", "embedding").orderBy("query_id").collect()
-        shared = spark.sparkContext.broadcast((np.array([r.query_id for r in rows], np.int64), np.array([r.embedding for r in rows], np.float64)))
+        if not rows:
+            continue
+        q = vectors(rows)
+        known = Neighbours(q, centres, n)
+        known.show(np.arange(len(sample)), sample)
+        shared = spark.sparkContext.broadcast((np.array([r.query_id for r in rows], np.int64), q, known.least))
         found = corpus.select(F.col("row_id").cast("long"), "embedding").mapInArrow(scan(shared), "query_id long, row_id long, cosine double")
         best = found.withColumn("rank", F.row_number().over(by)).where(F.col("rank") <= n)
         if blocks == 1:

@@ -112,6 +112,36 @@ def test_bulk_neighbours_equal_single_queries(spark):
     assert got == want
 
 
+def test_neighbours_skip_what_cannot_be_near(spark, monkeypatch):
+    # rows around 40 far points: groups away from a query are skipped, and nothing is lost; equal rows tie by id
+    rng = np.random.default_rng(9)
+    points = rng.normal(size=(40, 16))
+    x = points[rng.integers(0, 40, 6000)] + rng.normal(size=(6000, 16)) * 0.05
+    x[3000:3100] = x[:100]
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    centres = rank.fit_centres(x[::20])
+    known = rank.Neighbours(x[:50], centres, 7)
+    known.show(np.arange(300), x[::20])
+    near = rank.Neighbours(x[:50], centres, 7, known.least)
+    for at in range(0, 6000, 1500):
+        near.show(np.arange(at, at + 1500), x[at : at + 1500])
+    query, _, _, ids = near.best()
+    s = np.round(x[:50] @ x.T, 12)
+    want = np.array([np.lexsort((np.arange(6000), -s[i]))[:7] for i in range(50)])
+    assert (ids.reshape(50, 7) == want).all() and (query.reshape(50, 7) == np.arange(50)[:, None]).all()
+    assert near.skipped > 0.8 * near.asked
+    monkeypatch.setattr(rank, "HELD", 100)
+    monkeypatch.setattr(rank, "SCORE_BYTES", 4096)
+    again = rank.Neighbours(x[:50], rank.fit_centres(x[:3]), 7)
+    again.show(np.arange(6000), x)
+    assert (again.best()[3].reshape(50, 7) == want).all()
+    c = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x[:300])], "row_id long, embedding array<float>")
+    assert rank.knn_join(c.limit(0).withColumnRenamed("row_id", "query_id"), c).collect() == []
+    assert rank.knn_join(c.limit(2).withColumnRenamed("row_id", "query_id"), c.limit(0)).collect() == []
+    few = rank.knn_join(c.limit(2).withColumnRenamed("row_id", "query_id"), c.limit(3), 5).collect()
+    assert sorted((r.query_id, r["rank"]) for r in few) == [(i, k) for i in range(2) for k in (1, 2, 3)]
+
+
 def test_resolution_tiers(spark):
     c = corpus(spark)
     title = lambda q: [r.title for r in resolve.resolve_title(c, q).collect()]
