@@ -50,6 +50,7 @@ BLOCK_CHARS, HEADING_CHARS, CHAPTER_CHARS, NUMBER_GAP, FUSED_FACTOR = 2000, 100,
 CN_DIGITS = {"〇": 0, "零": 0, "一": 1, "二": 2, "两": 2, "三": 3, "四": 4, "五": 5, "六": 6, "七": 7, "八": 8, "九": 9}
 CN_UNITS = {"十": 10, "百": 100, "千": 1000}
 PATTERN_CHARS, SAMPLE_CHARS, MAX_EXAMPLES = 240, 100, 20
+CHAPTERS_A_PAGE = 120
 
 # --- fixed values: ids ---
 BASE62 = "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"

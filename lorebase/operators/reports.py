@@ -150,5 +150,7 @@ def chain_json(strict: DataFrame) -> DataFrame:
 
 
 def chain_table(strict: DataFrame) -> str:
-    rows = [[str(r.chain_number), str(r.novel_count), r.start.url, r.end.url, r.start_boundary.kind, r.end_boundary.kind] for r in strict.orderBy("chain_number").collect()]
+    """The chains as text, a line each; their members stay where they are."""
+    ends = [F.col(c) for c in ("novel_count", "start.url", "end.url", "start_boundary.kind", "end_boundary.kind")]
+    rows = [list(map(str, r)) for r in strict.orderBy("chain_number").select("chain_number", *ends).toLocalIterator()]
     return render_table(["Chain", "Novels", "Start", "End", "Before", "After"], rows, title="Catalogue chains")

@@ -7,11 +7,12 @@ from __future__ import annotations
 
 import uuid
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lorebase.functions import scalars, text, urls
-from lorebase.operators import rank, reports, resolve, store, user
+from lorebase.operators import graph, rank, reports, resolve, store, user
 from lorebase.scratch import scratch_dir
 from lorebase.sources import readers, writers
 
@@ -204,9 +205,7 @@ def reranked(spark: SparkSession, sf: str) -> DataFrame:
     """Places in the order a model gives; bad and repeated ones are ignored. `place` is read off the written order."""
     order = table(spark, sf, "events").select(F.col("event_id").alias("seq"), (F.col("event_id") % 40 - 10).alias("i"), F.col("event_type").alias("reason"))
     out = rank.rerank(table(spark, sf, "part").select(F.col("p_partkey").alias("rank")), order)
-    from pyspark.sql import Window
-
-    return out.select("rank", "reason", F.row_number().over(Window.orderBy(F.coalesce("seq", F.lit(2**31)), "rank")).alias("place"))
+    return graph.numbered(out, "place", F.coalesce("seq", F.lit(2**31)), F.col("rank")).select("rank", "reason", "place")
 
 
 @query(f"WITH {CORPUS_SQL} SELECT row_id, url, title, category, array_to_string(tags[1:3], '|') AS tags, file IS NOT NULL AS downloaded, row_id % 100 / 100.0::DOUBLE AS x, row_id % 7 / 7.0::DOUBLE AS y FROM corpus")
@@ -259,7 +258,8 @@ def ledger_store(spark: SparkSession, sf: str) -> DataFrame:
 def catalogue_array(spark: SparkSession, sf: str) -> DataFrame:
     """The live part of a catalogue of JSON arrays, one a file."""
     path = _folder(spark, "catalogue")
-    rows = _nodes(spark, sf).select(F.pmod(F.xxhash64("url"), F.lit(64)).alias("part"), F.to_json(F.struct("*")).alias("json"))
+    # files of up to 8192 rows, however many there are
+    rows = _nodes(spark, sf).select(F.shiftright(F.monotonically_increasing_id(), 13).alias("part"), F.to_json(F.struct("*")).alias("json"))
     rows.groupBy("part").agg(F.concat(F.lit("["), F.array_join(F.collect_list("json"), ",\n"), F.lit("]")).alias("value")).write.partitionBy("part").text(path)
     return readers.load_catalogue(spark, path)[1].select("url", "category", "fetch_status")
 
@@ -517,10 +517,17 @@ def file_facts(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("SELECT doc_id, text FROM documents")
 def decoded_texts(spark: SparkSession, sf: str) -> DataFrame:
-    """Texts back from bytes in UTF-8, with and without a byte-order mark."""
+    """Texts back from bytes in UTF-8, with and without a byte-order mark, and in GB18030 where their first word isn't ASCII."""
+
+    @F.pandas_udf("binary")
+    def gb18030(text: pd.Series) -> pd.Series:
+        return text.map(lambda t: None if t is None else t.encode("gb18030"))
+
     raw = F.encode("text", "UTF-8")
     marked = F.when(F.col("doc_id") % 2 == 0, F.concat(F.unhex(F.lit("EFBBBF")), raw)).otherwise(raw)
-    return table(spark, sf, "documents").select("doc_id", readers.decode_text(marked).alias("text"))
+    # bytes of other words may happen to be UTF-8 as well
+    chinese = F.regexp("text", F.lit("^[\u0080-\uffff]"))
+    return table(spark, sf, "documents").select("doc_id", readers.decode_text(F.when(chinese, gb18030("text")).otherwise(marked)).alias("text"))
 
 
 @query("SELECT url FROM pages")

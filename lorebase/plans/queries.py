@@ -173,7 +173,7 @@ def crawl_totals(spark: SparkSession, sf: str) -> DataFrame:
 @query()
 def loss_audit(spark: SparkSession, sf: str) -> DataFrame:
     """Characters that the <p>-only reading of a page loses."""
-    p = table(spark, sf, "pages").repartition(spark.sparkContext.defaultParallelism, "page_id")
+    p = table(spark, sf, "pages")
     both = p.select("url", scalars.nonspace_chars(html.page_text_udf(any_page=True)("html")["text"]).alias("new_chars"), scalars.nonspace_chars(html.old_text_udf(any_page=True)("html")).alias("old_chars"))
     return reports.loss_audit(both)
 
@@ -521,13 +521,13 @@ def speech_chunks(spark: SparkSession, sf: str) -> DataFrame:
 
 @query()
 def page_text(spark: SparkSession, sf: str) -> DataFrame:
-    p = table(spark, sf, "pages").repartition(spark.sparkContext.defaultParallelism, "page_id")
+    p = table(spark, sf, "pages")
     return p.select("page_id", html.page_text_udf(any_page=True)("html").alias("p")).select("page_id", "p.text", "p.has_br")
 
 
 @query()
 def landing_meta(spark: SparkSession, sf: str) -> DataFrame:
-    p = table(spark, sf, "pages").repartition(spark.sparkContext.defaultParallelism, "page_id")
+    p = table(spark, sf, "pages")
     return p.select("page_id", html.landing_udf("example.com", None)("html", "url").alias("m")).select("page_id", scalars.parse_heading(F.col("m.h1")).alias("heading"), "m.upload_date", "m.chapter_urls", "m.prev_url", "m.next_url")
 
 
@@ -581,4 +581,4 @@ def reading_states(spark: SparkSession, sf: str) -> DataFrame:
     return e.select("user_id", "event_id", scalars.progress_percent(F.col("p"), F.col("total")).alias("percent"), scalars.reading_state(F.col("p"), F.col("total")).alias("state"))
 
 
-from . import checks  # noqa: E402, F401  (registers its queries)
+from . import checks, reading  # noqa: E402, F401  (register their queries)

@@ -284,8 +284,8 @@ def epub_text(raw: bytes) -> str:
     return "\n\n".join(p for p in parts if p)
 
 
-def read_epubs(spark: SparkSession, root: str) -> DataFrame:
-    """(path, text, error) of the EPUB files below root."""
+def epub_texts(files: DataFrame) -> DataFrame:
+    """(path, text, error) of files(path, content): one that is no EPUB, or lacks a chapter, has an error instead of a text."""
 
     def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in it:
@@ -297,10 +297,14 @@ def read_epubs(spark: SparkSession, root: str) -> DataFrame:
                     rows.append((path, None, repr(e)))
             yield pd.DataFrame(rows, columns=["path", "text", "error"])
 
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.epub").load(root)
     return files.select("path", "content").mapInPandas(run, "path string, text string, error string")
 
 
+def read_epubs(spark: SparkSession, root: str) -> DataFrame:
+    """(path, text, error) of the EPUB files below root."""
+    return epub_texts(spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.epub").load(root))
+
+
 # --- logs, dictionaries, lists ---
 
 

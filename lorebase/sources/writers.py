@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-import base64
+import hashlib
 import uuid
-from urllib.parse import unquote
+from concurrent.futures import ThreadPoolExecutor
+from itertools import islice
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -74,27 +75,36 @@ def render_text(title: Column, author: Column, status: Column, upload_date: Colu
     return F.concat(F.array_join(F.array(*lines), "\n"), F.lit("\n\n"), F.array_join(bodies, "\n\n"), F.lit("\n"))
 
 
+#: Renames at a time: each is one request to the file system.
+RENAMES = 32
+
+
 def write_texts(texts: DataFrame, path: str) -> None:
-    """(file, text) as one text file each: path/file, whose parts may be folders.
+    """(file, text) as one text file each: path/file, whose parts may be folders and have as many bytes as the file system allows.
 
-    Tasks write beside the final name and rename, through the file system of the path, so that a lost task leaves
-    at most a hidden file; a name that occurs twice is an error of the caller and the last one stays.
+    Tasks write to a hidden folder, under the SHA-1 of the name, and Spark's commit decides which of their attempts counts.
+    Then the files get their names, RENAMES at a time, from a list that is read piece by piece. If this is cut off, some
+    files are new and some old, none is half written, and another call replaces them all. A name that occurs twice is an
+    error of the caller and one of the texts stays.
     """
     spark = texts.sparkSession
     stage = f"{path.rstrip('/')}/.stage-{uuid.uuid4().hex}"
-    texts.select(F.base64(F.encode("file", "UTF-8")).alias("_file"), F.regexp_replace("text", r"\n\z", "").alias("text")).write.partitionBy("_file").option("lineSep", "\n").text(stage)
-    jvm = spark.sparkContext._jvm
-    P, fs = jvm.org.apache.hadoop.fs.Path, jvm.org.apache.hadoop.fs.Path(stage).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    for folder in fs.listStatus(P(stage)):
-        name = folder.getPath().getName()
-        if not name.startswith("_file="):
-            continue
-        target = P(f"{path.rstrip('/')}/{base64.b64decode(unquote(name.removeprefix('_file='))).decode()}")
-        part = next(f.getPath() for f in fs.listStatus(folder.getPath()) if f.getPath().getName().startswith("part-"))
+    texts.select(F.sha1(F.encode("file", "UTF-8")).alias("_id"), F.regexp_replace("text", r"\n\z", "").alias("text")).write.partitionBy("_id").option("lineSep", "\n").text(stage)
+    P = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    fs = P(stage).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+    def name(file: str) -> None:
+        target = P(f"{path.rstrip('/')}/{file}")
+        parts = fs.globStatus(P(f"{stage}/_id={hashlib.sha1(file.encode()).hexdigest()}/part-*"))
         fs.mkdirs(target.getParent())
         fs.delete(target, False)
-        if not fs.rename(part, target):
-            raise OSError(f"{target} can't be written")
+        if not parts or not fs.rename(parts[0].getPath(), target):
+            raise OSError(f"{file} can't be written")
+
+    names = (r.file for r in texts.select("file").distinct().toLocalIterator())
+    with ThreadPoolExecutor(RENAMES) as pool:
+        while some := list(islice(names, 1000)):
+            list(pool.map(name, some))
     fs.delete(P(stage), True)
 
 
