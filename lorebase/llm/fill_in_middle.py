@@ -33,7 +33,7 @@ MARKS = ("<P>", "<S>", "<M>")
 #: Shares, of 100, of transformed texts, and among them of suffix-prefix-middle.
 TRANSFORMED, SPM = 90, 20
 #: Code points that are split at a time; of runs that a task remembers.
-STRETCH, CACHE = 1 << 16, 1 << 24
+STRETCH, CACHE = 1 << 16, 1 << 25
 _LETTERS = re.compile("[A-Za-z]*")
 
 
@@ -67,11 +67,17 @@ class Splitter:
         self.ends: list[tuple[int, ...]] = []
         self.held = 0
 
-    def _learn(self, runs: set[str]) -> None:
-        for run in runs:
+    def _learn(self, runs: list[str]) -> None:
+        """New runs are split together, one space apart."""
+        ends = token_ends(self.split, " ".join(runs))
+        size = np.fromiter(map(len, runs), np.int64, len(runs))
+        start = np.cumsum(size + 1) - size - 1
+        first, last = (np.searchsorted(ends, at, side="right").tolist() for at in (start, start + size))
+        flat = ends.tolist()
+        for run, s, i, j in zip(runs, start.tolist(), first, last, strict=True):
             self.place[run] = len(self.ends)
-            self.ends.append(tuple(token_ends(self.split, run).tolist()))
-            self.held += len(run) + 64
+            self.ends.append(tuple([e - s for e in flat[i:j]]))
+        self.held += int(size.sum()) + 64 * len(runs)
 
     def cuts(self, text: str, first: int, second: int) -> tuple[int, int, int]:
         """(tokens, end of the prefix, end of the middle) for two draws."""
@@ -80,7 +86,8 @@ class Splitter:
         if self.held > CACHE:
             self.forget()
         runs = text.split(" ")
-        self._learn(set(runs).difference(self.place))
+        if new := set(runs).difference(self.place):
+            self._learn(list(new))
         which = np.fromiter(map(self.place.__getitem__, runs), np.int64, len(runs))
         # with the space behind each run, which the last one lacks
         tokens = np.cumsum(np.fromiter(map(len, map(self.ends.__getitem__, which.tolist())), np.int64, len(runs)) + 1)
