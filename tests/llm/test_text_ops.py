@@ -1,4 +1,4 @@
-"""Operators 11 to 13 against brute force on small fixtures, with nulls, empties, ties and clashing names."""
+"""Operators 7 and 11 to 13 against brute force on small fixtures, with nulls, empties, ties and clashing names."""
 
 import hashlib
 import random
@@ -13,7 +13,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from lorebase.llm import fill_in_middle, spelling, substring_dedup
+from lorebase.llm import fill_in_middle, langid, spelling, substring_dedup
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 SPACES = re.compile(r"[\x20\x09-\x0D]+")
@@ -123,6 +123,80 @@ def test_subtrees_compare_words_not_hashes():
     assert marks.tolist() == [0, 0, 1, 0]
 
 
+# --- op7, rebuilt ---
+
+
+def slots_of(text):
+    """Counts of hashed n-grams, one n-gram at a time."""
+    folded = bytes(b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b > 127 else 32 for b in text.encode())
+    folded = b" " + b" ".join(folded.split()) + b" "
+    out = Counter()
+    for n in (2, 3, 4):
+        for i in range(len(folded) - n + 1):
+            h = folded[i]
+            for b in folded[i + 1 : i + n]:
+                h = h * 0x01000193 % 2**32 ^ b
+            out[(h + n) * 0x9E3779B1 % 2**32 >> 17] += 1
+    return out, len(folded.replace(b" ", b""))
+
+
+def unit(v):
+    return v / max(np.linalg.norm(v), 1e-12)
+
+
+def brute_language_model(rows):
+    """idf, {lang: its centroids}, limits of rows (text, lang), by the definitions."""
+    counts = [slots_of(t) for t, _ in rows]
+    idf = np.log((1 + len(rows)) / (1 + np.bincount([s for c, _ in counts for s in c], minlength=1 << 15))) + 1
+
+    def vec(c):
+        v = np.zeros(1 << 15)
+        for s, k in c.items():
+            v[s] = (1 + np.log(k)) * idf[s]
+        return unit(v)
+
+    vectors, centres = [vec(c) for c, _ in counts], {}
+    for lang in sorted({lang for _, lang in rows}):
+        own = [v for v, (_, x) in zip(vectors, rows, strict=True) if x == lang]
+        mean = sum(own) / len(own)
+        at = [max(range(len(own)), key=lambda i: own[i] @ mean)]
+        while len(at) < min(langid.CENTROIDS, len(own)):
+            at.append(min(range(len(own)), key=lambda i: max(own[i] @ own[j] for j in at)))
+        c = [own[i] for i in at]
+        for _ in range(12):
+            of = [max(range(len(c)), key=lambda k, v=v: v @ c[k]) for v in own]
+            c = [unit(sum(v for v, o in zip(own, of, strict=True) if o == k)) if k in of else c[k] for k in range(len(c))]
+        centres[lang] = c
+    best = [max(v @ c for own in centres.values() for c in own) for v in vectors]
+    limits = []
+    for i, low in enumerate(langid.EDGES):
+        high = langid.EDGES[i + 1] if i + 1 < len(langid.EDGES) else 10**9
+        some = [b for b, (_, n) in zip(best, counts, strict=True) if low <= n < high]
+        limits.append(langid.LIMIT_SHARE * np.quantile(some, langid.LIMIT_QUANTILE) if len(some) >= langid.MIN_SAMPLES else 0.0)
+    return vec, centres, limits
+
+
+def test_language_model_equals_its_definition(spark):
+    rows = [r for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect() if r.text and len(r.text) < 6000]
+    docs = spark.createDataFrame([(r.doc_id, r.text, r.lang, "s", 0) for r in rows] + [(10**6, "1234 ... 99", "en", "s", 0), (10**6 + 1, None, "en", "s", 0), (10**6 + 2, "zqx vjk wqz xkv " * 40, None, "s", 0)], SCHEMA)
+    learnt = [(r.text, r.lang) for r in rows if r.lang and zlib.crc32(str(r.doc_id).encode()) % 4 != 2 and re.search(r"[^\W\d_]", r.text)]
+    vec, centres, limits = brute_language_model(learnt)
+    model = langid.learn(docs)
+    assert model.langs == tuple(centres) and np.allclose(model.limits, limits, atol=1e-4) and any(limits)
+    got = langid.predict(docs, model).collect()
+    assert len(got) == len(rows) + 3
+    for r in got:
+        if not re.search(r"[^\W\d_]", r.text or ""):
+            assert (r.lang_pred, r.score, r.rejected) == ("und", 0.0, True)
+            continue
+        counts, size = slots_of(r.text)
+        score, lang = max((max(vec(counts) @ c for c in own), lang) for lang, own in centres.items())
+        at = int(np.searchsorted(langid.EDGES, size, side="right")) - 1
+        assert r.lang_pred == lang and abs(r.score - score) < 1e-4
+        assert at < 0 and not r.rejected or at >= 0 and (r.rejected == (score < limits[at]) or abs(score - limits[at]) < 1e-4)
+    assert next(r for r in got if r.doc_id == 10**6 + 2).rejected
+
+
 # --- op12 ---
 
 
