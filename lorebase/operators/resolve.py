@@ -1,16 +1,29 @@
-"""Title resolution (V11, V12, O8, N10, N11): ranked tiers; the fuzzy tier compares distinct titles in Arrow batches."""
+"""Title resolution (V11, V12, O8, N10, N11): ranked tiers; the fuzzy tier compares only titles that can still win."""
 
 from __future__ import annotations
 
 import difflib
+from collections import Counter
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+#: Titles, by their bounds, whose ratios give the first limit.
+FIRST = 64
+
+
+def ratio_bound(title: Column, query: str) -> Column:
+    """The most that difflib's ratio of title and query can be: both have so many characters in common, in whatever order."""
+    left = lambda c: F.length(title) - F.length(F.replace(title, F.lit(c), F.lit("")))
+    shared = sum((F.least(left(c), F.lit(n)) for c, n in Counter(query).items()), F.lit(0))
+    whole = F.length(title) + len(query)
+    return F.when(whole > 0, 2.0 * shared / whole).otherwise(1.0)
+
+
 def close_ratio(query: str):
-    """difflib's ratio of each title with the query, 0 below its quick bounds is not assumed: the full ratio."""
+    """difflib's ratio of each title with the query."""
 
     @F.pandas_udf("double")
     def run(title: pd.Series) -> pd.Series:
@@ -21,11 +34,29 @@ def close_ratio(query: str):
             m.set_seq1(t)
             return m.ratio()
 
-        return title.fillna("").map(one)
+        return title.map(one)
 
     return run
 
 
+def able(titles: DataFrame, query: str, n: int, cutoff: float) -> DataFrame:
+    """titles(title, ...) that can be among the n closest, with their bounds.
+
+    Of the FIRST titles by bound the n-th best ratio is a limit that no title below it by its bound can reach. Bounds are
+    plain columns; ratios are computed for FIRST titles here.
+    """
+    bounded = titles.withColumn("title", F.coalesce("title", F.lit(""))).withColumn("bound", ratio_bound(F.col("title"), query)).where(F.col("bound") >= cutoff)
+    first = bounded.orderBy(F.desc("bound"), F.desc("title")).limit(max(FIRST, 2 * n))
+    best = first.select(close_ratio(query)("title").alias("ratio")).orderBy(F.desc("ratio")).limit(n).collect()  # n rows
+    limit = max(cutoff, best[-1].ratio) if len(best) == n else cutoff
+    return bounded.where(F.col("bound") >= limit - 1e-9)
+
+
+def closest(titles: DataFrame, query: str, n: int, cutoff: float) -> DataFrame:
+    """The n rows of titles(title, ...) of largest ratio, cutoff or more, ties by the later title; exactly."""
+    return able(titles, query, n, cutoff).withColumn("ratio", close_ratio(query)("title")).where(F.col("ratio") >= cutoff).orderBy(F.desc("ratio"), F.desc("title")).limit(n).drop("bound")
+
+
 def resolve_title(corpus: DataFrame, query: str) -> DataFrame:
     """At most one row: exact title, else the shortest that holds the query, else the closest (ratio 0.5 or more)."""
     q = query.strip().lower()
@@ -34,7 +65,7 @@ def resolve_title(corpus: DataFrame, query: str) -> DataFrame:
     best = rows.withColumn("tier", F.when(low == q, 0).otherwise(1)).orderBy("tier", F.when(F.col("tier") == 1, F.length("title")), "row_id").limit(1)
     if not best.isEmpty():
         return best.drop("tier")
-    titles = corpus.select("title").distinct().withColumn("ratio", close_ratio(query)("title")).where("ratio >= 0.5").orderBy(F.desc("ratio"), F.desc("title")).limit(1)
+    titles = closest(corpus.select("title").distinct(), query, 1, 0.5)
     return corpus.join(F.broadcast(titles.select("title")), "title", "left_semi").orderBy("row_id").limit(1)  # one title
 
 
@@ -49,7 +80,7 @@ def partial_titles(corpus: DataFrame, query: str, n: int = 20) -> DataFrame:
 
 def fuzzy_titles(corpus: DataFrame, query: str, n: int = 10, cutoff: float = 0.55) -> DataFrame:
     """Rows of the n closest titles, in row order."""
-    titles = corpus.select("title", "row_id").withColumn("ratio", close_ratio(query)("title")).where(F.col("ratio") >= cutoff).orderBy(F.desc("ratio"), F.desc("title")).limit(n)
+    titles = closest(corpus.select("title", "row_id"), query, n, cutoff)
     return corpus.join(F.broadcast(titles.select("title").distinct()), "title", "left_semi").orderBy("row_id")  # n titles
 
 

@@ -9,6 +9,7 @@ from xml.sax.saxutils import escape
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lorebase.functions import html, scalars, text
 from lorebase.functions.constants import FAILED_PAGE
@@ -43,7 +44,7 @@ def incomplete_texts(spark: SparkSession, sf: str) -> DataFrame:
     return found.select("path", F.length("text").cast("long").alias("chars"))
 
 
-@F.pandas_udf("binary")
+@F.pandas_udf(T.BinaryType())
 def _epub(turns: pd.Series) -> pd.Series:
     """A book of the turns, one chapter each; the spine runs backwards through the files' names."""
 

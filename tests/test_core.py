@@ -142,6 +142,21 @@ def test_neighbours_skip_what_cannot_be_near(spark, monkeypatch):
     assert sorted((r.query_id, r["rank"]) for r in few) == [(i, k) for i in range(2) for k in (1, 2, 3)]
 
 
+def test_closest_titles_equal_brute_force(spark):
+    import difflib
+
+    rng = random.Random(12)
+    words = [("".join(rng.choice("abcdefghijklmnopqrstuvwxyzäé") for _ in range(rng.randrange(2, 9)))) for _ in range(300)]
+    titles = [" ".join(rng.choice(words) for _ in range(rng.randrange(1, 5))) for _ in range(4000)] + ["", "the moon rises", "the moon rise", "moon the rises", "the moons rise"]
+    df = spark.createDataFrame([(t, i) for i, t in enumerate(titles)] + [(None, -1)], "title string, row_id long")
+    for query, n, cutoff in (("the moon rises", 3, 0.55), (titles[5], 1, 0.5), ("", 2, 0.5), (titles[9][::-1], 5, 0.3)):
+        ratio = lambda t, q=query: difflib.SequenceMatcher(None, t, q).ratio()
+        want = sorted(((ratio(t), t) for t in [*titles, ""] if ratio(t) >= cutoff), reverse=True)[:n]
+        assert [(r.ratio, r.title) for r in resolve.closest(df, query, n, cutoff).collect()] == want
+    assert resolve.able(df, "the moon rises", 3, 0.55).count() < 0.05 * len(titles)
+    assert resolve.closest(df.limit(0), "x", 3, 0.5).collect() == []
+
+
 def test_resolution_tiers(spark):
     c = corpus(spark)
     title = lambda q: [r.title for r in resolve.resolve_title(c, q).collect()]
