@@ -13,7 +13,7 @@ from pyspark.sql import types as T
 
 from lorebase.functions import html, scalars, text
 from lorebase.functions.constants import FAILED_PAGE
-from lorebase.operators import graph, rank, store, uploads
+from lorebase.operators import graph, rank, reports, store, uploads
 from lorebase.sources import readers
 
 from .corpus import RECORDS_SQL, records, table
@@ -121,3 +121,53 @@ def library_by_tag(spark: SparkSession, sf: str) -> DataFrame:
     """Titles found by part of a tag alone: neither title nor author has it."""
     r = records(spark, sf).withColumn("author", F.lit("nobody")).withColumn("title", F.translate("title", "o", "z"))
     return rank.library_search(r, "OLT", 30).select("row_id", "upload_date")
+
+
+# --- pages of a fixed shape, so that SQL can say what is read off them ---
+
+_LINES_SQL = "l AS (SELECT conv_id, turn, list_transform(string_split(text, chr(10)), lambda x: trim(x)) AS lines FROM conversations)"
+
+
+def _pages(spark: SparkSession, sf: str) -> DataFrame:
+    """Turns as reading pages: the first line in a paragraph, the others between line breaks, and what belongs to no text."""
+    safe = F.replace(F.replace("text", F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;"))
+    lines = F.split(safe, "\n", -1)
+    body = F.concat(F.lit("<p>"), F.get(lines, 0), F.lit("</p>"), F.array_join(F.slice(lines, 2, F.size(lines)), "<br>"))
+    page = F.concat(F.lit('<html><body><p>before</p><article class="wide article-content">'), body, F.lit('<div class="pagination"><a>2</a></div><script>var p = "<p>";</script><p>传送门：<b>x</b></p></article><p>behind</p></body></html>'))
+    return table(spark, sf, "conversations").select("conv_id", "turn", page.alias("html"))
+
+
+@query(f"WITH {_LINES_SQL} SELECT conv_id, turn, array_to_string(list_filter(lines, lambda x: x <> ''), repeat(chr(10), 2)) AS text, len(lines) > 2 AS has_br, lines[1] AS old_text FROM l")
+def reading_pages(spark: SparkSession, sf: str) -> DataFrame:
+    """What both readings take from a page."""
+    p = _pages(spark, sf).select("conv_id", "turn", html.page_text_udf()("html").alias("p"), html.old_text_udf()("html").alias("old_text"))
+    return p.select("conv_id", "turn", "p.text", "p.has_br", "old_text")
+
+
+@query(
+    f"WITH {_LINES_SQL}, n AS (SELECT conv_id, length(regexp_replace(array_to_string(lines, ''), '\\s', '', 'g')) - length(regexp_replace(lines[1], '\\s', '', 'g')) AS lost FROM l) "
+    "SELECT conv_id AS url, CAST(coalesce(sum(lost) FILTER (WHERE lost > 20), 0) AS BIGINT) AS lost, count(*) FILTER (WHERE lost > 20) AS pages_affected FROM n GROUP BY 1"
+)
+def page_losses(spark: SparkSession, sf: str) -> DataFrame:
+    """Characters that the paragraphs alone lose, over 20 a page."""
+    new, old = html.page_text_udf()("html")["text"], html.old_text_udf()("html")
+    both = _pages(spark, sf).select(F.col("conv_id").alias("url"), scalars.nonspace_chars(new).alias("new_chars"), scalars.nonspace_chars(old).alias("old_chars"))
+    return reports.loss_audit(both, 20).select("url", F.col("lost").cast("long").alias("lost"), "pages_affected")
+
+
+@query(
+    f"WITH {RECORDS_SQL}, r AS (SELECT *, regexp_extract(url, '^(https://[^/]+)', 1) AS origin, regexp_replace(url, '[^/]+$', '') AS folder FROM records) "
+    "SELECT row_id, title, author, status, upload_date, [folder || row_id || '_2.html', folder || row_id || '_3.html'] AS chapter_urls, CASE WHEN row_id > 0 THEN origin || '/' || category || '/x/' || (row_id - 1) || '.html' END AS prev_url, CASE WHEN row_id > 0 THEN 'before ' || title END AS prev_title, CAST(NULL AS VARCHAR) AS next_url FROM r"
+)
+def landing_pages(spark: SparkSession, sf: str) -> DataFrame:
+    """Heading, date, pages and neighbours of titles: a repeated page counts once, a neighbour elsewhere not at all."""
+    i = F.col("row_id").cast("string")
+    before = F.concat(F.lit('<span class="article-nav-prev"><a href="/'), F.col("category"), F.lit("/x/"), (F.col("row_id") - 1).cast("string"), F.lit('.html"> before '), "title", F.lit(" </a></span>"))
+    pages = [F.concat(F.lit('<li class="mulu"><a href="'), i, F.lit(f'_{k}.html">{k}</a></li>')) for k in (2, 3, 2)]
+    page = F.concat(
+        F.lit('<h1>other</h1><h1 class="article-title"> '), "title", F.lit("_"), "author", F.lit("【"), "status", F.lit('】 </h1><time class="muted">'), "upload_date", F.lit('</time><ul class="list">'), *pages, F.lit('<li><a href="no.html">no</a></li></ul>'),
+        F.lit('<nav class="article-nav">'), F.when(F.col("row_id") > 0, before).otherwise(""), F.lit('<span class="article-nav-next"><a href="https://other.example.org/a/b.html">next</a></span></nav>'),
+    )
+    m = records(spark, sf).select("row_id", html.landing_udf("books.example")(page, F.col("url")).alias("m"))
+    head = scalars.parse_heading(F.col("m.h1"))
+    return m.select("row_id", head.alias("h"), "m").select("row_id", "h.title", "h.author", "h.status", "m.upload_date", "m.chapter_urls", "m.prev_url", "m.prev_title", "m.next_url")
