@@ -13,7 +13,7 @@ from pyspark.sql import types as T
 
 from lorebase.functions import html, scalars, text
 from lorebase.functions.constants import FAILED_PAGE
-from lorebase.operators import graph, rank, reports, store, uploads
+from lorebase.operators import graph, rank, reports, store, uploads, words
 from lorebase.sources import readers
 
 from .corpus import RECORDS_SQL, records, table
@@ -171,3 +171,32 @@ def landing_pages(spark: SparkSession, sf: str) -> DataFrame:
     m = records(spark, sf).select("row_id", html.landing_udf("books.example")(page, F.col("url")).alias("m"))
     head = scalars.parse_heading(F.col("m.h1"))
     return m.select("row_id", head.alias("h"), "m").select("row_id", "h.title", "h.author", "h.status", "m.upload_date", "m.chapter_urls", "m.prev_url", "m.prev_title", "m.next_url")
+
+
+# --- words without spaces ---
+
+_DICT_SQL = (
+    "p AS (SELECT DISTINCT unnest(string_split(p_name, ' ')) AS w FROM part), d AS (SELECT word, min({'price': price, 'reading': reading}) AS e FROM "
+    "(SELECT w AS word, 10 AS price, upper(w) AS reading FROM p UNION ALL SELECT left(w, 3), 12, concat(left(w, 3), '.') FROM p UNION ALL SELECT right(w, 2), 11, NULL FROM p) WHERE word <> '' GROUP BY 1)"
+)
+
+
+@query(
+    f"WITH RECURSIVE {_DICT_SQL}, t AS (SELECT DISTINCT replace(p_name, ' ', '') AS run FROM part), "
+    "e AS (SELECT run, i, d.word, d.e.price AS price, d.e.reading AS reading FROM (SELECT run, unnest(range(length(run))) AS i FROM t) JOIN d ON substr(run, i + 1, length(d.word)) = d.word), "
+    "s AS (SELECT run, i, word, price, reading FROM e UNION ALL SELECT run, unnest(range(length(run))) AS i, substr(run, unnest(range(length(run))) + 1, 1), 20, NULL FROM t), "
+    "w AS (SELECT run, 0 AS pos, 0 AS cost, CAST([] AS STRUCT(start INTEGER, word VARCHAR, reading VARCHAR)[]) AS words, CAST([] AS INTEGER[]) AS sizes FROM t "
+    "UNION ALL SELECT w.run, w.pos + length(s.word), w.cost + s.price, list_append(w.words, {'start': CAST(s.i AS INTEGER), 'word': s.word, 'reading': s.reading}), list_append(w.sizes, CAST(length(s.word) AS INTEGER)) FROM w JOIN s ON s.run = w.run AND s.i = w.pos), "
+    "b AS (SELECT run, words, row_number() OVER (PARTITION BY run ORDER BY cost, len(words), list_reverse(sizes) DESC) AS k FROM w WHERE pos = length(run)), "
+    "o AS (SELECT p_partkey, unnest(words) AS w FROM part JOIN b ON b.run = replace(p_name, ' ', '') AND k = 1) SELECT p_partkey, w.start AS start, w.word AS word, w.reading AS reading FROM o"
+)
+def word_lattice(spark: SparkSession, sf: str) -> DataFrame:
+    """Names of parts without their spaces, cut into the words that names are made of, their beginnings and their ends."""
+    p = table(spark, sf, "part")
+    w = p.select(F.explode(F.split("p_name", " ")).alias("w")).distinct()
+    entry = lambda word, price, reading: F.struct(word.alias("word"), F.lit(price).alias("price"), reading.alias("reading"))
+    start = F.left("w", F.lit(3))
+    entries = F.array(entry(F.col("w"), 10, F.upper("w")), entry(start, 12, F.concat(start, F.lit("."))), entry(F.right("w", F.lit(2)), 11, F.lit(None).cast("string")))
+    dictionary = w.select(F.explode(entries).alias("e")).select("e.*")
+    joined = p.select("p_partkey", F.replace("p_name", F.lit(" "), F.lit("")).alias("name"))
+    return words.segment(joined, dictionary, "p_partkey", "name").select("p_partkey", "start", "word", "reading")

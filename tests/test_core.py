@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from lorebase.functions import constants as K
 from lorebase.functions import html, scalars, tags, text, urls
-from lorebase.operators import graph, rank, reports, resolve, store, user
+from lorebase.operators import graph, rank, reports, resolve, store, user, words
 from lorebase.operators.filters import Filters, parse_categories, parse_year_range
 from lorebase.plans import queries
 from lorebase.plans.session import Session
@@ -142,6 +142,34 @@ def test_neighbours_skip_what_cannot_be_near(spark, monkeypatch):
     assert sorted((r.query_id, r["rank"]) for r in few) == [(i, k) for i in range(2) for k in (1, 2, 3)]
 
 
+def brute_way(run, prices, unknown):
+    """Least price, fewest words, longest last words, over all ways."""
+    ways = {0: [((), 0)]}
+    for end in range(1, len(run) + 1):
+        ways[end] = [((*way, run[s:end]), cost + p) for s in range(end) for way, cost in ways[s] if (p := prices.get(run[s:end], unknown if end - s == 1 else None)) is not None]
+        if end - 1 in ways and run[end - 1 : end] in prices:
+            ways[end] += [((*way, run[end - 1 : end]), cost + unknown) for way, cost in ways[end - 1]]
+    return min(ways[len(run)], key=lambda w: (w[1], len(w[0]), [-len(x) for x in reversed(w[0])]))[0]
+
+
+def test_words_without_spaces(spark):
+    rng = random.Random(3)
+    prices = {"".join(rng.choice("abc中") for _ in range(rng.randrange(1, 4))): rng.randrange(1, 9) for _ in range(18)}
+    runs = ["".join(rng.choice("abc中") for _ in range(rng.randrange(1, 10))) for _ in range(120)]
+    rows = [(i, f"{r}, {runs[i - 1]}! ") for i, r in enumerate(runs)] + [(900, None), (901, " ., "), (902, "")]
+    dictionary = spark.createDataFrame([(w, p, w.upper()) for w, p in prices.items()] + [(w, p + 1, "dear") for w, p in prices.items()], "word string, price int, reading string")
+    got = {}
+    for r in words.segment(spark.createDataFrame(rows, "doc_id int, text string"), dictionary, unknown=5).orderBy("doc_id", "place", "start").collect():
+        got.setdefault((r.doc_id, r.place), []).append(r.word)
+        assert r.reading in (None, r.word.upper())
+    assert got == {(i, k): list(brute_way(r, prices, 5)) for i in range(120) for k, r in enumerate((runs[i], runs[i - 1]))}
+    long = "abc中" * 20_000
+    n = words.segment(spark.createDataFrame([(1, long)], "doc_id int, text string"), dictionary).agg(F.sum(F.length("word"))).first()[0]
+    assert n == len(long)
+    none = words.segment(spark.createDataFrame([(1, "ab")], "doc_id int, text string"), dictionary.limit(0)).collect()
+    assert sorted((r.start, r.word, r.reading) for r in none) == [(0, "a", None), (1, "b", None)]
+
+
 def test_closest_titles_equal_brute_force(spark):
     import difflib
 
