@@ -29,12 +29,13 @@ def upsert(store: DataFrame, new: DataFrame, order: str = "seq") -> tuple[DataFr
     both = base.unionByName(new.select(*columns, F.col(order).cast("long").alias("_at")))
     rows = segments(both.select("url", "_at", source_rank(F.col("source")).alias("rank"), "content_hash"), F.col("url"), F.col("_at"))
     within, before = Window.partitionBy("url", "_p").orderBy("_at"), Window.partitionBy("url").orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
-    highest = rows.groupBy("url", "_p").agg(F.max("rank").alias("m")).select("url", "_p", F.max("m").over(before).alias("held"))
-    ranked = rows.withColumn("_top", F.max("rank").over(within)).join(highest, ["url", "_p"])
+    # what is passed on exists for the few urls that lie in several ranges
+    highest = rows.groupBy("url", "_p").agg(F.max("rank").alias("m")).select("url", "_p", F.max("m").over(before).alias("held")).where("held is not null")
+    ranked = rows.withColumn("_top", F.max("rank").over(within)).join(highest, ["url", "_p"], "left")
     able = ranked.where(F.col("rank") >= F.greatest("_top", F.coalesce("held", "_top"))).select("url", "_p", "_at", F.struct("rank", "content_hash").alias("row"))
-    last = able.groupBy("url", "_p").agg(F.max_by("row", "_at").alias("row")).select("url", "_p", F.last("row").over(before).alias("passed"))
+    last = able.groupBy("url", "_p").agg(F.max_by("row", "_at").alias("row")).select("url", "_p", F.last("row").over(before).alias("passed")).where("passed is not null")
     old = F.coalesce(F.lag("row").over(within), F.col("passed"))
-    won = able.join(last, ["url", "_p"]).withColumn("old", old).where(F.col("old").isNull() | ~F.col("row").eqNullSafe(F.col("old")))
+    won = able.join(last, ["url", "_p"], "left").withColumn("old", old).where(F.col("old").isNull() | ~F.col("row").eqNullSafe(F.col("old")))
     folded = won.groupBy("url").agg(F.max("_at").alias("_at"), (F.min("_at") >= 0).cast("long").alias("added"), (F.count("*") - 1).alias("updated"))
     after = both.join(folded.select("url", "_at"), ["url", "_at"]).select(*columns)
     return after, folded.select("url", "added", "updated")

@@ -62,12 +62,14 @@ def bookmarks(log: DataFrame, keys: tuple[str, ...] = ("user", "url")) -> DataFr
     part, whole = [*keys, "_p"], Window.partitionBy(*keys)
     some = lambda c: F.max_by(f"e.{c}", F.when(F.col(f"e.{c}").isNotNull(), F.col("e"))).alias(c)
     texts = rows.groupBy(*keys).agg(*map(some, ("title", "total", "updated")))
-    start = rows.groupBy(*part).agg(F.max(F.when(F.col("e.force"), F.col("e"))).alias("m")).select(*part, F.max("m").over(whole).alias("start"))
+    # keys without a forced event have no start, and those that lie in one range have nothing to compare
+    start = rows.groupBy(*part).agg(F.max(F.when(F.col("e.force"), F.col("e"))).alias("m")).select(*part, F.max("m").over(whole).alias("start")).where("start is not null")
     at = F.greatest(F.lit(0), F.col("e.position"))
-    later = rows.join(start, part).where("start is null or e >= start").select(*part, "e", at.alias("position"))
-    top = later.groupBy(*part).agg(F.max("position").alias("m")).select(*part, F.max("m").over(whole).alias("top"))
+    later = rows.join(start, part, "left").where("start is null or e >= start").select(*part, "e", at.alias("position"))
+    top = later.groupBy(*part).agg(F.max("position").alias("m")).select(*part, F.max("m").over(whole).alias("top"), F.count("*").over(whole).alias("n")).where("n > 1")
+    own = F.max("position").over(Window.partitionBy(*part))
     line = F.when(F.col("e.line").isNotNull(), F.greatest(F.lit(0), F.col("e.line")))
-    there = later.join(top, part).where("position = top").select(*keys, "position", line.cast("int").alias("line"), F.col("e.anchor_version").cast("int").alias("anchor_version"), "e")
+    there = later.withColumn("own", own).join(top, part, "left").where("position = coalesce(top, own)").select(*keys, "position", line.cast("int").alias("line"), F.col("e.anchor_version").cast("int").alias("anchor_version"), "e")
     there = there.repartition(*keys).sortWithinPartitions(*keys, "e").select(*keys, F.col("position").cast("int").alias("position"), "line", "anchor_version")
     # the position is the same in all rows of a key, and so is part of it here
     given = T.StructType([T.StructField(f.name, f.dataType) for f in there.schema])
