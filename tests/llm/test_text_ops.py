@@ -367,7 +367,7 @@ def test_variants_equal_brute_force(spark, seed):
     got = spelling.variants(words).collect()
     want = brute_variants(brute_words(rows))
     assert {(r.word, r.form, r.root, r.n, r.n_near, r.form_n) for r in got} == want and len(got) == len(want)
-    assert any(r.form and r.root != r.form for r in got) or seed == 2
+    assert any(r.form for r in got) and any(r.n_near and not r.form for r in got)  # chains have a test of their own
 
 
 def test_chains_of_forms_ties_and_long_words(spark):
