@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lorebase.functions import constants as K
-from lorebase.scratch import scratch_dir
+from lorebase.scratch import scratch_dir, segments
 
 from .filters import Filters, has_all_tags
 
@@ -307,10 +307,11 @@ def build_index(records: DataFrame, old: DataFrame | None, model: str, encoder:
     fresh = fresh.withColumn("embedding", encode_column(encoder)("text")) if counts.embedded else fresh
     both = joined.where("embedding is not null").unionByName(fresh)
     # the index row order is (upload_date, url): numbered range by range, without one task for all rows
-    ranged = both.repartitionByRange("upload_date", "url").sortWithinPartitions("upload_date", "url").withColumn("p", F.spark_partition_id()).withColumn("k", F.row_number().over(Window.partitionBy("p").orderBy("upload_date", "url")))
-    sizes = ranged.groupBy("p").agg(F.count("*").alias("c"))
-    offsets = sizes.withColumn("before", F.coalesce(F.sum("c").over(Window.orderBy("p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    index = ranged.join(offsets, "p").select("url", (F.col("before") + F.col("k") - 1).alias("row_id"), "content_hash", F.lit(model).alias("model"), "embedding")
+    # ranges are cut by a sample, so they are written once: dealt again for their sizes, they would have other bounds
+    ranged = segments(both, F.col("upload_date"), F.col("url")).withColumn("k", F.row_number().over(Window.partitionBy("_p").orderBy("upload_date", "url")))
+    sizes = ranged.groupBy("_p").agg(F.count("*").alias("c"))
+    offsets = sizes.withColumn("before", F.coalesce(F.sum("c").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    index = ranged.join(offsets, "_p").select("url", (F.col("before") + F.col("k") - 1).alias("row_id"), "content_hash", F.lit(model).alias("model"), "embedding")
     return index, {"total": counts.total, "embedded": counts.embedded, "reused": counts.total - counts.embedded}
 
 

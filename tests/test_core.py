@@ -259,6 +259,16 @@ def test_incremental_index(spark):
     assert np.allclose(np.linalg.norm(enc(["a b c", "语言"]), axis=1), 1)
 
 
+def test_index_rows_are_numbered_without_gaps(spark):
+    """Ranges that are cut twice, for the rows and for their sizes, may have other bounds or numbers each time."""
+    rows = spark.range(3000).select(F.concat(F.lit("u"), "id").alias("url"), F.lit("h").alias("content_hash"), F.sha1(F.col("id").cast("string").cast("binary")).alias("upload_date"), F.lit("t").alias("title"), F.array(F.lit("x")).alias("tags"), *[F.lit("").alias(c) for c in ("one_liner", "synopsis", "excerpt")])
+    enc = rank.HashingEncoder(2)
+    index, _ = rank.build_index(rows, None, enc.name, enc)
+    assert "RepartitionByExpression" not in index._jdf.queryExecution().analyzed().toString()
+    dates = {r.url: r.upload_date for r in rows.collect()}
+    assert [r.row_id for r in sorted(index.collect(), key=lambda r: dates[r.url])] == list(range(3000))
+
+
 def test_stores_round_trip(spark, tmp_path):
     rows = records(spark, [{"url": "b", "category": "gl", "upload_date": "1", "tags": ["x"]}, {"url": "a", "category": "gl", "upload_date": "1"}, {"url": "c", "category": "bl", "title": "T", "content_hash": "kept"}])
     path = str(tmp_path / "store")
