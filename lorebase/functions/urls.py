@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from urllib.parse import urljoin
 
 import pandas as pd
@@ -56,44 +57,51 @@ def is_landing(url: Column, site: str, categories: list[str]) -> Column:
     return F.coalesce(F.when(F.size(segs) >= 2, ok), F.lit(False))
 
 
+def _once(value: Column, of: Callable[[Column], Column]) -> Column:
+    """of(value), where the value is worked out once for all its uses; `of` takes all columns it needs from the value."""
+    return F.get(F.transform(F.array(value), of), 0)
+
+
 def page_url_ok(landing: Column, page: Column, site: str) -> Column:
     """A reading page extends the landing page's stem by _N; without a stem there is nothing to check."""
-    stem = F.regexp_extract(path_of(landing), r"^(.*)\.html$", 1)
-    rest = F.substring(path_of(page), F.length(stem) + 1, F.length(path_of(page)))
-    return ~F.endswith(path_of(landing), F.lit(".html")) | (same_site(page, site) & F.startswith(path_of(page), stem) & F.regexp(rest, F.lit(r"^_\d+\.html$")))
+    return _once(F.struct(path_of(landing).alias("path"), page.alias("page")), lambda x: _page_path_ok(x["path"], x["page"], site))
+
+
+def _page_path_ok(landing: Column, page: Column, site: str) -> Column:
+    stem, end = F.regexp_extract(landing, r"^(.*)\.html$", 1), F.lit(".html")
+    there = _once(path_of(page), lambda path: F.startswith(path, stem) & F.regexp(F.substring(path, F.length(stem) + 1, F.length(path)), F.lit(r"^_\d+\.html$")))
+    return ~F.endswith(landing, end) | (same_site(page, site) & there)
 
 
 def page_urls_valid(landing: Column, pages: Column, site: str) -> Column:
-    return F.forall(pages, lambda p: page_url_ok(landing, p, site))
+    return _once(F.struct(path_of(landing).alias("path"), pages.alias("pages")), lambda x: F.forall(x["pages"], lambda p: _page_path_ok(x["path"], p, site)))
 
 
 def base62_decode(s: Column) -> Column:
     """Number of a base-62 id; null where a character is no digit."""
-    digits = F.transform(F.split(s, ""), lambda c: F.call_function("instr", F.lit(BASE62), c).cast("long") - 1)
-    return F.when(F.regexp(s, F.lit("^[0-9A-Za-z]+$")), F.aggregate(digits, F.lit(0).cast("long"), lambda a, d: a * 62 + d))
+    digits = lambda x: F.transform(F.split(x, ""), lambda c: F.call_function("instr", F.lit(BASE62), c).cast("long") - 1)
+    return _once(s, lambda x: F.when(F.regexp(x, F.lit("^[0-9A-Za-z]+$")), F.aggregate(digits(x), F.lit(0).cast("long"), lambda a, d: a * 62 + d)))
 
 
 def base62_encode(n: Column, width: Column | int) -> Column:
     """Base-62 digits, padded with 0 to the width and never cut."""
     zero = F.struct(n.cast("long").alias("n"), F.lit("").alias("s"))
     step = lambda a, _: F.when(a["n"] > 0, F.struct(F.floor(a["n"] / 62).cast("long").alias("n"), F.concat(F.substring(F.lit(BASE62), F.pmod(a["n"], F.lit(62)).cast("int") + 1, F.lit(1)), a["s"]).alias("s"))).otherwise(a)
-    digits = F.aggregate(F.sequence(F.lit(1), F.lit(11)), zero, step)["s"]
-    digits = F.when(digits == "", "0").otherwise(digits)
-    return F.lpad(digits, F.greatest(F.length(digits), _lit(width)), F.lit("0"))
+    digits = F.aggregate(F.sequence(F.lit(1), F.lit(11)), zero, step, lambda a: F.when(a["s"] == "", "0").otherwise(a["s"]))
+    return _once(F.struct(digits.alias("s"), _lit(width).alias("width")), lambda d: F.lpad(d["s"], F.greatest(F.length(d["s"]), d["width"]), F.lit("0")))
 
 
 def step_url_id(url: Column, delta: Column | int) -> Column:
     """The URL whose id lies delta further, of the same width; null without an id or below zero."""
-    ident = F.regexp_extract(url, r"^(.*/)([0-9A-Za-z]+)\.html$", 2)
-    moved = base62_decode(ident) + _lit(delta)
-    return F.when((ident != "") & (moved >= 0), F.concat(F.regexp_extract(url, r"^(.*/)([0-9A-Za-z]+)\.html$", 1), base62_encode(moved, F.length(ident)), F.lit(".html")))
+    part = lambda n: F.regexp_extract(url, r"^(.*/)([0-9A-Za-z]+)\.html$", n)
+    at = F.struct(part(1).alias("stem"), part(2).alias("id"), (base62_decode(part(2)) + _lit(delta)).alias("n"))
+    return _once(at, lambda x: F.when((x["id"] != "") & (x["n"] >= 0), F.concat(x["stem"], base62_encode(x["n"], F.length(x["id"])), F.lit(".html"))))
 
 
 def url_id(url: Column) -> Column:
     """struct<category, shard, id, id_num, parse_error> of a landing URL."""
-    p = url_parts(url)
-    number = base62_decode(p["id"])
-    return F.struct(p["category"].alias("category"), p["shard"].alias("shard"), p["id"].alias("id"), number.alias("id_num"), number.isNull().alias("parse_error"))
+    known = lambda p: F.struct(p["category"].alias("category"), p["shard"].alias("shard"), p["id"].alias("id"), base62_decode(p["id"]).alias("id_num"))
+    return _once(_once(url_parts(url), known), lambda p: F.struct(*[p[c].alias(c) for c in ("category", "shard", "id", "id_num")], p["id_num"].isNull().alias("parse_error")))
 
 
 def nid_encode(url: Column) -> Column:

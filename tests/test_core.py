@@ -393,6 +393,15 @@ def test_long_chain_and_frontier(spark):
 # --- urls and scalars ---
 
 
+def test_url_ids_are_worked_out_once(spark):
+    """Every use of an id used to be another fold over its digits, 18 for two steps; a plan shows each twice."""
+    plan = spark.range(1).select(F.lit("https://b.example/a/b/0z.html").alias("url")).select(urls.step_url_id(F.col("url"), 1), urls.step_url_id(F.col("url"), -1))._jdf.queryExecution().analyzed().toString()
+    assert plan.count("aggregate(") == 8
+    url = F.lit("https://b.example/a/b/zz.html")
+    assert one(spark, urls.step_url_id(url, 1)) == "https://b.example/a/b/100.html" and one(spark, urls.step_url_id(url, -3843)) == "https://b.example/a/b/00.html" and one(spark, urls.step_url_id(url, -3844)) is None
+    assert one(spark, urls.base62_encode(F.lit(0), 4)) == "0000" and one(spark, urls.base62_decode(F.lit("a-b"))) is None
+
+
 def test_urls(spark):
     landing = lambda u: one(spark, urls.is_landing(F.lit(u), SITE, CATS))
     good = ["https://www.books.example/gl/01_b/ab1.html", "http://u:p@books.example:8080/gl/x.html?q#f"]
