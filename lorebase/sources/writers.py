@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-import hashlib
+import re
 import uuid
-from concurrent.futures import ThreadPoolExecutor
-from itertools import islice
+from collections.abc import Iterator
 
+import pyarrow as pa
+import pyarrow.fs as pafs
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -75,37 +76,58 @@ def render_text(title: Column, author: Column, status: Column, upload_date: Colu
     return F.concat(F.array_join(F.array(*lines), "\n"), F.lit("\n\n"), F.array_join(bodies, "\n\n"), F.lit("\n"))
 
 
-#: Renames at a time: each is one request to the file system.
-RENAMES = 32
+def _put_files(rows: DataFrame, path: str) -> None:
+    """Rows (file, data binary) as files path/file, by the tasks; neighbouring rows of one file are put together in it.
+
+    A task writes to a name of its own in a hidden folder and then moves the file to its place, so none is half written and
+    an attempt that is repeated replaces what the first one wrote. File systems are those of pyarrow (local, hdfs, s3, gs, abfs).
+    """
+    spark = rows.sparkSession
+    P = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    fs = P(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    fs.mkdirs(P(path))
+    # where a mounted folder really is
+    uri = re.sub(r"^file:/+", "file:///", fs.resolvePath(P(path)).toString()).replace("s3a://", "s3://")
+    stage = f".stage-{uuid.uuid4().hex}"
+
+    def put(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store, root = pafs.FileSystem.from_uri(uri)
+        root = root.rstrip("/")
+        part, n, known, name, out = f"{root}/{stage}/{uuid.uuid4().hex}", 0, set(), None, None
+        store.create_dir(f"{root}/{stage}", recursive=True)
+
+        def done() -> None:
+            out.close()
+            target = f"{root}/{name}"
+            if (folder := target.rpartition("/")[0]) not in known:
+                store.create_dir(folder, recursive=True)
+                known.add(folder)
+            if store.type_name == "hdfs" and store.get_file_info(target).type != pafs.FileType.NotFound:
+                store.delete_file(target)
+            store.move(part, target)
+
+        for b in it:
+            for file, data in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+                if file != name:
+                    if out is not None:
+                        done()
+                    name, out, n = file, store.open_output_stream(part), n + 1
+                out.write(data.as_py() or b"")
+        if out is not None:
+            done()
+        yield pa.RecordBatch.from_pydict({"n": pa.array([n], pa.int64())})
+
+    rows.select("file", "data").mapInArrow(put, "n long").agg(F.sum("n")).collect()
+    fs.delete(P(f"{path.rstrip('/')}/{stage}"), True)
 
 
 def write_texts(texts: DataFrame, path: str) -> None:
     """(file, text) as one text file each: path/file, whose parts may be folders and have as many bytes as the file system allows.
 
-    Tasks write to a hidden folder, under the SHA-1 of the name, and Spark's commit decides which of their attempts counts.
-    Then the files get their names, RENAMES at a time, from a list that is read piece by piece. If this is cut off, some
-    files are new and some old, none is half written, and another call replaces them all. A name that occurs twice is an
-    error of the caller and one of the texts stays.
+    Tasks write the files and give them their names. If this is cut off, some files are new and some old, none is half
+    written, and another call replaces them all. A name that occurs twice is an error of the caller; then texts may be lost.
     """
-    spark = texts.sparkSession
-    stage = f"{path.rstrip('/')}/.stage-{uuid.uuid4().hex}"
-    texts.select(F.sha1(F.encode("file", "UTF-8")).alias("_id"), F.regexp_replace("text", r"\n\z", "").alias("text")).write.partitionBy("_id").option("lineSep", "\n").text(stage)
-    P = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
-    fs = P(stage).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-
-    def name(file: str) -> None:
-        target = P(f"{path.rstrip('/')}/{file}")
-        parts = fs.globStatus(P(f"{stage}/_id={hashlib.sha1(file.encode()).hexdigest()}/part-*"))
-        fs.mkdirs(target.getParent())
-        fs.delete(target, False)
-        if not parts or not fs.rename(parts[0].getPath(), target):
-            raise OSError(f"{file} can't be written")
-
-    names = (r.file for r in texts.select("file").distinct().toLocalIterator())
-    with ThreadPoolExecutor(RENAMES) as pool:
-        while some := list(islice(names, 1000)):
-            list(pool.map(name, some))
-    fs.delete(P(stage), True)
+    _put_files(texts.select("file", F.encode(F.concat(F.regexp_replace(F.coalesce("text", F.lit("")), r"\n\z", ""), F.lit("\n")), "UTF-8").alias("data")), path)
 
 
 def patch_navigation(text: Column, label: str, name: Column, url: Column, file: Column) -> Column:
