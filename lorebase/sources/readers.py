@@ -97,7 +97,7 @@ def load_engine(index: DataFrame, records: DataFrame) -> DataFrame:
 def load_user_state(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """The state of all users; none where nothing has been written."""
     try:
-        return spark.read.schema(f"{schema}, user string").json(path)
+        return spark.read.schema(f"{schema}, user string").option("recursiveFileLookup", True).json(path)
     except AnalysisException as e:
         if "PATH_NOT_FOUND" not in str(e):
             raise

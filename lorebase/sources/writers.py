@@ -153,14 +153,18 @@ def write_report(spark: SparkSession, path: str, text: str) -> None:
 
 
 def write_user_state(state: DataFrame, path: str) -> None:
-    """state(user, ...) as JSON, a folder for each user: those of the users at hand are replaced whole, others stay.
+    """state(user, ...) as JSON lines, a file for each user: those of the users at hand are replaced whole, others stay.
 
-    A user's name is part of a path; others than plain names are refused.
+    Files lie in 256 folders by hash of the name, so that listing them is spread. A user's name is part of a path; others
+    than plain names are refused.
     """
     bad = state.where(~F.regexp("user", F.lit(K.USER_NAME)) | F.col("user").isNull()).limit(1)
     if not bad.isEmpty():
         raise ValueError("invalid user name")
-    state.repartition("user").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").option("ignoreNullFields", False).partitionBy("user").json(path)
+    file = F.concat(F.left(F.sha1(F.encode("user", "UTF-8")), F.lit(2)), F.lit("/"), "user", F.lit(".json"))
+    line = F.concat(F.to_json(F.struct("*"), {"ignoreNullFields": "false"}), F.lit("\n"))
+    lines = state.select("user", file.alias("file"), F.encode(line, "UTF-8").alias("data"))
+    _put_files(lines.repartition("user").sortWithinPartitions("user"), path)
 
 
 def append_log(rows: DataFrame, path: str) -> None:

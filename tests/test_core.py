@@ -297,6 +297,31 @@ def test_stores_round_trip(spark, tmp_path):
         readers.load_catalogue(spark, str(cat))
 
 
+def test_files_are_written_by_tasks(spark, tmp_path, monkeypatch):
+    """No list of names passes through the driver, and no folder is made for each file."""
+    rows = spark.range(500).select(F.concat(F.col("id") % 3, F.lit("/t"), "id", F.lit(".txt")).alias("file"), F.when(F.col("id") != 7, F.concat(F.lit("a\n\n"), "id", F.when(F.col("id") % 2 == 0, "\n").otherwise(""))).alias("text")).repartition(8)
+    monkeypatch.setattr(type(rows), "toLocalIterator", None)
+    long = "名" * 84
+    for _ in range(2):
+        writers.write_texts(rows, str(tmp_path / "a"))
+    found = {str(p.relative_to(tmp_path / "a")): p.read_text() for p in (tmp_path / "a").rglob("*") if p.is_file()}
+    assert found == {f"{i % 3}/t{i}.txt": "\n" if i == 7 else f"a\n\n{i}\n" for i in range(500)}
+    writers.write_texts(spark.createDataFrame([(long, "x")], "file string, text string"), str(tmp_path / "b"))
+    assert [p.name for p in (tmp_path / "b").iterdir()] == [long]
+
+
+def test_user_state_is_a_file_a_user(spark, tmp_path):
+    path = str(tmp_path / "s")
+    assert readers.load_user_state(spark, path, "n long, x string").count() == 0
+    state = lambda rows: spark.createDataFrame(rows, "user string, n long, x string")
+    writers.write_user_state(state([("user-a", i, None) for i in range(3)] + [("user-b", 9, "old\n"), ("user-c", 5, "")]).repartition(4), path)
+    writers.write_user_state(state([("user-b", 1, "é")]), path)
+    assert sorted(tuple(r) for r in readers.load_user_state(spark, path, "n long, x string").select("user", "n", "x").na.fill("-").collect()) == [("user-a", 0, "-"), ("user-a", 1, "-"), ("user-a", 2, "-"), ("user-b", 1, "é"), ("user-c", 5, "")]
+    assert sorted(p.name for p in (tmp_path / "s").rglob("*") if p.is_file()) == ["user-a.json", "user-b.json", "user-c.json"]
+    with pytest.raises(ValueError, match="user name"):
+        writers.write_user_state(state([("../a", 1, None)]), path)
+
+
 def test_worklists(spark):
     nodes = spark.createDataFrame([("old", "ok"), ("new", "ok"), ("dead", "not_found"), ("done", None), ("bare", "ok")], "url string, fetch_status string")
     meta = spark.createDataFrame([("old", "2020年"), ("new", "2025年")], "url string, upload_date string")
