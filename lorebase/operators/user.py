@@ -48,20 +48,21 @@ def place_fold(keys: int):
     return run
 
 
-def bookmarks(log: DataFrame, keys: tuple[str, ...] = ("user", "url")) -> DataFrame:
-    """Marks after log(user, url, seq, position, line, anchor_version, force, title, total, updated).
+def _fold_log(log: DataFrame, keys: tuple[str, ...]) -> DataFrame:
+    """Marks after a log, with the last seq.
 
     An event moves the mark forwards, to a newer anchor's line at the same place, or anywhere if forced. So what counts are
     the events from the last forced one on, and among them those at the furthest position. Both are found within ranges
     of (keys, order), so no task or array holds all events of a key. Only lines at that one position, whose outcome depends
-    on every step, are folded in order, row by row from sorted batches. For plain logs without force and anchors the
-    maximum is the same, see furthest().
+    on every step, are folded in order, row by row from sorted batches.
     """
     item = F.struct("seq", "position", "line", F.coalesce("anchor_version", F.lit(2)).alias("anchor_version"), F.coalesce("force", F.lit(False)).alias("force"), "title", "total", "updated")
-    rows = segments(log.select(*keys, item.alias("e")), *map(F.col, keys), F.col("e.seq"))
-    part, whole = [*keys, "_p"], Window.partitionBy(*keys)
+    # keys are equal as structs, in which null is equal to null, so a key with nulls is one as others
+    key = F.struct(*keys).alias("_k")
+    rows = segments(log.select(key, item.alias("e")), F.col("_k"), F.col("e.seq"))
+    part, whole = ["_k", "_p"], Window.partitionBy("_k")
     some = lambda c: F.max_by(f"e.{c}", F.when(F.col(f"e.{c}").isNotNull(), F.col("e"))).alias(c)
-    texts = rows.groupBy(*keys).agg(*map(some, ("title", "total", "updated")))
+    texts = rows.groupBy("_k").agg(*map(some, ("title", "total", "updated")), F.max("e.seq").alias("seq"))
     # keys without a forced event have no start, and those that lie in one range have nothing to compare
     start = rows.groupBy(*part).agg(F.max(F.when(F.col("e.force"), F.col("e"))).alias("m")).select(*part, F.max("m").over(whole).alias("start")).where("start is not null")
     at = F.greatest(F.lit(0), F.col("e.position"))
@@ -69,12 +70,31 @@ def bookmarks(log: DataFrame, keys: tuple[str, ...] = ("user", "url")) -> DataFr
     top = later.groupBy(*part).agg(F.max("position").alias("m")).select(*part, F.max("m").over(whole).alias("top"), F.count("*").over(whole).alias("n")).where("n > 1")
     own = F.max("position").over(Window.partitionBy(*part))
     line = F.when(F.col("e.line").isNotNull(), F.greatest(F.lit(0), F.col("e.line")))
-    there = later.withColumn("own", own).join(top, part, "left").where("position = coalesce(top, own)").select(*keys, "position", line.cast("int").alias("line"), F.col("e.anchor_version").cast("int").alias("anchor_version"), "e")
-    there = there.repartition(*keys).sortWithinPartitions(*keys, "e").select(*keys, F.col("position").cast("int").alias("position"), "line", "anchor_version")
+    there = later.withColumn("own", own).join(top, part, "left").where("position = coalesce(top, own)").select("_k", "position", line.cast("int").alias("line"), F.col("e.anchor_version").cast("int").alias("anchor_version"), "e")
+    there = there.repartition("_k").sortWithinPartitions("_k", "e").select("_k.*", F.col("position").cast("int").alias("position"), "line", "anchor_version")
     # the position is the same in all rows of a key, and so is part of it here
     given = T.StructType([T.StructField(f.name, f.dataType) for f in there.schema])
-    places = there.mapInArrow(place_fold(len(keys) + 1), given)
-    return places.join(texts, list(keys)).select(*keys, "position", "line", "anchor_version", "title", F.col("total").cast("int").alias("total"), "updated")
+    places = there.mapInArrow(place_fold(len(keys) + 1), given).select(key, "position", "line", "anchor_version")
+    return places.join(texts, "_k").select("_k.*", "position", "line", "anchor_version", "title", F.col("total").cast("int").alias("total"), "updated", "seq")
+
+
+def bookmarks(log: DataFrame, keys: tuple[str, ...] = ("user", "url")) -> DataFrame:
+    """Marks after log(user, url, seq, position, line, anchor_version, force, title, total, updated).
+
+    For plain logs without force and anchors the maximum is the same, see furthest().
+    """
+    return _fold_log(log, keys).drop("seq")
+
+
+def bookmarks_after(marks: DataFrame, log: DataFrame, keys: tuple[str, ...] = ("user", "url")) -> DataFrame:
+    """Marks, with the last seq, after a log that goes on from marks of the same columns, whatever their seq.
+
+    A mark is what a forced event at its place would leave, and so it is put before the log as one.
+    """
+    at = lambda new: F.struct(F.lit(new).alias("new"), F.col("seq").cast("long").alias("seq")).alias("seq")
+    row = lambda df, new, force: df.select(*keys, at(new), "position", "line", "anchor_version", force.alias("force"), "title", "total", "updated")
+    both = row(marks, False, F.lit(True)).unionByName(row(log, True, F.col("force")))
+    return _fold_log(both, keys).withColumn("seq", F.col("seq.seq"))
 
 
 def furthest(log: DataFrame, keys: tuple[str, ...] = ("user", "url")) -> DataFrame:

@@ -58,13 +58,14 @@ def changes(spark: SparkSession, path: str) -> DataFrame:
     return _batches(spark, f"{path}/changes", schema).join(done, "batch", "left_semi").groupBy("url").agg(F.sum("added").alias("added"), F.sum("updated").alias("updated"))
 
 
-def maintain(stream: DataFrame, path: str, part: Column, order: str = "seq", fold: Callable[[DataFrame, DataFrame, str], tuple[DataFrame, DataFrame]] = store.upsert, after_batch: Callable[[int], None] | None = None) -> DataFrame:
+def maintain(stream: DataFrame, path: str, part: Column, order: str = "seq", fold: Callable[[DataFrame, DataFrame, str], tuple[DataFrame, DataFrame | None]] = store.upsert, after_batch: Callable[[int], None] | None = None, schema: T.StructType | None = None) -> DataFrame:
     """Fold what the stream holds now, and no start before has seen, into the store at path; its rows.
 
-    part: the partition of a row, by its url alone. after_batch is called with a batch's number when it is committed.
+    part: the partition of a row, by its key alone. schema: the store's, where it isn't the stream's without the order.
+    after_batch is called with a batch's number when it is committed. A fold that counts no changes gives None for them.
     """
     spark = stream.sparkSession
-    schema = T.StructType([f for f in stream.schema.fields if f.name != order])
+    schema = schema or T.StructType([f for f in stream.schema.fields if f.name != order])
     named = F.concat(F.lit("p-"), F.coalesce(part.cast("string"), F.lit("")))
 
     def write(rows: DataFrame, batch: int) -> None:
@@ -74,7 +75,8 @@ def maintain(stream: DataFrame, path: str, part: Column, order: str = "seq", fol
         old = current(session, path, schema, batch).join(dirty, "part", "left_semi").select(*[f.name for f in schema])
         after, changed = fold(old, rows, order)
         after.withColumn("part", named).write.mode("overwrite").partitionBy("part").parquet(f"{path}/data/batch={batch}")
-        changed.select(F.col("url").cast("string").alias("url"), "added", "updated").write.mode("overwrite").parquet(f"{path}/changes/batch={batch}")
+        if changed is not None:
+            changed.select(F.col("url").cast("string").alias("url"), "added", "updated").write.mode("overwrite").parquet(f"{path}/changes/batch={batch}")
         dirty.coalesce(1).write.mode("overwrite").parquet(f"{path}/commits/batch={batch}")
         if after_batch:
             after_batch(batch)

@@ -1,7 +1,8 @@
 """Streaming forms of watcher, bookmarks, progress lines and windowed counts (ST1, ST2, ST7, ST8).
 
-State is keyed and lives in Spark's state store; results go to files batch by batch, with the batch number, so a
-batch that is repeated after a failure replaces its own rows, and a named folder lets a later start go on. Watermarked windows are our addition for event tables.
+State is keyed and lives in Spark's state store, but for bookmarks, which are a maintained store of their own; results go to
+files batch by batch, with the batch number, so a batch that is repeated after a failure replaces its own rows, and a named
+folder lets a later start go on. Watermarked windows are our addition for event tables.
 """
 
 from __future__ import annotations
@@ -15,9 +16,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from lorebase.operators import user
 from lorebase.scratch import scratch_dir
 
-from .maintain import exists
+from .maintain import exists, maintain
 
 
 def _folder(spark: SparkSession, name: str) -> str:
@@ -63,7 +65,6 @@ def windowed_counts(events: DataFrame, window: str = "1 day", late: str = "1 hou
 
 
 MARK = "user string, url string, position int, line int, anchor_version int, title string, total int, updated string, seq long"
-_STATE = "position int, line int, anchor_version int, title string, total int, updated string, seq long"
 
 
 def fold_mark(mark: tuple | None, e) -> tuple:
@@ -75,20 +76,22 @@ def fold_mark(mark: tuple | None, e) -> tuple:
     here, there = (at, -1 if line is None else line), (p or 0, -1 if ln is None else ln)
     if mark is None or bool(some(e.force)) or here > there or line is not None and at == (p or 0) and version > (1 if av is None else av):
         p, ln, av = at, line, None if line is None else max(1, version)
-    return p, ln, av, some(e.title) or title, some(e.total, int) if some(e.total) is not None else total, some(e.updated) or updated, int(e.seq)
+    last = lambda new, old: old if some(new) is None else new
+    return p, ln, av, last(e.title, title), last(some(e.total, int), total), last(e.updated, updated), int(e.seq)
 
 
-def bookmark_stream(events: DataFrame) -> DataFrame:
-    """Marks after each batch of events(user, url, position, line, anchor_version, force, title, total, updated, seq)."""
+def bookmark_stream(events: DataFrame, at: str | None = None, parts: int = 32) -> DataFrame:
+    """Marks after all that a stream of events(user, url, position, line, anchor_version, force, title, total, updated, seq) holds now.
 
-    def step(key: tuple, rows: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        mark = state.get if state.exists else None
-        for e in pd.concat(list(rows)).sort_values("seq").itertuples(index=False):
-            mark = fold_mark(mark, e)
-        state.update(mark)
-        yield pd.DataFrame([(*key, *mark)], columns=[f.split()[0] for f in MARK.split(", ")]).astype(object)
+    A batch's events are folded onto the marks so far by operators.user.bookmarks_after, whose cost goes by events and not
+    by keys. The marks are a maintained store in parts by user; a later start with the same folder at goes on from there.
+    """
+
+    def fold(old: DataFrame, rows: DataFrame, _: str) -> tuple[DataFrame, None]:
+        return user.bookmarks_after(old, rows).repartition(parts, part), None
 
-    return events.groupBy("user", "url").applyInPandasWithState(step, MARK, _STATE, "update", GroupStateTimeout.NoTimeout)
+    part = F.pmod(F.xxhash64("user"), F.lit(parts))
+    return maintain(events, at or _folder(events.sparkSession, "marks"), part, fold=fold, schema=T.StructType.fromDDL(MARK)).drop("part")
 
 
 def latest(rows: DataFrame, *keys: str) -> DataFrame:

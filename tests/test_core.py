@@ -745,6 +745,30 @@ def test_bookmarks_of_a_hot_key_are_a_sequential_fold(spark):
     assert {(r.user, r.url): tuple(r)[2:] for r in user.bookmarks(log).collect()} == {k: v[:6] for k, v in held.items()}
 
 
+def test_bookmark_stream_folds_batches_natively_and_goes_on(spark, tmp_path, monkeypatch):
+    # later batches hold earlier seqs, forced events, anchors, empty titles and keys without a name
+    rng = random.Random(11)
+    schema = "user string, url string, position int, line int, anchor_version int, force boolean, title string, total int, updated string, seq long"
+    files, held = [], {}
+    for f in range(4):
+        seqs = rng.sample(range(2000), 150)
+        files.append([(rng.choice([None, f"u{rng.randrange(12 + f * 5)}"]), rng.choice(["a", "b", None]), rng.randrange(-1, 5), rng.choice([None, *range(-1, 6)]), rng.choice([None, 1, 2, 3]), rng.choice([True] + [None, False] * 6), rng.choice([None, "", f"t{i}"]), rng.choice([None, 0, i]), rng.choice([None, str(i)]), i) for i in seqs])
+        for r in sorted(spark.createDataFrame(files[f], schema).collect(), key=lambda r: r.seq):
+            held[r.user, r.url] = streams.fold_mark(held.get((r.user, r.url)), r)
+    want = {(*k, *v) for k, v in held.items()}
+
+    def boom(*_):
+        raise AssertionError("an event was folded on its own")
+
+    monkeypatch.setattr(streams, "fold_mark", boom)
+    for new in (files[:2], files[2:], []):  # the last start finds nothing new
+        for part in new:
+            spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        live = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+        got = {tuple(r) for r in streams.bookmark_stream(live, str(tmp_path / "marks"), 3).collect()}
+    assert got == want and len({m[2:5] for m in want}) > 10
+
+
 def test_shelf_and_settings(spark):
     ops = [("u", "x", "add", "1"), ("u", "x", "add", "2"), ("u", "y", "add", "3"), ("u", "y", "remove", None), ("u", "y", "remove", None), ("u", "z", "remove", None), ("u", "z", "add", "4"), ("v", "x", "remove", None)]
     log = spark.createDataFrame([(a, b, c, d, "t", "novel", i) for i, (a, b, c, d) in enumerate(ops)], "user string, id string, op string, url string, title string, kind string, seq int")
