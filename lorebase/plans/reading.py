@@ -150,8 +150,7 @@ def reading_pages(spark: SparkSession, sf: str) -> DataFrame:
 )
 def page_losses(spark: SparkSession, sf: str) -> DataFrame:
     """Characters that the paragraphs alone lose, over 20 a page."""
-    new, old = html.page_text_udf()("html")["text"], html.old_text_udf()("html")
-    both = _pages(spark, sf).select(F.col("conv_id").alias("url"), scalars.nonspace_chars(new).alias("new_chars"), scalars.nonspace_chars(old).alias("old_chars"))
+    both = _pages(spark, sf).select(F.col("conv_id").alias("url"), html.page_chars_udf()("html").alias("c")).select("url", "c.*")
     return reports.loss_audit(both, 20).select("url", F.col("lost").cast("long").alias("lost"), "pages_affected")
 
 

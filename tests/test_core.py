@@ -706,6 +706,22 @@ def test_reports(spark):
     assert bursts == {1: (3, 2, 0, 0, 1, 1.0, False, False), 2: (3, 1, 1, 0, 0, 1.0, True, False), 3: (1, 0, 0, 0, 0, 1.0, False, True)}
 
 
+def test_pages_are_counted_without_their_texts(spark):
+    # the plan has one Python step, which gives two numbers a page; they equal the counts of the texts
+    spaces = "".join(c for c in map(chr, range(0x110000)) if c.isspace())
+    page = "<html><article><p>a {0} b\U00020000</p>c{0}d<br>e<script>x</script><p>传送门：x</p></article></html>"
+    found = ["&#13;", " ", spaces, "\u200b\u180e", "\x00\x85"]
+    rows = [(i, page.format(x)) for i, x in enumerate(found)] + [(90, None), (91, ""), (92, "<p>no article</p>"), (93, "<article><p>z" * 300)]
+    df = spark.createDataFrame(rows * 60, "page_id int, html string").coalesce(1)  # more than HELD rows in a batch
+    read = df.select("page_id", html.page_chars_udf(any_page=True)("html").alias("c")).select("page_id", "c.*")
+    texts = df.select("page_id", scalars.nonspace_chars(html.page_text_udf(any_page=True)("html")["text"]).cast("long"), scalars.nonspace_chars(html.old_text_udf(any_page=True)("html")).cast("long"))
+    got = [tuple(r) for r in read.collect()]
+    assert got == [tuple(r) for r in texts.collect()] and len(got) == 540 and (90, 0, 0) in got and (0, 6, 3) in got
+    for name in ("loss_audit", "page_losses"):
+        plan = queries.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("EvalPython") == 1 and "new_chars" in plan and "has_br" not in plan
+
+
 # --- reader state ---
 
 LOG = "user string, url string, seq int, position int, line int, anchor_version int, force boolean, title string, total int, updated string"
