@@ -27,6 +27,7 @@ from lorebase.functions import urls
 from lorebase.functions.scalars import is_divider, strip
 from lorebase.functions.tags import extract_tags
 
+from .files import list_files, path_uri, read_files
 from .schemas import CATALOG, RECORD, with_catalog_defaults, with_record_defaults
 
 
@@ -112,9 +113,16 @@ def load_demo(spark: SparkSession, path: str) -> DataFrame:
 # --- saved text files ---
 
 
+def _spark_files(spark: SparkSession, root: str, glob: str, kind: str, **options):
+    return spark.read.format(kind).options(recursiveFileLookup=True, pathGlobFilter=glob, **options).load(root)
+
+
 def text_files(spark: SparkSession, root: str, glob: str = "*.txt") -> DataFrame:
-    """(path, text) of whole files below root."""
-    return spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", glob).text(root, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
+    """(path, text) of whole files below root; tasks list and read them."""
+    listed = list_files(spark, root, glob)
+    if listed is None:
+        return _spark_files(spark, root, glob, "text", wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
+    return read_files(listed, path_uri).select("path", F.col("content").cast("string").alias("text"))
 
 
 def file_facts(spark: SparkSession, root: str, glob: str = "*.txt") -> DataFrame:

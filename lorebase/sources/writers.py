@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 import uuid
 from collections.abc import Iterator
 
@@ -14,6 +13,8 @@ from pyspark.sql import functions as F
 from lorebase.functions import constants as K
 from lorebase.functions.scalars import parse_heading, title_to_filename, unclobbered
 
+from .files import hadoop, located, open_store
+
 
 def replace_folder(spark: SparkSession, path: str, write) -> None:
     """write(staging path), then swap it in by renames on the path's own file system."""
@@ -83,16 +84,14 @@ def _put_files(rows: DataFrame, path: str) -> None:
     an attempt that is repeated replaces what the first one wrote. File systems are those of pyarrow (local, hdfs, s3, gs, abfs).
     """
     spark = rows.sparkSession
-    P = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
-    fs = P(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    fs.mkdirs(P(path))
-    # where a mounted folder really is
-    uri = re.sub(r"^file:/+", "file:///", fs.resolvePath(P(path)).toString()).replace("s3a://", "s3://")
+    p, fs = hadoop(spark, path)
+    fs.mkdirs(p)
+    uri, place = located(fs, p)
     stage = f".stage-{uuid.uuid4().hex}"
 
     def put(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        store, root = pafs.FileSystem.from_uri(uri)
-        root = root.rstrip("/")
+        store, base = open_store(uri)
+        root = base + place.rstrip("/")
         part, n, known, name, out = f"{root}/{stage}/{uuid.uuid4().hex}", 0, set(), None, None
         store.create_dir(f"{root}/{stage}", recursive=True)
 
@@ -118,7 +117,7 @@ def _put_files(rows: DataFrame, path: str) -> None:
         yield pa.RecordBatch.from_pydict({"n": pa.array([n], pa.int64())})
 
     rows.select("file", "data").mapInArrow(put, "n long").agg(F.sum("n")).collect()
-    fs.delete(P(f"{path.rstrip('/')}/{stage}"), True)
+    fs.delete(hadoop(spark, f"{path.rstrip('/')}/{stage}")[0], True)
 
 
 def write_texts(texts: DataFrame, path: str) -> None:

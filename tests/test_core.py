@@ -1,5 +1,6 @@
 """The catalogue engine on small fixtures: semantics that whole-table queries don't pin."""
 
+import gzip
 import hashlib
 import io
 import json
@@ -550,6 +551,28 @@ def test_saved_file(spark, tmp_path):
     assert "上一篇：新$1\n        URL:  https://n\n        文件: f.txt\n" in patched and "下一篇：前" in patched
 
 
+def odd_files(tmp_path):
+    names = ["a b/中文 #1%.txt", "e%20c/x.txt", "k=1/_v=2/y.txt", "_k/n.txt", ".k/n.txt", "_n.txt", ".n.txt", "m.md", "deep/er/and/z.txt", "全\u3000角.txt", "n._COPYING_", "{b}.txt"]
+    for i, name in enumerate(names):
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_bytes(b"\xef\xbb\xbf\xff\n%d" % i)
+    (tmp_path / "empty.txt").touch()
+    (tmp_path / "p.txt.gz").write_bytes(gzip.compress(b"packed"))
+    (tmp_path / "k=1" / "link").symlink_to(tmp_path / "a b")
+    roots = [str(tmp_path), f"file://{tmp_path}/", f"{tmp_path}/{{a b,deep}}", f"{tmp_path}/m.md"]
+    return [*((root, "*.txt") for root in roots), (roots[0], "*"), (roots[0], "[m-z]*.{md,txt,gz}")]
+
+
+def test_texts_are_listed_and_read_by_tasks(spark, tmp_path):
+    for root, glob in odd_files(tmp_path):
+        got = readers.text_files(spark, root, glob)
+        assert got.inputFiles() == []  # the driver has no list of them
+        want = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", glob).text(root, wholetext=True).select("_metadata.file_path", F.hex("value"))
+        assert sorted(map(tuple, got.select("path", F.hex("text")).collect())) == sorted(map(tuple, want.collect()))
+    with pytest.raises(FileNotFoundError):
+        readers.text_files(spark, str(tmp_path / "none"))
+
+
 def test_tag_extraction(spark):
     raw = "《书》作者：人【完结】　【文案】　很好看\n内容标签： 甜文　虐，HE\xa0番外\n搜索关键字：主角：林 ┃ 其它：刑侦、推理\n一句话简介：亲完\n立意：向上\n本书简介：心机\n====\n文案\n\n\n\n尾\n所属专题： 校园 / 系统\n人 钓系\n\n甜文\n开始阅读\n不要"
     got = tags.extract(raw, "书[刑侦]校园", "人")
