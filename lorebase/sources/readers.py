@@ -126,8 +126,11 @@ def text_files(spark: SparkSession, root: str, glob: str = "*.txt") -> DataFrame
 
 
 def file_facts(spark: SparkSession, root: str, glob: str = "*.txt") -> DataFrame:
-    """(path, modified, bytes) without reading contents."""
-    return spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", glob).load(root).select("path", F.col("modificationTime").alias("modified"), F.col("length").alias("bytes"))
+    """(path, modified, bytes) without reading contents; tasks list the files."""
+    listed = list_files(spark, root, glob)
+    if listed is None:
+        return _spark_files(spark, root, glob, "binaryFile").select("path", F.col("modificationTime").alias("modified"), F.col("length").alias("bytes"))
+    return listed.select("path", "modified", "bytes")
 
 
 def _head_lines(text: Column) -> Column:

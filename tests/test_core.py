@@ -573,6 +573,14 @@ def test_texts_are_listed_and_read_by_tasks(spark, tmp_path):
         readers.text_files(spark, str(tmp_path / "none"))
 
 
+def test_facts_are_listed_by_tasks(spark, tmp_path):
+    for root, glob in odd_files(tmp_path):
+        got = readers.file_facts(spark, root, glob)
+        assert got.inputFiles() == []  # the driver has no list of them
+        want = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", glob).load(root).select("path", "modificationTime", "length")
+        assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+
+
 def test_tag_extraction(spark):
     raw = "《书》作者：人【完结】　【文案】　很好看\n内容标签： 甜文　虐，HE\xa0番外\n搜索关键字：主角：林 ┃ 其它：刑侦、推理\n一句话简介：亲完\n立意：向上\n本书简介：心机\n====\n文案\n\n\n\n尾\n所属专题： 校园 / 系统\n人 钓系\n\n甜文\n开始阅读\n不要"
     got = tags.extract(raw, "书[刑侦]校园", "人")
