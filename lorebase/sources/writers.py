@@ -80,7 +80,7 @@ def render_text(title: Column, author: Column, status: Column, upload_date: Colu
 def _put_files(rows: DataFrame, path: str) -> None:
     """Rows (file, data binary) as files path/file, by the tasks; neighbouring rows of one file are put together in it.
 
-    A task writes to a name of its own in a hidden folder and then moves the file to its place, so none is half written and
+    A task writes to a hidden folder of its own and then moves the file to its place, so none is half written and
     an attempt that is repeated replaces what the first one wrote. File systems are those of pyarrow (local, hdfs, s3, gs, abfs).
     """
     spark = rows.sparkSession
@@ -92,8 +92,10 @@ def _put_files(rows: DataFrame, path: str) -> None:
     def put(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, base = open_store(uri)
         root = base + place.rstrip("/")
-        part, n, known, name, out = f"{root}/{stage}/{uuid.uuid4().hex}", 0, set(), None, None
-        store.create_dir(f"{root}/{stage}", recursive=True)
+        # one folder for all tasks would make them wait for each other
+        own = f"{root}/{stage}/{uuid.uuid4().hex}"
+        part, n, known, name, out = f"{own}/part", 0, set(), None, None
+        store.create_dir(own, recursive=True)
 
         def done() -> None:
             out.close()
